@@ -45,6 +45,11 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def R(expr, d):
+    """SQL rounding that also folds -0.0 into 0.0 (Spark's round never yields -0.0)."""
+    return f"(round({expr}, {d}) + 0.0)"
+
+
 def _union_sql(parts):
     return "\nUNION ALL\n".join(parts)
 
@@ -65,3 +70,560 @@ def _describe_sql(table, cols, d=4):
 @query("q_numeric_describe", _describe_sql("lineitem", LI_NUM))
 def q_numeric_describe(spark, sf_dir):
     return rounded(stats.describe(read(spark, sf_dir, "lineitem")), 4)
+
+
+# ---------------------------------------------------------------- shared views
+# FIXTURES.md section 3: the same projections in Spark and in SQL.
+DIRTY_LI_SQL = """SELECT l_orderkey, l_linenumber, l_quantity,
+       NULLIF(l_discount, 0.0) AS l_discount,
+       CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice,
+       CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag,
+       l_linestatus,
+       CAST(1.0 AS DOUBLE) AS const_num, 'x' AS const_str, CAST(NULL AS DOUBLE) AS empty_num
+FROM lineitem"""
+DUP_SQL = "SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem"
+REVENUE_SQL = """SELECT l_quantity, l_extendedprice, l_discount, l_tax,
+       l_extendedprice * (1 - l_discount) AS revenue FROM lineitem"""
+DIRTY_NUM = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "const_num", "empty_num"]
+DIRTY_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag",
+              "l_linestatus", "const_num", "const_str", "empty_num"]
+REV_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "revenue"]
+
+
+def dirty_li(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    k = F.col("l_orderkey")
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_quantity",
+        F.when(F.col("l_discount") != 0.0, F.col("l_discount")).alias("l_discount"),
+        F.when(k % 7 != 0, F.col("l_extendedprice")).alias("l_extendedprice"),
+        F.when(k % 5 != 0, F.col("l_returnflag")).alias("l_returnflag"),
+        "l_linestatus",
+        F.lit(1.0).cast("double").alias("const_num"), F.lit("x").alias("const_str"),
+        F.lit(None).cast("double").alias("empty_num"))
+
+
+def dup_view(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+
+
+def revenue_view(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    return li.select("l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                     (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+
+
+def with_view(view_sql, body):
+    return f"WITH d AS ({view_sql})\n{body}"
+
+
+# ---------------------------------------------------------------- A9 / A11 / A10
+def _skew_sql(c, d=6):
+    x = f"CAST({c} AS DOUBLE)"
+    return (f"SELECT '{c}' AS column_name, "
+            + R(f"CASE WHEN count({x}) < 3 THEN NULL WHEN min({x}) = max({x}) THEN 0.0 ELSE skewness({x}) END", d) + " AS skewness, "
+            + R(f"CASE WHEN count({x}) < 4 THEN NULL WHEN min({x}) = max({x}) THEN 0.0 ELSE kurtosis({x}) END", d) + " AS kurtosis "
+            f"FROM d")
+
+
+QUERIES_SKEW_SQL = with_view(DIRTY_LI_SQL, _union_sql([_skew_sql(c) for c in DIRTY_NUM]))
+
+
+@query("q_skew_kurtosis", QUERIES_SKEW_SQL)
+def q_skew_kurtosis(spark, sf_dir):
+    return rounded(stats.skew_kurtosis(dirty_li(spark, sf_dir)), 6)
+
+
+PART_NUM = ["p_partkey", "p_size", "p_retailprice"]
+
+
+def _dist_sql(c, table, d=4):
+    x = f"CAST({c} AS DOUBLE)"
+    return (f"SELECT '{c}' AS column_name, round(avg({x}), {d}) AS mean, round(quantile_cont({x}, 0.5), {d}) AS median, "
+            f"round(stddev_samp({x}), {d}) AS std, round(min({x}), {d}) AS min, round(max({x}), {d}) AS max, "
+            f"round(quantile_cont({x}, 0.25), {d}) AS q25, round(quantile_cont({x}, 0.75), {d}) AS q75, "
+            f"round(quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25), {d}) AS iqr, "
+            + R(f"CASE WHEN count({x}) < 3 THEN NULL WHEN min({x}) = max({x}) THEN 0.0 ELSE skewness({x}) END", 6) + " AS skewness, "
+            + R(f"CASE WHEN count({x}) < 4 THEN NULL WHEN min({x}) = max({x}) THEN 0.0 ELSE kurtosis({x}) END", 6) + " AS kurtosis "
+            f"FROM {table}")
+
+
+@query("q_distribution", _union_sql([_dist_sql(c, "part") for c in PART_NUM]))
+def q_distribution(spark, sf_dir):
+    d = stats.distribution(read(spark, sf_dir, "part"))
+    return rounded(rounded(d, 6, ["skewness", "kurtosis"]), 4,
+                   ["mean", "median", "std", "min", "max", "q25", "q75", "iqr"])
+
+
+ORD_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+def _iqr_sql(c, table, d=4):
+    x = f"CAST({c} AS DOUBLE)"
+    return f"""SELECT '{c}' AS column_name, 'iqr' AS method, round(q1, {d}) AS q1, round(q3, {d}) AS q3,
+       round(q1 - 1.5 * (q3 - q1), {d}) AS lower_bound, round(q3 + 1.5 * (q3 - q1), {d}) AS upper_bound,
+       CAST((SELECT count_if({x} < b.q1 - 1.5 * (b.q3 - b.q1) OR {x} > b.q3 + 1.5 * (b.q3 - b.q1)) FROM {table}) AS BIGINT) AS outlier_count,
+       round((SELECT count_if({x} < b.q1 - 1.5 * (b.q3 - b.q1) OR {x} > b.q3 + 1.5 * (b.q3 - b.q1)) * 100.0 / count({x}) FROM {table}), {d}) AS outlier_percentage
+FROM (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM {table}) b"""
+
+
+@query("q_iqr_outliers", _union_sql([_iqr_sql(c, "orders") for c in ORD_NUM]))
+def q_iqr_outliers(spark, sf_dir):
+    return rounded(stats.iqr_outliers(read(spark, sf_dir, "orders")), 4)
+
+
+def _extremes_sql(cols, table):
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(f"""SELECT '{c}' AS column_name, {x} AS value, abs({x} - b.med) AS dist
+FROM {table}, (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.5) AS med, quantile_cont({x}, 0.75) AS q3 FROM {table}) b
+WHERE {x} < b.q1 - 1.5 * (b.q3 - b.q1) OR {x} > b.q3 + 1.5 * (b.q3 - b.q1)""")
+    return f"""SELECT column_name, CAST(rank AS INTEGER) AS rank, value FROM (
+  SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY dist DESC, value ASC) AS rank
+  FROM ({_union_sql(parts)}) o) r WHERE rank <= 10"""
+
+
+@query("q_iqr_extremes", _extremes_sql(["event_id", "user_id", "value"], "events"))
+def q_iqr_extremes(spark, sf_dir):
+    return stats.outlier_values(read(spark, sf_dir, "events"))
+
+
+# ---------------------------------------------------------------- A1 / A2 / A3
+@query("q_shape_types", """SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, CAST(3 AS BIGINT) AS numerical,
+       CAST(2 AS BIGINT) AS categorical, CAST(1 AS BIGINT) AS datetime FROM orders""")
+def q_shape_types(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    r = stats.role_counts(o).collect()  # schema facts, six rows
+    k = {x["role"]: x["n_columns"] for x in r}
+    return stats.shape(o).select("rows", "columns", F.lit(k["numerical"]).cast("long").alias("numerical"),
+                                 F.lit(k["categorical"]).cast("long").alias("categorical"),
+                                 F.lit(k["datetime"]).cast("long").alias("datetime"))
+
+
+@query("q_estimated_bytes", _union_sql(
+    [f"SELECT '{c}' AS column_name, CAST(count({c}) * 8 AS BIGINT) AS bytes FROM orders"
+     for c in ["o_orderkey", "o_custkey"]]
+    + ["SELECT 'o_orderstatus' AS column_name, CAST(coalesce(sum(strlen(o_orderstatus)), 0) AS BIGINT) AS bytes FROM orders",
+       "SELECT 'o_totalprice' AS column_name, CAST(count(o_totalprice) * 8 AS BIGINT) AS bytes FROM orders",
+       "SELECT 'o_orderdate' AS column_name, CAST(count(o_orderdate) * 8 AS BIGINT) AS bytes FROM orders",
+       "SELECT 'o_orderpriority' AS column_name, CAST(coalesce(sum(strlen(o_orderpriority)), 0) AS BIGINT) AS bytes FROM orders"]))
+def q_estimated_bytes(spark, sf_dir):
+    return stats.estimated_bytes(read(spark, sf_dir, "orders"))
+
+
+# ---------------------------------------------------------------- A4-A7, C2, C6-C8
+from tabprofile.operators import categorical, charts, clean, insights as insights_mod, multivariate, quality, relate, target as target_mod  # noqa: E402
+
+
+def _missing_sql():
+    return with_view(DIRTY_LI_SQL, _union_sql(
+        [f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS missing, "
+         f"round((count(*) - count({c})) * 100.0 / count(*), 6) AS missing_pct FROM d" for c in DIRTY_COLS]))
+
+
+@query("q_missing", _missing_sql())
+def q_missing(spark, sf_dir):
+    return rounded(quality.missing(dirty_li(spark, sf_dir)), 6)
+
+
+def _missing_ranked_sql():
+    inner = _union_sql([f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS missing FROM d"
+                        for c in DIRTY_COLS])
+    return with_view(DIRTY_LI_SQL, f"""SELECT column_name, missing,
+  CAST(row_number() OVER (ORDER BY missing DESC, column_name ASC) AS INTEGER) AS rank
+FROM ({inner}) m QUALIFY rank <= 20""")
+
+
+@query("q_missing_ranked", _missing_ranked_sql())
+def q_missing_ranked(spark, sf_dir):
+    return quality.missing_ranked(dirty_li(spark, sf_dir), ascending=False, top=20, only_present=False)
+
+
+@query("q_missing_matrix")
+def q_missing_matrix(spark, sf_dir):
+    return rounded(quality.missing_matrix(dirty_li(spark, sf_dir), buckets=50), 6)
+
+
+@query("q_duplicates", with_view(DUP_SQL, """SELECT CAST(sum(cnt) AS BIGINT) AS rows, CAST(sum(cnt - 1) AS BIGINT) AS duplicates,
+  round(sum(cnt - 1) * 100.0 / sum(cnt), 6) AS duplicate_pct
+FROM (SELECT count(*) AS cnt FROM d GROUP BY l_returnflag, l_linestatus, l_linenumber) g"""))
+def q_duplicates(spark, sf_dir):
+    return rounded(quality.duplicates(dup_view(spark, sf_dir)), 6)
+
+
+@query("q_constant_columns", with_view(DIRTY_LI_SQL, _union_sql(
+    [f"SELECT '{c}' AS column_name FROM d HAVING count({c}) = 0 OR min({c}) = max({c})" for c in DIRTY_COLS])))
+def q_constant_columns(spark, sf_dir):
+    return quality.constant_columns(dirty_li(spark, sf_dir))
+
+
+def _quality_sql(view_sql, cols, d=6):
+    keys = ", ".join(cols)
+    miss = " + ".join(f"(count(*) - count({c})) * 100.0 / count(*)" for c in cols)
+    return with_view(view_sql, f"""SELECT round(a, {d}) AS avg_missing_pct, round(p, {d}) AS duplicate_pct,
+  round(greatest(0.0, least(100.0, 100.0 - 2.0 * a - 5.0 * p)), {d}) AS quality_score,
+  round(100.0 - greatest(0.0, least(100.0, 100.0 - 2.0 * a - 5.0 * p)), {d}) AS remainder
+FROM (SELECT ({miss}) / {len(cols)} AS a FROM d) m,
+     (SELECT sum(cnt - 1) * 100.0 / sum(cnt) AS p FROM (SELECT count(*) AS cnt FROM d GROUP BY {keys}) g) q""")
+
+
+@query("q_quality_score", _quality_sql(DIRTY_LI_SQL, DIRTY_COLS))
+def q_quality_score(spark, sf_dir):
+    return rounded(quality.quality_score(dirty_li(spark, sf_dir)), 6)
+
+
+@query("q_issue_bars", with_view(DUP_SQL, """SELECT 'duplicates' AS issue, CAST(sum(cnt - 1) AS BIGINT) AS value
+FROM (SELECT count(*) AS cnt FROM d GROUP BY l_returnflag, l_linestatus, l_linenumber) g
+UNION ALL
+SELECT 'constant_columns' AS issue, CAST((CASE WHEN min(l_returnflag) = max(l_returnflag) THEN 1 ELSE 0 END)
+  + (CASE WHEN min(l_linestatus) = max(l_linestatus) THEN 1 ELSE 0 END)
+  + (CASE WHEN min(l_linenumber) = max(l_linenumber) THEN 1 ELSE 0 END) AS BIGINT) AS value FROM d"""))
+def q_issue_bars(spark, sf_dir):
+    return quality.issue_bars(dup_view(spark, sf_dir))
+
+
+@query("q_missing_patterns", with_view(DIRTY_LI_SQL, "SELECT " + " || ".join(
+    f"(CASE WHEN {c} IS NULL THEN '1' ELSE '0' END)" for c in DIRTY_COLS)
+    + " AS pattern, count(*) AS rows FROM d GROUP BY 1"))
+def q_missing_patterns(spark, sf_dir):
+    return quality.missing_patterns(dirty_li(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- P1-P5, P7, P12, P13, D-f, D-g
+@query("q_drop_empty_cols", with_view(DIRTY_LI_SQL, """SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
+  l_extendedprice, l_returnflag, l_linestatus, const_num, const_str FROM d"""))
+def q_drop_empty_cols(spark, sf_dir):
+    return clean.drop_empty_columns(dirty_li(spark, sf_dir))
+
+
+@query("q_drop_empty_rows", with_view(DIRTY_LI_SQL, """SELECT l_discount, l_extendedprice, empty_num FROM d
+WHERE l_discount IS NOT NULL OR l_extendedprice IS NOT NULL OR empty_num IS NOT NULL"""))
+def q_drop_empty_rows(spark, sf_dir):
+    return clean.drop_empty_rows(dirty_li(spark, sf_dir).select("l_discount", "l_extendedprice", "empty_num"))
+
+
+@query("q_dedup", with_view(DIRTY_LI_SQL, """SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM d
+WHERE l_returnflag IS NOT NULL OR l_linestatus IS NOT NULL OR l_linenumber IS NOT NULL"""))
+def q_dedup(spark, sf_dir):
+    d = dirty_li(spark, sf_dir).select("l_returnflag", "l_linestatus", "l_linenumber", "empty_num")
+    # the offline cleaning order: empty rows, empty columns, duplicates
+    return clean.dedup(clean.drop_empty_columns(clean.drop_empty_rows(d)))
+
+
+@query("q_sample_rows", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority, '42')),
+  o_orderkey, o_custkey, o_orderstatus, o_orderpriority LIMIT 1000""")
+def q_sample_rows(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                             "o_orderpriority")
+    return clean.sample_rows(o, 1000, seed=42, key_cols=["o_orderkey", "o_custkey", "o_orderstatus",
+                                                         "o_orderpriority"])
+
+
+@query("q_cap_columns", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag FROM lineitem")
+def q_cap_columns(spark, sf_dir):
+    return clean.cap_columns(read(spark, sf_dir, "lineitem").drop("l_shipdate"), 5, target="l_returnflag")
+
+
+def _narrow_sql():
+    parts = []
+    ints = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int"}
+    for c, t in ints.items():
+        parts.append(f"""SELECT '{c}' AS column_name, '{t}' AS from_type,
+  CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint'
+       WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint'
+       WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS to_type FROM lineitem""")
+    for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]:
+        parts.append(f"""SELECT '{c}' AS column_name, 'double' AS from_type,
+  CASE WHEN coalesce(max(abs({c} - CAST(CAST({c} AS FLOAT) AS DOUBLE))), 0.0) <= 0.0005 THEN 'float' ELSE 'double' END AS to_type
+FROM lineitem""")
+    return _union_sql(parts)
+
+
+@query("q_narrow_types", _narrow_sql())
+def q_narrow_types(spark, sf_dir):
+    return clean.narrowing_plan(read(spark, sf_dir, "lineitem"))
+
+
+@query("q_derive_product", """SELECT l_orderkey, l_linenumber,
+  round(coalesce(TRY_CAST(l_quantity AS DOUBLE), 0.0) * coalesce(TRY_CAST(l_extendedprice AS DOUBLE), 0.0), 4) AS Sales
+FROM lineitem""")
+def q_derive_product(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return rounded(target_mod.derive_product(li, "l_quantity", "l_extendedprice", "Sales")
+                   .select("l_orderkey", "l_linenumber", "Sales"), 4)
+
+
+@query("q_coerce_numeric", """SELECT event_id, TRY_CAST(props AS DOUBLE) AS props FROM events
+WHERE TRY_CAST(props AS DOUBLE) IS NOT NULL""")
+def q_coerce_numeric(spark, sf_dir):
+    return clean.coerce_numeric(read(spark, sf_dir, "events").select("event_id", "props"), "props")
+
+
+def _fill_sql():
+    num = [f"SELECT '{c}' AS column_name, 'median' AS strategy, CAST(quantile_cont(CAST({c} AS DOUBLE), 0.5) AS VARCHAR) AS fill_value FROM d"
+           for c in ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "const_num", "empty_num"]]
+    cat = [f"""SELECT '{c}' AS column_name, 'most_frequent' AS strategy,
+  (SELECT {c} FROM d WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} ASC LIMIT 1) AS fill_value"""
+           for c in ["l_returnflag", "l_linestatus", "const_str"]]
+    return with_view(DIRTY_LI_SQL, _union_sql(num + cat))
+
+
+@query("q_impute", _fill_sql())
+def q_impute(spark, sf_dir):
+    return clean.fill_values(dirty_li(spark, sf_dir))
+
+
+@query("q_standardize", """SELECT l_orderkey, l_linenumber,
+  round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) + 0.0 AS l_quantity,
+  round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER (), 6) + 0.0 AS l_extendedprice
+FROM lineitem""")
+def q_standardize(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    return rounded(clean.standardize(li, ["l_quantity", "l_extendedprice"], keep=["l_orderkey", "l_linenumber"]), 6)
+
+
+# ---------------------------------------------------------------- A12-A14, A16, A17, B5, T1, T2, W1
+CUST_CAT = ["c_name", "c_mktsegment"]
+
+
+def _cat_stats_sql(cols, table):
+    parts = []
+    for c in cols:
+        parts.append(f"""SELECT '{c}' AS column_name,
+  (SELECT count(DISTINCT {c}) FROM {table}) AS unique_count,
+  (SELECT count(*) - count({c}) FROM {table}) AS missing_count,
+  (SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1) AS most_common,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY {c})) AS most_common_count,
+  (SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n ASC, v LIMIT 1) AS least_common,
+  (SELECT min(n) FROM (SELECT count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY {c})) AS least_common_count""")
+    return _union_sql(parts)
+
+
+@query("q_category_stats", _cat_stats_sql(CUST_CAT, "customer"))
+def q_category_stats(spark, sf_dir):
+    return categorical.category_stats(read(spark, sf_dir, "customer"), CUST_CAT)
+
+
+PART_CAT = ["p_name", "p_brand", "p_type"]
+
+
+def _top_sql(cols, table, k=10):
+    inner = _union_sql([f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {table} "
+                        f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols])
+    return f"""SELECT column_name, CAST(rank AS INTEGER) AS rank, value, count FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value ASC) AS rank FROM ({inner}) v
+) r WHERE rank <= {k}"""
+
+
+@query("q_top_values", _top_sql(PART_CAT, "part"))
+def q_top_values(spark, sf_dir):
+    return categorical.top_values(read(spark, sf_dir, "part"), PART_CAT, k=10)
+
+
+@query("q_value_counts", _union_sql([f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count "
+                                     f"FROM orders WHERE {c} IS NOT NULL GROUP BY {c}"
+                                     for c in ["o_orderstatus", "o_orderpriority"]]))
+def q_value_counts(spark, sf_dir):
+    return categorical.value_counts(read(spark, sf_dir, "orders"))
+
+
+@query("q_distinct_count", _union_sql([f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct FROM customer"
+                                       for c in ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]]))
+def q_distinct_count(spark, sf_dir):
+    return categorical.distinct_count(read(spark, sf_dir, "customer"),
+                                      ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+
+
+@query("q_class_counts", """SELECT o_orderstatus AS class, count(*) AS count FROM orders
+WHERE o_orderstatus IS NOT NULL GROUP BY 1""")
+def q_class_counts(spark, sf_dir):
+    return target_mod.class_counts(read(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+def _balance_sql(table, col):
+    return f"""SELECT CAST(count(*) AS BIGINT) AS n_classes, min(n) AS min_count, max(n) AS max_count,
+  round(min(n) * 1.0 / max(n), 6) AS ratio,
+  CASE WHEN min(n) * 1.0 / max(n) > 0.8 THEN 'balanced' WHEN min(n) * 1.0 / max(n) > 0.5 THEN 'moderately_imbalanced'
+       ELSE 'highly_imbalanced' END AS balance
+FROM (SELECT {col}, count(*) AS n FROM {table} WHERE {col} IS NOT NULL GROUP BY {col}) c"""
+
+
+@query("q_class_balance", _balance_sql("labels", "quality"))
+def q_class_balance(spark, sf_dir):
+    return rounded(target_mod.class_balance(read(spark, sf_dir, "labels"), "quality"), 6)
+
+
+@query("q_class_balance_orders", _balance_sql("orders", "o_orderstatus"))
+def q_class_balance_orders(spark, sf_dir):
+    return rounded(target_mod.class_balance(read(spark, sf_dir, "orders"), "o_orderstatus"), 6)
+
+
+@query("q_target_profile_class", """SELECT 'o_orderstatus' AS target, 'classification' AS type,
+  (SELECT count(*) - count(o_orderstatus) FROM orders) AS missing_count, n_classes, balance,
+  NULL::DOUBLE AS mean, NULL::DOUBLE AS median, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS max,
+  NULL::DOUBLE AS q25, NULL::DOUBLE AS q75, NULL::DOUBLE AS iqr, NULL::DOUBLE AS skewness, NULL::DOUBLE AS kurtosis,
+  NULL::DOUBLE AS outlier_percentage, NULL::BIGINT AS outlier_count
+FROM (""" + _balance_sql("orders", "o_orderstatus") + ") b")
+def q_target_profile_class(spark, sf_dir):
+    return target_mod.target_profile(read(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query("q_target_profile_numeric", """WITH s AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
+SELECT 'o_totalprice' AS target, 'regression' AS type, count(*) - count(o_totalprice) AS missing_count,
+  NULL::BIGINT AS n_classes, NULL::VARCHAR AS balance,
+  round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median,
+  round(stddev_samp(o_totalprice), 4) AS std, round(min(o_totalprice), 4) AS min, round(max(o_totalprice), 4) AS max,
+  round(any_value(s.q1), 4) AS q25, round(any_value(s.q3), 4) AS q75, round(any_value(s.q3 - s.q1), 4) AS iqr,
+  round(skewness(o_totalprice), 6) + 0.0 AS skewness, round(kurtosis(o_totalprice), 6) + 0.0 AS kurtosis,
+  round(count_if(o_totalprice < s.q1 - 1.5 * (s.q3 - s.q1) OR o_totalprice > s.q3 + 1.5 * (s.q3 - s.q1)) * 100.0 / count(o_totalprice), 4) AS outlier_percentage,
+  CAST(count_if(o_totalprice < s.q1 - 1.5 * (s.q3 - s.q1) OR o_totalprice > s.q3 + 1.5 * (s.q3 - s.q1)) AS BIGINT) AS outlier_count
+FROM orders, s""")
+def q_target_profile_numeric(spark, sf_dir):
+    t = target_mod.target_profile(read(spark, sf_dir, "orders"), "o_totalprice")
+    return rounded(rounded(t, 6, ["skewness", "kurtosis"]), 4,
+                   ["mean", "median", "std", "min", "max", "q25", "q75", "iqr", "outlier_percentage"])
+
+
+@query("q_crosstab", """SELECT l_returnflag AS a_value, l_linestatus AS b_value, count(*) AS count FROM lineitem
+WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2""")
+def q_crosstab(spark, sf_dir):
+    return categorical.crosstab(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+def _chi_sql(table, a, b, yates):
+    adj = "(abs(o - e) - least(0.5, abs(o - e)))" if yates else "abs(o - e)"
+    return f"""WITH t AS (SELECT CAST({a} AS VARCHAR) AS a, CAST({b} AS VARCHAR) AS b, count(*) AS o FROM {table}
+                WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
+ra AS (SELECT a, sum(o) AS r FROM t GROUP BY a), cb AS (SELECT b, sum(o) AS c FROM t GROUP BY b),
+n AS (SELECT sum(o) AS n FROM t),
+g AS (SELECT ra.a, cb.b, ra.r * cb.c * 1.0 / n.n AS e FROM ra, cb, n),
+cells AS (SELECT g.a, g.b, coalesce(t.o, 0) AS o, g.e FROM g LEFT JOIN t ON g.a = t.a AND g.b = t.b)
+SELECT round(sum({adj} * {adj} / e), 4) AS chi2, CAST(((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1) AS BIGINT) AS dof,
+  CAST((SELECT n FROM n) AS BIGINT) AS n, {'true' if yates else 'false'} AS yates FROM cells"""
+
+
+@query("q_chi_square", _chi_sql("labels", "quality", "toxic", True))
+def q_chi_square(spark, sf_dir):
+    return rounded(categorical.chi_square(read(spark, sf_dir, "labels"), "quality", "toxic"), 4)
+
+
+@query("q_chi_square_rxc", _chi_sql("orders", "o_orderstatus", "o_orderpriority", False))
+def q_chi_square_rxc(spark, sf_dir):
+    return rounded(categorical.chi_square(read(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"), 4)
+
+
+# ---------------------------------------------------------------- A15, B1-B4, K1, K2, X2, C11, C12, C14
+LI_FEATS = [c for c in LI_NUM]
+
+
+def _group_moments_sql(table, target, feats):
+    return _union_sql([f"""SELECT '{f}' AS feature, CAST({target} AS VARCHAR) AS class, count({f}) AS n,
+  round(avg(CAST({f} AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST({f} AS DOUBLE)), 4) AS std
+FROM {table} WHERE {target} IS NOT NULL GROUP BY {target}""" for f in feats])
+
+
+@query("q_group_moments", _group_moments_sql("lineitem", "l_returnflag", LI_FEATS))
+def q_group_moments(spark, sf_dir):
+    return rounded(relate.group_moments(read(spark, sf_dir, "lineitem"), "l_returnflag", LI_FEATS), 4)
+
+
+def _anova_sql(table, target, feats):
+    parts = []
+    for f in feats:
+        x = f"CAST({f} AS DOUBLE)"
+        parts.append(f"""SELECT '{f}' AS feature, CAST(count(*) AS BIGINT) AS groups,
+  round(CASE WHEN count(*) < 2 THEN 0.0 ELSE
+    (sum(n * (m - (SELECT avg({x}) FROM {table} WHERE {target} IS NOT NULL AND {f} IS NOT NULL)) ^ 2) / (count(*) - 1))
+    / NULLIF(sum(coalesce(v * (n - 1), 0.0)) / (sum(n) - count(*)), 0.0) END, 4) AS f_stat
+FROM (SELECT {target}, count({x}) AS n, avg({x}) AS m, var_samp({x}) AS v FROM {table}
+      WHERE {target} IS NOT NULL AND {f} IS NOT NULL GROUP BY {target}) g""")
+    return _union_sql(parts)
+
+
+@query("q_anova", _anova_sql("lineitem", "l_returnflag", LI_FEATS))
+def q_anova(spark, sf_dir):
+    return rounded(relate.anova(read(spark, sf_dir, "lineitem"), "l_returnflag", LI_FEATS), 4)
+
+
+def _pairs_sql(view, cols, d=6):
+    parts = []
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            a, b = cols[i], cols[j]
+            parts.append(f"""SELECT {i} AS i, {j} AS j, '{a}' AS feature1, '{b}' AS feature2,
+  round(CASE WHEN stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) = 0 OR stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END) = 0
+        THEN NULL ELSE corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END, {d}) + 0.0 AS correlation FROM {view}""")
+    return _union_sql(parts)
+
+
+@query("q_corr_pairs", with_view(REVENUE_SQL, _pairs_sql("d", REV_NUM)))
+def q_corr_pairs(spark, sf_dir):
+    return rounded(relate.correlation_pairs(revenue_view(spark, sf_dir)), 6)
+
+
+@query("q_high_corr", with_view(REVENUE_SQL, f"""SELECT CAST(row_number() OVER (ORDER BY abs(correlation) DESC, i, j) AS INTEGER) AS rank,
+  feature1, feature2, round(correlation, 6) AS correlation FROM ({_pairs_sql("d", REV_NUM, 12)}) p WHERE abs(correlation) > 0.7"""))
+def q_high_corr(spark, sf_dir):
+    return rounded(relate.high_correlations(relate.correlation_pairs(revenue_view(spark, sf_dir))), 6)
+
+
+@query("q_avg_corr", with_view(REVENUE_SQL, f"""SELECT round(CASE WHEN count_if(correlation IS NULL) > 0 THEN NULL
+  ELSE avg(correlation) END, 6) AS avg_correlation FROM ({_pairs_sql("d", REV_NUM, 15)}) p"""))
+def q_avg_corr(spark, sf_dir):
+    return rounded(relate.avg_correlation(relate.correlation_pairs(revenue_view(spark, sf_dir))), 6)
+
+
+@query("q_corr_heatmap", f"""SELECT feature2 AS row_feature, feature1 AS col_feature, correlation
+FROM ({_pairs_sql("lineitem", LI_NUM)}) p""")
+def q_corr_heatmap(spark, sf_dir):
+    return rounded(relate.corr_heatmap(read(spark, sf_dir, "lineitem")), 6)
+
+
+@query("q_corr_matrix", f"""WITH p AS ({_pairs_sql("d", REV_NUM)})
+SELECT feature1, feature2, correlation FROM p
+UNION ALL SELECT feature2 AS feature1, feature1 AS feature2, correlation FROM p
+UNION ALL """ + _union_sql([f"SELECT '{c}' AS feature1, '{c}' AS feature2, CASE WHEN min({c}) < max({c}) THEN 1.0 END AS correlation FROM d"
+                            for c in REV_NUM]).replace("WITH p", "WITH p"))
+def q_corr_matrix(spark, sf_dir):
+    return rounded(relate.corr_matrix(revenue_view(spark, sf_dir)), 6)
+
+
+ORACLE["q_corr_matrix"] = "WITH d AS (" + REVENUE_SQL + "), " + ORACLE["q_corr_matrix"][len("WITH "):]
+
+
+def _ft_sql(view, target, feats):
+    parts = []
+    for f in feats:
+        r = (f"CASE WHEN stddev_pop(CASE WHEN {target} IS NOT NULL THEN {f} END) = 0 OR "
+             f"stddev_pop(CASE WHEN {f} IS NOT NULL THEN {target} END) = 0 THEN NULL "
+             f"ELSE corr(CAST({f} AS DOUBLE), CAST({target} AS DOUBLE)) END")
+        parts.append(f"""SELECT '{f}' AS feature, round({r}, 6) + 0.0 AS correlation,
+  CASE WHEN abs({r}) >= 0.8 THEN 'very_strong' WHEN abs({r}) >= 0.6 THEN 'strong' WHEN abs({r}) >= 0.4 THEN 'moderate'
+       WHEN abs({r}) >= 0.2 THEN 'weak' ELSE 'very_weak' END AS strength FROM {view}""")
+    return _union_sql(parts)
+
+
+@query("q_feature_target_corr", _ft_sql("lineitem", "l_extendedprice", [c for c in LI_NUM if c != "l_extendedprice"]))
+def q_feature_target_corr(spark, sf_dir):
+    return rounded(relate.feature_target_corr(read(spark, sf_dir, "lineitem"), "l_extendedprice"), 6)
+
+
+@query("q_feature_importance", with_view(REVENUE_SQL, f"""SELECT CAST(rank AS INTEGER) AS rank, feature, round(importance, 6) AS importance,
+  CASE WHEN rank <= 5 THEN round(importance * 100.0 / sum(CASE WHEN rank <= 5 THEN importance END) OVER (), 6) END AS share,
+  rank <= 5 AS is_top
+FROM (SELECT feature, abs(correlation) AS importance, row_number() OVER (ORDER BY abs(correlation) DESC NULLS LAST, feature) AS rank
+      FROM ({_ft_sql("d", "revenue", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).replace("round(", "(").replace(", 6) + 0.0 AS correlation", ") AS correlation")}) c) r"""))
+def q_feature_importance(spark, sf_dir):
+    return rounded(relate.feature_importance(revenue_view(spark, sf_dir), "revenue"), 6)
+
+
+@query("q_pca_variance")
+def q_pca_variance(spark, sf_dir):
+    return rounded(multivariate.pca_variance(read(spark, sf_dir, "lineitem")), 6)
+
+
+@query("q_pca_summary")
+def q_pca_summary(spark, sf_dir):
+    return rounded(multivariate.pca_summary(read(spark, sf_dir, "lineitem")), 6)
