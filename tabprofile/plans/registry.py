@@ -627,3 +627,298 @@ def q_pca_variance(spark, sf_dir):
 @query("q_pca_summary")
 def q_pca_summary(spark, sf_dir):
     return rounded(multivariate.pca_summary(read(spark, sf_dir, "lineitem")), 6)
+
+
+# ---------------------------------------------------------------- C9, C12, C14, C15, C17
+def _hist_sql(table, col, bins=30, d=6):
+    return f"""WITH r AS (SELECT min(CAST({col} AS DOUBLE)) AS lo0, max(CAST({col} AS DOUBLE)) AS hi0, count({col}) AS n FROM {table}),
+r2 AS (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi, n FROM r),
+b AS (SELECT least(CAST(floor((CAST({col} AS DOUBLE) - r2.lo) / (r2.hi - r2.lo) * {bins}) AS INTEGER), {bins - 1}) AS bin, count(*) AS c
+      FROM {table}, r2 WHERE {col} IS NOT NULL GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS bin FROM range({bins}))
+SELECT g.bin, round(r2.lo + g.bin * ((r2.hi - r2.lo) / {bins}), {d}) AS bin_start,
+  round(r2.lo + (g.bin + 1) * ((r2.hi - r2.lo) / {bins}), {d}) AS bin_end, CAST(coalesce(b.c, 0) AS BIGINT) AS count,
+  round(coalesce(b.c, 0) / (r2.n * ((r2.hi - r2.lo) / {bins})), 9) AS density
+FROM g CROSS JOIN r2 LEFT JOIN b ON g.bin = b.bin WHERE r2.n > 0"""
+
+
+@query("q_histogram", _hist_sql("events", "value"))
+def q_histogram(spark, sf_dir):
+    h = charts.histogram(read(spark, sf_dir, "events"), "value")
+    return rounded(rounded(h, 6, ["bin_start", "bin_end"]), 9, ["density"])
+
+
+@query("q_histogram_target", _hist_sql("orders", "o_totalprice"))
+def q_histogram_target(spark, sf_dir):
+    h = charts.histogram(read(spark, sf_dir, "orders"), "o_totalprice")
+    return rounded(rounded(h, 6, ["bin_start", "bin_end"]), 9, ["density"])
+
+
+@query("q_histogram_counts", """WITH r AS (SELECT min(CAST(l_orderkey AS DOUBLE)) AS lo, max(CAST(l_orderkey AS DOUBLE)) AS hi FROM lineitem),
+b AS (SELECT least(CAST(floor((CAST(l_orderkey AS DOUBLE) - r.lo) / (r.hi - r.lo) * 30) AS INTEGER), 29) AS bin, count(*) AS c FROM lineitem, r GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30))
+SELECT 'l_orderkey' AS column_name, g.bin, round(r.lo + g.bin * ((r.hi - r.lo) / 30), 6) AS bin_start,
+  round(r.lo + (g.bin + 1) * ((r.hi - r.lo) / 30), 6) AS bin_end, CAST(coalesce(b.c, 0) AS BIGINT) AS count
+FROM g CROSS JOIN r LEFT JOIN b ON g.bin = b.bin""")
+def q_histogram_counts(spark, sf_dir):
+    return rounded(charts.first_numeric_histogram(read(spark, sf_dir, "lineitem")), 6)
+
+
+@query("q_kde", """WITH r AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, count(p_retailprice) AS n,
+  stddev_samp(p_retailprice) * pow(count(p_retailprice), -0.2) AS h FROM part),
+g AS (SELECT CAST(range AS INTEGER) AS point FROM range(100))
+SELECT g.point, round(r.lo + g.point * ((r.hi - r.lo) / 99), 6) AS x,
+  round(sum(exp(-0.5 * pow(((r.lo + g.point * ((r.hi - r.lo) / 99)) - p.p_retailprice) / r.h, 2))) / (r.n * r.h * sqrt(2 * pi())), 9) AS density
+FROM g CROSS JOIN r CROSS JOIN part p WHERE p.p_retailprice IS NOT NULL GROUP BY g.point, r.lo, r.hi, r.n, r.h""")
+def q_kde(spark, sf_dir):
+    k = charts.kde(read(spark, sf_dir, "part"), "p_retailprice")
+    return rounded(rounded(k, 6, ["x"]), 9, ["density"])
+
+
+@query("q_top_corr_chart", with_view(REVENUE_SQL, f"""SELECT * FROM (
+  SELECT CAST(row_number() OVER (ORDER BY abs(correlation) DESC, i, j) AS INTEGER) AS rank, feature1, feature2,
+    round(correlation, 6) AS correlation, abs(correlation) > 0.8 AS very_high
+  FROM ({_pairs_sql("d", REV_NUM, 15)}) p WHERE abs(correlation) > 0.7) t WHERE rank <= 10"""))
+def q_top_corr_chart(spark, sf_dir):
+    return rounded(relate.top_correlations_chart(relate.correlation_pairs(revenue_view(spark, sf_dir))), 6)
+
+
+# ---------------------------------------------------------------- I1, R1, R2, R3
+def _insights_sql(view_sql, cols, n_num, n_cat, dup_keys, target=None):
+    miss = " + ".join(f"(count(*) - count({c}))" for c in cols)
+    pct = " + ".join(f"(count(*) - count({c})) * 100.0 / count(*)" for c in cols)
+    bal = ""
+    if target:
+        bal = f""",
+b AS (SELECT CASE WHEN min(n) * 1.0 / max(n) > 0.8 THEN 'balanced' WHEN min(n) * 1.0 / max(n) > 0.5
+             THEN 'moderately_imbalanced' ELSE 'highly_imbalanced' END AS balance
+      FROM (SELECT count(*) AS n FROM d WHERE {target} IS NOT NULL GROUP BY {target}) c)"""
+    rows = [
+        "SELECT 1 AS seq, 'data_quality_insights' AS category, 'Dataset has ' || CAST(tm AS VARCHAR) || ' missing values that need attention' AS insight FROM m WHERE tm > 0",
+        "SELECT 2, 'data_quality_insights', 'Found ' || CAST(dups AS VARCHAR) || ' duplicate rows that should be removed' FROM q WHERE dups > 0",
+    ]
+    if n_num:
+        rows.append(f"SELECT 3, 'feature_insights', 'Dataset has {n_num} numerical features for analysis'")
+    if n_cat:
+        rows.append(f"SELECT 4, 'feature_insights', 'Dataset has {n_cat} categorical features for encoding'")
+    rows.append("SELECT 5, 'recommendations', 'Consider data cleaning before analysis' FROM m, q "
+                "WHERE greatest(0.0, least(100.0, 100.0 - 2.0 * m.ap - 5.0 * q.dp)) < 80")
+    if n_num > 10:
+        rows.append("SELECT 6, 'recommendations', 'Consider dimensionality reduction for high-dimensional data'")
+    if target:
+        rows.append("SELECT 7, 'recommendations', 'Target is highly imbalanced - consider resampling techniques' "
+                    "FROM b WHERE balance = 'highly_imbalanced'")
+    return f"""WITH d AS ({view_sql}),
+m AS (SELECT {miss} AS tm, ({pct}) / {len(cols)} AS ap FROM d),
+q AS (SELECT sum(cnt - 1) AS dups, sum(cnt - 1) * 100.0 / sum(cnt) AS dp FROM (SELECT count(*) AS cnt FROM d GROUP BY {dup_keys}) g){bal}
+SELECT seq, category, insight FROM (
+{_union_sql(rows)}) r"""
+
+
+@query("q_insights", _insights_sql(DIRTY_LI_SQL, DIRTY_COLS, 7, 3, ", ".join(DIRTY_COLS)))
+def q_insights(spark, sf_dir):
+    return insights_mod.insights(dirty_li(spark, sf_dir))
+
+
+ORD_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("q_insights_target", _insights_sql("SELECT * FROM orders", ORD_COLS, 3, 2, ", ".join(ORD_COLS),
+                                          target="o_orderstatus"))
+def q_insights_target(spark, sf_dir):
+    return insights_mod.insights(read(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+def _summary_sql():
+    miss = " + ".join(f"(count(*) - count({c}))" for c in DIRTY_COLS)
+    pct = " + ".join(f"(count(*) - count({c})) * 100.0 / count(*)" for c in DIRTY_COLS)
+    fixed = {"l_orderkey": 8, "l_linenumber": 4, "l_quantity": 8, "l_discount": 8, "l_extendedprice": 8,
+             "const_num": 8, "empty_num": 8}
+    byt = " + ".join([f"count({c}) * {w}" for c, w in fixed.items()]
+                     + [f"coalesce(sum(strlen({c})), 0)" for c in ["l_returnflag", "l_linestatus", "const_str"]])
+    return with_view(DIRTY_LI_SQL, f"""SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM d
+UNION ALL SELECT 'columns', CAST({len(DIRTY_COLS)} AS DOUBLE)
+UNION ALL SELECT 'memory_mb', round(({byt}) / (1024.0 * 1024.0), 6) FROM d
+UNION ALL SELECT 'quality_score', round(greatest(0.0, least(100.0, 100.0 - 2.0 * (({pct}) / {len(DIRTY_COLS)})
+    - 5.0 * (SELECT sum(cnt - 1) * 100.0 / sum(cnt) FROM (SELECT count(*) AS cnt FROM d GROUP BY {", ".join(DIRTY_COLS)}) g))), 6) FROM d
+UNION ALL SELECT 'total_missing', CAST({miss} AS DOUBLE) FROM d
+UNION ALL SELECT 'duplicates', CAST((SELECT sum(cnt - 1) FROM (SELECT count(*) AS cnt FROM d GROUP BY {", ".join(DIRTY_COLS)}) g) AS DOUBLE)""")
+
+
+@query("q_summary_table", _summary_sql())
+def q_summary_table(spark, sf_dir):
+    from tabprofile.plans.report import summary_table
+    return rounded(summary_table(dirty_li(spark, sf_dir)), 6)
+
+
+def _numeric_table_sql():
+    parts = []
+    for c in DIRTY_NUM:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({x}), 4) AS mean, "
+            f"round(stddev_samp({x}), 4) AS std, round(min({x}), 4) AS min, "
+            f"round(quantile_cont({x}, 0.25), 4) AS q25, round(quantile_cont({x}, 0.5), 4) AS median, "
+            f"round(quantile_cont({x}, 0.75), 4) AS q75, round(max({x}), 4) AS max, "
+            + R(f"CASE WHEN count({x}) < 3 THEN NULL WHEN min({x}) = max({x}) THEN 0.0 ELSE skewness({x}) END", 6)
+            + " AS skewness, "
+            + R(f"CASE WHEN count({x}) < 4 THEN NULL WHEN min({x}) = max({x}) THEN 0.0 ELSE kurtosis({x}) END", 6)
+            + " AS kurtosis FROM d")
+    return with_view(DIRTY_LI_SQL, _union_sql(parts))
+
+
+@query("q_numeric_table", _numeric_table_sql())
+def q_numeric_table(spark, sf_dir):
+    from tabprofile.plans.report import numeric_table
+    t = numeric_table(dirty_li(spark, sf_dir))
+    return rounded(rounded(t, 6, ["skewness", "kurtosis"]), 4,
+                   ["mean", "std", "min", "q25", "median", "q75", "max"])
+
+
+# ---------------------------------------------------------------- M5, M6, W4
+SPLIT_KEY_SQL = ("md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, "
+                 "o_orderpriority, '42'))")
+SPLIT_KEYS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query("q_split", f"""SELECT o_orderkey, o_orderstatus,
+  CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY {SPLIT_KEY_SQL}, o_orderkey, o_custkey, o_orderstatus, o_orderpriority) - 1
+       < ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM orders WHERE o_orderstatus IS NOT NULL""")
+def q_split(spark, sf_dir):
+    from tabprofile.operators import split
+    o = read(spark, sf_dir, "orders").select(*SPLIT_KEYS)
+    return split.stratified_split(o, "o_orderstatus", 0.2, 42, key_cols=SPLIT_KEYS) \
+        .select("o_orderkey", "o_orderstatus", "split")
+
+
+@query("q_folds", f"""SELECT o_orderkey, o_orderstatus,
+  CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {SPLIT_KEY_SQL}, o_orderkey, o_custkey, o_orderstatus, o_orderpriority) - 1) % 5 AS INTEGER) AS fold
+FROM orders WHERE o_orderstatus IS NOT NULL""")
+def q_folds(spark, sf_dir):
+    from tabprofile.operators import split
+    o = read(spark, sf_dir, "orders").select(*SPLIT_KEYS)
+    return split.stratified_folds(o, "o_orderstatus", 5, 42, key_cols=SPLIT_KEYS) \
+        .select("o_orderkey", "o_orderstatus", "fold")
+
+
+@query("q_class_weights", """SELECT class, count, round(sum(count) OVER () / (count(*) OVER () * count), 6) AS weight
+FROM (SELECT o_orderstatus AS class, count(*) AS count FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1) c""")
+def q_class_weights(spark, sf_dir):
+    from tabprofile.operators import split
+    return rounded(split.class_weights(read(spark, sf_dir, "orders"), "o_orderstatus"), 6)
+
+
+# ---------------------------------------------------------------- P14, P15, M1 (name-level + bounded distinct)
+@query("q_resolve_target", """SELECT 'l_extendedprice' AS requested, 'l_extendedprice' AS resolved, count(*) AS rows FROM lineitem
+UNION ALL SELECT ' L_QUANTITY ', 'l_quantity', count(*) FROM lineitem""")
+def q_resolve_target(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    rows = []
+    for req in ["l_extendedprice", " L_QUANTITY "]:
+        d, col = target_mod.resolve_target(li, req)
+        rows.append(d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(req).alias("requested"),
+                                                                  F.lit(col).alias("resolved"), "rows"))
+    return rows[0].unionByName(rows[1])
+
+
+@query("q_auto_target", """SELECT 'quality' AS target,
+  CASE WHEN (SELECT count(DISTINCT quality) FROM labels) < 20 THEN 'classification' ELSE 'regression' END AS task,
+  CAST((SELECT count(DISTINCT quality) FROM labels) AS BIGINT) AS n_classes""")
+def q_auto_target(spark, sf_dir):
+    lab = read(spark, sf_dir, "labels").select("quality", "toxic", "doc_id")
+    t = target_mod.choose_target(lab, None, train=True)
+    task = target_mod.infer_task(lab, t)
+    return (lab.where(F.col(t).isNotNull()).agg(F.countDistinct(t).alias("n_classes"))
+            .select(F.lit(t).alias("target"), F.lit(task).alias("task"), F.col("n_classes").cast("long")))
+
+
+# ---------------------------------------------------------------- D-c, D-d, D-h, D-i
+def _zscore_sql(table, cols):
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(f"""SELECT '{c}' AS column_name, 'zscore' AS method, round(any_value(s.mu), 4) AS mean, round(any_value(s.sd), 4) AS std,
+  CAST(count_if(abs({x} - s.mu) / s.sd > 3.0) AS BIGINT) AS outlier_count,
+  round(count_if(abs({x} - s.mu) / s.sd > 3.0) * 100.0 / count({x}), 4) AS outlier_percentage
+FROM {table}, (SELECT avg({x}) AS mu, stddev_samp({x}) AS sd FROM {table}) s""")
+    return _union_sql(parts)
+
+
+@query("q_zscore", _zscore_sql("events", ["event_id", "user_id", "value"]))
+def q_zscore(spark, sf_dir):
+    return rounded(stats.zscore_outliers(read(spark, sf_dir, "events")), 4)
+
+
+@query("q_type_inference")
+def q_type_inference(spark, sf_dir):
+    from tabprofile.sources.readers import infer_types
+    return infer_types(read(spark, sf_dir, "events"))
+
+
+@query("q_dup_columns", """SELECT 'l_extendedprice' AS column_a, 'price_copy' AS column_b FROM lineitem
+WHERE (SELECT count(*) FROM lineitem WHERE l_extendedprice IS DISTINCT FROM l_extendedprice) = 0 LIMIT 1""")
+def q_dup_columns(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount",
+                                                F.col("l_extendedprice").alias("price_copy"), "l_tax")
+    return quality.duplicate_columns(li)
+
+
+@query("q_rules", """SELECT 'discount_range' AS rule, count(*) AS checked,
+  count_if(NOT coalesce(l_discount IS NULL OR (l_discount >= 0.0 AND l_discount <= 0.1), false)) AS violations,
+  round(count_if(NOT coalesce(l_discount IS NULL OR (l_discount >= 0.0 AND l_discount <= 0.1), false)) * 100.0 / count(*), 6) AS violation_pct FROM lineitem
+UNION ALL SELECT 'quantity_positive', count(*), count_if(NOT coalesce(l_quantity IS NULL OR l_quantity >= 1.0, false)),
+  round(count_if(NOT coalesce(l_quantity IS NULL OR l_quantity >= 1.0, false)) * 100.0 / count(*), 6) FROM lineitem
+UNION ALL SELECT 'flag_format', count(*), count_if(NOT coalesce(l_returnflag IS NULL OR regexp_full_match(l_returnflag, '[AR]'), false)),
+  round(count_if(NOT coalesce(l_returnflag IS NULL OR regexp_full_match(l_returnflag, '[AR]'), false)) * 100.0 / count(*), 6) FROM lineitem
+UNION ALL SELECT 'price_covers_tax', count(*), count_if(NOT coalesce(l_extendedprice >= l_tax, false)),
+  round(count_if(NOT coalesce(l_extendedprice >= l_tax, false)) * 100.0 / count(*), 6) FROM lineitem""")
+def q_rules(spark, sf_dir):
+    from tabprofile.operators import rules
+    li = read(spark, sf_dir, "lineitem")
+    r = rules.validate(li, {
+        "discount_range": rules.range_rule("l_discount", 0.0, 0.1),
+        "quantity_positive": rules.range_rule("l_quantity", 1.0, None),
+        "flag_format": rules.format_rule("l_returnflag", "[AR]"),
+        "price_covers_tax": F.col("l_extendedprice") >= F.col("l_tax"),
+    })
+    return rounded(r, 6)
+
+
+# ---------------------------------------------------------------- M1-M14 (rows-only: forests are randomised)
+def _doc_labels(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return docs.join(lab, "doc_id").drop("doc_id").withColumn("quality", F.col("quality").cast("string"))
+
+
+@query("q_rf_classify")
+def q_rf_classify(spark, sf_dir):
+    from tabprofile.operators import ml
+    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=20, max_depth=8).metrics
+
+
+@query("q_confusion")
+def q_confusion(spark, sf_dir):
+    from tabprofile.operators import ml
+    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=20, max_depth=8).confusion
+
+
+@query("q_rf_importance")
+def q_rf_importance(spark, sf_dir):
+    from tabprofile.operators import ml
+    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=20, max_depth=8).importances
+
+
+@query("q_rf_regress")
+def q_rf_regress(spark, sf_dir):
+    from tabprofile.operators import ml
+    o = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice")
+    return ml.train_baseline(o, "o_totalprice", num_trees=20, max_depth=8, task="regression").metrics
+
+
+@query("q_cv")
+def q_cv(spark, sf_dir):
+    from tabprofile.operators import ml
+    r = ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=10, max_depth=6, cv_folds=5)
+    return r.metrics.where(F.col("metric").startswith("cv_"))
