@@ -1,9 +1,9 @@
 """Principal components of the standardised numeric columns.
 
 The explained-variance spectrum of standardised data is the eigen-spectrum
-of the correlation matrix of the complete cases.  So the data work is one
-fused aggregate (k(k-1)/2 correlations + k variance checks over the rows
-where every numeric column is present); the k x k matrix -- O(k^2)
+of the correlation matrix of the complete cases.  So the data work is two
+passes of plain sums over the rows where every numeric column is present
+(facts, then mean-shifted cross products); the k x k matrix -- O(k^2)
 numbers, independent of the row count -- is decomposed on the driver.
 A constant column standardises to all zeros: its row and column of the
 matrix are zero, which adds a zero eigenvalue, as in scikit-learn.
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprofile.functions.exprs import safe_corr
+from tabprofile.functions.moments import column_facts, pair_correlations
 from tabprofile.roles import ColumnRoles, normalize, qcol
 
 
@@ -24,17 +24,16 @@ def pca_spectrum(df: DataFrame, cols: list[str] | None = None) -> tuple[np.ndarr
     cols = ColumnRoles.of(df).numeric if cols is None else cols
     k = len(cols)
     cc = df.select(*[qcol(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).na.drop("any")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [(F.min(f"c{i}") < F.max(f"c{i}")).alias(f"v{i}") for i in range(k)]
-    aggs += [safe_corr(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i in range(k) for j in range(i + 1, k)]
-    row = cc.agg(*aggs).first()
-    n = row["n"]
+    names = [f"c{i}" for i in range(k)]
+    facts = column_facts(cc, names)
+    n = facts.rows
+    r = pair_correlations(cc, [(names[i], names[j]) for i in range(k) for j in range(i + 1, k)], facts)
     m = np.zeros((k, k))
     for i in range(k):
-        m[i, i] = 1.0 if row[f"v{i}"] else 0.0
+        m[i, i] = 0.0 if facts.constant(names[i]) else 1.0
         for j in range(i + 1, k):
-            r = row[f"r{i}_{j}"]
-            m[i, j] = m[j, i] = 0.0 if r is None or not (row[f"v{i}"] and row[f"v{j}"]) else r
+            v = r[(names[i], names[j])]
+            m[i, j] = m[j, i] = 0.0 if v is None else v
     eig = np.sort(np.linalg.eigvalsh(m))[::-1] if n else np.array([])
     return eig[:min(n, k)], n, cols
 

@@ -1,8 +1,8 @@
 """Relationships between columns.
 
-Correlations: every pair is one pairwise-complete ``safe_corr`` aggregate;
-all pairs of a chunk go into one fused aggregate (one partial row per task,
-one final row).  Per-class statistics fold the features into a
+Correlations: pairwise-complete Pearson r from mean-shifted sums of cross
+products -- plain ``sum`` aggregates, fused in chunks (one partial row per
+task, one final row).  Per-class statistics fold the features into a
 ``(class, feature, value)`` stream grouped by (class, feature): one shuffle
 for all features, map-side combined, so a class holding a third of the
 rows still ships one partial row per task.
@@ -13,34 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprofile.functions.exprs import corr_strength, long_rows, safe_corr
+from tabprofile.functions.exprs import corr_strength, long_rows
+from tabprofile.functions.moments import column_facts, pair_correlations
 from tabprofile.roles import ColumnRoles, normalize, qcol
 
-PAIR_CHUNK = 150  # correlation aggregates per fused pass
-
-
-def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def correlation_pairs(df: DataFrame, cols: list[str] | None = None, facts=None) -> DataFrame:
     """B1 upper triangle: ``(i, j, feature1, feature2, correlation)`` for i < j in
-    column order; NULL where a side is constant or no complete pair exists."""
+    column order; NULL where a side is constant or no complete pair exists.
+    Two passes of plain sums (facts, then mean-shifted cross products); the
+    k(k-1)/2 results are a small table."""
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
+    schema = "i int, j int, feature1 string, feature2 string, correlation double"
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "i int, j int, feature1 string, feature2 string, correlation double")
-    parts = []
-    for s in range(0, len(pairs), PAIR_CHUNK):
-        chunk = pairs[s:s + PAIR_CHUNK]
-        row = df.agg(*[safe_corr(qcol(cols[i]).cast("double"), qcol(cols[j]).cast("double")).alias(f"r{k}")
-                       for k, (i, j) in enumerate(chunk)])
-        structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("feature1"),
-                            F.lit(cols[j]).alias("feature2"), F.col(f"r{k}").alias("correlation"))
-                   for k, (i, j) in enumerate(chunk)]
-        parts.append(row.select(F.inline(F.array(*structs))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return df.sparkSession.createDataFrame([], schema)
+    facts = facts or column_facts(df, cols)
+    r = pair_correlations(df, [(cols[i], cols[j]) for i, j in pairs], facts)
+    return df.sparkSession.createDataFrame(
+        [(i, j, cols[i], cols[j], r[(cols[i], cols[j])]) for i, j in pairs], schema)
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
@@ -90,11 +81,12 @@ def feature_target_corr(df: DataFrame, target: str, features: list[str] | None =
     numeric target."""
     df = normalize(df)
     feats = [c for c in (ColumnRoles.of(df).numeric if features is None else features) if c != target]
+    schema = "feature string, correlation double"
     if not feats:
-        return df.sparkSession.createDataFrame([], "feature string, correlation double, strength string")
-    t = qcol(target).cast("double")
-    row = df.agg(*[safe_corr(qcol(f).cast("double"), t).alias(f"r{i}") for i, f in enumerate(feats)])
-    long = long_rows(row, "feature", [(f, [F.col(f"r{i}")]) for i, f in enumerate(feats)], ["correlation"])
+        return df.sparkSession.createDataFrame([], schema + ", strength string")
+    facts = column_facts(df, feats + [target])
+    r = pair_correlations(df, [(f, target) for f in feats], facts)
+    long = df.sparkSession.createDataFrame([(f, r[(f, target)]) for f in feats], schema)
     return long.withColumn("strength", corr_strength(F.col("correlation")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprofile.functions.exprs import kurtosis_unbiased, long_rows, skewness_unbiased
+from tabprofile.functions.exprs import long_rows
 from tabprofile.operators.quantiles import quantiles
 from tabprofile.roles import ColumnRoles, normalize, qcol
 
@@ -32,27 +32,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def numeric_moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def numeric_moments(df: DataFrame, cols: list[str] | None = None, facts=None) -> DataFrame:
     """``(column_name, count, mean, std, min, max, skewness, kurtosis)`` per
-    numeric column.  One fused aggregate (partial + final) per chunk."""
+    numeric column: one facts pass (count / min / max / mean) and one pass of
+    mean-shifted power sums (see :mod:`tabprofile.functions.moments`).  The
+    result has one row per column."""
+    from tabprofile.functions.moments import moment_rows
     cols = ColumnRoles.of(df).numeric if cols is None else cols
-    names = ["count", "mean", "std", "min", "max", "skewness", "kurtosis"]
+    schema = ("column_name string, count long, mean double, std double, min double, max double, "
+              "skewness double, kurtosis double")
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, count long, mean double, std double, min double, max double, "
-                "skewness double, kurtosis double")
-    parts = []
-    for chunk in _chunks(cols):
-        aggs, items = [], []
-        for i, c in enumerate(chunk):
-            x = qcol(c).cast("double")
-            exprs = [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x),
-                     skewness_unbiased(x), kurtosis_unbiased(x)]
-            aliases = [f"{n}_{i}" for n in names]
-            aggs += [e.alias(a) for e, a in zip(exprs, aliases)]
-            items.append((c, [F.col(a) for a in aliases]))
-        parts.append(long_rows(df.agg(*aggs), "column_name", items, names))
-    return _union(parts)
+        return df.sparkSession.createDataFrame([], schema)
+    return df.sparkSession.createDataFrame(moment_rows(df, cols, facts), schema)
 
 
 def _quantile_wide(df, cols, probs, names):
