@@ -27,18 +27,22 @@ QUALITY_THRESHOLD = 80.0
 HIGH_DIMENSION = 10
 
 
-def insights(df: DataFrame, target: str | None = None) -> DataFrame:
-    """``(seq, category, insight)`` rows in rule order."""
+def insights(df: DataFrame, target: str | None = None, checks: DataFrame | None = None,
+             dups: DataFrame | None = None) -> DataFrame:
+    """``(seq, category, insight)`` rows in rule order.  ``checks`` /
+    ``dups`` let a caller reuse :func:`quality.column_checks` and
+    :func:`quality.duplicates` results."""
     roles = ColumnRoles.of(df)
     n_num, n_cat = len(roles.numeric), len(roles.categorical)
-    ms = quality.missing_summary(df).select("total_missing", F.lit(None).cast("long").alias("dups"),
+    dups = quality.duplicates(df) if dups is None else dups
+    ms = quality.missing_summary(df, checks).select("total_missing", F.lit(None).cast("long").alias("dups"),
                                             F.lit(None).cast("double").alias("score"),
                                             F.lit(None).cast("string").alias("balance"))
-    dp = quality.duplicates(df).select(F.lit(None).cast("long").alias("total_missing"),
+    dp = dups.select(F.lit(None).cast("long").alias("total_missing"),
                                        F.col("duplicates").alias("dups"),
                                        F.lit(None).cast("double").alias("score"),
                                        F.lit(None).cast("string").alias("balance"))
-    qs = quality.quality_score(df).select(F.lit(None).cast("long").alias("total_missing"),
+    qs = quality.quality_score(df, checks, dups).select(F.lit(None).cast("long").alias("total_missing"),
                                           F.lit(None).cast("long").alias("dups"),
                                           F.col("quality_score").alias("score"),
                                           F.lit(None).cast("string").alias("balance"))

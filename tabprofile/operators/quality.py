@@ -55,15 +55,15 @@ def column_checks(df: DataFrame) -> DataFrame:
     return _union(parts)
 
 
-def missing(df: DataFrame) -> DataFrame:
+def missing(df: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """``(column_name, missing, missing_pct)``; NaN counts as missing."""
-    return column_checks(df).select(
+    return (column_checks(df) if checks is None else checks).select(
         "column_name", "missing", F.try_divide(F.col("missing") * 100.0, F.col("rows")).alias("missing_pct"))
 
 
-def missing_summary(df: DataFrame) -> DataFrame:
+def missing_summary(df: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """A4 totals: ``(total_missing, columns_with_missing)``."""
-    return missing(df).agg(F.sum("missing").cast("long").alias("total_missing"),
+    return missing(df, checks).agg(F.sum("missing").cast("long").alias("total_missing"),
                            F.count_if(F.col("missing") > 0).cast("long").alias("columns_with_missing"))
 
 
@@ -94,9 +94,9 @@ def duplicates(df: DataFrame) -> DataFrame:
         .select("rows", "duplicates", F.try_divide(F.col("duplicates") * 100.0, F.col("rows")).alias("duplicate_pct"))
 
 
-def constant_columns(df: DataFrame) -> DataFrame:
+def constant_columns(df: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """``(column_name)`` of columns with at most one distinct non-missing value."""
-    return column_checks(df).where("is_constant").select("column_name")
+    return (column_checks(df) if checks is None else checks).where("is_constant").select("column_name")
 
 
 # Fixed values that must equal the reference's: quality score weights.
@@ -105,12 +105,12 @@ MISSING_WEIGHT = 2.0
 DUPLICATE_WEIGHT = 5.0
 
 
-def quality_score(df: DataFrame) -> DataFrame:
+def quality_score(df: DataFrame, checks: DataFrame | None = None, dups: DataFrame | None = None) -> DataFrame:
     """One row ``(avg_missing_pct, duplicate_pct, quality_score, remainder)``.
 
     An empty table (0 rows, or no column) scores 100."""
-    m = missing(df).agg(F.avg("missing_pct").alias("a"), F.lit(None).cast("double").alias("d"))
-    d = duplicates(df).select(F.lit(None).cast("double").alias("a"), F.col("duplicate_pct").alias("d"))
+    m = missing(df, checks).agg(F.avg("missing_pct").alias("a"), F.lit(None).cast("double").alias("d"))
+    d = (duplicates(df) if dups is None else dups).select(F.lit(None).cast("double").alias("a"), F.col("duplicate_pct").alias("d"))
     # two one-row results folded into one row without a join
     both = m.unionByName(d).agg(F.max("a").alias("avg_missing_pct"), F.max("d").alias("duplicate_pct"))
     raw = (F.lit(100.0) - MISSING_WEIGHT * F.col("avg_missing_pct") - DUPLICATE_WEIGHT * F.col("duplicate_pct"))

@@ -52,39 +52,53 @@ def _quantile_wide(df, cols, probs, names):
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in zip(probs, names)])
 
 
-def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
+    """Pin a small result (O(columns) rows) so several sections reuse it
+    without recomputing its job."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(column_name, q25, median, q75)``, computed once and pinned (k rows)."""
+    return materialize(_quantile_wide(df, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"]))
+
+
+def describe(df: DataFrame, cols: list[str] | None = None, moments: DataFrame | None = None,
+             quarts: DataFrame | None = None) -> DataFrame:
     """``(column_name, count, mean, std, min, q25, median, q75, max)``."""
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
-    m = numeric_moments(df, cols)
-    q = _quantile_wide(df, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"])
+    m = numeric_moments(df, cols) if moments is None else moments
+    q = quartiles(df, cols) if quarts is None else quarts
     return (m.join(q, "column_name", "left")
             .select("column_name", "count", "mean", "std", "min", "q25", "median", "q75", "max"))
 
 
-def skew_kurtosis(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def skew_kurtosis(df: DataFrame, cols: list[str] | None = None, moments: DataFrame | None = None) -> DataFrame:
     """``(column_name, skewness, kurtosis)``."""
-    return numeric_moments(normalize(df), cols).select("column_name", "skewness", "kurtosis")
+    m = numeric_moments(normalize(df), cols) if moments is None else moments
+    return m.select("column_name", "skewness", "kurtosis")
 
 
-def distribution(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def distribution(df: DataFrame, cols: list[str] | None = None, moments: DataFrame | None = None,
+                 quarts: DataFrame | None = None) -> DataFrame:
     """Mean, median, std, min, max, q25, q75, iqr, skewness, kurtosis."""
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
-    m = numeric_moments(df, cols)
-    q = _quantile_wide(df, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"])
+    m = numeric_moments(df, cols) if moments is None else moments
+    q = quartiles(df, cols) if quarts is None else quarts
     return (m.join(q, "column_name", "left")
             .select("column_name", "mean", "median", "std", "min", "max", "q25", "q75",
                     (F.col("q75") - F.col("q25")).alias("iqr"), "skewness", "kurtosis"))
 
 
-def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5) -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5, quarts: DataFrame | None = None) -> DataFrame:
     """``(column_name, q1, q3, lower_bound, upper_bound)``; ``df`` normalised."""
-    q = _quantile_wide(df, cols, [0.25, 0.75], ["q1", "q3"])
-    iqr = F.col("q3") - F.col("q1")
-    return q.select("column_name", "q1", "q3",
-                    (F.col("q1") - F.lit(factor) * iqr).alias("lower_bound"),
-                    (F.col("q3") + F.lit(factor) * iqr).alias("upper_bound"))
+    q = quartiles(df, cols) if quarts is None else quarts
+    iqr = F.col("q75") - F.col("q25")
+    return q.select("column_name", F.col("q25").alias("q1"), F.col("q75").alias("q3"),
+                    (F.col("q25") - F.lit(factor) * iqr).alias("lower_bound"),
+                    (F.col("q75") + F.lit(factor) * iqr).alias("upper_bound"))
 
 
 def _bounds_literals(bounds: DataFrame) -> dict:
@@ -93,7 +107,7 @@ def _bounds_literals(bounds: DataFrame) -> dict:
 
 
 def iqr_outliers(df: DataFrame, cols: list[str] | None = None, factor: float = 1.5,
-                 method: str = "iqr") -> DataFrame:
+                 method: str = "iqr", quarts: DataFrame | None = None) -> DataFrame:
     """A10: ``(column_name, method, q1, q3, lower_bound, upper_bound,
     outlier_count, outlier_percentage)``.  Strict comparisons; the
     percentage is over non-missing values.  Only ``iqr`` (and ``zscore``, see
@@ -104,7 +118,7 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, factor: float = 1
         raise ValueError(f"outlier method not implemented: {method}")
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
-    bounds = iqr_bounds(df, cols, factor)
+    bounds = materialize(iqr_bounds(df, cols, factor, quarts))
     lit = _bounds_literals(bounds)
     parts = []
     for chunk in _chunks(cols):
@@ -124,7 +138,7 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, factor: float = 1
 
 
 def outlier_values(df: DataFrame, cols: list[str] | None = None, factor: float = 1.5,
-                   k: int = 10) -> DataFrame:
+                   k: int = 10, quarts: DataFrame | None = None) -> DataFrame:
     """A10 "first 10 outliers", re-aimed to be order-free (D3): per column the
     ``k`` outliers farthest from the median, ties by value.
 
@@ -133,15 +147,15 @@ def outlier_values(df: DataFrame, cols: list[str] | None = None, factor: float =
     ships at most ``k`` rows per column."""
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
-    q = _quantile_wide(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"]).collect()
+    q = (quartiles(df, cols) if quarts is None else quarts).collect()  # k rows
     lit = {r["column_name"]: r for r in q}
     members = []
     for c in cols:
         r = lit[c]
-        if r["q1"] is None:
+        if r["q25"] is None:
             continue
-        iqr = r["q3"] - r["q1"]
-        lo, hi = r["q1"] - factor * iqr, r["q3"] + factor * iqr
+        iqr = r["q75"] - r["q25"]
+        lo, hi = r["q25"] - factor * iqr, r["q75"] + factor * iqr
         x = qcol(c).cast("double")
         members.append(F.when((x < lo) | (x > hi),
                               F.struct(F.lit(c).alias("column_name"), x.alias("value"),

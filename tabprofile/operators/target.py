@@ -37,7 +37,8 @@ def is_class_target(df: DataFrame, target: str) -> bool:
     return ColumnRoles.of(df).roles.get(target) in ("categorical", "boolean")
 
 
-def target_profile(df: DataFrame, target: str) -> DataFrame:
+def target_profile(df: DataFrame, target: str, moments: DataFrame | None = None,
+                   quarts: DataFrame | None = None) -> DataFrame:
     """One row describing the target.  ``type`` is ``classification`` or
     ``regression``; class fields or distribution/outlier fields are NULL when
     they do not apply.  An unknown column raises."""
@@ -59,8 +60,10 @@ def target_profile(df: DataFrame, target: str) -> DataFrame:
                           *[null_d.alias(c) for c in ("mean", "median", "std", "min", "max", "q25", "q75", "iqr",
                                                       "skewness", "kurtosis", "outlier_percentage")],
                           F.lit(None).cast("long").alias("outlier_count"))
-    d = stats.distribution(df, [target])
-    o = stats.iqr_outliers(df, [target]).select("column_name", "outlier_count", "outlier_percentage")
+    m1 = None if moments is None else moments.where(F.col("column_name") == target)
+    q1 = None if quarts is None else quarts.where(F.col("column_name") == target)
+    d = stats.distribution(df, [target], m1, q1)
+    o = stats.iqr_outliers(df, [target], quarts=q1).select("column_name", "outlier_count", "outlier_percentage")
     m = miss.select(F.lit(target).alias("column_name"), "missing_count")
     return (d.join(o, "column_name").join(m, "column_name")
             .select(F.col("column_name").alias("target"), F.lit("regression").alias("type"), "missing_count",

@@ -29,6 +29,7 @@ class Profile:
     target: str | None
     sections: dict = field(default_factory=dict)  # section -> {name: DataFrame}
     source: DataFrame | None = None
+    pinned: list = field(default_factory=list)
 
     def __getitem__(self, key):
         return self.sections[key]
@@ -39,6 +40,8 @@ class Profile:
                 yield f"{s}.{name}", df
 
     def release(self):
+        for d in self.pinned:
+            d.unpersist()
         if self.source is not None:
             self.source.unpersist()
 
@@ -58,52 +61,60 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
     roles = ColumnRoles.of(base)
     p = Profile(roles, target, source=base if persist else None)
     num, cat = roles.numeric, roles.categorical
+    # the shared jobs, each run once; their small results are pinned
+    checks = stats.materialize(quality.column_checks(base))                 # J1: counts, constants
+    dups = stats.materialize(quality.duplicates(base))                       # J6: full-row grouping
+    moments = stats.numeric_moments(base, num) if num else None             # J1: power sums
+    quarts = stats.quartiles(base, num) if num else None                     # J2: exact quartiles
     p.sections["overview"] = {
         "shape": stats.shape(base), "types": stats.type_counts(base), "roles": stats.role_counts(base),
         "memory": stats.memory_mb(base)}
     p.sections["data_quality"] = {
-        "missing": quality.missing(base), "missing_summary": quality.missing_summary(base),
-        "duplicates": quality.duplicates(base), "constant_columns": quality.constant_columns(base),
-        "quality_score": quality.quality_score(base)}
+        "missing": quality.missing(base, checks), "missing_summary": quality.missing_summary(base, checks),
+        "duplicates": dups, "constant_columns": quality.constant_columns(base, checks),
+        "quality_score": quality.quality_score(base, checks, dups)}
     st = {}
     if num:
-        st["numeric"] = stats.describe(base, num)
-        st["moments"] = stats.skew_kurtosis(base, num)
+        st["numeric"] = stats.describe(base, num, moments, quarts)
+        st["moments"] = stats.skew_kurtosis(base, num, moments)
     if cat:
-        counts = categorical.value_counts(base, cat)
+        # Value counts can be as long as a column's distinct values, so they
+        # stay distributed (cached), never collected
+        counts = categorical.value_counts(base, cat).persist(StorageLevel.MEMORY_AND_DISK)
+        p.pinned.append(counts)
         st["categorical"] = categorical.category_stats(base, cat, counts=counts)
         st["top_values"] = categorical.top_values(base, cat, k=top_k, counts=counts)
     p.sections["statistics"] = st
     uni = {}
     if num:
-        uni["distribution"] = stats.distribution(base, num)
-        uni["outliers"] = stats.iqr_outliers(base, num)
-        uni["outlier_values"] = stats.outlier_values(base, num)
+        uni["distribution"] = stats.distribution(base, num, moments, quarts)
+        uni["outliers"] = stats.iqr_outliers(base, num, quarts=quarts)               # J3
+        uni["outlier_values"] = stats.outlier_values(base, num, quarts=quarts)
     p.sections["univariate"] = uni
     bi = {}
     has_target = bool(target) and target in base.columns
     if has_target:
         bi["feature_target"] = relate.feature_target(base, target)
         if tgt.is_class_target(base, target) and roles.roles[target] == "categorical":
-            bi["group_moments"] = relate.group_moments(base, target, num)
+            bi["group_moments"] = relate.group_moments(base, target, num)           # J7
     if len(num) > 1:
-        pairs = relate.correlation_pairs(base, num)
+        pairs = relate.correlation_pairs(base, num)                                   # J4
         bi["correlation_pairs"] = pairs
         bi["high_correlations"] = relate.high_correlations(pairs)
         bi["avg_correlation"] = relate.avg_correlation(pairs)
     p.sections["bivariate"] = bi
     mv = {}
     if len(num) > 2:
-        mv["pca"] = multivariate.pca_variance(base, num)
+        mv["pca"] = multivariate.pca_variance(base, num)                              # J8
         mv["pca_summary"] = multivariate.pca_summary(base, num)
     if has_target and roles.roles.get(target) == "numeric":
         mv["feature_importance"] = relate.feature_importance(base, target)
     p.sections["multivariate"] = mv
     if target:
-        p.sections["target_analysis"] = {"profile": tgt.target_profile(base, target)}
+        p.sections["target_analysis"] = {"profile": tgt.target_profile(base, target, moments, quarts)}
         if tgt.is_class_target(base, target):
             p.sections["target_analysis"]["class_counts"] = tgt.class_counts(base, target)
-    p.sections["insights"] = {"insights": insights.insights(base, target)}
+    p.sections["insights"] = {"insights": insights.insights(base, target, checks, dups)}
     return p
 
 
