@@ -19,6 +19,21 @@ from tabprofile.functions.moments import column_facts, pair_correlations
 from tabprofile.roles import ColumnRoles, normalize, qcol
 
 
+def spectrum_from_pairs(pairs: DataFrame, cols: list[str], n: int, constant: set) -> np.ndarray:
+    """Eigenvalues from an already computed correlation table -- valid for
+    the complete cases when no numeric cell is missing (then every pair is
+    complete over all rows)."""
+    k = len(cols)
+    idx = {c: i for i, c in enumerate(cols)}
+    m = np.zeros((k, k))
+    for c in cols:
+        m[idx[c], idx[c]] = 0.0 if c in constant else 1.0
+    for r in pairs.select("feature1", "feature2", "correlation").collect():  # k(k-1)/2 rows
+        v = r["correlation"]
+        m[idx[r["feature1"]], idx[r["feature2"]]] = m[idx[r["feature2"]], idx[r["feature1"]]] = 0.0 if v is None else v
+    return np.sort(np.linalg.eigvalsh(m))[::-1][:min(n, k)] if n else np.array([])
+
+
 def pca_spectrum(df: DataFrame, cols: list[str] | None = None) -> tuple[np.ndarray, int, list[str]]:
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
@@ -38,32 +53,44 @@ def pca_spectrum(df: DataFrame, cols: list[str] | None = None) -> tuple[np.ndarr
     return eig[:min(n, k)], n, cols
 
 
-def pca_variance(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``(component, explained_variance_ratio, cumulative_variance)``,
-    components numbered from 1.  Empty when there is no complete row or no
-    variance at all."""
-    spark = df.sparkSession
-    eig, n, _ = pca_spectrum(df, cols)
+def _tables(spark, eig: np.ndarray, n: int, k: int, target: float = 0.95):
     eig = np.clip(eig, 0.0, None)
     total = float(eig.sum())
     rows = [(i + 1, float(v / total)) for i, v in enumerate(eig)] if total > 0 else []
     t = spark.createDataFrame(rows, "component int, explained_variance_ratio double")
     w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)  # k rows
-    return t.withColumn("cumulative_variance", F.sum("explained_variance_ratio").over(w))
+    variance = t.withColumn("cumulative_variance", F.sum("explained_variance_ratio").over(w))
+    schema = ("n_components int, n_components_95_variance int, total_explained_variance double, "
+              "complete_rows long")
+    if total <= 0:
+        summary = spark.createDataFrame([(k, None, None, n)], schema)
+    else:
+        cum = np.cumsum(eig / total)
+        summary = spark.createDataFrame([(k, int(np.argmax(cum >= target) + 1), float(cum[-1]), n)], schema)
+    return variance, summary
 
 
-def pca_summary(df: DataFrame, cols: list[str] | None = None, target: float = 0.95) -> DataFrame:
-    """X1 summary: ``(n_components, n_components_95_variance, total_explained_variance, complete_rows)``."""
+def pca(df: DataFrame, cols: list[str] | None = None, pairs: DataFrame | None = None,
+        facts=None) -> tuple[DataFrame, DataFrame]:
+    """``(variance, summary)`` from ONE spectrum.  With ``pairs`` (a
+    :func:`relate.correlation_pairs` result) and ``facts`` showing no missing
+    numeric cell, no data pass is needed at all."""
     spark = df.sparkSession
+    cols = ColumnRoles.of(df).numeric if cols is None else cols
+    if pairs is not None and facts is not None and all(facts.complete(c) for c in cols):
+        eig = spectrum_from_pairs(pairs, cols, facts.rows, {c for c in cols if facts.constant(c)})
+        return _tables(spark, eig, facts.rows, len(cols))
     eig, n, cols = pca_spectrum(df, cols)
-    eig = np.clip(eig, 0.0, None)
-    total = float(eig.sum())
-    if total <= 0:
-        return spark.createDataFrame([(len(cols), None, None, n)],
-                                     "n_components int, n_components_95_variance int, "
-                                     "total_explained_variance double, complete_rows long")
-    cum = np.cumsum(eig / total)
-    k95 = int(np.argmax(cum >= target) + 1)
-    return spark.createDataFrame([(len(cols), k95, float(cum[-1]), n)],
-                                 "n_components int, n_components_95_variance int, "
-                                 "total_explained_variance double, complete_rows long")
+    return _tables(spark, eig, n, len(cols))
+
+
+def pca_variance(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """``(component, explained_variance_ratio, cumulative_variance)``,
+    components numbered from 1.  Empty when there is no complete row or no
+    variance at all."""
+    return pca(df, cols)[0]
+
+
+def pca_summary(df: DataFrame, cols: list[str] | None = None, target: float = 0.95) -> DataFrame:
+    """X1 summary: ``(n_components, n_components_95_variance, total_explained_variance, complete_rows)``."""
+    return pca(df, cols)[1]

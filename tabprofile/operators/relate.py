@@ -108,22 +108,38 @@ def feature_importance(df: DataFrame, target: str, top: int | None = None) -> Da
     return out.where(F.col("rank") <= top) if top else out
 
 
-def _class_feature_stream(df: DataFrame, target: str, feats: list[str]) -> DataFrame:
-    members = [F.when(qcol(f).isNotNull(), F.struct(F.lit(f).alias("feature"), qcol(f).cast("double").alias("x")))
-               for f in feats]
-    return (df.where(qcol(target).isNotNull())
-            .select(qcol(target).cast("string").alias("class"),
-                    F.inline(F.filter(F.array(*members), lambda e: e.isNotNull()))))
+GROUP_CHUNK = 12  # features per grouped pass (3 aggregates each)
 
 
 def group_moments(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """``(feature, class, n, mean, std)`` per feature and target class;
-    rows with a missing target dropped; missing feature values skipped."""
+    rows with a missing target dropped; missing feature values skipped.
+
+    One hash aggregate keyed by the class with (count, avg, stddev) per
+    feature: the partial aggregate runs in every task, so a class holding a
+    third of the rows still ships one partial row per task."""
     df = normalize(df)
     feats = [c for c in (ColumnRoles.of(df).numeric if features is None else features) if c != target]
-    s = _class_feature_stream(df, target, feats)
-    return s.groupBy("feature", "class").agg(F.count("x").alias("n"), F.avg("x").alias("mean"),
-                                             F.stddev_samp("x").alias("std"))
+    if not feats:
+        return df.sparkSession.createDataFrame([], "feature string, class string, n long, mean double, std double")
+    d = df.where(qcol(target).isNotNull())
+    parts = []
+    for s0 in range(0, len(feats), GROUP_CHUNK):
+        chunk = feats[s0:s0 + GROUP_CHUNK]
+        aggs = []
+        for i, f in enumerate(chunk):
+            x = qcol(f).cast("double")
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
+        g = d.groupBy(qcol(target).cast("string").alias("class")).agg(*aggs)
+        structs = [F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
+                            F.col(f"s{i}").alias("std")) for i, f in enumerate(chunk)]
+        parts.append(g.select("class", F.inline(F.array(*structs)))
+                     .select("feature", "class", "n", "mean", "std"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    # a class may lack values of one feature: it then does not count as a group for it
+    return out.where(F.col("n") > 0)
 
 
 def anova(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:

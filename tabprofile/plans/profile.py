@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tabprofile.operators import categorical, charts, insights, multivariate, quality, relate, stats, target as tgt
+from tabprofile.functions.moments import column_facts
 from tabprofile.roles import ColumnRoles, normalize
 
 SECTIONS = ("overview", "data_quality", "statistics", "univariate", "bivariate", "multivariate",
@@ -64,7 +65,8 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
     # the shared jobs, each run once; their small results are pinned
     checks = stats.materialize(quality.column_checks(base))                 # J1: counts, constants
     dups = stats.materialize(quality.duplicates(base))                       # J6: full-row grouping
-    moments = stats.numeric_moments(base, num) if num else None             # J1: power sums
+    facts = column_facts(base, num) if num else None                         # J1: count/min/max/mean
+    moments = stats.numeric_moments(base, num, facts) if num else None      # J1: power sums
     quarts = stats.quartiles(base, num) if num else None                     # J2: exact quartiles
     p.sections["overview"] = {
         "shape": stats.shape(base), "types": stats.type_counts(base), "roles": stats.role_counts(base),
@@ -98,15 +100,15 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
         if tgt.is_class_target(base, target) and roles.roles[target] == "categorical":
             bi["group_moments"] = relate.group_moments(base, target, num)           # J7
     if len(num) > 1:
-        pairs = relate.correlation_pairs(base, num)                                   # J4
+        pairs = relate.correlation_pairs(base, num, facts)                            # J4
         bi["correlation_pairs"] = pairs
         bi["high_correlations"] = relate.high_correlations(pairs)
         bi["avg_correlation"] = relate.avg_correlation(pairs)
     p.sections["bivariate"] = bi
     mv = {}
     if len(num) > 2:
-        mv["pca"] = multivariate.pca_variance(base, num)                              # J8
-        mv["pca_summary"] = multivariate.pca_summary(base, num)
+        # From J4's pairs when no numeric cell is missing, else its own pass
+        mv["pca"], mv["pca_summary"] = multivariate.pca(base, num, bi.get("correlation_pairs"), facts)
     if has_target and roles.roles.get(target) == "numeric":
         mv["feature_importance"] = relate.feature_importance(base, target)
     p.sections["multivariate"] = mv

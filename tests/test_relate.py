@@ -56,3 +56,14 @@ def test_pca_constant_column_adds_zero(spark):
     df = spark.createDataFrame(rows, "a double, b double, c double")
     got = [r["explained_variance_ratio"] for r in multivariate.pca_variance(df).orderBy("component").collect()]
     assert len(got) == 3 and got[-1] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_pca_from_pairs_equals_direct(spark, sf):
+    from tabprofile.functions.moments import column_facts
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    cols = li.columns
+    facts = column_facts(li, cols)
+    pairs = relate.correlation_pairs(li, cols, facts)
+    a = [r[1] for r in multivariate.pca(li, cols, pairs, facts)[0].orderBy("component").collect()]
+    b = [r[1] for r in multivariate.pca(li, cols)[0].orderBy("component").collect()]
+    assert a == pytest.approx(b, abs=1e-12)
