@@ -214,6 +214,20 @@ def _cross_validate(data, prep_stages, model_stage, k, seed, num, cat, max_categ
     return [("cv_accuracy_mean", mean), ("cv_accuracy_std", std)]
 
 
+def onehot_plan(df: DataFrame, cols: list[str] | None = None, max_categories: int = 100) -> DataFrame:
+    """M4: ``(column_name, levels, kept, vector_size)`` per categorical column:
+    distinct levels, levels kept (the most frequent ``max_categories``, the
+    rest folded into one ``__other__`` level) and the one-hot width (an
+    unseen level maps to the zero vector, so it adds no slot)."""
+    cols = [c for c in df.columns if ColumnRoles.of(df).roles[c] in ("categorical", "boolean")] if cols is None else cols
+    counts = value_counts(df, cols)
+    per = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("levels"))
+    kept = F.least(F.col("levels"), F.lit(max_categories))
+    other = (F.col("levels") > max_categories).cast("long")
+    return per.select("column_name", F.col("levels").cast("long").alias("levels"), kept.cast("long").alias("kept"),
+                      (kept + other).cast("long").alias("vector_size"))
+
+
 def confusion_matrix(pred: DataFrame) -> DataFrame:
     """M9 on any prediction table: ``(label, prediction, count)``."""
     return pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("count"))

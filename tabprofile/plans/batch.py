@@ -52,10 +52,11 @@ def run_batch(spark: SparkSession, input_path: str, out_dir: str, target: str |
     cleaned = spark.read.parquet(snap)
     outputs = {"cleaned": snap}
     prof = profile(cleaned, target)
-    for name, df in prof.tables():
+    def write(name, df):
         path = os.path.join(out_dir, "profile", name.replace(".", "/"))
         sinks.write_json(df, path)
-        outputs[name] = path
+        return path
+    outputs.update(prof.run_all(write))
     for name, df in {"summary": report.summary_table(cleaned), "numeric": report.numeric_table(cleaned),
                      "insights": report.insight_table(cleaned, target)}.items():
         path = os.path.join(out_dir, "report", name)

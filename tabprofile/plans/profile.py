@@ -11,6 +11,7 @@ section is built.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -40,6 +41,14 @@ class Profile:
             for name, df in d.items():
                 yield f"{s}.{name}", df
 
+    def run_all(self, action, max_concurrent_jobs: int = 4) -> dict:
+        """Apply ``action(name, df)`` to every section table, several Spark
+        jobs at a time; returns ``{name: result}``."""
+        items = list(self.tables())
+        with ThreadPoolExecutor(max_workers=max_concurrent_jobs) as pool:
+            futs = {name: pool.submit(action, name, df) for name, df in items}
+            return {name: f.result() for name, f in futs.items()}
+
     def release(self):
         for d in self.pinned:
             d.unpersist()
@@ -48,7 +57,7 @@ class Profile:
 
 
 def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
-            top_k: int = 10) -> Profile:
+            top_k: int = 10, max_concurrent_jobs: int = 4) -> Profile:
     base = normalize(df)
     if persist:
         # A large input already has far more splits than cores; a small one
@@ -62,12 +71,20 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
     roles = ColumnRoles.of(base)
     p = Profile(roles, target, source=base if persist else None)
     num, cat = roles.numeric, roles.categorical
-    # the shared jobs, each run once; their small results are pinned
-    checks = stats.materialize(quality.column_checks(base))                 # J1: counts, constants
-    dups = stats.materialize(quality.duplicates(base))                       # J6: full-row grouping
-    facts = column_facts(base, num) if num else None                         # J1: count/min/max/mean
-    moments = stats.numeric_moments(base, num, facts) if num else None      # J1: power sums
-    quarts = stats.quartiles(base, num) if num else None                     # J2: exact quartiles
+    # The shared jobs, each run once; their small results are pinned.  They
+    # are independent, so they are submitted together from driver threads and
+    # Spark schedules their tasks side by side (each global aggregate ends in
+    # a one-task stage; alone it would leave the other cores idle).
+    with ThreadPoolExecutor(max_workers=max_concurrent_jobs) as pool:
+        f_checks = pool.submit(lambda: stats.materialize(quality.column_checks(base)))      # J1: counts, constants
+        f_dups = pool.submit(lambda: stats.materialize(quality.duplicates(base)))           # J6: full-row grouping
+        f_facts = pool.submit(lambda: column_facts(base, num) if num else None)           # J1: count/min/max/mean
+        f_quarts = pool.submit(lambda: stats.quartiles(base, num) if num else None)       # J2: exact quartiles
+        facts = f_facts.result()
+        f_moments = pool.submit(lambda: stats.numeric_moments(base, num, facts) if num else None)  # J1: power sums
+        f_pairs = pool.submit(lambda: relate.correlation_pairs(base, num, facts) if len(num) > 1 else None)  # J4
+        checks, dups, quarts, moments, pairs = (f_checks.result(), f_dups.result(), f_quarts.result(),
+                                                f_moments.result(), f_pairs.result())
     p.sections["overview"] = {
         "shape": stats.shape(base), "types": stats.type_counts(base), "roles": stats.role_counts(base),
         "memory": stats.memory_mb(base)}
@@ -99,8 +116,7 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
         bi["feature_target"] = relate.feature_target(base, target)
         if tgt.is_class_target(base, target) and roles.roles[target] == "categorical":
             bi["group_moments"] = relate.group_moments(base, target, num)           # J7
-    if len(num) > 1:
-        pairs = relate.correlation_pairs(base, num, facts)                            # J4
+    if pairs is not None:
         bi["correlation_pairs"] = pairs
         bi["high_correlations"] = relate.high_correlations(pairs)
         bi["avg_correlation"] = relate.avg_correlation(pairs)

@@ -922,3 +922,96 @@ def q_cv(spark, sf_dir):
     from tabprofile.operators import ml
     r = ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=10, max_depth=6, cv_folds=5)
     return r.metrics.where(F.col("metric").startswith("cv_"))
+
+
+# ---------------------------------------------------------------- P8, P10, P16, D-f apply, A17 wide, M4
+@query("q_drop_missing_target", with_view(DIRTY_LI_SQL, """SELECT l_orderkey, l_linenumber, l_returnflag FROM d
+WHERE l_returnflag IS NOT NULL"""))
+def q_drop_missing_target(spark, sf_dir):
+    return clean.drop_missing_target(dirty_li(spark, sf_dir), "l_returnflag") \
+        .select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("q_complete_cases", with_view(DIRTY_LI_SQL, """SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_extendedprice
+FROM d WHERE l_discount IS NOT NULL AND l_extendedprice IS NOT NULL"""))
+def q_complete_cases(spark, sf_dir):
+    return clean.complete_cases(dirty_li(spark, sf_dir),
+                                ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice"])
+
+
+@query("q_impute_apply", with_view(DIRTY_LI_SQL, """SELECT l_orderkey, l_linenumber,
+  coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM d)) AS l_discount,
+  coalesce(l_returnflag, (SELECT l_returnflag FROM d WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_returnflag
+FROM d"""))
+def q_impute_apply(spark, sf_dir):
+    d = dirty_li(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag")
+    return clean.impute(d, ["l_discount", "l_returnflag"])
+
+
+@query("q_preview")
+def q_preview(spark, sf_dir):
+    return clean.preview(read(spark, sf_dir, "lineitem"), 5000)
+
+
+@query("q_crosstab_wide", """SELECT l_returnflag AS a_value, CAST(count_if(l_linestatus = 'F') AS BIGINT) AS F,
+  CAST(count_if(l_linestatus = 'O') AS BIGINT) AS O FROM lineitem GROUP BY 1""")
+def q_crosstab_wide(spark, sf_dir):
+    return categorical.crosstab_wide(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("q_onehot_plan", _union_sql([f"""SELECT '{c}' AS column_name, count(DISTINCT {c}) AS levels,
+  least(count(DISTINCT {c}), 100) AS kept, least(count(DISTINCT {c}), 100) + CASE WHEN count(DISTINCT {c}) > 100 THEN 1 ELSE 0 END AS vector_size
+FROM customer""" for c in ["c_name", "c_mktsegment"]]))
+def q_onehot_plan(spark, sf_dir):
+    from tabprofile.operators import ml
+    return ml.onehot_plan(read(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"], max_categories=100)
+
+
+# ---------------------------------------------------------------- S1, S3-S7, R4, R6, R7, K5
+def _scratch(spark, name):
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+    from tabprofile.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("q_csv_roundtrip", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+def q_csv_roundtrip(spark, sf_dir):
+    from tabprofile.sources import readers, sinks
+    path = _scratch(spark, "orders-csv") + ".csv"
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                             "o_orderpriority")
+    sinks.write_table(o, path, fmt="csv")
+    return readers.load(spark, path)
+
+
+@query("q_manifest")
+def q_manifest(spark, sf_dir):
+    from tabprofile.plans.batch import clean_table
+    from tabprofile.plans.report import manifest
+    raw = read(spark, sf_dir, "orders")
+    cleaned, steps = clean_table(raw, max_cols=5, target="o_orderstatus")
+    return manifest(raw, cleaned, steps, "o_orderstatus", {"cleaned": "orders"}, {"train": False})
+
+
+@query("q_json_rows")
+def q_json_rows(spark, sf_dir):
+    from tabprofile.sources.sinks import to_json_rows
+    return to_json_rows(target_mod.class_balance(read(spark, sf_dir, "orders"), "o_orderstatus"))
+
+
+@query("q_run_log_latest")
+def q_run_log_latest(spark, sf_dir):
+    from tabprofile.sources import sinks
+    path = _scratch(spark, "runs")
+    for t in ("orders", "lineitem"):
+        n = read(spark, sf_dir, t).count()
+        sinks.log_run(spark, path, t, user_id=1, notes=f"rows={n}")
+    return sinks.history(spark, path, user_id=1).drop("analysis_results")
+
+
+@query("q_ml_table")
+def q_ml_table(spark, sf_dir):
+    from tabprofile.operators import ml
+    o = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
+    return ml.ml_table(ml.train_baseline(o, "o_orderstatus", num_trees=10, max_depth=6))
