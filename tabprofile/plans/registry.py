@@ -1015,3 +1015,12 @@ def q_ml_table(spark, sf_dir):
     from tabprofile.operators import ml
     o = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
     return ml.ml_table(ml.train_baseline(o, "o_orderstatus", num_trees=10, max_depth=6))
+
+
+ORACLE["q_type_inference"] = _union_sql([f"""SELECT '{c}' AS column_name, count({c}) AS present,
+  count(TRY_CAST({c} AS BIGINT)) AS as_long, count(TRY_CAST({c} AS DOUBLE)) AS as_double,
+  count(CASE WHEN lower(trim({c})) IN ('true', 'false') THEN {c} END) AS as_boolean,
+  CASE WHEN count({c}) = 0 THEN 'string' WHEN count(TRY_CAST({c} AS BIGINT)) = count({c}) THEN 'bigint'
+       WHEN count(TRY_CAST({c} AS DOUBLE)) = count({c}) THEN 'double'
+       WHEN count(CASE WHEN lower(trim({c})) IN ('true', 'false') THEN {c} END) = count({c}) THEN 'boolean'
+       ELSE 'string' END AS inferred FROM events""" for c in ["event_type", "props"]])
