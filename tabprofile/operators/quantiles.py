@@ -6,9 +6,10 @@ position ``h = (n - 1) * p``; the answer is ``v[floor h] + (h - floor h) *
 
 Plan:
 
-* ``n <= direct_limit`` for every column: one aggregate with Spark's exact
-  ``percentile``.  That aggregate keeps a map of distinct values per column
-  in the final task, so it is only used under this checked bound.
+* columns with ``n <= direct_limit``: Spark's exact ``percentile``.  That
+  aggregate keeps a map of distinct values per column in the final task, so
+  columns are grouped into aggregates whose value counts sum to at most
+  ``direct_limit`` -- one final task never holds more than that.
 * otherwise, bracket refinement: ``percentile_approx`` (a mergeable sketch of
   fixed size) narrows each wanted rank to a value interval ``[lo, hi]``; one
   counting pass fixes the exact number of values below ``lo`` and inside the
@@ -56,10 +57,27 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), *,
     stats = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)]
                    + [F.min(qcol(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)]
                    + [F.max(qcol(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
-    ns = [stats[f"n{i}"] for i in range(len(cols))]
-    if max(ns) <= direct_limit:
-        return _direct(df, cols, probs)
-    return _bracketed(df, cols, probs, stats, direct_limit, accuracy)
+    ns = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
+    small = [c for c in cols if ns[c] <= direct_limit]
+    big = [c for c in cols if ns[c] > direct_limit]
+    parts = []
+    group, total = [], 0
+    for c in small:  # pack columns so each exact aggregate holds <= direct_limit values
+        if group and total + ns[c] > direct_limit:
+            parts.append(_direct(df, group, probs))
+            group, total = [], 0
+        group.append(c)
+        total += ns[c]
+    if group:
+        parts.append(_direct(df, group, probs))
+    if big:
+        idx = [cols.index(c) for c in big]
+        sub = {f"{k}{j}": stats[f"{k}{i}"] for j, i in enumerate(idx) for k in ("n", "lo", "hi")}
+        parts.append(_bracketed(df, big, probs, sub, direct_limit, accuracy))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _bracketed(df, cols, probs, stats, direct_limit, accuracy) -> DataFrame:

@@ -88,3 +88,12 @@ def test_fill_and_impute(spark):
     assert float(f["x"]) == 3.0 and f["s"] == "b"
     out = clean.impute(df).collect()
     assert out[1]["x"] == 3.0 and out[3]["s"] == "b"
+
+
+def test_kde_binned_close_to_exact(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, 2000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    a = [r["density"] for r in charts.kde(df, "x").orderBy("point").collect()]
+    b = [r["density"] for r in charts.kde(df, "x", bins=4096).orderBy("point").collect()]
+    assert max(abs(p - q) for p, q in zip(a, b)) < 1e-3 * max(a)

@@ -98,3 +98,22 @@ def test_estimated_bytes(spark):
     df = spark.createDataFrame([(1, "ab"), (None, "héllo")], "a long, s string")
     got = {r["column_name"]: r["bytes"] for r in stats.estimated_bytes(df).collect()}
     assert got == {"a": 8, "s": 2 + len("héllo".encode())}
+
+
+def test_quantiles_mixed_paths_and_packing(spark):
+    rng = np.random.default_rng(11)
+    big = rng.normal(0, 1, 3000)
+    df = spark.createDataFrame([(float(b), float(i % 7), float(i % 5)) for i, b in enumerate(big)],
+                               "big double, s1 double, s2 double")
+    # limit 4000: s1 + s2 (6000 values) must split into two exact aggregates; big (3000) fits alone
+    got = {(r["column_name"], r["prob"]): r["value"]
+           for r in quantiles.quantiles(df, ["big", "s1", "s2"], [0.3, 0.5], direct_limit=4000).collect()}
+    pdf = df.toPandas()
+    for c in ["big", "s1", "s2"]:
+        for p in [0.3, 0.5]:
+            assert _close(got[(c, p)], float(np.percentile(pdf[c], p * 100)), 1e-12)
+    # limit 1000: every column takes the bracket path
+    got2 = {(r["column_name"], r["prob"]): r["value"]
+            for r in quantiles.quantiles(df, ["big", "s1"], [0.3], direct_limit=1000, accuracy=50).collect()}
+    assert _close(got2[("big", 0.3)], float(np.percentile(big, 30)), 1e-12)
+    assert _close(got2[("s1", 0.3)], float(np.percentile(pdf["s1"], 30)), 1e-12)
