@@ -70,7 +70,8 @@ def describe(df: DataFrame, cols: list[str] | None = None, moments: DataFrame |
     cols = ColumnRoles.of(df).numeric if cols is None else cols
     m = numeric_moments(df, cols) if moments is None else moments
     q = quartiles(df, cols) if quarts is None else quarts
-    return (m.join(q, "column_name", "left")
+    # both sides hold one row per column (bounded by the schema): broadcast
+    return (m.join(F.broadcast(q), "column_name", "left")
             .select("column_name", "count", "mean", "std", "min", "q25", "median", "q75", "max"))
 
 
@@ -87,7 +88,7 @@ def distribution(df: DataFrame, cols: list[str] | None = None, moments: DataFram
     cols = ColumnRoles.of(df).numeric if cols is None else cols
     m = numeric_moments(df, cols) if moments is None else moments
     q = quartiles(df, cols) if quarts is None else quarts
-    return (m.join(q, "column_name", "left")
+    return (m.join(F.broadcast(q), "column_name", "left")  # one row per column
             .select("column_name", "mean", "median", "std", "min", "max", "q25", "q75",
                     (F.col("q75") - F.col("q25")).alias("iqr"), "skewness", "kurtosis"))
 

@@ -64,9 +64,10 @@ def target_profile(df: DataFrame, target: str, moments: DataFrame | None = None,
     q1 = None if quarts is None else quarts.where(F.col("column_name") == target)
     d = stats.distribution(df, [target], m1, q1)
     o = stats.iqr_outliers(df, [target], quarts=q1).select("column_name", "outlier_count", "outlier_percentage")
-    m = miss.select(F.lit(target).alias("column_name"), "missing_count")
-    return (d.join(o, "column_name").join(m, "column_name")
-            .select(F.col("column_name").alias("target"), F.lit("regression").alias("type"), "missing_count",
+    n_missing = miss.first()[0]  # one number
+    return (d.join(F.broadcast(o), "column_name")  # one row each
+            .select(F.col("column_name").alias("target"), F.lit("regression").alias("type"),
+                    F.lit(n_missing).cast("long").alias("missing_count"),
                     F.lit(None).cast("long").alias("n_classes"), F.lit(None).cast("string").alias("balance"),
                     "mean", "median", "std", "min", "max", "q25", "q75", "iqr", "skewness", "kurtosis",
                     "outlier_percentage", "outlier_count"))

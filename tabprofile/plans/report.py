@@ -12,15 +12,19 @@ from tabprofile.roles import ColumnRoles
 
 def summary_table(df: DataFrame) -> DataFrame:
     """``(metric, value)`` rows rows, columns, memory_mb, quality_score,
-    total_missing, duplicates -- each a one-row aggregate, stacked by union."""
+    total_missing, duplicates.  The column checks and the duplicate grouping
+    run once; the rows are one-row results stacked by union."""
+    checks = stats.materialize(quality.column_checks(df))
+    dups = stats.materialize(quality.duplicates(df))
     parts = [
-        stats.shape(df).select(F.lit("rows").alias("metric"), F.col("rows").cast("double").alias("value")),
-        stats.shape(df).select(F.lit("columns").alias("metric"), F.col("columns").cast("double").alias("value")),
+        dups.select(F.lit("rows").alias("metric"), F.col("rows").cast("double").alias("value")),
+        dups.select(F.lit("columns").alias("metric"), F.lit(float(len(df.columns))).alias("value")),
         stats.memory_mb(df).select(F.lit("memory_mb").alias("metric"), F.col("memory_mb").alias("value")),
-        quality.quality_score(df).select(F.lit("quality_score").alias("metric"), F.col("quality_score").alias("value")),
-        quality.missing_summary(df).select(F.lit("total_missing").alias("metric"),
-                                           F.col("total_missing").cast("double").alias("value")),
-        quality.duplicates(df).select(F.lit("duplicates").alias("metric"), F.col("duplicates").cast("double").alias("value")),
+        quality.quality_score(df, checks, dups).select(F.lit("quality_score").alias("metric"),
+                                                       F.col("quality_score").alias("value")),
+        quality.missing_summary(df, checks).select(F.lit("total_missing").alias("metric"),
+                                                   F.col("total_missing").cast("double").alias("value")),
+        dups.select(F.lit("duplicates").alias("metric"), F.col("duplicates").cast("double").alias("value")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -29,10 +33,13 @@ def summary_table(df: DataFrame) -> DataFrame:
 
 
 def numeric_table(df: DataFrame) -> DataFrame:
-    """R2: describe + skewness + kurtosis per numeric column."""
-    d = stats.describe(df)
-    sk = stats.skew_kurtosis(df)
-    return d.join(sk, "column_name")
+    """R2: describe + skewness + kurtosis per numeric column (moments once)."""
+    from tabprofile.roles import normalize
+    df = normalize(df)
+    num = ColumnRoles.of(df).numeric
+    m = stats.numeric_moments(df, num)
+    d = stats.describe(df, num, m)
+    return d.join(F.broadcast(m.select("column_name", "skewness", "kurtosis")), "column_name")  # one row per column
 
 
 def insight_table(df: DataFrame, target: str | None = None) -> DataFrame:
