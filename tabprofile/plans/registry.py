@@ -1024,3 +1024,35 @@ ORACLE["q_type_inference"] = _union_sql([f"""SELECT '{c}' AS column_name, count(
        WHEN count(TRY_CAST({c} AS DOUBLE)) = count({c}) THEN 'double'
        WHEN count(CASE WHEN lower(trim({c})) IN ('true', 'false') THEN {c} END) = count({c}) THEN 'boolean'
        ELSE 'string' END AS inferred FROM events""" for c in ["event_type", "props"]])
+
+
+# ---------------------------------------------------------------- long-text tables (whole texts)
+@query("q_doc_duplicates", """SELECT CAST(sum(cnt) AS BIGINT) AS rows, CAST(sum(cnt - 1) AS BIGINT) AS duplicates,
+  round(sum(cnt - 1) * 100.0 / sum(cnt), 6) AS duplicate_pct
+FROM (SELECT count(*) AS cnt FROM documents GROUP BY text, lang, source) g""")
+def q_doc_duplicates(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("text", "lang", "source")
+    return rounded(quality.duplicates(d), 6)
+
+
+@query("q_doc_category_stats", _cat_stats_sql(["text", "lang", "source"], "documents"))
+def q_doc_category_stats(spark, sf_dir):
+    return categorical.category_stats(read(spark, sf_dir, "documents"), ["text", "lang", "source"])
+
+
+@query("q_text_bytes", """SELECT 'documents.text' AS column_name, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes FROM documents
+UNION ALL SELECT 'pages.html', CAST(coalesce(sum(strlen(html)), 0) AS BIGINT) FROM pages
+UNION ALL SELECT 'conversations.text', CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) FROM conversations""")
+def q_text_bytes(spark, sf_dir):
+    parts = []
+    for t, c in [("documents", "text"), ("pages", "html"), ("conversations", "text")]:
+        b = stats.estimated_bytes(read(spark, sf_dir, t).select(c))
+        parts.append(b.select(F.lit(f"{t}.{c}").alias("column_name"), "bytes"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("q_conv_missing", _union_sql([f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS missing, "
+                                     f"round((count(*) - count({c})) * 100.0 / count(*), 6) AS missing_pct FROM conversations"
+                                     for c in ["conv_id", "turn", "role", "text"]]))
+def q_conv_missing(spark, sf_dir):
+    return rounded(quality.missing(read(spark, sf_dir, "conversations")), 6)

@@ -41,3 +41,14 @@ def test_run_batch_end_to_end(spark):
     assert "manifest" not in outs and "ml" in outs
     man = spark.read.json(os.path.join(d, "out", "manifest")).first()
     assert man["cleaned_shape"][1] == 3
+
+
+def test_profile_nested_and_text_tables(spark, sf):
+    from tabprofile.operators import charts
+    for t, tg in [("embeddings", "label"), ("documents", "lang")]:
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        p = profile(df, tg)
+        p.run_all(lambda n, d: d.write.format("noop").mode("overwrite").save())
+        p.release()
+        assert p.roles.roles.get("embedding", "other") == "other"
+    assert "kde:n_chars" in charts.chart_data(spark.read.parquet(f"{sf}/documents.parquet"), "lang")
