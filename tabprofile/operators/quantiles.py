@@ -48,15 +48,21 @@ def _direct(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), *,
-              direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY) -> DataFrame:
+              direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY, facts=None) -> DataFrame:
     """Long table ``(column_name, prob, value)``; ``value`` is NULL for a column
-    without values.  ``df`` should be normalised (NaN already NULL)."""
+    without values.  ``df`` should be normalised (NaN already NULL).  ``facts``
+    (:func:`tabprofile.functions.moments.column_facts`) saves the count pass."""
     probs = [float(p) for p in probs]
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, prob double, value double")
-    stats = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)]
-                   + [F.min(qcol(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)]
-                   + [F.max(qcol(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+    if facts is not None:
+        stats = {}
+        for i, c in enumerate(cols):
+            stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"] = facts.count[c], facts.min[c], facts.max[c]
+    else:
+        stats = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)]
+                       + [F.min(qcol(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)]
+                       + [F.max(qcol(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
     ns = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
     small = [c for c in cols if ns[c] <= direct_limit]
     big = [c for c in cols if ns[c] > direct_limit]

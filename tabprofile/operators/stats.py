@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprofile.functions.exprs import long_rows
+from tabprofile.functions.moments import column_facts
 from tabprofile.operators.quantiles import quantiles
 from tabprofile.roles import ColumnRoles, normalize, qcol
 
@@ -46,8 +47,8 @@ def numeric_moments(df: DataFrame, cols: list[str] | None = None, facts=None) ->
     return df.sparkSession.createDataFrame(moment_rows(df, cols, facts), schema)
 
 
-def _quantile_wide(df, cols, probs, names):
-    q = quantiles(df, cols, probs)
+def _quantile_wide(df, cols, probs, names, facts=None):
+    q = quantiles(df, cols, probs, facts=facts)
     return q.groupBy("column_name").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in zip(probs, names)])
 
@@ -58,9 +59,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
+def quartiles(df: DataFrame, cols: list[str], facts=None) -> DataFrame:
     """``(column_name, q25, median, q75)``, computed once and pinned (k rows)."""
-    return materialize(_quantile_wide(df, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"]))
+    return materialize(_quantile_wide(df, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"], facts))
 
 
 def describe(df: DataFrame, cols: list[str] | None = None, moments: DataFrame | None = None,
@@ -68,8 +69,9 @@ def describe(df: DataFrame, cols: list[str] | None = None, moments: DataFrame |
     """``(column_name, count, mean, std, min, q25, median, q75, max)``."""
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
-    m = numeric_moments(df, cols) if moments is None else moments
-    q = quartiles(df, cols) if quarts is None else quarts
+    facts = column_facts(df, cols) if (moments is None or quarts is None) and cols else None
+    m = numeric_moments(df, cols, facts) if moments is None else moments
+    q = quartiles(df, cols, facts) if quarts is None else quarts
     # both sides hold one row per column (bounded by the schema): broadcast
     return (m.join(F.broadcast(q), "column_name", "left")
             .select("column_name", "count", "mean", "std", "min", "q25", "median", "q75", "max"))
@@ -86,8 +88,9 @@ def distribution(df: DataFrame, cols: list[str] | None = None, moments: DataFram
     """Mean, median, std, min, max, q25, q75, iqr, skewness, kurtosis."""
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
-    m = numeric_moments(df, cols) if moments is None else moments
-    q = quartiles(df, cols) if quarts is None else quarts
+    facts = column_facts(df, cols) if (moments is None or quarts is None) and cols else None
+    m = numeric_moments(df, cols, facts) if moments is None else moments
+    q = quartiles(df, cols, facts) if quarts is None else quarts
     return (m.join(F.broadcast(q), "column_name", "left")  # one row per column
             .select("column_name", "mean", "median", "std", "min", "max", "q25", "q75",
                     (F.col("q75") - F.col("q25")).alias("iqr"), "skewness", "kurtosis"))

@@ -79,8 +79,8 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
         f_checks = pool.submit(lambda: stats.materialize(quality.column_checks(base)))      # J1: counts, constants
         f_dups = pool.submit(lambda: stats.materialize(quality.duplicates(base)))           # J6: full-row grouping
         f_facts = pool.submit(lambda: column_facts(base, num) if num else None)           # J1: count/min/max/mean
-        f_quarts = pool.submit(lambda: stats.quartiles(base, num) if num else None)       # J2: exact quartiles
         facts = f_facts.result()
+        f_quarts = pool.submit(lambda: stats.quartiles(base, num, facts) if num else None)  # J2: exact quartiles
         f_moments = pool.submit(lambda: stats.numeric_moments(base, num, facts) if num else None)  # J1: power sums
         f_pairs = pool.submit(lambda: relate.correlation_pairs(base, num, facts) if len(num) > 1 else None)  # J4
         checks, dups, quarts, moments, pairs = (f_checks.result(), f_dups.result(), f_quarts.result(),

@@ -1056,3 +1056,21 @@ def q_text_bytes(spark, sf_dir):
                                      for c in ["conv_id", "turn", "role", "text"]]))
 def q_conv_missing(spark, sf_dir):
     return rounded(quality.missing(read(spark, sf_dir, "conversations")), 6)
+
+
+@query("q_category_extremes", f"""SELECT column_name, most_common, most_common_count, least_common, least_common_count
+FROM ({_cat_stats_sql(["o_orderstatus", "o_orderpriority"], "orders")}) s""")
+def q_category_extremes(spark, sf_dir):
+    s = categorical.category_stats(read(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+    return s.select("column_name", "most_common", "most_common_count", "least_common", "least_common_count")
+
+
+@query("q_importance_share", f"""SELECT feature, CAST(rank AS INTEGER) AS rank,
+  round(importance * 100.0 / sum(importance) OVER (), 6) AS share
+FROM (SELECT feature, abs(correlation) AS importance,
+        row_number() OVER (ORDER BY abs(correlation) DESC NULLS LAST, feature) AS rank
+      FROM ({_ft_sql("lineitem", "l_extendedprice", [c for c in LI_NUM if c != "l_extendedprice"]).replace("round(", "(").replace(", 6) + 0.0 AS correlation", ") AS correlation")}) c) r
+WHERE rank <= 5""")
+def q_importance_share(spark, sf_dir):
+    fi = relate.feature_importance(read(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return rounded(fi.where("is_top").select("feature", "rank", "share"), 6)

@@ -36,9 +36,11 @@ def numeric_table(df: DataFrame) -> DataFrame:
     """R2: describe + skewness + kurtosis per numeric column (moments once)."""
     from tabprofile.roles import normalize
     df = normalize(df)
+    from tabprofile.functions.moments import column_facts
     num = ColumnRoles.of(df).numeric
-    m = stats.numeric_moments(df, num)
-    d = stats.describe(df, num, m)
+    facts = column_facts(df, num)
+    m = stats.numeric_moments(df, num, facts)
+    d = stats.describe(df, num, m, stats.quartiles(df, num, facts))
     return d.join(F.broadcast(m.select("column_name", "skewness", "kurtosis")), "column_name")  # one row per column
 
 
