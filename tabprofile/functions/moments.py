@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from tabprofile.roles import qcol
 
 SUM_CHUNK = 120  # sum aggregates per fused pass (keeps generated methods JIT-sized)
+# Above this many pairs the SQL sums would need many passes; the Gram path
+# computes every pair's sums in one pass with matrix products per Arrow batch.
+GRAM_MIN_PAIRS = 300
 
 
 @dataclass
@@ -108,12 +111,74 @@ def moment_rows(df: DataFrame, cols: list[str], facts: Facts | None = None) -> l
     return rows
 
 
-def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], facts: Facts) -> dict:
+def gram_sums(df: DataFrame, cols: list[str], facts: Facts) -> dict:
+    """Pairwise-complete shifted sums for every pair ``i < j`` of ``cols`` in ONE
+    pass: each task turns its Arrow batches into NumPy blocks and accumulates
+    the masked Gram products (``M'M`` counts, ``D'M`` / ``(D*D)'M`` one-sided
+    sums, ``D'D`` cross products, with ``D`` the shifted values, 0 where
+    missing); it emits k(k-1)/2 partial rows, and one ``groupBy(pair).sum``
+    merges them.  Returns ``{(a, b): (n, sa, sb, saa, sbb, sab)}``."""
+    import numpy as np
+    import pandas as pd
+
+    k = len(cols)
+    iu = np.triu_indices(k, 1)
+    shifts = np.array([facts.mean[c] if facts.mean[c] is not None else 0.0 for c in cols])
+    names = [f"c{i}" for i in range(k)]
+
+    def partials(batches):
+        n = np.zeros((k, k)); sx = np.zeros((k, k)); sxx = np.zeros((k, k)); sxy = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf[names].to_numpy(dtype="float64", na_value=np.nan)
+            m = ~np.isnan(x)
+            d = np.where(m, x - shifts, 0.0)
+            mf = m.astype("float64")
+            n += mf.T @ mf
+            sx += d.T @ mf
+            sxx += (d * d).T @ mf
+            sxy += d.T @ d
+        yield pd.DataFrame({"pos": np.arange(len(iu[0]), dtype="int64"), "n": n[iu], "sa": sx[iu], "sb": sx.T[iu],
+                            "saa": sxx[iu], "sbb": sxx.T[iu], "sab": sxy[iu]})
+
+    schema = "pos long, n double, sa double, sb double, saa double, sbb double, sab double"
+    part = df.select(*[qcol(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInPandas(partials, schema)
+    merged = part.groupBy("pos").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    out = {}
+    for r in merged.collect():  # k(k-1)/2 rows: the size of the answer itself
+        i, j = int(iu[0][r["pos"]]), int(iu[1][r["pos"]])
+        out[(cols[i], cols[j])] = (int(round(r["n"])), r["sa"], r["sb"], r["saa"], r["sbb"], r["sab"])
+    return out
+
+
+def _r(n, sa, sb, saa, sbb, sab):
+    if not n or sab is None:
+        return None
+    caa, cbb, cab = saa - sa * sa / n, sbb - sb * sb / n, sab - sa * sb / n
+    # a side that is constant over the complete pairs leaves only rounding noise
+    if caa <= 1e-13 * max(saa, 1e-300) or cbb <= 1e-13 * max(sbb, 1e-300):
+        return None
+    return cab / (caa * cbb) ** 0.5
+
+
+def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], facts: Facts, method: str = "auto") -> dict:
     """Pearson r over pairwise-complete rows for every ``(a, b)`` pair; ``None``
     where a side is constant over those rows or no pair is complete.
 
-    Two complete columns share their per-column sums and need one ``sum(da *
-    db)``; pairs with a gappy side carry their own masked count and sums."""
+    ``sums`` (default below ``GRAM_MIN_PAIRS`` pairs): two complete columns
+    share their per-column sums and need one ``sum(da * db)``; pairs with a
+    gappy side carry their own masked count and sums.  ``gram`` (wide tables):
+    :func:`gram_sums`, one pass for all pairs."""
+    if method == "gram" or (method == "auto" and len(pairs) >= GRAM_MIN_PAIRS):
+        cols = list(dict.fromkeys(c for p in pairs for c in p))
+        g = gram_sums(df, cols, facts)
+        out = {}
+        for a, b in pairs:
+            if facts.constant(a) or facts.constant(b):
+                out[(a, b)] = None
+                continue
+            n, sa, sb, saa, sbb, sab = g[(a, b)] if (a, b) in g else (lambda t: (t[0], t[2], t[1], t[4], t[3], t[5]))(g[(b, a)])
+            out[(a, b)] = _r(n, sa, sb, saa, sbb, sab)
+        return out
     named, seen = [], set()
     for a, b in pairs:
         if facts.complete(a) and facts.complete(b):
@@ -144,14 +209,5 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], facts: Facts)
         else:
             n = s[f"n|{a}|{b}"]
             sa, sb, saa, sbb = s[f"a1|{a}|{b}"], s[f"b1|{a}|{b}"], s[f"a2|{a}|{b}"], s[f"b2|{a}|{b}"]
-        sab = s[f"xy|{a}|{b}"]
-        if not n or sab is None:
-            out[(a, b)] = None
-            continue
-        caa, cbb, cab = saa - sa * sa / n, sbb - sb * sb / n, sab - sa * sb / n
-        # a side that is constant over the complete pairs leaves only rounding noise
-        if caa <= 1e-13 * max(saa, 1e-300) or cbb <= 1e-13 * max(sbb, 1e-300):
-            out[(a, b)] = None
-            continue
-        out[(a, b)] = cab / (caa * cbb) ** 0.5
+        out[(a, b)] = _r(n, sa, sb, saa, sbb, s[f"xy|{a}|{b}"])
     return out

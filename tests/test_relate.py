@@ -67,3 +67,23 @@ def test_pca_from_pairs_equals_direct(spark, sf):
     a = [r[1] for r in multivariate.pca(li, cols, pairs, facts)[0].orderBy("component").collect()]
     b = [r[1] for r in multivariate.pca(li, cols)[0].orderBy("component").collect()]
     assert a == pytest.approx(b, abs=1e-12)
+
+
+def test_gram_path_equals_sql_sums(spark, sf):
+    from tabprofile.functions.moments import column_facts, pair_correlations
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    from pyspark.sql import functions as F
+    d = li.select("l_quantity", "l_extendedprice", "l_tax",
+                  F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("l_discount"),
+                  F.when(F.col("l_orderkey") % 7 != 0, F.col("l_partkey")).alias("gappy"),
+                  F.lit(2.0).alias("const"))
+    cols = d.columns
+    facts = column_facts(d, cols)
+    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    a = pair_correlations(d.repartition(3), pairs, facts, method="sums")
+    b = pair_correlations(d.repartition(3), pairs, facts, method="gram")
+    for p in pairs:
+        if a[p] is None:
+            assert b[p] is None, p
+        else:
+            assert b[p] == pytest.approx(a[p], abs=1e-12), p
