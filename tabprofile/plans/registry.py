@@ -856,8 +856,16 @@ def q_type_inference(spark, sf_dir):
     return infer_types(read(spark, sf_dir, "events"))
 
 
-@query("q_dup_columns", """SELECT 'l_extendedprice' AS column_a, 'price_copy' AS column_b FROM lineitem
-WHERE (SELECT count(*) FROM lineitem WHERE l_extendedprice IS DISTINCT FROM l_extendedprice) = 0 LIMIT 1""")
+def _dup_columns_sql(cols: list[str], source: str) -> str:
+    # brute force: every pair is checked row by row
+    parts = [f"SELECT '{a}' AS column_a, '{b}' AS column_b FROM d HAVING count_if({a} IS DISTINCT FROM {b}) = 0"
+             for i, a in enumerate(cols) for b in cols[i + 1:]]
+    return f"WITH d AS ({source})\n" + "\nUNION ALL ".join(parts)
+
+
+@query("q_dup_columns", _dup_columns_sql(
+    ["l_quantity", "l_extendedprice", "l_discount", "price_copy", "l_tax"],
+    "SELECT l_quantity, l_extendedprice, l_discount, l_extendedprice AS price_copy, l_tax FROM lineitem"))
 def q_dup_columns(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount",
                                                 F.col("l_extendedprice").alias("price_copy"), "l_tax")
