@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from tabprofile.operators import categorical, charts, insights, multivariate, quality, relate, stats, target as tgt
 from tabprofile.functions.moments import column_facts
 from tabprofile.roles import ColumnRoles, normalize
+from tabprofile.sources.readers import spread
 
 SECTIONS = ("overview", "data_quality", "statistics", "univariate", "bivariate", "multivariate",
             "target_analysis", "insights")
@@ -60,14 +61,7 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
             top_k: int = 10, max_concurrent_jobs: int = 4) -> Profile:
     base = normalize(df)
     if persist:
-        # A large input already has far more splits than cores; a small one
-        # stored as a single row group would leave all sections to one task,
-        # so only then is it spread round-robin before caching.
-        spark = df.sparkSession
-        cores = spark.sparkContext.defaultParallelism
-        if base.rdd.getNumPartitions() < cores:
-            base = base.repartition(cores)
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        base = spread(base).persist(StorageLevel.MEMORY_AND_DISK)
     roles = ColumnRoles.of(base)
     p = Profile(roles, target, source=base if persist else None)
     num, cat = roles.numeric, roles.categorical

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprofile.operators import stats
+from tabprofile.sources.readers import spread
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -22,7 +23,7 @@ LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def rounded(df: DataFrame, digits: int = 4, only: list[str] | None = None) -> DataFrame:
@@ -958,7 +959,8 @@ def q_impute_apply(spark, sf_dir):
 
 @query("q_preview")
 def q_preview(spark, sf_dir):
-    return clean.preview(read(spark, sf_dir, "lineitem"), 5000)
+    # the first rows in file order: read without spreading
+    return clean.preview(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), 5000)
 
 
 @query("q_crosstab_wide", """SELECT l_returnflag AS a_value, CAST(count_if(l_linestatus = 'F') AS BIGINT) AS F,

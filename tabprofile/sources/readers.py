@@ -83,3 +83,16 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
     if fmt == "csv":
         return read_csv(spark, path, **options)
     return spark.read.format(fmt).options(**options).load(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores round-robin over the cores.
+
+    A small file stored as one row group is read by a single task, and every
+    stage fused with that scan stays on one core.  A large input already has
+    far more splits than cores, so there this returns ``df`` unchanged.
+    Column pruning and filters still reach the scan below the repartition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
