@@ -10,14 +10,18 @@ Plan:
   aggregate keeps a map of distinct values per column in the final task, so
   columns are grouped into aggregates whose value counts sum to at most
   ``direct_limit`` -- one final task never holds more than that.
-* otherwise, bracket refinement: ``percentile_approx`` (a mergeable sketch of
-  fixed size) narrows each wanted rank to a value interval ``[lo, hi]``; one
-  counting pass fixes the exact number of values below ``lo`` and inside the
-  interval; the loop repeats inside the interval until it holds at most
-  ``direct_limit`` values or a single distinct value.  The final selection
+* otherwise, bracket refinement: one pass builds an equal-width histogram
+  (count, min, max per bucket) of every open bracket ``[lo, hi]`` -- a hash
+  aggregate combined in each task -- and running counts over its buckets
+  find the bucket(s) holding the wanted ranks.  The new bracket is that
+  bucket's ``[min, max]``, with exact counts below and inside, so each pass
+  shrinks the value range ``buckets``-fold.  Ranks that fall on a bucket
+  edge or on a single-valued bucket are pinned right away.  The loop stops
+  once a bracket holds at most ``direct_limit`` values.  The final selection
   groups the in-bracket values by value (map-side combined, so a hot value
   costs one row per task) and walks their running counts in a window that
   is partitioned per (column, quantile) and bounded by ``direct_limit``.
+  (A bracket with an infinite end is left to that selection as it is.)
 
 Only O(columns x quantiles) literals reach the driver; no data row does.
 """
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tabprofile.roles import qcol
 
-DIRECT_LIMIT = 2_000_000
-ACCURACY = 10_000
+DIRECT_LIMIT = 200_000
+BUCKETS = 16_384
 
 
 def _direct(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
@@ -48,7 +52,7 @@ def _direct(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), *,
-              direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY, facts=None) -> DataFrame:
+              direct_limit: int = DIRECT_LIMIT, buckets: int = BUCKETS, facts=None) -> DataFrame:
     """Long table ``(column_name, prob, value)``; ``value`` is NULL for a column
     without values.  ``df`` should be normalised (NaN already NULL).  ``facts``
     (:func:`tabprofile.functions.moments.column_facts`) saves the count pass."""
@@ -79,16 +83,17 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), *,
     if big:
         idx = [cols.index(c) for c in big]
         sub = {f"{k}{j}": stats[f"{k}{i}"] for j, i in enumerate(idx) for k in ("n", "lo", "hi")}
-        parts.append(_bracketed(df, big, probs, sub, direct_limit, accuracy))
+        parts.append(_bracketed(df, big, probs, sub, direct_limit, buckets))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _bracketed(df, cols, probs, stats, direct_limit, accuracy) -> DataFrame:
+def _bracketed(df, cols, probs, stats, direct_limit, buckets) -> DataFrame:
     spark = df.sparkSession
-    # one state per (column, quantile)
+    # one state per (column, quantile); ``below`` values lie under ``lo`` and
+    # ``inside`` values in [lo, hi], which always holds ranks r0 and r1
     st = []
     for i, c in enumerate(cols):
         n = stats[f"n{i}"]
@@ -99,55 +104,73 @@ def _bracketed(df, cols, probs, stats, direct_limit, accuracy) -> DataFrame:
             h = (n - 1) * p
             st.append(dict(c=c, p=p, n=n, r0=int(math.floor(h)), r1=int(math.ceil(h)),
                            lo=stats[f"lo{i}"], hi=stats[f"hi{i}"], below=0, inside=n, done=False))
-    acc = accuracy
     while True:
-        todo = [s for s in st if s["n"] > 0 and s["inside"] > direct_limit and s["lo"] < s["hi"]]
+        # (infinite ends or a sub-normal width leave the bracket to the
+        # exact selection as it is)
+        todo = [s for s in st if s["n"] > 0 and "v0" not in s and s["inside"] > direct_limit
+                and s["lo"] < s["hi"] and math.isfinite(s["hi"] - s["lo"]) and (s["hi"] - s["lo"]) / buckets > 0]
         if not todo:
             break
-        # 1) approximate ranks inside each bracket (fixed-size mergeable sketches)
-        exprs = []
+        # 1) one pass: an equal-width histogram (count, min, max) of every
+        #    distinct open bracket (a column's quantiles start out sharing
+        #    one) -- a hash aggregate combined in each task, so the shuffle
+        #    carries at most brackets x buckets rows per task
+        keys = list(dict.fromkeys((s["c"], s["lo"], s["hi"]) for s in todo))
+        gid = {key: g for g, key in enumerate(keys)}
+        members = []
+        for g, (c, lo, hi) in enumerate(keys):
+            x = qcol(c).cast("double")
+            b = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / buckets)), F.lit(buckets - 1)).cast("int")
+            members.append(F.struct(F.lit(g).alias("g"), F.when((x >= lo) & (x <= hi), b).alias("b"), x.alias("x")))
+        # inline + where (not a filter lambda) keeps the generator in codegen
+        long = df.select(F.inline(F.array(*members))).where(F.col("b").isNotNull())
+        hist = long.groupBy("g", "b").agg(F.count(F.lit(1)).alias("cnt"), F.min("x").alias("vmin"),
+                                          F.max("x").alias("vmax"))
+        # 2) running counts per bracket (at most ``buckets`` rows each) and the
+        #    one or two buckets that hold ranks r0 / r1: O(targets) rows back
+        meta = spark.createDataFrame(
+            [(j, gid[(s["c"], s["lo"], s["hi"])], s["below"], s["r0"], s["r1"]) for j, s in enumerate(todo)],
+            "k int, g int, below long, r0 long, r1 long")
+        w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        hits = (hist.withColumn("upto", F.sum("cnt").over(w))
+                .join(F.broadcast(meta), "g")  # meta: one row per open (column, quantile)
+                .withColumn("first", F.col("below") + F.col("upto") - F.col("cnt"))
+                .withColumn("last", F.col("below") + F.col("upto") - 1)
+                .where((F.col("first") <= F.col("r1")) & (F.col("last") >= F.col("r0")))
+                .select("k", "b", "first", "last", "vmin", "vmax").collect())
+        found: dict = {}
+        for r in hits:
+            found.setdefault(r["k"], []).append(r)
         for j, s in enumerate(todo):
-            x = qcol(s["c"]).cast("double")
-            inb = F.when((x >= s["lo"]) & (x <= s["hi"]), x)
-            m = s["inside"]
-            slack = 2.0 / acc
-            f0 = min(max((s["r0"] - s["below"]) / m - slack, 0.0), 1.0)
-            f1 = min(max((s["r1"] - s["below"] + 1) / m + slack, 0.0), 1.0)
-            exprs.append(F.percentile_approx(inb, F.array(F.lit(f0), F.lit(f1)), acc).alias(f"a{j}"))
-        approx = df.agg(*exprs).first()
-        cand = [(approx[f"a{j}"][0], approx[f"a{j}"][1]) for j in range(len(todo))]
-        # 2) exact counts for the candidate brackets
-        cnt = []
-        for j, (s, (lo, hi)) in enumerate(zip(todo, cand)):
-            x = qcol(s["c"]).cast("double")
-            cnt += [F.count_if(x < lo).alias(f"b{j}"), F.count_if(x <= hi).alias(f"e{j}")]
-        counts = df.agg(*cnt).first()
-        progressed = False
-        for j, (s, (lo, hi)) in enumerate(zip(todo, cand)):
-            below, upto = counts[f"b{j}"], counts[f"e{j}"]
-            if below <= s["r0"] and upto > s["r1"] and (upto - below) < s["inside"]:
-                s.update(lo=lo, hi=hi, below=below, inside=upto - below)
-                progressed = True
-        if not progressed:
-            acc *= 10  # sketch too coarse for these brackets: sharpen and retry
-            if acc > 10_000_000:
-                break
+            rs = sorted(found[j], key=lambda r: r["b"])
+            if len(rs) == 2:
+                # r1 = r0 + 1 in the next non-empty bucket: r0 is the last value
+                # of its bucket and r1 the first of the next
+                s.update(v0=rs[0]["vmax"], v1=rs[1]["vmin"])
+            elif rs[0]["vmin"] == rs[0]["vmax"]:
+                s.update(v0=rs[0]["vmin"], v1=rs[0]["vmin"])
+            else:
+                r = rs[0]
+                s.update(lo=r["vmin"], hi=r["vmax"], below=r["first"], inside=r["last"] - r["first"] + 1)
     return _select(df, st, spark)
 
 
 def _select(df, st, spark) -> DataFrame:
     """Exact selection of ranks r0 / r1 inside each (bounded) bracket."""
-    live = [s for s in st if s["n"] > 0]
+    live = [s for s in st if s["n"] > 0 and "v0" not in s]
     rows = [(s["c"], s["p"], None) for s in st if s["n"] == 0]
+    for s in st:
+        if "v0" in s:  # both ranks already pinned by a histogram pass
+            h = (s["n"] - 1) * s["p"]
+            rows.append((s["c"], s["p"], s["v0"] + (h - math.floor(h)) * (s["v1"] - s["v0"])))
     empty = spark.createDataFrame(rows, "column_name string, prob double, value double")
     if not live:
         return empty
     members = []
     for k, s in enumerate(live):
         x = qcol(s["c"]).cast("double")
-        members.append(F.when((x >= s["lo"]) & (x <= s["hi"]),
-                              F.struct(F.lit(k).alias("k"), x.alias("value"))))
-    long = df.select(F.inline(F.filter(F.array(*members), lambda e: e.isNotNull())))
+        members.append(F.struct(F.lit(k).alias("k"), F.when((x >= s["lo"]) & (x <= s["hi"]), x).alias("value")))
+    long = df.select(F.inline(F.array(*members))).where(F.col("value").isNotNull())
     per_value = long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("cnt"))
     meta = spark.createDataFrame(
         [(k, s["c"], s["p"], s["below"], s["r0"], s["r1"], s["n"]) for k, s in enumerate(live)],

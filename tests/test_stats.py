@@ -64,7 +64,7 @@ def test_bracketed_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     # force the bracket-refinement path with a tiny direct limit
-    got = quantiles.quantiles(df, ["a", "b"], probs, direct_limit=200, accuracy=100).collect()
+    got = quantiles.quantiles(df, ["a", "b"], probs, direct_limit=200, buckets=8).collect()
     for r in got:
         ref = np.percentile(a if r["column_name"] == "a" else b, r["prob"] * 100)
         assert _close(r["value"], float(ref), 1e-12), (r, ref)
@@ -114,6 +114,6 @@ def test_quantiles_mixed_paths_and_packing(spark):
             assert _close(got[(c, p)], float(np.percentile(pdf[c], p * 100)), 1e-12)
     # limit 1000: every column takes the bracket path
     got2 = {(r["column_name"], r["prob"]): r["value"]
-            for r in quantiles.quantiles(df, ["big", "s1"], [0.3], direct_limit=1000, accuracy=50).collect()}
+            for r in quantiles.quantiles(df, ["big", "s1"], [0.3], direct_limit=1000, buckets=4).collect()}
     assert _close(got2[("big", 0.3)], float(np.percentile(big, 30)), 1e-12)
     assert _close(got2[("s1", 0.3)], float(np.percentile(pdf["s1"], 30)), 1e-12)
