@@ -21,7 +21,8 @@ Plan:
   groups the in-bracket values by value (map-side combined, so a hot value
   costs one row per task) and walks their running counts in a window that
   is partitioned per (column, quantile) and bounded by ``direct_limit``.
-  (A bracket with an infinite end is left to that selection as it is.)
+  Columns holding -inf / +inf get one extra pass that counts them and
+  finds the finite min / max, so every bracket starts finite.
 
 Only O(columns x quantiles) literals reach the driver; no data row does.
 """
@@ -104,9 +105,9 @@ def _bracketed(df, cols, probs, stats, direct_limit, buckets) -> DataFrame:
             h = (n - 1) * p
             st.append(dict(c=c, p=p, n=n, r0=int(math.floor(h)), r1=int(math.ceil(h)),
                            lo=stats[f"lo{i}"], hi=stats[f"hi{i}"], below=0, inside=n, done=False))
+    _finite_brackets(df, st)
     while True:
-        # (infinite ends or a sub-normal width leave the bracket to the
-        # exact selection as it is)
+        # (a sub-normal width leaves the bracket to the exact selection)
         todo = [s for s in st if s["n"] > 0 and "v0" not in s and s["inside"] > direct_limit
                 and s["lo"] < s["hi"] and math.isfinite(s["hi"] - s["lo"]) and (s["hi"] - s["lo"]) / buckets > 0]
         if not todo:
@@ -155,6 +156,45 @@ def _bracketed(df, cols, probs, stats, direct_limit, buckets) -> DataFrame:
     return _select(df, st, spark)
 
 
+def _finite_brackets(df, st) -> None:
+    """Columns with an infinite min or max: one pass counts the -inf / +inf
+    values and finds the finite min / max, so every bracket starts finite.
+    Ranks inside the infinite runs are pinned at once."""
+    cols = list(dict.fromkeys(s["c"] for s in st if s["n"] > 0 and not math.isfinite(s["hi"] - s["lo"])))
+    if not cols:
+        return
+    inf = float("inf")
+    aggs = []
+    for i, c in enumerate(cols):
+        x = qcol(c).cast("double")
+        fin = F.when((x > -inf) & (x < inf), x)
+        aggs += [F.count_if(x == -inf).alias(f"neg{i}"), F.count_if(x == inf).alias(f"pos{i}"),
+                 F.min(fin).alias(f"fmin{i}"), F.max(fin).alias(f"fmax{i}")]
+    r = df.agg(*aggs).first()
+    for s in st:
+        if s["n"] == 0 or s["c"] not in cols:
+            continue
+        i = cols.index(s["c"])
+        neg, pos, fmin, fmax = r[f"neg{i}"], r[f"pos{i}"], r[f"fmin{i}"], r[f"fmax{i}"]
+        nfin = s["n"] - neg - pos
+
+        def at(rank):  # the value at a rank inside an infinite run, else None
+            if rank < neg:
+                return -inf
+            if rank >= neg + nfin:
+                return inf
+            return None
+        v0, v1 = at(s["r0"]), at(s["r1"])
+        if v0 is not None and v1 is None:
+            v1 = fmin  # r1 = r0 + 1 is the first finite value
+        elif v0 is None and v1 is not None:
+            v0 = fmax  # r0 = r1 - 1 is the last finite value
+        if v0 is not None:
+            s.update(v0=v0, v1=v1)
+        else:
+            s.update(lo=fmin, hi=fmax, below=neg, inside=nfin)
+
+
 def _select(df, st, spark) -> DataFrame:
     """Exact selection of ranks r0 / r1 inside each (bounded) bracket."""
     live = [s for s in st if s["n"] > 0 and "v0" not in s]
@@ -162,7 +202,8 @@ def _select(df, st, spark) -> DataFrame:
     for s in st:
         if "v0" in s:  # both ranks already pinned by a histogram pass
             h = (s["n"] - 1) * s["p"]
-            rows.append((s["c"], s["p"], s["v0"] + (h - math.floor(h)) * (s["v1"] - s["v0"])))
+            v = s["v0"] if s["v0"] == s["v1"] else s["v0"] + (h - math.floor(h)) * (s["v1"] - s["v0"])
+            rows.append((s["c"], s["p"], v))
     empty = spark.createDataFrame(rows, "column_name string, prob double, value double")
     if not live:
         return empty

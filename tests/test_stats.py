@@ -117,3 +117,18 @@ def test_quantiles_mixed_paths_and_packing(spark):
             for r in quantiles.quantiles(df, ["big", "s1"], [0.3], direct_limit=1000, buckets=4).collect()}
     assert _close(got2[("big", 0.3)], float(np.percentile(big, 30)), 1e-12)
     assert _close(got2[("s1", 0.3)], float(np.percentile(pdf["s1"], 30)), 1e-12)
+
+
+def test_bracketed_quantiles_with_infinities(spark):
+    rng = np.random.default_rng(3)
+    inf = float("inf")
+    vals = [-inf] * 40 + [inf] * 25 + list(rng.normal(0, 1, 900)) + [2.5] * 300
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    probs = [0.0, 0.02, 0.0405, 0.1, 0.5, 0.9, 0.98, 1.0]
+    got = {r["prob"]: r["value"] for r in quantiles.quantiles(df, ["x"], probs, direct_limit=50, buckets=8).collect()}
+    srt = sorted(vals)
+    for p in probs:
+        h = (len(srt) - 1) * p
+        a, b = srt[int(np.floor(h))], srt[int(np.ceil(h))]
+        want = a if a == b else a + (h - np.floor(h)) * (b - a)
+        assert got[p] == want or _close(got[p], want, 1e-12), (p, got[p], want)
