@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tabprofile.llm.chunked import worker_encoder
 from tabprofile.llm.common import shared_path, slices, stored, texts
 
-FRAME, CHECK, HEAD, PAIR = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qII"), struct.Struct("<QQ")
+FRAME, CHECK, HEAD, PAIR = "<QI", "<I", "<qII", "<QQ"  # length and its checksum; checksum; payload head; index entry
 NO_ID = -2**63
 MANIFEST = "path string, first_id long, records long, tokens long, bytes long"
 
@@ -51,18 +51,18 @@ def masked(data: bytes) -> int:
 
 def frame(payload: bytes) -> bytes:
     size = struct.pack("<Q", len(payload))
-    return size + CHECK.pack(masked(size)) + payload + CHECK.pack(masked(payload))
+    return size + struct.pack(CHECK, masked(size)) + payload + struct.pack(CHECK, masked(payload))
 
 
 def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     """The payload of the frame at ``at`` and where the next one begins."""
     if len(data) < at + 12:
         raise CorruptRecord(f"record at {at} is cut off")
-    size, check = FRAME.unpack_from(data, at)
+    size, check = struct.unpack_from(FRAME, data, at)
     if masked(data[at:at + 8]) != check:
         raise CorruptRecord(f"length at {at} is damaged")
     payload, end = data[at + 12:at + 12 + size], at + 16 + size
-    if len(data) < end or masked(payload) != CHECK.unpack_from(data, end - 4)[0]:
+    if len(data) < end or masked(payload) != struct.unpack_from(CHECK, data, end - 4)[0]:
         raise CorruptRecord(f"payload at {at} is damaged")
     return payload, end
 
@@ -81,14 +81,14 @@ def record_of(doc_id, ids: bytes, width: int) -> bytes:
     n = len(ids) // 4
     if width == 2:
         ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-    return HEAD.pack(NO_ID if doc_id is None else doc_id, n, width) + ids
+    return struct.pack(HEAD, NO_ID if doc_id is None else doc_id, n, width) + ids
 
 
 def ids_of(payload: bytes):
     """(doc_id, ids as a uint32 array) of a payload."""
     import numpy as np
-    doc_id, n, width = HEAD.unpack_from(payload)
-    return (None if doc_id == NO_ID else doc_id), np.frombuffer(payload, f"<u{width}", n, HEAD.size).astype("<u4")
+    doc_id, n, width = struct.unpack_from(HEAD, payload)
+    return (None if doc_id == NO_ID else doc_id), np.frombuffer(payload, f"<u{width}", n, struct.calcsize(HEAD)).astype("<u4")
 
 
 def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -124,7 +124,7 @@ def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: st
                     for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
                         out = frame(record_of(doc_id, ids + end, width))
                         data.write(out)
-                        index.write(PAIR.pack(at, len(out)))
+                        index.write(struct.pack(PAIR, at, len(out)))
                         at, records, tokens = at + len(out), records + 1, tokens + len(ids) // 4 + 1
         finally:
             for f in (data, index):
@@ -164,7 +164,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 at, out = row["start"], []
                 with store.open_input_stream(f"{path}.rec") as f:
                     while head := f.read(12):
-                        size = FRAME.unpack(head)[0] if len(head) == 12 and masked(head[:8]) == FRAME.unpack(head)[1] else 0
+                        size = struct.unpack(FRAME, head)[0] if len(head) == 12 and masked(head[:8]) == struct.unpack(FRAME, head)[1] else 0
                         payload, _ = unframe(head + f.read(size + 4))
                         doc_id, ids = ids_of(payload)
                         out.append((doc_id, at, ids.tobytes()))
