@@ -28,7 +28,7 @@ from tabprofile.llm.common import shared_path, slices, stored
 
 WHITE = r"[ \t\n\x0B\f\r]"
 #: elements whose content isn't text, and elements that end a line
-SILENT = ["script", "style", "noscript", "template", "svg", "head"]
+SILENT = ["script", "style", "noscript", "template", "svg", "head", "title"]
 LINES = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|"
          "main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul")
 STEPS = [(r"(?s)<!--.*?-->", " "), *[(rf"(?is)<{e}\b[^>]*>.*?</{e}{WHITE}*>", " ") for e in SILENT],
