@@ -13,6 +13,7 @@ driver.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,6 @@ from pyspark.sql import functions as F
 from tabprofile.roles import qcol
 
 SUM_CHUNK = 120  # sum aggregates per fused pass (keeps generated methods JIT-sized)
-# Above this many pairs the SQL sums would need many passes; the Gram path
-# computes every pair's sums in one pass with matrix products per Arrow batch.
-GRAM_MIN_PAIRS = 300
 
 
 @dataclass
@@ -151,7 +149,7 @@ def gram_sums(df: DataFrame, cols: list[str], facts: Facts) -> dict:
 
 
 def _r(n, sa, sb, saa, sbb, sab):
-    if not n or sab is None:
+    if not n or sab is None or not all(map(math.isfinite, (sa, sb, saa, sbb, sab))):
         return None
     caa, cbb, cab = saa - sa * sa / n, sbb - sb * sb / n, sab - sa * sb / n
     # a side that is constant over the complete pairs leaves only rounding noise
@@ -160,54 +158,19 @@ def _r(n, sa, sb, saa, sbb, sab):
     return cab / (caa * cbb) ** 0.5
 
 
-def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], facts: Facts, method: str = "auto") -> dict:
-    """Pearson r over pairwise-complete rows for every ``(a, b)`` pair; ``None``
-    where a side is constant over those rows or no pair is complete.
-
-    ``sums`` (default below ``GRAM_MIN_PAIRS`` pairs): two complete columns
-    share their per-column sums and need one ``sum(da * db)``; pairs with a
-    gappy side carry their own masked count and sums.  ``gram`` (wide tables):
-    :func:`gram_sums`, one pass for all pairs."""
-    if method == "gram" or (method == "auto" and len(pairs) >= GRAM_MIN_PAIRS):
-        cols = list(dict.fromkeys(c for p in pairs for c in p))
-        g = gram_sums(df, cols, facts)
-        out = {}
-        for a, b in pairs:
-            if facts.constant(a) or facts.constant(b):
-                out[(a, b)] = None
-                continue
-            n, sa, sb, saa, sbb, sab = g[(a, b)] if (a, b) in g else (lambda t: (t[0], t[2], t[1], t[4], t[3], t[5]))(g[(b, a)])
-            out[(a, b)] = _r(n, sa, sb, saa, sbb, sab)
-        return out
-    named, seen = [], set()
-    for a, b in pairs:
-        if facts.complete(a) and facts.complete(b):
-            for c in (a, b):
-                if c not in seen:
-                    seen.add(c)
-                    d = _d(c, facts)
-                    named += [(f"c1|{c}", F.sum(d)), (f"c2|{c}", F.sum(d * d))]
-            named.append((f"xy|{a}|{b}", F.sum(_d(a, facts) * _d(b, facts))))
-        else:
-            both = qcol(a).isNotNull() & qcol(b).isNotNull()
-            da, db = F.when(both, _d(a, facts)), F.when(both, _d(b, facts))
-            named += [(f"n|{a}|{b}", F.count_if(both)), (f"a1|{a}|{b}", F.sum(da)), (f"b1|{a}|{b}", F.sum(db)),
-                      (f"a2|{a}|{b}", F.sum(da * da)), (f"b2|{a}|{b}", F.sum(db * db)),
-                      (f"xy|{a}|{b}", F.sum(da * db))]
-    # aliases must be plain identifiers
-    alias = {n: f"v{i}" for i, (n, _) in enumerate(named)}
-    raw = _one_row(_chunked_row(df, [(alias[n], e) for n, e in named])) if named else {}
-    s = {n: raw[alias[n]] for n, _ in named}
+def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], facts: Facts) -> dict:
+    """Pearson r over pairwise-complete rows for every ``(a, b)`` pair; ``None`` where a
+    side is constant over those rows, holds an infinity, or no pair is complete.  One pass
+    for any number of pairs (:func:`gram_sums`)."""
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    g = gram_sums(df, cols, facts) if pairs else {}
     out = {}
     for a, b in pairs:
-        if facts.constant(a) or facts.constant(b):
+        if a == b:
+            out[(a, b)] = None if facts.constant(a) else 1.0
+        elif facts.constant(a) or facts.constant(b):
             out[(a, b)] = None
-            continue
-        if facts.complete(a) and facts.complete(b):
-            n = facts.rows
-            sa, sb, saa, sbb = s[f"c1|{a}"], s[f"c1|{b}"], s[f"c2|{a}"], s[f"c2|{b}"]
         else:
-            n = s[f"n|{a}|{b}"]
-            sa, sb, saa, sbb = s[f"a1|{a}|{b}"], s[f"b1|{a}|{b}"], s[f"a2|{a}|{b}"], s[f"b2|{a}|{b}"]
-        out[(a, b)] = _r(n, sa, sb, saa, sbb, s[f"xy|{a}|{b}"])
+            n, sa, sb, saa, sbb, sab = g[(a, b)] if (a, b) in g else (lambda t: (t[0], t[2], t[1], t[4], t[3], t[5]))(g[(b, a)])
+            out[(a, b)] = _r(n, sa, sb, saa, sbb, sab)
     return out

@@ -97,12 +97,12 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def crosstab_wide(df: DataFrame, a: str, b: str, max_columns: int = 1000) -> DataFrame:
-    """A17 wide form: one row per ``a`` value, one column per ``b`` value
-    (missing cells 0).  The pivot width is checked first."""
-    levels = [r[0] for r in df.select(qcol(b).cast("string")).where(qcol(b).isNotNull()).distinct()
-              .limit(max_columns + 1).collect()]
-    if len(levels) > max_columns:
+def crosstab_wide(df: DataFrame, a: str, b: str, max_columns: int | None = None) -> DataFrame:
+    """A17 wide form: one row per ``a`` value, one column per ``b`` value (missing cells 0).
+    The levels become columns, so the driver holds them; ``max_columns`` can bound that."""
+    names = df.select(qcol(b).cast("string")).where(qcol(b).isNotNull()).distinct()
+    levels = [r[0] for r in (names if max_columns is None else names.limit(max_columns + 1)).collect()]
+    if max_columns is not None and len(levels) > max_columns:
         raise ValueError(f"{b} has more than {max_columns} levels; use crosstab() (long form)")
     t = crosstab(df, a, b)
     return t.groupBy("a_value").pivot("b_value", sorted(levels)).agg(F.first("count")).na.fill(0)

@@ -1,11 +1,9 @@
 """The numbers behind the reference's charts (C1-C18); drawing is not built.
 
-Histograms are one grouping on a computed bin index (the 30-bin grid is a
-fixed-size table).  The density curve is an exact Gaussian kernel sum: every
-value contributes to each of the fixed 100 grid points through an
-``explode`` of a generated 100-element sequence, and the partial aggregate
-folds those contributions per task before the shuffle, so the shuffle
-carries 100 rows per task whatever the data size.
+Histograms of any number of columns are one grouping on computed bin indices
+(the 30-bin grid is a fixed-size table).  The density curve is an exact
+Gaussian kernel sum: 100 sums, one a grid point, in chunked aggregates, so
+no row is copied and every task sends one row.
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from tabprofile.roles import ColumnRoles, normalize, qcol
 
 BINS = 30
 KDE_POINTS = 100
+KDE_CHUNK = 50  # sums a pass, for methods the JIT takes
 
 
 def _range(df: DataFrame, col: str):
@@ -28,31 +27,54 @@ def _range(df: DataFrame, col: str):
     return r["lo"], r["hi"], r["n"], r["sd"], r["mean"]
 
 
-def histogram(df: DataFrame, col: str, bins: int = BINS, coerce: bool = False) -> DataFrame:
-    """``(bin, bin_start, bin_end, count, density)`` with
-    ``bins`` equal-width bins over ``[min, max]``; the last bin is closed on
-    the right.  A single-valued column uses ``[v - 0.5, v + 0.5]``.  With
-    ``coerce`` non-numeric text becomes missing first.  Empty input -> no rows."""
+HISTOGRAM = "bin int, bin_start double, bin_end double, count long, density double"
+
+
+def _bin(x, lo: float, hi: float, bins: int):
+    """The bin of a value as NumPy finds it: computed, then corrected by the real edges."""
+    step = (hi - lo) / bins
+
+    def edge(i):
+        return F.when(i == bins, F.lit(hi)).otherwise(i * F.lit(step) + F.lit(lo))
+    i = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)).cast("int"), F.lit(bins - 1))
+    return F.when(x < edge(i), i - 1).when((x >= edge(i + 1)) & (i < bins - 1), i + 1).otherwise(i)
+
+
+def histograms(df: DataFrame, cols: list[str], bins: int = BINS) -> DataFrame:
+    """``(column_name, bin, bin_start, bin_end, count, density)`` of all columns:
+    one pass for the ranges, one for the counts.  ``bins`` equal-width bins over
+    ``[min, max]``, the last closed on the right; a single-valued column uses
+    ``[v - 0.5, v + 0.5]``; infinities have no bin; a column without values no rows."""
+    from tabprofile.functions.moments import column_facts
+    from tabprofile.operators.stats import _chunks
     spark = df.sparkSession
+    finite = normalize(df.select(*[qcol(c) for c in cols]))
+    finite = finite.select(*[F.when(F.abs(qcol(c)) < float("inf"), qcol(c).cast("double")).alias(c) for c in cols])
+    facts = column_facts(finite, cols)
+    ranges = {c: (facts.min[c], facts.max[c]) for c in cols if facts.count[c]}
+    ranges = {c: (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi) for c, (lo, hi) in ranges.items()}
+    if not ranges:
+        return spark.createDataFrame([], "column_name string, " + HISTOGRAM)
+    parts = None
+    for chunk in _chunks(list(ranges), 40):
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _bin(qcol(c), *ranges[c], bins).alias("bin")) for c in chunk])
+        part = finite.select(F.inline(cells)).where(F.col("bin").isNotNull()).groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("c"))
+        parts = part if parts is None else parts.unionByName(part)
+    meta = spark.createDataFrame([(c, float(lo), float(hi), facts.count[c]) for c, (lo, hi) in ranges.items()],
+                                 "column_name string, lo double, hi double, n long")
+    grid = meta.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))  # bins rows a column
+    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    return grid.join(parts, ["column_name", "bin"], "left").select(
+        "column_name", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"), (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"),
+        F.coalesce("c", F.lit(0)).cast("long").alias("count"), (F.coalesce("c", F.lit(0)) / (F.col("n") * width)).alias("density"))
+
+
+def histogram(df: DataFrame, col: str, bins: int = BINS, coerce: bool = False) -> DataFrame:
+    """:func:`histograms` of one column, without its name.  With ``coerce``
+    non-numeric text becomes missing first."""
     if coerce:
-        df = df.select(F.expr(f"try_cast(`{col}` AS DOUBLE)").alias(col))
-    df = normalize(df.select(qcol(col)))
-    lo, hi, n, _, _ = _range(df, col)
-    if not n:
-        return spark.createDataFrame([], "bin int, bin_start double, bin_end double, count long, density double")
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    width = (hi - lo) / bins
-    x = qcol(col).cast("double")
-    b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)).cast("int"), F.lit(bins - 1))
-    counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (F.broadcast(grid).join(counts, "bin", "left")  # grid: `bins` rows
-            .select("bin",
-                    (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"),
-                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
-                    F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-            .withColumn("density", F.col("count") / F.lit(n * width)))
+        df = df.select(F.expr("try_cast(`" + col.replace("`", "``") + "` AS DOUBLE)").alias(col))
+    return histograms(df, [col], bins).drop("column_name")
 
 
 def kde(df: DataFrame, col: str, points: int = KDE_POINTS, bins: int | None = None) -> DataFrame:
@@ -60,8 +82,7 @@ def kde(df: DataFrame, col: str, points: int = KDE_POINTS, bins: int | None = No
     ``[min, max]`` with Scott's bandwidth ``h = std * n^(-1/5)``.
     ``(point, x, density)``; empty when fewer than two values or no spread.
 
-    Exact by default: every value meets every grid point (100 kernel
-    evaluations per row, folded per task before the shuffle).  With ``bins``
+    Exact by default: every value meets every grid point, as 100 sums.  With ``bins``
     the values are first counted into ``bins`` equal-width bins (one grouping)
     and the kernel runs over the bin centres weighted by their counts: work
     after the grouping no longer grows with the rows, and each value moves at
@@ -86,12 +107,15 @@ def kde(df: DataFrame, col: str, points: int = KDE_POINTS, bins: int | None = No
         norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
         return (contrib.groupBy("point").agg(F.sum("k").alias("s"))
                 .select("point", g.alias("x"), (F.col("s") * F.lit(norm)).alias("density")))
-    contrib = (df.where(x.isNotNull())
-               .select(x.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-               .select("point", F.exp(F.lit(-0.5) * F.pow((g - F.col("v")) / F.lit(h), 2)).alias("k")))
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    return (contrib.groupBy("point").agg(F.sum("k").alias("s"))
-            .select("point", g.alias("x"), (F.col("s") * F.lit(norm)).alias("density")))
+    out = None
+    for first in range(0, points, KDE_CHUNK):
+        at = {p: lo + p * step for p in range(first, min(points, first + KDE_CHUNK))}
+        sums = df.agg(*[F.sum(F.exp(F.lit(-0.5) * F.pow((F.lit(v) - x) / F.lit(h), 2))).alias(f"s{p}") for p, v in at.items()])
+        part = sums.select(F.inline(F.array(*[F.struct(F.lit(p).alias("point"), F.lit(v).alias("x"),
+                                                       (F.col(f"s{p}") * F.lit(norm)).alias("density")) for p, v in at.items()])))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def distribution_markers(df: DataFrame, col: str) -> DataFrame:
@@ -116,7 +140,7 @@ def dtype_shares(df: DataFrame) -> DataFrame:
     return type_counts(df)
 
 
-def chart_data(df: DataFrame, target: str | None = None, max_numeric: int = 6) -> dict:
+def chart_data(df: DataFrame, target: str | None = None) -> dict:
     """All chart tables in one call, as a dict of lazy DataFrames.
     Sections without data are left out."""
     from tabprofile.operators import categorical, multivariate, quality, relate, stats
@@ -126,8 +150,9 @@ def chart_data(df: DataFrame, target: str | None = None, max_numeric: int = 6) -
            "issues": quality.issue_bars(df), "missing_matrix": quality.missing_matrix(df)}
     miss = quality.missing_ranked(df, ascending=True)
     out["missing_counts"] = miss
-    for c in roles.numeric[:max_numeric]:
-        out[f"histogram:{c}"] = histogram(df, c)
+    if roles.numeric:
+        out["histograms"] = histograms(df, roles.numeric)  # every numeric column, one pass
+    for c in roles.numeric:
         out[f"kde:{c}"] = kde(df, c)
     if roles.categorical:
         out["top_values"] = categorical.top_values(df, roles.categorical)

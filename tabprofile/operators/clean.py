@@ -6,22 +6,22 @@ O(columns) facts (which columns are empty, narrowing plan, fill values).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprofile.operators.quantiles import quantiles
-from tabprofile.roles import ColumnRoles, normalize, qcol
+from tabprofile.roles import ColumnRoles, nan_to_null, normalize, qcol
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Drop rows whose every cell is missing (NaN included)."""
-    return normalize(df).na.drop(how="all")
+    return nan_to_null(df).na.drop(how="all")
 
 
 def empty_columns(df: DataFrame) -> list[str]:
     """Columns without any non-missing value (all columns of an empty table)."""
-    df = normalize(df)
+    df = nan_to_null(df)
     row = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     return [c for i, c in enumerate(df.columns) if not row[f"n{i}"]]
 
@@ -34,25 +34,61 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame) -> DataFrame:
     """Drop duplicate rows (the kept copy is identical, so keep-first is moot)."""
-    return normalize(df).dropDuplicates()
+    return nan_to_null(df).dropDuplicates()
+
+
+COPY_BLOCK = 4096
+KEY_BUCKETS = 16 ** 4  # by the first four hex digits of a row's key
+
+
+def with_copies(df: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
+    """``df`` with ``__copy``: NULL for the first of equal rows, then 1, 2, ...
+
+    Equal rows can't be told apart, so they are counted (combined in each task) and
+    written out again with numbers, in blocks spread over the tasks; a row repeated a
+    billion times is never one group.  With ``key_cols``, which must identify a row,
+    there is nothing to number."""
+    if key_cols:
+        return df.withColumn("__copy", F.lit(None).cast("long"))
+    same = df.groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = same.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / COPY_BLOCK).cast("int"))))
+    spread = blocks.repartition(*[qcol(c) for c in df.columns], "__b")
+    number = F.explode(F.sequence(F.col("__b").cast("long") * COPY_BLOCK,
+                                  F.least(F.col("__n") - 1, (F.col("__b").cast("long") + 1) * COPY_BLOCK - 1)))
+    return spread.withColumn("__copy", number).withColumn("__copy", F.when(F.col("__copy") > 0, F.col("__copy"))).drop("__n", "__b")
 
 
 def sample_key(df: DataFrame, seed: int = 42, key_cols: list[str] | None = None):
-    """Deterministic per-row sort key: md5 of the ``|``-joined key columns and
-    the seed.  Independent of partitioning and task order."""
-    cols = key_cols or df.columns
-    return F.md5(F.concat_ws("|", *[qcol(c).cast("string") for c in cols], F.lit(str(seed))))
+    """Deterministic per-row sort key: md5 of the ``|``-joined key columns, the seed
+    and the copy number (:func:`with_copies`) if any.  Independent of partitioning and
+    task order."""
+    cols = key_cols or [c for c in df.columns if c != "__copy"]
+    copy = [F.col("__copy").cast("string")] if "__copy" in df.columns else []
+    return F.md5(F.concat_ws("|", *[qcol(c).cast("string") for c in cols], F.lit(str(seed)), *copy))
+
+
+def key_bucket(key: str):
+    return F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement, reproducible for a
-    given seed: the ``n`` smallest hash keys (ties by the key columns).  Runs
-    as a distributed top-n (each task keeps ``n`` rows, the final merge sees
-    ``n`` per task); the row cap is the operator itself."""
+    """Exactly ``min(n, rows)`` rows without replacement, reproducible for a given
+    seed: the ``n`` smallest hash keys.  Equal rows have keys of their own, so each is
+    as likely as any other row; ``key_cols`` that identify a row save their numbering.
+
+    Rows are counted by key bucket (65,536 counts); buckets wholly below the limit are
+    taken as they are, and only the one that crosses it is sorted."""
     cols = key_cols or df.columns
-    key = sample_key(df, seed, cols)
-    return (df.withColumn("__k", key).orderBy(F.col("__k"), *[qcol(c) for c in cols]).limit(n)
-            .drop("__k"))
+    keyed = with_copies(df, key_cols)
+    keyed = keyed.withColumn("__k", sample_key(keyed, seed, key_cols)).withColumn("__h", key_bucket("__k"))
+    w = Window.orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)  # over the counts
+    upto = keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(w))
+    edge = upto.where(F.col("upto") >= n).orderBy("__h").first()
+    if edge is None:
+        return keyed.select(*[qcol(c) for c in df.columns])
+    below = keyed.where(F.col("__h") < edge["__h"])
+    rest = keyed.where(F.col("__h") == edge["__h"]).orderBy("__k", *[qcol(c) for c in cols]).limit(n - edge["upto"] + edge["c"])
+    return below.unionByName(rest).orderBy("__k", *[qcol(c) for c in cols]).select(*[qcol(c) for c in df.columns])
 
 
 def cap_columns(df: DataFrame, max_cols: int, target: str | None = None) -> DataFrame:
@@ -112,12 +148,12 @@ def narrow_types(df: DataFrame) -> DataFrame:
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     """Rows with a present target."""
-    return normalize(df).na.drop(subset=[target])
+    return nan_to_null(df).na.drop(subset=[target])
 
 
 def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """P10: rows where every given (default: numeric) column is present."""
-    df = normalize(df)
+    df = nan_to_null(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
     return df.select(*[qcol(c) for c in cols]).na.drop("any")
 
@@ -137,7 +173,7 @@ def fill_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     roles = ColumnRoles.of(df)
     cols = df.columns if cols is None else cols
     num = [c for c in cols if roles.roles[c] == "numeric"]
-    cat = [c for c in cols if roles.roles[c] in ("categorical", "boolean")]
+    cat = [c for c in cols if roles.roles[c] in ("categorical", "boolean", "datetime")]
     spark = df.sparkSession
     parts = []
     if num:
@@ -160,15 +196,23 @@ def fill_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def impute(df: DataFrame, cols: list[str] | None = None, fills: DataFrame | None = None) -> DataFrame:
     """D-f: fill missing cells with :func:`fill_values` (computed on ``df`` or
-    given, e.g. fitted on training rows only)."""
-    df = normalize(df)
+    given, e.g. fitted on training rows only).  Types stay, but an integer or
+    decimal column whose median isn't one of its values' type becomes double."""
+    df = nan_to_null(df)
     f = fill_values(df, cols) if fills is None else fills
     lit = {r["column_name"]: r["fill_value"] for r in f.collect()}  # O(columns)
     out = []
     for fld in df.schema.fields:
         v = lit.get(fld.name)
         c = qcol(fld.name)
-        out.append(F.coalesce(c, F.lit(v).cast(fld.dataType)).alias(fld.name) if v is not None else c)
+        if v is None:
+            out.append(c)
+        elif isinstance(fld.dataType, (T.IntegralType, T.DecimalType)):
+            kind = fld.dataType if float(v).is_integer() and isinstance(fld.dataType, T.IntegralType) else T.DoubleType()
+            fill = F.lit(float(v)).cast(kind)
+            out.append(F.coalesce(c.cast(kind), fill).alias(fld.name))
+        else:
+            out.append(F.coalesce(c, F.lit(v).cast(fld.dataType)).alias(fld.name))
     return df.select(*out)
 
 

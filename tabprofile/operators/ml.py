@@ -1,7 +1,7 @@
 """Baseline random-forest model and its metrics.
 
 An MLlib pipeline: split (stratified for classes) -> fill values fitted on
-the training rows -> rare categories folded into one level -> StringIndexer
+the training rows -> StringIndexer
 (unknown kept) + OneHotEncoder (the unknown slot dropped, so an unseen
 category is the zero vector) -> VectorAssembler -> RandomForest with
 balanced class weights.  Metrics come from MLlib evaluators or plain
@@ -35,9 +35,7 @@ from tabprofile.session import ensure_checkpoint_dir
 
 # Fixed values that must equal the reference's: forest sizes and guards.
 TREES_OFFLINE = 100
-TREES_WEB = 160
 MIN_ROWS_OFFLINE = 10
-MIN_ROWS_WEB = 20
 STRATIFY_MAX_CLASSES = 20
 
 
@@ -63,13 +61,13 @@ def _feature_plan(df: DataFrame, target: str):
     return num, cat
 
 
-def _fold_rare(train: DataFrame, df_all: list[DataFrame], cat: list[str], max_categories: int):
-    """Keep the ``max_categories`` most frequent levels of each categorical
+def _fold_rare(train: DataFrame, df_all: list[DataFrame], cat: list[str], max_categories: int | None):
+    """All levels, or (an option) the ``max_categories`` most frequent levels of each categorical
     column (by training counts, ties to the smaller value); others become
     ``__other__``.  The kept-level table has at most columns x max_categories
     rows."""
-    if not cat:
-        return df_all
+    if not cat or max_categories is None:
+        return [d.select(*[qcol(c).cast("string").alias(c) if c in cat else qcol(c) for c in d.columns]) for d in df_all]
     counts = value_counts(train, cat)
     w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value"))
     keep = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_categories)
@@ -92,7 +90,7 @@ def _fold_rare(train: DataFrame, df_all: list[DataFrame], cat: list[str], max_ca
 
 def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE, max_depth: int = 12,
                    min_rows: int = MIN_ROWS_OFFLINE, seed: int = 42, test_fraction: float = 0.2,
-                   max_categories: int = 100, cv_folds: int = 0, task: str | None = None) -> ModelResult:
+                   max_categories: int | None = None, cv_folds: int = 0, task: str | None = None) -> ModelResult:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if target not in df.columns:
@@ -131,7 +129,9 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
         vec_inputs.append(f"{c}__oh")
     stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features", handleInvalid="keep"))
     if task == "classification":
-        stages.insert(0, StringIndexer(inputCol="__y", outputCol="label", stringOrderType="alphabetAsc"))
+        # labels of all rows, so that a class of test rows alone has a code, too
+        coder = StringIndexer(inputCol="__y", outputCol="label", stringOrderType="alphabetAsc").fit(df)
+        stages.insert(0, coder)
         weights = split.class_weights(train, "__y").select(F.col("class").alias("__y"), "weight")
         train = train.join(weights, "__y")  # one row per class
         model_stage = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed,
@@ -153,21 +153,22 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
     rows = [("train_size", float(n_train)), ("test_size", float(n_test)),
             ("numeric_features", float(len(num))), ("categorical_features", float(len(cat))),
             ("final_feature_count", float(forest.numFeatures)), ("n_estimators", float(num_trees)),
-            ("max_depth", float(max_depth)), ("random_state", float(seed))]
+            ("max_depth", float(max_depth)), ("random_state", float(seed)),
+            ("max_bins", float(forest.getOrDefault("maxBins"))), ("min_instances_per_node", float(forest.getOrDefault("minInstancesPerNode"))),
+            ("subsampling_rate", float(forest.getOrDefault("subsamplingRate")))]
     if task == "classification":
         ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction")
         for name, metric in [("accuracy", "accuracy"), ("precision", "weightedPrecision"),
                              ("recall", "weightedRecall"), ("f1", "f1")]:
             rows.append((name, float(ev.setMetricName(metric).evaluate(pred))))
-        labels = model.stages[0].labels
+        labels = coder.labels
         if len(labels) == 2:
             auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
                                                 metricName="areaUnderROC").evaluate(pred)
             rows.append(("roc_auc", float(auc)))
-        conf = (pred.groupBy("__y", "prediction").agg(F.count(F.lit(1)).alias("count"))
-                .select(F.col("__y").alias("label"),
-                        F.element_at(F.array(*[F.lit(x) for x in labels]),
-                                     F.col("prediction").cast("int") + 1).alias("prediction"), "count"))
+        conf = confusion_matrix(pred.select(F.col("__y").alias("label"), F.element_at(
+            F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1).alias("prediction")), labels)
+        rows += [(f"class_count:{r['__y']}", float(r["count"])) for r in df.groupBy("__y").count().orderBy("__y").collect()]
         if cv_folds and cv_folds > 1:
             rows += _cross_validate(parts.drop("split"), stages[:-1], model_stage, cv_folds, seed, num, cat,
                                     max_categories)
@@ -214,23 +215,28 @@ def _cross_validate(data, prep_stages, model_stage, k, seed, num, cat, max_categ
     return [("cv_accuracy_mean", mean), ("cv_accuracy_std", std)]
 
 
-def onehot_plan(df: DataFrame, cols: list[str] | None = None, max_categories: int = 100) -> DataFrame:
-    """M4: ``(column_name, levels, kept, vector_size)`` per categorical column:
-    distinct levels, levels kept (the most frequent ``max_categories``, the
-    rest folded into one ``__other__`` level) and the one-hot width (an
-    unseen level maps to the zero vector, so it adds no slot)."""
+def onehot_plan(df: DataFrame, cols: list[str] | None = None, max_categories: int | None = None) -> DataFrame:
+    """M4: ``(column_name, levels, kept, vector_size)`` per categorical column: distinct
+    levels, levels kept (all, or the most frequent ``max_categories``, the rest folded into
+    one ``__other__`` level) and the one-hot width (an unseen level maps to the zero vector,
+    so it adds no slot)."""
     cols = [c for c in df.columns if ColumnRoles.of(df).roles[c] in ("categorical", "boolean")] if cols is None else cols
     counts = value_counts(df, cols)
     per = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("levels"))
-    kept = F.least(F.col("levels"), F.lit(max_categories))
-    other = (F.col("levels") > max_categories).cast("long")
+    kept = F.col("levels") if max_categories is None else F.least(F.col("levels"), F.lit(max_categories))
     return per.select("column_name", F.col("levels").cast("long").alias("levels"), kept.cast("long").alias("kept"),
-                      (kept + other).cast("long").alias("vector_size"))
-
-
-def confusion_matrix(pred: DataFrame) -> DataFrame:
-    """M9 on any prediction table: ``(label, prediction, count)``."""
-    return pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("count"))
+                      (kept + (F.col("levels") > kept).cast("long")).cast("long").alias("vector_size"))
+
+
+def confusion_matrix(pred: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """M9 on any prediction table: ``(label, prediction, count)``, cells without rows
+    included; ``labels`` (default: those that occur) span the grid."""
+    counts = pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("count"))
+    if labels is None:
+        found = counts.select("label").union(counts.select("prediction")).distinct()
+        labels = sorted(r[0] for r in found.where("label is not null").collect())  # one row a class
+    grid = counts.sparkSession.createDataFrame([(a, b, 0) for a in labels for b in labels], counts.schema)
+    return counts.unionByName(grid).groupBy("label", "prediction").agg(F.sum("count").alias("count"))
 
 
 def ml_table(result: ModelResult) -> DataFrame:

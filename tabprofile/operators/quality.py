@@ -2,7 +2,7 @@
 
 Missing counts and constant-column checks come from one fused aggregate
 with O(1) state per column; the duplicate count is the one full-row
-grouping (a shuffle on a hash of the whole row, map-side combined, so a
+grouping (a shuffle on hashes of the whole row, map-side combined, so a
 row repeated a billion times costs one record per task).
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tabprofile.functions.exprs import long_rows
 from tabprofile.operators.stats import CHUNK, _chunks, _union
-from tabprofile.roles import normalize, qcol
+from tabprofile.roles import nan_to_null, normalize, qcol
 
 
 def _orderable(f: T.StructField):
@@ -31,33 +31,47 @@ def _orderable(f: T.StructField):
     return F.to_json(c) if has_map(f.dataType) else c
 
 
+def _counts(df: DataFrame) -> DataFrame:
+    """``(column_name, non_null, missing, rows)``: counts alone, so a plain hash aggregate."""
+    parts = []
+    for chunk in _chunks(df.columns, CHUNK):
+        aggs = [F.count(F.lit(1)).alias("rows"), *[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(chunk)]]
+        items = [(c, [F.col(f"n{i}"), F.col("rows") - F.col(f"n{i}"), F.col("rows")]) for i, c in enumerate(chunk)]
+        parts.append(long_rows(df.agg(*aggs), "column_name", items, ["non_null", "missing", "rows"]))
+    return _union(parts)
+
+
 def column_checks(df: DataFrame) -> DataFrame:
     """Per column: ``(column_name, non_null, missing, rows, is_constant)``.
 
-    ``is_constant`` follows ``nunique() <= 1`` with missing values excluded, so
-    an all-missing column is constant too; evaluated as ``min = max`` (no
-    distinct set is built)."""
-    df = normalize(df)
+    ``is_constant`` follows ``nunique() <= 1`` with missing values excluded, so an
+    all-missing column is constant too.  The smallest and largest ``xxhash64`` of a
+    column come from a hash aggregate (no string is kept); where they differ the column
+    isn't constant, and only the few others need the true extremes."""
+    df = nan_to_null(df)
     fields = df.schema.fields
-    parts = []
+    parts, rows = [], []
     for chunk in _chunks(fields, CHUNK):
-        aggs, items = [F.count(F.lit(1)).alias("rows")], []
+        aggs = [F.count(F.lit(1)).alias("rows")]
         for i, f in enumerate(chunk):
-            c = qcol(f.name)
-            o = _orderable(f)
-            aggs += [F.count(c).alias(f"n{i}"),
-                     (F.count(c) == 0).alias(f"e{i}"),
-                     (F.min(o) == F.max(o)).alias(f"k{i}")]
-            items.append((f.name, [F.col(f"n{i}"), F.col("rows") - F.col(f"n{i}"), F.col("rows"),
-                                   F.col(f"e{i}") | F.coalesce(F.col(f"k{i}"), F.lit(False))]))
-        parts.append(long_rows(df.agg(*aggs), "column_name", items,
-                               ["non_null", "missing", "rows", "is_constant"]))
-    return _union(parts)
+            h = F.when(qcol(f.name).isNotNull(), F.xxhash64(_orderable(f)))
+            aggs += [F.count(qcol(f.name)).alias(f"n{i}"), F.min(h).alias(f"a{i}"), F.max(h).alias(f"b{i}")]
+        parts.append((chunk, df.agg(*aggs).first()))
+    found = {f.name: (r[f"n{i}"], r["rows"], r[f"a{i}"] == r[f"b{i}"]) for chunk, r in parts for i, f in enumerate(chunk)}
+    doubtful = [f for f in fields if found[f.name][0] and found[f.name][2]]
+    same = {}
+    for chunk in _chunks(doubtful, CHUNK) if doubtful else []:
+        r = df.agg(*[(F.min(_orderable(f)) == F.max(_orderable(f))).alias(f"k{i}") for i, f in enumerate(chunk)]).first()
+        same.update({f.name: bool(r[f"k{i}"]) for i, f in enumerate(chunk)})
+    for f in fields:
+        n, total, _ = found[f.name]
+        rows.append((f.name, n, total - n, total, not n or same.get(f.name, False)))
+    return df.sparkSession.createDataFrame(rows, "column_name string, non_null long, missing long, rows long, is_constant boolean")
 
 
 def missing(df: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """``(column_name, missing, missing_pct)``; NaN counts as missing."""
-    return (column_checks(df) if checks is None else checks).select(
+    return (_counts(nan_to_null(df)) if checks is None else checks).select(
         "column_name", "missing", F.try_divide(F.col("missing") * 100.0, F.col("rows")).alias("missing_pct"))
 
 
@@ -85,9 +99,13 @@ def missing_ranked(df: DataFrame, ascending: bool = True, top: int | None = None
 def duplicates(df: DataFrame) -> DataFrame:
     """A5: ``(rows, duplicates, duplicate_pct)``, duplicates = rows - distinct rows.
 
-    NULL = NULL and NaN = NaN, as in pandas ``duplicated``."""
-    df = normalize(df)
-    groups = df.groupBy(*[_orderable(f).alias(f"g{i}") for i, f in enumerate(df.schema.fields)]) \
+    NULL = NULL and NaN = NaN, as in pandas ``duplicated``.  Rows are grouped by two
+    independent 64-bit hashes of the whole row, map-side combined, so long texts never
+    reach the shuffle; two rows of n share both by chance with n^2 / 2^129."""
+    df = nan_to_null(df)
+    whole = [_orderable(f) for f in df.schema.fields]
+    null = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in whole])
+    groups = df.groupBy(F.xxhash64(*whole, null).alias("g0"), F.xxhash64(F.lit("second"), *reversed(whole), null).alias("g1")) \
         .agg(F.count(F.lit(1)).alias("cnt"))
     return groups.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("rows"),
                       F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).cast("long").alias("duplicates")) \

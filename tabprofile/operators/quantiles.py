@@ -6,11 +6,7 @@ position ``h = (n - 1) * p``; the answer is ``v[floor h] + (h - floor h) *
 
 Plan:
 
-* columns with ``n <= direct_limit``: Spark's exact ``percentile``.  That
-  aggregate keeps a map of distinct values per column in the final task, so
-  columns are grouped into aggregates whose value counts sum to at most
-  ``direct_limit`` -- one final task never holds more than that.
-* otherwise, bracket refinement: one pass builds an equal-width histogram
+* bracket refinement: one pass builds an equal-width histogram
   (count, min, max per bucket) of every open bracket ``[lo, hi]`` -- a hash
   aggregate combined in each task -- and running counts over its buckets
   find the bucket(s) holding the wanted ranks.  The new bracket is that
@@ -40,18 +36,6 @@ DIRECT_LIMIT = 200_000
 BUCKETS = 16_384
 
 
-def _direct(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    pa = F.array(*[F.lit(float(p)) for p in probs])
-    row = df.agg(*[F.percentile(qcol(c).cast("double"), pa).alias(f"q{i}") for i, c in enumerate(cols)])
-    structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"q{i}").alias("vals"))
-               for i, c in enumerate(cols)]
-    long = row.select(F.inline(F.array(*structs)))
-    return (long.select("column_name", F.posexplode_outer("vals").alias("pi", "value"))
-            .select("column_name",
-                    F.element_at(pa, F.col("pi") + 1).alias("prob"),
-                    "value"))
-
-
 def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), *,
               direct_limit: int = DIRECT_LIMIT, buckets: int = BUCKETS, facts=None) -> DataFrame:
     """Long table ``(column_name, prob, value)``; ``value`` is NULL for a column
@@ -68,27 +52,7 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), *,
         stats = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)]
                        + [F.min(qcol(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)]
                        + [F.max(qcol(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
-    ns = {c: stats[f"n{i}"] for i, c in enumerate(cols)}
-    small = [c for c in cols if ns[c] <= direct_limit]
-    big = [c for c in cols if ns[c] > direct_limit]
-    parts = []
-    group, total = [], 0
-    for c in small:  # pack columns so each exact aggregate holds <= direct_limit values
-        if group and total + ns[c] > direct_limit:
-            parts.append(_direct(df, group, probs))
-            group, total = [], 0
-        group.append(c)
-        total += ns[c]
-    if group:
-        parts.append(_direct(df, group, probs))
-    if big:
-        idx = [cols.index(c) for c in big]
-        sub = {f"{k}{j}": stats[f"{k}{i}"] for j, i in enumerate(idx) for k in ("n", "lo", "hi")}
-        parts.append(_bracketed(df, big, probs, sub, direct_limit, buckets))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _bracketed(df, cols, probs, stats, direct_limit, buckets)
 
 
 def _bracketed(df, cols, probs, stats, direct_limit, buckets) -> DataFrame:

@@ -23,7 +23,7 @@ def range_rule(col: str, lo=None, hi=None) -> Column:
 def format_rule(col: str, pattern: str) -> Column:
     """Passes when the value is missing or fully matches the regex."""
     c = qcol(col)
-    return c.isNull() | c.cast("string").rlike(f"^(?:{pattern})$")
+    return c.isNull() | c.cast("string").rlike(rf"\A(?:{pattern})\z")
 
 
 def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -1,12 +1,11 @@
 """Stratified train/test split, folds and class weights.
 
-Rows are ordered inside each class by a seeded md5 key.  The rank of a row
-within its class is computed without a window partitioned by class -- such
-a window would put a class holding a third of the table into one task.
-Instead the rows are range-partitioned on (class, key), which splits a big
-class over many tasks; each task numbers its rows locally, a small table of
-per-(task, class) counts gives every task its offset, and the global rank is
-offset + local number.  Every step is bounded by a task's share of the data.
+Rows are ordered inside each class by a seeded md5 key.  The rank of a row within its class
+is computed without a window partitioned by class -- such a window would put a class
+holding a third of the table into one task.  A row's bucket is the first digits of its key,
+so it depends on the row's values alone; rows are counted by (class, bucket), running
+counts over that small table give every bucket its offset, and a window inside (class,
+bucket) gives the rest.  Equal rows get keys of their own by a copy number.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprofile.operators.clean import sample_key
+from tabprofile.operators.clean import key_bucket, sample_key, with_copies
 from tabprofile.roles import qcol
 
 TEST_FRACTION = 0.2
@@ -22,27 +21,25 @@ FOLDS = 5
 SEED = 42
 
 
-def rank_within(df: DataFrame, group: list[str], order: list, partitions: int | None = None) -> DataFrame:
-    """Adds ``rn`` (0-based rank within ``group`` by ``order``) and ``group_size``.
-
-    ``order`` must be a total order for reproducible ranks (ties get
-    distinct but arbitrary ranks)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [qcol(g) for g in group] + list(order)
-    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .withColumn("__pid", F.spark_partition_id())
-         # position inside the task: the id's low 33 bits, in the sorted order above
-         .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    # per (task, class): first position and row count -- at most tasks + classes rows
-    runs = s.groupBy("__pid", *group).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*group)
-    runs = (runs.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
-            .withColumn("group_size", F.sum("__cnt").over(wall)))
-    return (s.join(runs, ["__pid", *group])
-            .withColumn("rn", F.col("__off") + F.col("__pos") - F.col("__first"))
-            .drop("__pid", "__pos", "__first", "__cnt", "__off"))
+def rank_within(df: DataFrame, group: list[str], key: str, ties: list | None = None) -> DataFrame:
+    """Adds ``rn`` (0-based rank within ``group`` by the md5 column ``key``, then ``ties``)
+    and ``group_size``.  Both depend on values alone, so it doesn't matter how often or
+    where Spark evaluates ``df``."""
+    d = df.withColumn("__h", key_bucket(key))
+    names = [qcol(g) for g in group]
+    w = Window.partitionBy(*names).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*names, "__h").agg(F.count(F.lit(1)).alias("__c"))  # 65,536 rows a class at most
+    counts = counts.withColumn("__off", F.coalesce(F.sum("__c").over(w), F.lit(0))) \
+        .withColumn("group_size", F.sum("__c").over(Window.partitionBy(*names))).drop("__c")
+    inside = Window.partitionBy(*names, "__h").orderBy(F.col(key), *(ties or []))
+    ranked = d.withColumn("__in", F.row_number().over(inside) - 1)
+    return (ranked.join(counts, [*group, "__h"]).withColumn("rn", F.col("__off") + F.col("__in")).drop("__h", "__off", "__in"))
+
+
+def _ranked(df: DataFrame, label: str, seed: int, key_cols: list[str] | None) -> DataFrame:
+    d = with_copies(df.where(qcol(label).isNotNull()), key_cols)
+    r = rank_within(d.withColumn("__k", sample_key(d, seed, key_cols)), [label], "__k", [qcol(c) for c in key_cols or df.columns])
+    return r.select(*[qcol(c) for c in df.columns], "rn", "group_size")
 
 
 def stratified_split(df: DataFrame, label: str, test_fraction: float = TEST_FRACTION, seed: int = SEED,
@@ -50,33 +47,29 @@ def stratified_split(df: DataFrame, label: str, test_fraction: float = TEST_FRAC
     """Adds ``split`` = ``test`` for the first ``ceil(test_fraction * n_c)``
     rows of every class ``c`` in seeded-hash order, else ``train`` (D10: exact
     per-class quotas).  Rows with a missing label are dropped."""
-    d = df.where(qcol(label).isNotNull())
-    key = sample_key(d, seed, key_cols)
-    cols = key_cols or d.columns
-    r = rank_within(d.withColumn("__k", key), [label], [F.col("__k"), *[qcol(c) for c in cols]])
+    r = _ranked(df, label, seed, key_cols)
     quota = F.ceil(F.col("group_size") * F.lit(test_fraction))
     return (r.withColumn("split", F.when(F.col("rn") < quota, "test").otherwise("train"))
-            .drop("__k", "rn", "group_size"))
+            .drop("rn", "group_size"))
 
 
 def random_split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SEED,
                  key_cols: list[str] | None = None) -> DataFrame:
-    """M5 (regression): ``split`` by a seeded row hash, ``pmod(xxhash64(row, seed), 10000)``
-    below ``test_fraction * 10000`` -> test.  No shuffle at all."""
+    """M5 (regression): ``split`` by a seeded row hash, ``pmod(xxhash64(row, copy, seed), 10000)``
+    below ``test_fraction * 10000`` -> test.  Copies of a row fall on either side; with
+    ``key_cols`` that identify a row there is no shuffle at all."""
     cols = key_cols or df.columns
-    h = F.pmod(F.xxhash64(*[qcol(c) for c in cols], F.lit(seed)), F.lit(10000))
-    return df.withColumn("split", F.when(h < int(test_fraction * 10000), "test").otherwise("train"))
+    d = with_copies(df, key_cols)
+    h = F.pmod(F.xxhash64(*[qcol(c) for c in cols], F.col("__copy"), F.lit(seed)), F.lit(10000))
+    return d.withColumn("split", F.when(h < int(test_fraction * 10000), "test").otherwise("train")).drop("__copy")
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = FOLDS, seed: int = SEED,
                      key_cols: list[str] | None = None) -> DataFrame:
     """Adds ``fold`` = rank within class (seeded-hash order) mod ``k``,
     so every fold holds ``floor`` or ``ceil`` of ``n_c / k`` rows of each class."""
-    d = df.where(qcol(label).isNotNull())
-    key = sample_key(d, seed, key_cols)
-    cols = key_cols or d.columns
-    r = rank_within(d.withColumn("__k", key), [label], [F.col("__k"), *[qcol(c) for c in cols]])
-    return r.withColumn("fold", (F.col("rn") % k).cast("int")).drop("__k", "rn", "group_size")
+    r = _ranked(df, label, seed, key_cols)
+    return r.withColumn("fold", (F.col("rn") % k).cast("int")).drop("rn", "group_size")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -124,17 +124,17 @@ def resolve_target(df: DataFrame, requested: str | None) -> tuple[DataFrame, str
 
 def choose_target(df: DataFrame, requested: str | None = None, train: bool = True,
                   min_classes: int = 2, max_classes: int = 20) -> str | None:
-    """A valid requested column; else the first conventional name; else
-    (when training) the first column, in order, with ``2 <= nunique <= 20``.
+    """A valid requested column; without training, the request as it is; else
+    the first conventional name; else the first column, in order, with ``2 <= nunique <= 20``.
     The distinct checks stop counting at ``max_classes + 1`` values."""
     if requested and requested in df.columns:
         return requested
+    if not train:
+        return requested
     names = _by_folded_name(df.columns)
     for cand in CONVENTIONAL_TARGETS:
         if cand in names:
             return names[cand]
-    if not train:
-        return requested
     # one approximate pass discards clearly high-cardinality columns, the
     # exact bounded check confirms the survivors in column order
     approx = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()

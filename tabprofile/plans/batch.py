@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabprofile.operators import charts, clean, ml
 from tabprofile.plans import report
+from tabprofile.operators.target import choose_target, resolve_target
 from tabprofile.plans.profile import profile
 from tabprofile.session import ensure_checkpoint_dir
 from tabprofile.sources import readers, sinks
@@ -42,10 +43,11 @@ def clean_table(df: DataFrame, max_rows: int | None = None, max_cols: int | None
 
 def run_batch(spark: SparkSession, input_path: str, out_dir: str, target: str | None = None, *,
               max_rows: int | None = None, max_cols: int | None = None, charts_on: bool = True,
-              train: bool = False, run_log: str | None = None) -> dict:
+              train: bool = False, narrow: bool = True, run_log: str | None = None) -> dict:
     ensure_checkpoint_dir(spark)
-    raw = readers.load(spark, input_path)
-    cleaned, steps = clean_table(raw, max_rows, max_cols, target)
+    raw, target = resolve_target(readers.load(spark, input_path), target)
+    target = choose_target(raw, target, train)
+    cleaned, steps = clean_table(raw, max_rows, max_cols, target, narrow=narrow)
     # cut the lineage at the cleaned snapshot: every later table reads it back
     snap = os.path.join(out_dir, "cleaned")
     sinks.write_table(cleaned, snap)

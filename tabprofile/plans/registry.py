@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprofile.operators import stats
-from tabprofile.sources.readers import spread
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -22,12 +21,8 @@ LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
           "l_discount", "l_tax"]
 
 
-def read(spark: SparkSession, sf_dir: str, table: str, spread_scan: bool = False) -> DataFrame:
-    # ``spread_scan`` (measured): only per-row string work (CSV encoding, type
-    # probing) gains from spreading a one-row-group file; multi-pass
-    # aggregates lose more to the extra exchange per pass than they gain.
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(df) if spread_scan else df
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def rounded(df: DataFrame, digits: int = 4, only: list[str] | None = None) -> DataFrame:
@@ -316,14 +311,28 @@ def q_dedup(spark, sf_dir):
     return clean.dedup(clean.drop_empty_columns(clean.drop_empty_rows(d)))
 
 
-@query("q_sample_rows", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+@query("q_sample_rows", """SELECT * FROM orders
 ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority, '42')),
   o_orderkey, o_custkey, o_orderstatus, o_orderpriority LIMIT 1000""")
 def q_sample_rows(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                                              "o_orderpriority")
-    return clean.sample_rows(o, 1000, seed=42, key_cols=["o_orderkey", "o_custkey", "o_orderstatus",
-                                                         "o_orderpriority"])
+    return clean.sample_rows(read(spark, sf_dir, "orders"), 1000, seed=42, key_cols=["o_orderkey", "o_custkey", "o_orderstatus",
+                                                                                   "o_orderpriority"])
+
+
+@query("q_sample_repeated", """WITH n AS (SELECT l_returnflag, l_linestatus, l_linenumber,
+  row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber) - 1 AS k FROM lineitem)
+SELECT l_returnflag, l_linestatus, l_linenumber FROM n ORDER BY md5(concat_ws('|', l_returnflag, l_linestatus,
+  CAST(l_linenumber AS VARCHAR), '42', CASE WHEN k > 0 THEN CAST(k AS VARCHAR) END)), 1, 2, 3 LIMIT 1000""")
+def q_sample_repeated(spark, sf_dir):
+    """42 different rows, many times each: every copy has a chance of its own."""
+    return clean.sample_rows(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"), 1000, seed=42)
+
+
+@query("q_dedup_decimals", """SELECT DISTINCT CAST(l_orderkey AS DECIMAL(38,0)) + 12345678901234567890123456789 AS big, l_linenumber % 2 AS odd FROM lineitem""")
+def q_dedup_decimals(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    big = (F.col("l_orderkey").cast("decimal(20,0)") + F.lit("12345678901234567890123456789").cast("decimal(37,0)")).cast("decimal(38,0)")
+    return clean.dedup(li.select(big.alias("big"), (F.col("l_linenumber") % 2).alias("odd")))
 
 
 @query("q_cap_columns", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag FROM lineitem")
@@ -360,10 +369,12 @@ def q_derive_product(spark, sf_dir):
                    .select("l_orderkey", "l_linenumber", "Sales"), 4)
 
 
-@query("q_coerce_numeric", """SELECT event_id, TRY_CAST(props AS DOUBLE) AS props FROM events
-WHERE TRY_CAST(props AS DOUBLE) IS NOT NULL""")
+@query("q_coerce_numeric", """SELECT event_id, TRY_CAST(mixed AS DOUBLE) AS mixed FROM (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props ELSE CAST(value AS VARCHAR) END AS mixed FROM events)
+WHERE TRY_CAST(mixed AS DOUBLE) IS NOT NULL""")
 def q_coerce_numeric(spark, sf_dir):
-    return clean.coerce_numeric(read(spark, sf_dir, "events").select("event_id", "props"), "props")
+    mixed = F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(F.col("value").cast("string"))
+    return clean.coerce_numeric(read(spark, sf_dir, "events").select("event_id", mixed.alias("mixed")), "mixed")
 
 
 def _fill_sql():
@@ -636,17 +647,35 @@ def q_pca_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- C9, C12, C14, C15, C17
 def _hist_sql(table, col, bins=30, d=6):
+    # a value's bin is the last edge at or below it, counted edge by edge
     return f"""WITH r AS (SELECT min(CAST({col} AS DOUBLE)) AS lo0, max(CAST({col} AS DOUBLE)) AS hi0, count({col}) AS n FROM {table}),
 r2 AS (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi, n FROM r),
-b AS (SELECT least(CAST(floor((CAST({col} AS DOUBLE) - r2.lo) / (r2.hi - r2.lo) * {bins}) AS INTEGER), {bins - 1}) AS bin, count(*) AS c
-      FROM {table}, r2 WHERE {col} IS NOT NULL GROUP BY 1),
-g AS (SELECT CAST(range AS INTEGER) AS bin FROM range({bins}))
+g AS (SELECT CAST(range AS INTEGER) AS bin FROM range({bins})),
+e AS (SELECT bin, bin * ((hi - lo) / {bins}) + lo AS edge FROM g, r2),
+v AS (SELECT CAST({col} AS DOUBLE) AS x, count(*) AS c FROM {table} WHERE {col} IS NOT NULL GROUP BY 1),
+b AS (SELECT bin, sum(c) AS c FROM (SELECT x, c, max(bin) AS bin FROM v JOIN e ON edge <= x GROUP BY x, c) GROUP BY bin)
 SELECT g.bin, round(r2.lo + g.bin * ((r2.hi - r2.lo) / {bins}), {d}) AS bin_start,
   round(r2.lo + (g.bin + 1) * ((r2.hi - r2.lo) / {bins}), {d}) AS bin_end, CAST(coalesce(b.c, 0) AS BIGINT) AS count,
   round(coalesce(b.c, 0) / (r2.n * ((r2.hi - r2.lo) / {bins})), 9) AS density
 FROM g CROSS JOIN r2 LEFT JOIN b ON g.bin = b.bin WHERE r2.n > 0"""
 
 
+def _hists_sql(table, cols):
+    return _union_sql([f"SELECT '{c}' AS column_name, * FROM ({_hist_sql(table, c)})" for c in cols])
+
+
+@query("q_histogram_discount", _hist_sql("lineitem", "l_discount"))
+def q_histogram_discount(spark, sf_dir):
+    h = charts.histogram(read(spark, sf_dir, "lineitem"), "l_discount")
+    return rounded(rounded(h, 6, ["bin_start", "bin_end"]), 9, ["density"])
+
+
+@query("q_chart_histograms", _hists_sql("lineitem", LI_NUM))
+def q_chart_histograms(spark, sf_dir):
+    h = charts.chart_data(read(spark, sf_dir, "lineitem").select(*LI_NUM))["histograms"]
+    return rounded(rounded(h, 6, ["bin_start", "bin_end"]), 9, ["density"])
+
+
 @query("q_histogram", _hist_sql("events", "value"))
 def q_histogram(spark, sf_dir):
     h = charts.histogram(read(spark, sf_dir, "events"), "value")
@@ -659,12 +688,7 @@ def q_histogram_target(spark, sf_dir):
     return rounded(rounded(h, 6, ["bin_start", "bin_end"]), 9, ["density"])
 
 
-@query("q_histogram_counts", """WITH r AS (SELECT min(CAST(l_orderkey AS DOUBLE)) AS lo, max(CAST(l_orderkey AS DOUBLE)) AS hi FROM lineitem),
-b AS (SELECT least(CAST(floor((CAST(l_orderkey AS DOUBLE) - r.lo) / (r.hi - r.lo) * 30) AS INTEGER), 29) AS bin, count(*) AS c FROM lineitem, r GROUP BY 1),
-g AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30))
-SELECT 'l_orderkey' AS column_name, g.bin, round(r.lo + g.bin * ((r.hi - r.lo) / 30), 6) AS bin_start,
-  round(r.lo + (g.bin + 1) * ((r.hi - r.lo) / 30), 6) AS bin_end, CAST(coalesce(b.c, 0) AS BIGINT) AS count
-FROM g CROSS JOIN r LEFT JOIN b ON g.bin = b.bin""")
+@query("q_histogram_counts", f"SELECT 'l_orderkey' AS column_name, bin, bin_start, bin_end, count FROM ({_hist_sql('lineitem', 'l_orderkey')})")
 def q_histogram_counts(spark, sf_dir):
     return rounded(charts.first_numeric_histogram(read(spark, sf_dir, "lineitem")), 6)
 
@@ -786,25 +810,21 @@ SPLIT_KEY_SQL = ("md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey
 SPLIT_KEYS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
 
-@query("q_split", f"""SELECT o_orderkey, o_orderstatus,
+@query("q_split", f"""SELECT *,
   CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY {SPLIT_KEY_SQL}, o_orderkey, o_custkey, o_orderstatus, o_orderpriority) - 1
        < ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) THEN 'test' ELSE 'train' END AS split
 FROM orders WHERE o_orderstatus IS NOT NULL""")
 def q_split(spark, sf_dir):
     from tabprofile.operators import split
-    o = read(spark, sf_dir, "orders").select(*SPLIT_KEYS)
-    return split.stratified_split(o, "o_orderstatus", 0.2, 42, key_cols=SPLIT_KEYS) \
-        .select("o_orderkey", "o_orderstatus", "split")
+    return split.stratified_split(read(spark, sf_dir, "orders"), "o_orderstatus", 0.2, 42, key_cols=SPLIT_KEYS)
 
 
-@query("q_folds", f"""SELECT o_orderkey, o_orderstatus,
+@query("q_folds", f"""SELECT *,
   CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {SPLIT_KEY_SQL}, o_orderkey, o_custkey, o_orderstatus, o_orderpriority) - 1) % 5 AS INTEGER) AS fold
 FROM orders WHERE o_orderstatus IS NOT NULL""")
 def q_folds(spark, sf_dir):
     from tabprofile.operators import split
-    o = read(spark, sf_dir, "orders").select(*SPLIT_KEYS)
-    return split.stratified_folds(o, "o_orderstatus", 5, 42, key_cols=SPLIT_KEYS) \
-        .select("o_orderkey", "o_orderstatus", "fold")
+    return split.stratified_folds(read(spark, sf_dir, "orders"), "o_orderstatus", 5, 42, key_cols=SPLIT_KEYS)
 
 
 @query("q_class_weights", """SELECT class, count, round(sum(count) OVER () / (count(*) OVER () * count), 6) AS weight
@@ -858,7 +878,7 @@ def q_zscore(spark, sf_dir):
 @query("q_type_inference")
 def q_type_inference(spark, sf_dir):
     from tabprofile.sources.readers import infer_types
-    return infer_types(read(spark, sf_dir, "events", spread_scan=True))
+    return infer_types(read(spark, sf_dir, "events"))
 
 
 def _dup_columns_sql(cols: list[str], source: str) -> str:
@@ -870,10 +890,10 @@ def _dup_columns_sql(cols: list[str], source: str) -> str:
 
 @query("q_dup_columns", _dup_columns_sql(
     ["l_quantity", "l_extendedprice", "l_discount", "price_copy", "l_tax"],
-    "SELECT l_quantity, l_extendedprice, l_discount, l_extendedprice AS price_copy, l_tax FROM lineitem"))
+    "SELECT l_quantity, l_extendedprice, l_discount, (l_extendedprice * 2) / 2 AS price_copy, l_tax FROM lineitem"))
 def q_dup_columns(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount",
-                                                F.col("l_extendedprice").alias("price_copy"), "l_tax")
+                                                (F.col("l_extendedprice") * 2 / 2).alias("price_copy"), "l_tax")
     return quality.duplicate_columns(li)
 
 
@@ -908,32 +928,32 @@ def _doc_labels(spark, sf_dir):
 @query("q_rf_classify")
 def q_rf_classify(spark, sf_dir):
     from tabprofile.operators import ml
-    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=20, max_depth=8).metrics
+    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality").metrics
 
 
 @query("q_confusion")
 def q_confusion(spark, sf_dir):
     from tabprofile.operators import ml
-    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=20, max_depth=8).confusion
+    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality").confusion
 
 
 @query("q_rf_importance")
 def q_rf_importance(spark, sf_dir):
     from tabprofile.operators import ml
-    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=20, max_depth=8).importances
+    return ml.train_baseline(_doc_labels(spark, sf_dir), "quality").importances
 
 
 @query("q_rf_regress")
 def q_rf_regress(spark, sf_dir):
     from tabprofile.operators import ml
     o = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice")
-    return ml.train_baseline(o, "o_totalprice", num_trees=20, max_depth=8, task="regression").metrics
+    return ml.train_baseline(o, "o_totalprice", task="regression").metrics
 
 
 @query("q_cv")
 def q_cv(spark, sf_dir):
     from tabprofile.operators import ml
-    r = ml.train_baseline(_doc_labels(spark, sf_dir), "quality", num_trees=10, max_depth=6, cv_folds=5)
+    r = ml.train_baseline(_doc_labels(spark, sf_dir), "quality", cv_folds=5)
     return r.metrics.where(F.col("metric").startswith("cv_"))
 
 
@@ -954,11 +974,13 @@ def q_complete_cases(spark, sf_dir):
 
 @query("q_impute_apply", with_view(DIRTY_LI_SQL, """SELECT l_orderkey, l_linenumber,
   coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM d)) AS l_discount,
-  coalesce(l_returnflag, (SELECT l_returnflag FROM d WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_returnflag
-FROM d"""))
+  coalesce(l_returnflag, (SELECT l_returnflag FROM d WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_returnflag,
+  coalesce(gappy, CAST((SELECT quantile_cont(gappy, 0.5) FROM g) AS INTEGER)) AS gappy
+FROM (SELECT *, CASE WHEN l_orderkey % 7 <> 0 THEN l_linenumber END AS gappy FROM d) d0""").replace("WITH d AS","WITH g AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN l_linenumber END AS gappy FROM lineitem), d AS"))
 def q_impute_apply(spark, sf_dir):
-    d = dirty_li(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag")
-    return clean.impute(d, ["l_discount", "l_returnflag"])
+    d = dirty_li(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag") \
+        .withColumn("gappy", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_linenumber")))
+    return clean.impute(d, ["l_discount", "l_returnflag", "gappy"])
 
 
 @query("q_preview")
@@ -973,11 +995,10 @@ def q_crosstab_wide(spark, sf_dir):
 
 
 @query("q_onehot_plan", _union_sql([f"""SELECT '{c}' AS column_name, count(DISTINCT {c}) AS levels,
-  least(count(DISTINCT {c}), 100) AS kept, least(count(DISTINCT {c}), 100) + CASE WHEN count(DISTINCT {c}) > 100 THEN 1 ELSE 0 END AS vector_size
-FROM customer""" for c in ["c_name", "c_mktsegment"]]))
+  count(DISTINCT {c}) AS kept, count(DISTINCT {c}) AS vector_size FROM customer""" for c in ["c_name", "c_mktsegment"]]))
 def q_onehot_plan(spark, sf_dir):
     from tabprofile.operators import ml
-    return ml.onehot_plan(read(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"], max_categories=100)
+    return ml.onehot_plan(read(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
 
 
 # ---------------------------------------------------------------- S1, S3-S7, R4, R6, R7, K5
@@ -992,12 +1013,45 @@ def _scratch(spark, name):
 def q_csv_roundtrip(spark, sf_dir):
     from tabprofile.sources import readers, sinks
     path = _scratch(spark, "orders-csv") + ".csv"
-    o = read(spark, sf_dir, "orders", spread_scan=True).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                                               "o_orderpriority")
     sinks.write_table(o, path, fmt="csv")
     return readers.load(spark, path)
 
 
+@query("q_csv_texts", """SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT -1 - page_id, html FROM pages WHERE html IS NOT NULL""")
+def q_csv_texts(spark, sf_dir):
+    """Whole texts and pages, with their quotes, commas and line breaks, through CSV."""
+    from tabprofile.sources import readers, sinks
+    path = _scratch(spark, "texts-csv") + ".csv"
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(
+        read(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("text"))).where("text is not null")
+    sinks.write_table(texts, path, fmt="csv")
+    return readers.load(spark, path, multiline=True)
+
+
+@query("q_corr_wide", _pairs_sql("(SELECT " + ", ".join(f"{c} * {k} + l_orderkey % {k + 2} AS {c}_{k}" for k in (1, 2, 3, 5) for c in LI_NUM[1:]) + " FROM lineitem) d",
+                                 [f"{c}_{k}" for k in (1, 2, 3, 5) for c in LI_NUM[1:]]))
+def q_corr_wide(spark, sf_dir):
+    """28 numeric columns, 378 pairs."""
+    li = read(spark, sf_dir, "lineitem")
+    wide = li.select(*[(F.col(c) * k + F.col("l_orderkey") % (k + 2)).alias(f"{c}_{k}") for k in (1, 2, 3, 5) for c in LI_NUM[1:]])
+    return rounded(relate.correlation_pairs(wide), 6)
+
+
+@query("q_missing_ascending", with_view(DIRTY_LI_SQL, f"""SELECT column_name, missing, CAST(row_number() OVER (ORDER BY missing, column_name) AS INTEGER) AS rank
+FROM ({_union_sql([f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS missing FROM d" for c in DIRTY_COLS])}) m WHERE missing > 0"""))
+def q_missing_ascending(spark, sf_dir):
+    return quality.missing_ranked(dirty_li(spark, sf_dir), ascending=True)
+
+
+@query("q_corr_gappy", with_view(DIRTY_LI_SQL, _pairs_sql("d", ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "const_num"])))
+def q_corr_gappy(spark, sf_dir):
+    return rounded(relate.correlation_pairs(dirty_li(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "const_num")), 6)
+
+
 @query("q_manifest")
 def q_manifest(spark, sf_dir):
     from tabprofile.plans.batch import clean_table
@@ -1027,7 +1081,7 @@ def q_run_log_latest(spark, sf_dir):
 def q_ml_table(spark, sf_dir):
     from tabprofile.operators import ml
     o = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
-    return ml.ml_table(ml.train_baseline(o, "o_orderstatus", num_trees=10, max_depth=6))
+    return ml.ml_table(ml.train_baseline(o, "o_orderstatus"))
 
 
 ORACLE["q_type_inference"] = _union_sql([f"""SELECT '{c}' AS column_name, count({c}) AS present,

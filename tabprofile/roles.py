@@ -81,6 +81,14 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN becomes NULL in float columns; every type stays as it is.  For operators
+    that give rows back (cleaning) or compare whole rows, where a decimal must not
+    lose digits."""
+    return df.select(*[F.nanvl(qcol(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+                       if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else qcol(f.name) for f in df.schema.fields])
+
+
 def qcol(name: str):
     """Column reference that survives dots and spaces in names."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -24,8 +24,13 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 SUPPORTED = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".orc": "orc"}
 
 
+# a plain decimal number; Spark's own cast would also take codes such as 1D or 2F
+NUMBER = r"\A\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\s*\z"
+
+
 def _try(c, t):
-    return F.expr("try_cast(`" + c.replace("`", "``") + f"` AS {t})")
+    cast = F.expr("try_cast(`" + c.replace("`", "``") + f"` AS {t})")
+    return F.when(qcol(c).rlike(NUMBER), cast)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -50,10 +55,14 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*structs)))
 
 
-def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None, infer: bool = True) -> DataFrame:
-    """CSV with a header; NA tokens -> NULL; types from one counting pass."""
+def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None, infer: bool = True,
+             multiline: bool = False) -> DataFrame:
+    """CSV with a header; NA tokens -> NULL; types from one counting pass.
+
+    A quote inside a quoted field is doubled.  Fields with line breaks need ``multiline``;
+    then a file is one split, so write such data as many files."""
     raw = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "") \
-        .option("emptyValue", "").option("mode", "PERMISSIVE").csv(path)
+        .option("escape", '"').option("multiLine", multiline).option("emptyValue", "").option("mode", "PERMISSIVE").csv(path)
     toks = NA_TOKENS if na_tokens is None else na_tokens
     clean = raw.select(*[F.when(qcol(c).isin(toks), F.lit(None)).otherwise(qcol(c)).alias(c) for c in raw.columns])
     if not infer:
@@ -83,16 +92,3 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
     if fmt == "csv":
         return read_csv(spark, path, **options)
     return spark.read.format(fmt).options(**options).load(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores round-robin over the cores.
-
-    A small file stored as one row group is read by a single task, and every
-    stage fused with that scan stays on one core.  A large input already has
-    far more splits than cores, so there this returns ``df`` unchanged.
-    Column pruning and filters still reach the scan below the repartition."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

@@ -70,9 +70,62 @@ def test_rank_within_skewed_group(spark):
     # one group holds most rows; ranks must be 0..n-1 per group
     rows = [("hot", i) for i in range(3000)] + [("cold", i) for i in range(17)]
     df = spark.createDataFrame(rows, "g string, v long")
-    r = split.rank_within(df, ["g"], [F.col("v")], partitions=6)
-    bad = r.where(F.col("rn") != F.col("v")).count()
-    assert bad == 0
+    keyed = df.withColumn("k", F.md5(F.col("v").cast("string")))
+    r = split.rank_within(keyed, ["g"], "k").collect()
+    import hashlib
+    for g, n in (("hot", 3000), ("cold", 17)):
+        order = sorted(range(n), key=lambda v: hashlib.md5(str(v).encode()).hexdigest())
+        assert {x["v"]: (x["rn"], x["group_size"]) for x in r if x["g"] == g} == {v: (i, n) for i, v in enumerate(order)}
+
+
+def test_split_of_whole_rows_is_exact(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        rows = split.stratified_split(o, "o_orderstatus").collect()
+        folds = split.stratified_folds(o, "o_orderstatus", 5).collect()
+        spark.conf.unset("spark.sql.exchange.reuse")
+        for c in {r["o_orderstatus"] for r in rows}:
+            mine = [r["split"] for r in rows if r["o_orderstatus"] == c]
+            assert mine.count("test") == math.ceil(0.2 * len(mine))
+            sizes = [sum(r["fold"] == k for r in folds if r["o_orderstatus"] == c) for k in range(5)]
+            assert sum(sizes) == len(mine) and max(sizes) - min(sizes) <= 1
+
+
+def test_sample_of_repeated_rows_is_uniform(spark):
+    df = spark.range(20000).select((F.col("id") % 20).alias("v"))
+    got = [r["v"] for r in clean.sample_rows(df, 2000).collect()]
+    counts = [got.count(v) for v in range(20)]
+    assert len(got) == 2000 and min(counts) > 60 and max(counts) < 140
+    assert sorted(got) == sorted(r["v"] for r in clean.sample_rows(df.repartition(7), 2000).collect())
+    assert clean.sample_rows(df, 10**6).count() == 20000
+    test = split.random_split(df).where("split = 'test'").groupBy("v").count().collect()
+    assert len(test) == 20 and all(120 < r["count"] < 280 for r in test)
+
+
+def test_cleaning_keeps_types_and_digits(spark):
+    from decimal import Decimal
+    a, b = Decimal("12345678901234567890"), Decimal("12345678901234567891")
+    df = spark.createDataFrame([(a, 1.5), (b, 1.5), (a, 1.5), (None, float("nan"))], "d decimal(20,0), f float")
+    out = clean.dedup(clean.drop_empty_rows(df))
+    assert out.schema == df.schema and {r["d"] for r in out.collect()} == {a, b} and out.count() == 2
+    from tabprofile.operators import quality
+    assert quality.duplicates(df).first()["duplicates"] == 1
+
+
+def test_impute_integers_with_gaps(spark):
+    df = spark.createDataFrame([(1, 1, None), (2, 2, None), (None, None, None), (3, 5, None)], "a int, b long, c int")
+    out = clean.impute(df)
+    assert dict(out.dtypes)["a"] == "int" and [r["a"] for r in out.collect()] == [1, 2, 2, 3]
+    out = clean.impute(df.where("a is null or a < 3"))
+    assert dict(out.dtypes)["a"] == "double" and [r["a"] for r in out.collect()] == [1, 2, 1.5]
+
+
+def test_histograms_as_numpy(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    for c in ("l_discount", "l_tax", "l_extendedprice", "l_quantity"):
+        want, _ = np.histogram([r[0] for r in li.select(c).collect()], bins=30)
+        assert [r["count"] for r in charts.histogram(li, c).orderBy("bin").collect()] == want.tolist()
 
 
 def test_folds_balanced(spark, sf):

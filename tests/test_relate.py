@@ -69,7 +69,7 @@ def test_pca_from_pairs_equals_direct(spark, sf):
     assert a == pytest.approx(b, abs=1e-12)
 
 
-def test_gram_path_equals_sql_sums(spark, sf):
+def test_correlations_equal_pandas(spark, sf):
     from tabprofile.functions.moments import column_facts, pair_correlations
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     from pyspark.sql import functions as F
@@ -80,10 +80,12 @@ def test_gram_path_equals_sql_sums(spark, sf):
     cols = d.columns
     facts = column_facts(d, cols)
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    a = pair_correlations(d.repartition(3), pairs, facts, method="sums")
-    b = pair_correlations(d.repartition(3), pairs, facts, method="gram")
-    for p in pairs:
-        if a[p] is None:
-            assert b[p] is None, p
+    want = d.toPandas().astype(float).corr()
+    got = pair_correlations(d.repartition(3), pairs, facts)
+    for a, b in pairs:
+        if "const" in (a, b):
+            assert got[a, b] is None
         else:
-            assert b[p] == pytest.approx(a[p], abs=1e-12), p
+            assert got[a, b] == pytest.approx(want.loc[a, b], abs=1e-12), (a, b)
+    far = spark.createDataFrame([(1.0, 2.0), (float("inf"), 1.0), (3.0, 4.0)], "x double, y double")
+    assert pair_correlations(far, [("x", "y")], column_facts(far, ["x", "y"])) == {("x", "y"): None}
