@@ -117,14 +117,23 @@ def ratios(label, u, w, c, d: float) -> dict:
         count = np.zeros(len(pairs))
         count[pair_at[own]] = c[own]
         bi.append(np.maximum(count - d, 0) / np.maximum(of_context, 1)[pair_u] + g[pair_u] * p[pair_w])
-    table = {"words": words, "uni": np.log(uni[1] / uni[0]), "contexts": contexts, "gamma": np.log(gamma[1] / gamma[0]),
-             "pairs": pairs, "bi": np.log(bi[1] / bi[0])}
-    return {k: v.astype(np.float32) if v.dtype == float else v for k, v in table.items()} | {
-        "unknown": float(np.log(unknown[1] / unknown[0]))}
+    # what no class counts more than d times is backed off in both: its ratio is the default
+    def kept(keys, values, default):
+        some = np.abs(values - default) > 1e-9
+        return keys[some], values[some].astype(np.float32)
+
+    base = float(np.log(unknown[1] / unknown[0]))
+    uni, gamma, bi = (np.log(x[1] / x[0]) for x in (uni, gamma, bi))
+    words, pairs_of = kept(words, uni, base), kept(pairs, bi, uni[pair_w] + gamma[pair_u])
+    contexts = kept(contexts, gamma, 0.0)
+    return {"words": words[0], "uni": words[1], "contexts": contexts[0], "gamma": contexts[1], "pairs": pairs_of[0],
+            "bi": pairs_of[1], "unknown": base}
 
 
 def lookup(keys, values, wanted, other: float):
     import numpy as np
+    if not len(keys):
+        return np.full(len(wanted), np.float32(other)), np.zeros(len(wanted), bool)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], np.float32(other)), keys[at] == wanted
 
@@ -192,9 +201,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[i
     both classes in both halves."""
     import numpy as np
     chosen = sample(docs, labels, label, rows, parts, held)
-    counts = bigram_counts(chosen).toArrow().sort_by([(c, "ascending") for c in ("label", "u", "w")])
+    counts = bigram_counts(chosen).toArrow()
     k, u, w, c, c0 = (counts[n].to_numpy() for n in ("label", "u", "w", "c", "c0"))
-    u, w, own = u.view(np.uint64), w.view(np.uint64), c0 > 0
+    del counts
+    order = np.lexsort((w, u, k))  # no matter in which order tasks end
+    k, u, w, c, c0 = (x[order] for x in (k.astype(np.int8), u.view(np.uint64), w.view(np.uint64), c.astype(np.int32), c0.astype(np.int32)))
+    own = c0 > 0
     if len(set(k[own].tolist())) < 2:
         return None
     trials = [ratios(k[own], u[own], w[own], c0[own], d) for d in DISCOUNTS]
