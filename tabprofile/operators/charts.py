@@ -140,29 +140,31 @@ def dtype_shares(df: DataFrame) -> DataFrame:
     return type_counts(df)
 
 
-def chart_data(df: DataFrame, target: str | None = None) -> dict:
+def chart_data(df: DataFrame, target: str | None = None, shared: dict | None = None) -> dict:
     """All chart tables in one call, as a dict of lazy DataFrames.
-    Sections without data are left out."""
+    Sections without data are left out.  ``shared`` takes a profile's pinned results
+    (checks, dups, counts, pairs, pca), which then aren't computed again."""
+    shared = shared or {}
+    checks, dups = shared.get("checks"), shared.get("dups")
     from tabprofile.operators import categorical, multivariate, quality, relate, stats
     roles = ColumnRoles.of(df)
     out = {"dtype_shares": stats.type_counts(df), "role_counts": stats.role_counts(df),
-           "missing_pct": quality.missing(df), "quality_share": quality.quality_score(df),
-           "issues": quality.issue_bars(df), "missing_matrix": quality.missing_matrix(df)}
-    miss = quality.missing_ranked(df, ascending=True)
-    out["missing_counts"] = miss
+           "missing_pct": quality.missing(df, checks), "quality_share": quality.quality_score(df, checks, dups),
+           "issues": quality.issue_bars(df, checks, dups), "missing_matrix": quality.missing_matrix(df)}
+    out["missing_counts"] = quality.missing_ranked(df, ascending=True, checks=checks)
     if roles.numeric:
         out["histograms"] = histograms(df, roles.numeric)  # every numeric column, one pass
     for c in roles.numeric:
         out[f"kde:{c}"] = kde(df, c)
     if roles.categorical:
-        out["top_values"] = categorical.top_values(df, roles.categorical)
+        out["top_values"] = categorical.top_values(df, roles.categorical, counts=shared.get("counts"))
     if len(roles.numeric) > 1:
-        pairs = relate.correlation_pairs(df, roles.numeric)
+        pairs = shared["pairs"] if shared.get("pairs") is not None else relate.correlation_pairs(df, roles.numeric)
         out["corr_heatmap"] = pairs.select(F.col("feature2").alias("row_feature"),
                                            F.col("feature1").alias("col_feature"), "correlation")
         out["top_correlations"] = relate.top_correlations_chart(pairs)
     if len(roles.numeric) > 2:
-        out["pca"] = multivariate.pca_variance(df, roles.numeric)
+        out["pca"] = shared["pca"] if shared.get("pca") is not None else multivariate.pca_variance(df, roles.numeric)
     if target and target in df.columns:
         from tabprofile.operators.target import class_counts, is_class_target
         if is_class_target(df, target):

@@ -6,11 +6,15 @@ O(columns) facts (which columns are empty, narrowing plan, fill values).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabprofile.operators.quality import _counts
 from tabprofile.operators.quantiles import quantiles
+from tabprofile.operators.stats import _chunks
 from tabprofile.roles import ColumnRoles, nan_to_null, normalize, qcol
 
 
@@ -22,8 +26,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 def empty_columns(df: DataFrame) -> list[str]:
     """Columns without any non-missing value (all columns of an empty table)."""
     df = nan_to_null(df)
-    row = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    return [c for i, c in enumerate(df.columns) if not row[f"n{i}"]]
+    return [r["column_name"] for r in _counts(df).where("non_null = 0").collect()]  # O(columns)
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -103,9 +106,10 @@ def cap_columns(df: DataFrame, max_cols: int, target: str | None = None) -> Data
     return df.select(*[qcol(c) for c in cols])
 
 
-def preview(df: DataFrame, n: int = 5000) -> DataFrame:
-    """The first ``n`` rows (a preview; the limit is the feature)."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 5000, order_by: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows (a preview; the limit is the feature), in the order
+    of ``order_by`` if given (NULLs first; a task ships at most ``n`` rows)."""
+    return df.orderBy(*[qcol(c).asc_nulls_first() for c in order_by]).limit(n) if order_by else df.limit(n)
 
 
 # Fixed values that must equal the reference's: smallest signed integer type
@@ -113,16 +117,19 @@ def preview(df: DataFrame, n: int = 5000) -> DataFrame:
 # absolute 5e-4.
 INT_RANGES = [("tinyint", -128, 127), ("smallint", -32768, 32767), ("int", -2147483648, 2147483647)]
 FLOAT_ATOL = 5e-4
+WIDTHS = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
+PLAN_CHUNK = 20  # columns an aggregate
 
 
 def narrowing_plan(df: DataFrame) -> DataFrame:
-    """P7 / D-e: ``(column_name, from_type, to_type)`` for every integer and
-    double column, from one fused aggregate of min / max / max float error."""
+    """P7 / D-e: ``(column_name, from_type, to_type, saved_bytes)`` for every integer and
+    double column, from fused aggregates of min / max / max float error; the bytes
+    saved are those of the non-missing values."""
     spark = df.sparkSession
     fields = [f for f in df.schema.fields
               if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType))]
     if not fields:
-        return spark.createDataFrame([], "column_name string, from_type string, to_type string")
+        return spark.createDataFrame([], "column_name string, from_type string, to_type string, saved_bytes long")
     items = []
     for f in fields:
         c = qcol(f.name)
@@ -135,9 +142,14 @@ def narrowing_plan(df: DataFrame) -> DataFrame:
             to = F.lit("bigint")
             for name, a, b in reversed(INT_RANGES):
                 to = F.when((F.coalesce(lo, F.lit(0)) >= a) & (F.coalesce(hi, F.lit(0)) <= b), name).otherwise(to)
-        items.append(F.struct(F.lit(f.name).alias("column_name"),
-                              F.lit(f.dataType.simpleString()).alias("from_type"), to.alias("to_type")))
-    return df.agg(F.array(*items).alias("a")).select(F.inline("a"))
+        width = F.lit(0)
+        for name, size in WIDTHS.items():
+            width = F.when(to == name, size).otherwise(width)
+        saved = F.count(c) * (F.lit(WIDTHS[f.dataType.simpleString()]) - width)
+        items.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("from_type"),
+                              to.alias("to_type"), saved.cast("long").alias("saved_bytes")))
+    parts = [df.agg(F.array(*chunk).alias("a")).select(F.inline("a")) for chunk in _chunks(items, PLAN_CHUNK)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def narrow_types(df: DataFrame) -> DataFrame:

@@ -19,8 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
-                                   RegressionEvaluator)
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -32,6 +31,7 @@ from tabprofile.operators.categorical import value_counts
 from tabprofile.operators.target import infer_task
 from tabprofile.roles import ColumnRoles, normalize, qcol
 from tabprofile.session import ensure_checkpoint_dir
+from tabprofile.sources.sinks import shared_table
 
 # Fixed values that must equal the reference's: forest sizes and guards.
 TREES_OFFLINE = 100
@@ -113,8 +113,10 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
                  else split.random_split(df, test_fraction, seed))
     else:
         df = df.withColumn("__y", F.expr("try_cast(__y AS DOUBLE)")).where(F.col("__y").isNotNull())
+        if df.count() < min_rows:
+            return _error(spark, f"Not enough rows with a numeric target (need at least {min_rows}).")
         parts = split.random_split(df, test_fraction, seed)
-    parts = parts.persist()
+    parts = shared_table(parts, "split")
     train = parts.where(F.col("split") == "train").drop("split")
     test = parts.where(F.col("split") == "test").drop("split")
     # fill values fitted on the training rows only
@@ -146,9 +148,11 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
                                             featuresCol="features", cacheNodeIds=True, checkpointInterval=10)
     stages.append(model_stage)
     model = Pipeline(stages=stages).fit(train)
-    pred = model.transform(test)
+    scored = model.transform(test)
     forest = model.stages[-1]
-    importances = _importances(pred, forest, spark)
+    importances = _importances(scored, forest, spark)
+    more = ["__y", "probability"] if task == "classification" else []
+    pred = shared_table(scored.select("label", "prediction", *more), "predictions")
     n_train, n_test = train.count(), test.count()
     rows = [("train_size", float(n_train)), ("test_size", float(n_test)),
             ("numeric_features", float(len(num))), ("categorical_features", float(len(cat))),
@@ -157,28 +161,22 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
             ("max_bins", float(forest.getOrDefault("maxBins"))), ("min_instances_per_node", float(forest.getOrDefault("minInstancesPerNode"))),
             ("subsampling_rate", float(forest.getOrDefault("subsamplingRate")))]
     if task == "classification":
-        ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction")
-        for name, metric in [("accuracy", "accuracy"), ("precision", "weightedPrecision"),
-                             ("recall", "weightedRecall"), ("f1", "f1")]:
-            rows.append((name, float(ev.setMetricName(metric).evaluate(pred))))
         labels = coder.labels
+        conf = confusion_matrix(pred.select(F.col("__y").alias("label"), F.element_at(
+            F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1).alias("prediction")), labels)
+        rows += [(r["metric"], r["value"]) for r in classification_metrics(conf).collect()]  # four rows
         if len(labels) == 2:
             auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
                                                 metricName="areaUnderROC").evaluate(pred)
             rows.append(("roc_auc", float(auc)))
-        conf = confusion_matrix(pred.select(F.col("__y").alias("label"), F.element_at(
-            F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1).alias("prediction")), labels)
         rows += [(f"class_count:{r['__y']}", float(r["count"])) for r in df.groupBy("__y").count().orderBy("__y").collect()]
         if cv_folds and cv_folds > 1:
             rows += _cross_validate(parts.drop("split"), stages[:-1], model_stage, cv_folds, seed, num, cat,
                                     max_categories)
     else:
-        ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
-        rows.append(("r2", float(ev.setMetricName("r2").evaluate(pred))))
-        rows.append(("rmse", float(ev.setMetricName("rmse").evaluate(pred))))
+        rows += [(r["metric"], r["value"]) for r in regression_metrics(pred).collect()]  # two rows
         conf = None
     metrics = spark.createDataFrame([(k, v, None) for k, v in rows], "metric string, value double, note string")
-    parts.unpersist()
     return ModelResult(task, metrics, conf, importances, pred.select("label", "prediction"))
 
 
@@ -197,7 +195,8 @@ def _importances(pred: DataFrame, forest, spark, top: int = 12) -> DataFrame:
 
 def _cross_validate(data, prep_stages, model_stage, k, seed, num, cat, max_categories):
     """K-fold stratified accuracy: mean and population std over folds."""
-    folded = split.stratified_folds(data, "__y", k, seed).persist()
+    folded = split.stratified_folds(data, "__y", k, seed)
+    folded = shared_table(folded, "folds")
     accs = []
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
     for f in range(k):
@@ -209,7 +208,6 @@ def _cross_validate(data, prep_stages, model_stage, k, seed, num, cat, max_categ
         w = split.class_weights(tr, "__y").select(F.col("class").alias("__y"), "weight")
         m = Pipeline(stages=list(prep_stages) + [model_stage.copy()]).fit(tr.join(w, "__y"))
         accs.append(float(ev.evaluate(m.transform(te))))
-    folded.unpersist()
     mean = sum(accs) / len(accs)
     std = math.sqrt(sum((a - mean) ** 2 for a in accs) / len(accs))
     return [("cv_accuracy_mean", mean), ("cv_accuracy_std", std)]
@@ -239,6 +237,38 @@ def confusion_matrix(pred: DataFrame, labels: list[str] | None = None) -> DataFr
     return counts.unionByName(grid).groupBy("label", "prediction").agg(F.sum("count").alias("count"))
 
 
+def classification_metrics(confusion: DataFrame) -> DataFrame:
+    """M8 from a confusion matrix: ``(metric, value)`` accuracy and the class-weighted
+    precision, recall and f1; a class never predicted has precision 0, an empty matrix
+    gives NULLs."""
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)
+    sides = confusion.select(F.col("label").alias("class"), F.col("count").alias("actual"), F.lit(0).cast("long").alias("predicted"),
+                             hit.alias("hits")) \
+        .unionByName(confusion.select(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("actual"),
+                                      F.col("count").alias("predicted"), F.lit(0).cast("long").alias("hits")))
+    per = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("actual", "predicted", "hits")])  # one row a class
+    p, r = (F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col(c)), F.lit(0.0)) for c in ("predicted", "actual"))
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+
+    def weighted(v):
+        return F.try_divide(F.sum(F.col("actual") * v), F.sum("actual"))
+    one = per.agg(F.try_divide(F.sum("hits").cast("double"), F.sum("actual")).alias("accuracy"), weighted(p).alias("precision"),
+                  weighted(r).alias("recall"), weighted(f1).alias("f1"))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                                         for m in ("accuracy", "precision", "recall", "f1")])))
+
+
+def regression_metrics(pred: DataFrame) -> DataFrame:
+    """M13 on any prediction table: ``(metric, value)`` r2 and rmse, rows with both values
+    alone; a constant label has no r2 (NULL)."""
+    both = pred.where(F.col("label").isNotNull() & F.col("prediction").isNotNull())
+    err = F.pow(F.col("label") - F.col("prediction"), 2)
+    one = both.agg(F.sum(err).alias("sse"), F.count(F.lit(1)).alias("n"), F.var_pop("label").alias("v"))
+    r2 = F.lit(1.0) - F.try_divide(F.col("sse"), F.col("v") * F.col("n"))
+    return one.select(F.inline(F.array(F.struct(F.lit("r2").alias("metric"), r2.alias("value")),
+                                       F.struct(F.lit("rmse").alias("metric"), F.sqrt(F.try_divide(F.col("sse"), F.col("n"))).alias("value")))))
+
+
 def ml_table(result: ModelResult) -> DataFrame:
     """``(key, value)`` strings, metrics then top features."""
     m = result.metrics.select(F.col("metric").alias("key"),

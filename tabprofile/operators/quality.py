@@ -82,13 +82,13 @@ def missing_summary(df: DataFrame, checks: DataFrame | None = None) -> DataFrame
 
 
 def missing_ranked(df: DataFrame, ascending: bool = True, top: int | None = None,
-                   only_present: bool = True) -> DataFrame:
+                   only_present: bool = True, checks: DataFrame | None = None) -> DataFrame:
     """Missing counts ranked.  Ascending with ``> 0`` only for
     the quality chart; descending top 20 for the fallback chart.
     ``(column_name, missing, rank)`` -- a k-row table, so the global window is
     over column metadata, not data."""
     from pyspark.sql import Window
-    m = missing(df).select("column_name", "missing")
+    m = missing(df, checks).select("column_name", "missing")
     if only_present:
         m = m.where(F.col("missing") > 0)
     order = [F.col("missing").asc() if ascending else F.col("missing").desc(), F.col("column_name").asc()]
@@ -137,21 +137,21 @@ def quality_score(df: DataFrame, checks: DataFrame | None = None, dups: DataFram
             .withColumn("remainder", 100.0 - F.col("quality_score")))
 
 
-def issue_bars(df: DataFrame) -> DataFrame:
+def issue_bars(df: DataFrame, checks: DataFrame | None = None, dups: DataFrame | None = None) -> DataFrame:
     """``(issue, value)`` rows ``duplicates`` and ``constant_columns``."""
-    d = duplicates(df).select(F.col("duplicates").cast("long").alias("v"))
-    k = column_checks(df).agg(F.count_if("is_constant").cast("long").alias("v"))
+    d = (duplicates(df) if dups is None else dups).select(F.col("duplicates").cast("long").alias("v"))
+    k = (column_checks(df) if checks is None else checks).agg(F.count_if("is_constant").cast("long").alias("v"))
     return (d.select(F.lit("duplicates").alias("issue"), F.col("v").alias("value"))
             .unionByName(k.select(F.lit("constant_columns").alias("issue"), F.col("v").alias("value"))))
 
 
 def missing_matrix(df: DataFrame, buckets: int = 50, key_cols: list[str] | None = None) -> DataFrame:
-    """C5 re-aimed to a bounded size: rows are hashed into ``buckets`` groups
+    """C5 re-aimed to a bounded size: rows are dealt by md5 into ``buckets`` groups
     (by ``key_cols`` or the whole row) and each (bucket, column) cell holds the
     missing rate.  ``(bucket, column_name, missing_rate)``."""
-    df = normalize(df)
-    key = [qcol(c) for c in (key_cols or df.columns)]
-    b = F.pmod(F.xxhash64(*key), F.lit(buckets))
+    df = nan_to_null(df)
+    key = F.concat_ws("|", *[qcol(c).cast("string") for c in (key_cols or df.columns)])
+    b = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % buckets
     aggs = [F.avg(F.when(qcol(c).isNull(), 1.0).otherwise(0.0)).alias(f"m{i}") for i, c in enumerate(df.columns)]
     per = df.groupBy(b.alias("bucket")).agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("missing_rate"))
@@ -168,28 +168,37 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 
 
 def duplicate_columns(df: DataFrame) -> DataFrame:
-    """D-h: pairs ``(column_a, column_b)`` whose values are equal in every row
-    (NULL matching NULL).  Candidates must agree on type, count, min and max
-    (one fused pass), then each candidate pair is verified with one
-    ``count_if(NOT a <=> b)`` -- all candidates in a second single pass."""
-    df = normalize(df)
+    """D-h: ``(column_a, column_b)``: every column equal in all rows (NULL matching NULL)
+    to an earlier one, with the first column of its group.
+
+    Candidates agree on type, count and an order-free checksum (sum, min and max of the
+    values' hashes), from one pass of hash aggregates in chunks of columns.  Each candidate
+    is then compared with the first column of its group alone, so the checks grow with the
+    columns and not with their pairs; any that differ form a group of their own and are
+    compared again."""
+    df = nan_to_null(df)
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType))]
-    aggs = []
-    for i, f in enumerate(fields):
-        c = qcol(f.name)
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"a{i}"),
-                 F.max(c).cast("string").alias(f"b{i}")]
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string")
-    sig = df.agg(*aggs).first()
+    place = {f.name: i for i, f in enumerate(fields)}
     groups: dict = {}
-    for i, f in enumerate(fields):
-        key = (f.dataType.simpleString(), sig[f"n{i}"], sig[f"a{i}"], sig[f"b{i}"])
-        groups.setdefault(key, []).append(f.name)
-    cands = [(g[i], g[j]) for g in groups.values() for i in range(len(g)) for j in range(i + 1, len(g))]
-    if not cands:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string")
-    row = df.agg(*[F.count_if(~qcol(a).eqNullSafe(qcol(b))).alias(f"d{i}") for i, (a, b) in enumerate(cands)])
-    structs = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"d{i}").alias("diff"))
-               for i, (a, b) in enumerate(cands)]
-    return row.select(F.inline(F.array(*structs))).where(F.col("diff") == 0).select("column_a", "column_b")
+    for chunk in _chunks(fields, CHUNK) if fields else []:
+        aggs = []
+        for i, f in enumerate(chunk):
+            h = F.when(qcol(f.name).isNotNull(), F.xxhash64(qcol(f.name)))
+            aggs += [F.count(h).alias(f"n{i}"), F.sum(h.cast("decimal(38,0)")).alias(f"s{i}"),
+                     F.min(h).alias(f"a{i}"), F.max(h).alias(f"b{i}")]
+        sig = df.agg(*aggs).first()
+        for i, f in enumerate(chunk):
+            key = (f.dataType.simpleString(), *[sig[f"{k}{i}"] for k in "nsab"])
+            groups.setdefault(key, []).append(f.name)
+    found, open_groups = [], [g for g in groups.values() if len(g) > 1]
+    while open_groups:
+        checks = [(g[0], c) for g in open_groups for c in g[1:]]
+        differ = set()
+        for chunk in _chunks(checks, CHUNK):
+            r = df.agg(*[F.max(~qcol(a).eqNullSafe(qcol(c))).alias(f"d{i}") for i, (a, c) in enumerate(chunk)]).first()
+            differ |= {c for i, (_, c) in enumerate(chunk) if r[f"d{i}"]}
+        found += [(a, c) for a, c in checks if c not in differ]
+        rest = [[c for c in g[1:] if c in differ] for g in open_groups]
+        open_groups = [g for g in rest if len(g) > 1]
+    found.sort(key=lambda p: place[p[1]])
+    return df.sparkSession.createDataFrame(found, "column_a string, column_b string")

@@ -173,6 +173,16 @@ def outlier_values(df: DataFrame, cols: list[str] | None = None, factor: float =
             .select("column_name", "rank", "value"))
 
 
+def outlier_rows(df: DataFrame, col: str, factor: float = 1.5) -> DataFrame:
+    """D-b: all rows whose ``col`` lies outside ``[q25 - factor * iqr, q75 + factor * iqr]``,
+    with all their columns as they are and the two bounds.  A column without values, or
+    whose bounds hold every value, gives no row; bounds override columns of their names."""
+    lo, hi = _bounds_literals(iqr_bounds(normalize(df.select(qcol(col))), [col], factor))[col]
+    x = F.nanvl(qcol(col).cast("double"), F.lit(None).cast("double"))
+    out = (x < F.lit(lo)) | (x > F.lit(hi)) if lo is not None else F.lit(False)
+    return df.where(out).withColumn("lower_bound", F.lit(lo).cast("double")).withColumn("upper_bound", F.lit(hi).cast("double"))
+
+
 def zscore_outliers(df: DataFrame, cols: list[str] | None = None, threshold: float = 3.0) -> DataFrame:
     """D-c: ``(column_name, method, mean, std, outlier_count, outlier_percentage)``
     with ``|x - mean| / std > threshold`` (sample std)."""

@@ -54,18 +54,21 @@ def run_batch(spark: SparkSession, input_path: str, out_dir: str, target: str |
     cleaned = spark.read.parquet(snap)
     outputs = {"cleaned": snap}
     prof = profile(cleaned, target)
+    shared = prof.shared | {"pca": prof["multivariate"].get("pca")}
+
     def write(name, df):
         path = os.path.join(out_dir, "profile", name.replace(".", "/"))
         sinks.write_json(df, path)
         return path
     outputs.update(prof.run_all(write))
-    for name, df in {"summary": report.summary_table(cleaned), "numeric": report.numeric_table(cleaned),
-                     "insights": report.insight_table(cleaned, target)}.items():
+    for name, df in {"summary": report.summary_table(cleaned, shared["checks"], shared["dups"]),
+                     "numeric": report.numeric_table(cleaned, shared["moments"], shared["quarts"]),
+                     "insights": report.insight_table(cleaned, target, shared["checks"], shared["dups"])}.items():
         path = os.path.join(out_dir, "report", name)
         sinks.write_json(df, path)
         outputs[f"report.{name}"] = path
     if charts_on:
-        for name, df in charts.chart_data(cleaned, target).items():
+        for name, df in charts.chart_data(cleaned, target, shared).items():
             path = os.path.join(out_dir, "charts", name.replace(":", "_"))
             sinks.write_json(df, path)
             outputs[f"chart.{name}"] = path
@@ -79,7 +82,6 @@ def run_batch(spark: SparkSession, input_path: str, out_dir: str, target: str |
         accuracy = acc[0] if acc else None
     man = report.manifest(raw, cleaned, steps, target, outputs, {"charts": charts_on, "train": train})
     sinks.write_json(man, os.path.join(out_dir, "manifest"))
-    prof.release()
     if run_log:
         sinks.log_run(spark, run_log, os.path.basename(input_path), target_column=target, accuracy=accuracy)
     return outputs

@@ -1,12 +1,12 @@
 """The whole profile in one call.
 
 ``profile(df, target)`` returns a :class:`Profile` holding one lazy
-DataFrame per section.  The input is normalised once and persisted
-(memory, spilling to disk); every section reads that copy, so the source is
-scanned once however many sections are evaluated.  A lost executor only
-costs recomputing its cached blocks from the scan.  Sections that need a
-driver literal (quantile bounds, PCA matrix) run their small job when the
-section is built.
+DataFrame per section.  The input is not copied: each job reads the columns
+it needs from the source, which a columnar format makes cheap.  The shared
+jobs run once and their small results (O(columns) rows) are pinned; value
+counts, which can be as long as a column's distinct values, are written once to
+the shared folder.  Sections that need a driver literal (quantile bounds, PCA
+matrix) run their small job when the section is built.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from tabprofile.operators import categorical, charts, insights, multivariate, quality, relate, stats, target as tgt
+from tabprofile.operators import categorical, insights, multivariate, quality, relate, stats, target as tgt
 from tabprofile.functions.moments import column_facts
 from tabprofile.roles import ColumnRoles, normalize
+from tabprofile.sources.sinks import shared_table
 
 SECTIONS = ("overview", "data_quality", "statistics", "univariate", "bivariate", "multivariate",
             "target_analysis", "insights")
@@ -30,8 +30,7 @@ class Profile:
     roles: ColumnRoles
     target: str | None
     sections: dict = field(default_factory=dict)  # section -> {name: DataFrame}
-    source: DataFrame | None = None
-    pinned: list = field(default_factory=list)
+    shared: dict = field(default_factory=dict)  # results of the shared jobs, by name
 
     def __getitem__(self, key):
         return self.sections[key]
@@ -50,27 +49,23 @@ class Profile:
             return {name: f.result() for name, f in futs.items()}
 
     def release(self):
-        for d in self.pinned:
-            d.unpersist()
-        if self.source is not None:
-            self.source.unpersist()
+        """Let go of the pinned results and section tables."""
+        self.shared.clear()
+        self.sections.clear()
 
 
-def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
-            top_k: int = 10, max_concurrent_jobs: int = 4) -> Profile:
+def profile(df: DataFrame, target: str | None = None, *, top_k: int = 10, max_concurrent_jobs: int = 4) -> Profile:
     base = normalize(df)
-    if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     roles = ColumnRoles.of(base)
-    p = Profile(roles, target, source=base if persist else None)
+    p = Profile(roles, target)
     num, cat = roles.numeric, roles.categorical
     # The shared jobs, each run once; their small results are pinned.  They
     # are independent, so they are submitted together from driver threads and
     # Spark schedules their tasks side by side (each global aggregate ends in
     # a one-task stage; alone it would leave the other cores idle).
     with ThreadPoolExecutor(max_workers=max_concurrent_jobs) as pool:
-        f_checks = pool.submit(lambda: stats.materialize(quality.column_checks(base)))      # J1: counts, constants
-        f_dups = pool.submit(lambda: stats.materialize(quality.duplicates(base)))           # J6: full-row grouping
+        f_checks = pool.submit(lambda: stats.materialize(quality.column_checks(df)))      # J1: counts, constants
+        f_dups = pool.submit(lambda: stats.materialize(quality.duplicates(df)))           # J6: full-row grouping
         f_facts = pool.submit(lambda: column_facts(base, num) if num else None)           # J1: count/min/max/mean
         facts = f_facts.result()
         f_quarts = pool.submit(lambda: stats.quartiles(base, num, facts) if num else None)  # J2: exact quartiles
@@ -78,6 +73,7 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
         f_pairs = pool.submit(lambda: relate.correlation_pairs(base, num, facts) if len(num) > 1 else None)  # J4
         checks, dups, quarts, moments, pairs = (f_checks.result(), f_dups.result(), f_quarts.result(),
                                                 f_moments.result(), f_pairs.result())
+    p.shared = {"checks": checks, "dups": dups, "quarts": quarts, "moments": moments, "pairs": pairs}
     p.sections["overview"] = {
         "shape": stats.shape(base), "types": stats.type_counts(base), "roles": stats.role_counts(base),
         "memory": stats.memory_mb(base)}
@@ -91,9 +87,8 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
         st["moments"] = stats.skew_kurtosis(base, num, moments)
     if cat:
         # Value counts can be as long as a column's distinct values, so they
-        # stay distributed (cached), never collected
-        counts = categorical.value_counts(base, cat).persist(StorageLevel.MEMORY_AND_DISK)
-        p.pinned.append(counts)
+        # stay distributed, never collected
+        counts = p.shared["counts"] = shared_table(categorical.value_counts(base, cat), "value-counts")
         st["categorical"] = categorical.category_stats(base, cat, counts=counts)
         st["top_values"] = categorical.top_values(base, cat, k=top_k, counts=counts)
     p.sections["statistics"] = st
@@ -127,8 +122,3 @@ def profile(df: DataFrame, target: str | None = None, *, persist: bool = True,
             p.sections["target_analysis"]["class_counts"] = tgt.class_counts(base, target)
     p.sections["insights"] = {"insights": insights.insights(base, target, checks, dups)}
     return p
-
-
-def chart_tables(df: DataFrame, target: str | None = None) -> dict:
-    """C18 convenience re-export."""
-    return charts.chart_data(df, target)

@@ -240,9 +240,15 @@ def q_missing_ranked(spark, sf_dir):
     return quality.missing_ranked(dirty_li(spark, sf_dir), ascending=False, top=20, only_present=False)
 
 
-@query("q_missing_matrix")
+def _matrix_sql():
+    bucket = "CAST('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 8) AS BIGINT) % 50"
+    return with_view(DIRTY_LI_SQL, _union_sql([f"""SELECT {bucket} AS bucket, '{c}' AS column_name,
+  round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate FROM d GROUP BY 1""" for c in DIRTY_COLS]))
+
+
+@query("q_missing_matrix", _matrix_sql())
 def q_missing_matrix(spark, sf_dir):
-    return rounded(quality.missing_matrix(dirty_li(spark, sf_dir), buckets=50), 6)
+    return rounded(quality.missing_matrix(dirty_li(spark, sf_dir), buckets=50, key_cols=["l_orderkey", "l_linenumber"]), 6)
 
 
 @query("q_duplicates", with_view(DUP_SQL, """SELECT CAST(sum(cnt) AS BIGINT) AS rows, CAST(sum(cnt - 1) AS BIGINT) AS duplicates,
@@ -344,15 +350,17 @@ def _narrow_sql():
     parts = []
     ints = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int"}
     for c, t in ints.items():
-        parts.append(f"""SELECT '{c}' AS column_name, '{t}' AS from_type,
+        parts.append(f"""SELECT '{c}' AS column_name, '{t}' AS from_type, count({c}) * {dict(int=4, bigint=8)[t]} AS held, count({c}) AS n,
   CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint'
        WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint'
        WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS to_type FROM lineitem""")
     for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]:
-        parts.append(f"""SELECT '{c}' AS column_name, 'double' AS from_type,
+        parts.append(f"""SELECT '{c}' AS column_name, 'double' AS from_type, count({c}) * 8 AS held, count({c}) AS n,
   CASE WHEN coalesce(max(abs({c} - CAST(CAST({c} AS FLOAT) AS DOUBLE))), 0.0) <= 0.0005 THEN 'float' ELSE 'double' END AS to_type
 FROM lineitem""")
-    return _union_sql(parts)
+    width = " ".join(f"WHEN '{t}' THEN {w}" for t, w in dict(tinyint=1, smallint=2, int=4, bigint=8, float=4, double=8).items())
+    return f"""SELECT column_name, from_type, to_type, CAST(held - n * CASE to_type {width} END AS BIGINT) AS saved_bytes
+FROM ({_union_sql(parts)}) p"""
 
 
 @query("q_narrow_types", _narrow_sql())
@@ -888,13 +896,19 @@ def _dup_columns_sql(cols: list[str], source: str) -> str:
     return f"WITH d AS ({source})\n" + "\nUNION ALL ".join(parts)
 
 
-@query("q_dup_columns", _dup_columns_sql(
-    ["l_quantity", "l_extendedprice", "l_discount", "price_copy", "l_tax"],
-    "SELECT l_quantity, l_extendedprice, l_discount, (l_extendedprice * 2) / 2 AS price_copy, l_tax FROM lineitem"))
+DUP_COLUMNS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "price_copy", "key_copy", "price_again", "empty_a", "empty_b"]
+
+
+@query("q_dup_columns", "SELECT min_by(column_a, " + f"list_position({DUP_COLUMNS}, column_a)) AS column_a, column_b FROM (" + _dup_columns_sql(
+    DUP_COLUMNS, """SELECT *, (l_extendedprice * 2) / 2 AS price_copy, (l_orderkey + 7) - 7 AS key_copy, (l_extendedprice * 4) / 4 AS price_again,
+  CASE WHEN l_quantity < 0 THEN l_tax END AS empty_a, CASE WHEN l_quantity < -1 THEN l_tax END AS empty_b FROM lineitem""")
+    + ") GROUP BY column_b")
 def q_dup_columns(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount",
-                                                (F.col("l_extendedprice") * 2 / 2).alias("price_copy"), "l_tax")
-    return quality.duplicate_columns(li)
+    """All columns of lineitem and computed copies; groups of three and of empty columns."""
+    price, tax, q = F.col("l_extendedprice"), F.col("l_tax"), F.col("l_quantity")
+    return quality.duplicate_columns(read(spark, sf_dir, "lineitem").select(
+        "*", (price * 2 / 2).alias("price_copy"), ((F.col("l_orderkey") + 7) - 7).alias("key_copy"), (price * 4 / 4).alias("price_again"),
+        F.when(q < 0, tax).alias("empty_a"), F.when(q < -1, tax).alias("empty_b")))
 
 
 @query("q_rules", """SELECT 'discount_range' AS rule, count(*) AS checked,
@@ -983,9 +997,10 @@ def q_impute_apply(spark, sf_dir):
     return clean.impute(d, ["l_discount", "l_returnflag", "gappy"])
 
 
-@query("q_preview")
+@query("q_preview", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate LIMIT 5000")
 def q_preview(spark, sf_dir):
-    return clean.preview(read(spark, sf_dir, "lineitem"), 5000)
+    return clean.preview(read(spark, sf_dir, "lineitem"), 5000, order_by=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                                          "l_quantity", "l_extendedprice", "l_shipdate"])
 
 
 @query("q_crosstab_wide", """SELECT l_returnflag AS a_value, CAST(count_if(l_linestatus = 'F') AS BIGINT) AS F,
@@ -1052,29 +1067,69 @@ def q_corr_gappy(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "const_num")), 6)
 
 
-@query("q_manifest")
+@query("q_manifest", """SELECT count(*) AS raw_rows, 6 AS raw_columns, (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS cleaned_rows,
+  5 AS cleaned_columns, 'o_orderstatus' AS target_column, 'drop_empty_rows,drop_empty_columns,drop_duplicates,cap_columns(5)' AS steps,
+  'orders' AS cleaned, 'False' AS train FROM orders""")
 def q_manifest(spark, sf_dir):
     from tabprofile.plans.batch import clean_table
     from tabprofile.plans.report import manifest
     raw = read(spark, sf_dir, "orders")
     cleaned, steps = clean_table(raw, max_cols=5, target="o_orderstatus")
-    return manifest(raw, cleaned, steps, "o_orderstatus", {"cleaned": "orders"}, {"train": False})
+    m = manifest(raw, cleaned, steps, "o_orderstatus", {"cleaned": "orders"}, {"train": False})
+    return m.select(F.col("raw_shape")[0].alias("raw_rows"), F.col("raw_shape")[1].alias("raw_columns"), F.col("cleaned_shape")[0].alias("cleaned_rows"),
+                    F.col("cleaned_shape")[1].alias("cleaned_columns"), "target_column", F.array_join("cleaning_steps", ",").alias("steps"),
+                    F.col("outputs")["cleaned"].alias("cleaned"), F.col("flags")["train"].alias("train"))
 
 
-@query("q_json_rows")
+@query("q_json_rows", """SELECT CAST(to_json({'class': o_orderpriority, 'count': count(*)}) AS VARCHAR) AS json FROM orders
+WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""")
 def q_json_rows(spark, sf_dir):
     from tabprofile.sources.sinks import to_json_rows
-    return to_json_rows(target_mod.class_balance(read(spark, sf_dir, "orders"), "o_orderstatus"))
+    return to_json_rows(target_mod.class_counts(read(spark, sf_dir, "orders"), "o_orderpriority"))
 
 
-@query("q_run_log_latest")
-def q_run_log_latest(spark, sf_dir):
+@query("q_json_load", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def q_json_load(spark, sf_dir):
+    """Whole orders as JSON rows, written, read and parsed again."""
+    from tabprofile.sources import sinks
+    o = read(spark, sf_dir, "orders").drop("o_orderdate")
+    path = _scratch(spark, "orders-json")
+    sinks.to_json_rows(o).write.text(path)
+    return sinks.parse_json_rows(spark.read.text(path), o.schema, "value")
+
+
+def _event_runs(spark, sf_dir):
+    """A run log with one run for each event."""
     from tabprofile.sources import sinks
     path = _scratch(spark, "runs")
-    for t in ("orders", "lineitem"):
-        n = read(spark, sf_dir, t).count()
-        sinks.log_run(spark, path, t, user_id=1, notes=f"rows={n}")
-    return sinks.history(spark, path, user_id=1).drop("analysis_results")
+    sinks.append_runs(read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("run_id"), "user_id", F.col("event_type").alias("dataset_name"), F.col("value").alias("accuracy"),
+        F.col("ts").alias("created_at"), F.col("props").alias("notes")), path)
+    return path
+
+
+@query("q_run_log_latest", """SELECT CAST(event_id AS VARCHAR) AS run_id, CAST(user_id AS INTEGER) AS user_id, event_type AS dataset_name,
+  value AS accuracy, 'completed' AS status, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS INTEGER) AS rank
+FROM events QUALIFY rank <= 5""")
+def q_run_log_latest(spark, sf_dir):
+    from tabprofile.sources import sinks
+    return sinks.latest_runs(spark, _event_runs(spark, sf_dir), 5).select("run_id", "user_id", "dataset_name", "accuracy", "status", "rank")
+
+
+@query("q_run_history", """SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS dataset_name, value AS accuracy, props AS notes,
+  CAST(ts AS DATE) AS day FROM events WHERE user_id = (SELECT min(user_id) FROM events)""")
+def q_run_history(spark, sf_dir):
+    from tabprofile.sources import sinks
+    user = read(spark, sf_dir, "events").agg(F.min("user_id")).first()[0]
+    return sinks.history(spark, _event_runs(spark, sf_dir), user).select("run_id", "dataset_name", "accuracy", "notes", "day")
+
+
+@query("q_read_run", """SELECT CAST(event_id AS VARCHAR) AS run_id, CAST(user_id AS INTEGER) AS user_id, event_type AS dataset_name,
+  value AS accuracy, props AS notes FROM events WHERE event_id = (SELECT max(event_id) FROM events)""")
+def q_read_run(spark, sf_dir):
+    from tabprofile.sources import sinks
+    last = read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    return sinks.read_run(spark, _event_runs(spark, sf_dir), str(last)).select("run_id", "user_id", "dataset_name", "accuracy", "notes")
 
 
 @query("q_ml_table")
@@ -1141,3 +1196,6 @@ WHERE rank <= 5""")
 def q_importance_share(spark, sf_dir):
     fi = relate.feature_importance(read(spark, sf_dir, "lineitem"), "l_extendedprice")
     return rounded(fi.where("is_top").select("feature", "rank", "share"), 6)
+
+
+from tabprofile.plans import registry_runs  # noqa: E402,F401  (adds its queries)

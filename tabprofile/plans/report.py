@@ -10,12 +10,12 @@ from tabprofile.operators.insights import insights
 from tabprofile.roles import ColumnRoles
 
 
-def summary_table(df: DataFrame) -> DataFrame:
+def summary_table(df: DataFrame, checks: DataFrame | None = None, dups: DataFrame | None = None) -> DataFrame:
     """``(metric, value)`` rows rows, columns, memory_mb, quality_score,
     total_missing, duplicates.  The column checks and the duplicate grouping
     run once; the rows are one-row results stacked by union."""
-    checks = stats.materialize(quality.column_checks(df))
-    dups = stats.materialize(quality.duplicates(df))
+    checks = stats.materialize(quality.column_checks(df)) if checks is None else checks
+    dups = stats.materialize(quality.duplicates(df)) if dups is None else dups
     parts = [
         dups.select(F.lit("rows").alias("metric"), F.col("rows").cast("double").alias("value")),
         dups.select(F.lit("columns").alias("metric"), F.lit(float(len(df.columns))).alias("value")),
@@ -32,21 +32,22 @@ def summary_table(df: DataFrame) -> DataFrame:
     return out
 
 
-def numeric_table(df: DataFrame) -> DataFrame:
+def numeric_table(df: DataFrame, moments: DataFrame | None = None, quarts: DataFrame | None = None) -> DataFrame:
     """R2: describe + skewness + kurtosis per numeric column (moments once)."""
     from tabprofile.roles import normalize
     df = normalize(df)
     from tabprofile.functions.moments import column_facts
     num = ColumnRoles.of(df).numeric
-    facts = column_facts(df, num)
-    m = stats.numeric_moments(df, num, facts)
-    d = stats.describe(df, num, m, stats.quartiles(df, num, facts))
+    facts = column_facts(df, num) if moments is None or quarts is None else None
+    m = stats.numeric_moments(df, num, facts) if moments is None else moments
+    d = stats.describe(df, num, m, stats.quartiles(df, num, facts) if quarts is None else quarts)
     return d.join(F.broadcast(m.select("column_name", "skewness", "kurtosis")), "column_name")  # one row per column
 
 
-def insight_table(df: DataFrame, target: str | None = None) -> DataFrame:
+def insight_table(df: DataFrame, target: str | None = None, checks: DataFrame | None = None,
+                  dups: DataFrame | None = None) -> DataFrame:
     """``(category, insight)``."""
-    return insights(df, target).select("category", "insight")
+    return insights(df, target, checks, dups).select("category", "insight")
 
 
 def manifest(raw: DataFrame, cleaned: DataFrame, steps: list[str], target: str | None,

@@ -55,6 +55,31 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*structs)))
 
 
+def infer_kinds(df: DataFrame) -> DataFrame:
+    """D-d: ``(column_name, kind)``.  A string column is ``datetime`` if every present value
+    parses as a timestamp, ``category`` if it has fewer distinct values than half its rows,
+    else ``object``; other columns keep their type's name.  A column without values is
+    ``object``.  Values are counted by two hashes, so no text is shuffled."""
+    spark = df.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    cols = [c for c, t in kinds.items() if t == "string"]
+    if cols:
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for i, c in enumerate(cols):
+            aggs += [F.count(qcol(c)).alias(f"p{i}"),
+                     F.count(F.expr("try_cast(`" + c.replace("`", "``") + "` AS TIMESTAMP)")).alias(f"t{i}")]
+        facts = df.agg(*aggs).first()
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(qcol(c).isNotNull(), F.xxhash64(qcol(c))).alias("a"),
+                                   F.xxhash64(F.lit("second"), qcol(c)).alias("b")) for i, c in enumerate(cols)])
+        values = df.select(F.inline(cells)).where(F.col("a").isNotNull()).groupBy("i", "a", "b").agg(F.lit(1).alias("one"))
+        levels = {r["i"]: r["n"] for r in values.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}  # O(columns)
+        for i, c in enumerate(cols):
+            present = facts[f"p{i}"]
+            kinds[c] = ("object" if not present else "datetime" if facts[f"t{i}"] == present
+                        else "category" if levels[i] / facts["rows"] < 0.5 else "object")
+    return spark.createDataFrame(list(kinds.items()), "column_name string, kind string")
+
+
 def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None, infer: bool = True,
              multiline: bool = False) -> DataFrame:
     """CSV with a header; NA tokens -> NULL; types from one counting pass.

@@ -12,8 +12,11 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabprofile.session import ensure_checkpoint_dir
+
 RUN_SCHEMA = ("run_id string, user_id int, dataset_name string, target_column string, model_choice string, "
               "accuracy double, created_at timestamp, notes string, status string, analysis_results string, "
               "day date")
@@ -28,6 +31,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.format(fmt).save(path)
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder (``spark.checkpoint.dir``) and read back:
+    several readers see the same rows, and a lost executor costs a re-read, no recomputation."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A result table as JSON lines (keys are column names, so they
     are strings by construction; values are Spark's own JSON encodings)."""
@@ -39,6 +51,21 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
 
 
+def parse_json_rows(df: DataFrame, schema, column: str = "json") -> DataFrame:
+    """The load side of :func:`to_json_rows`; text that is no JSON gives NULLs."""
+    return df.select(F.from_json(F.col(f"`{column}`"), schema).alias("r")).select("r.*")
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """R7 for many runs at once: rows with any of the log's columns are appended to it; a
+    missing column is NULL, ``status`` is ``completed`` by default, ``day`` follows
+    ``created_at``."""
+    kinds = dict(part.strip().split(" ", 1) for part in RUN_SCHEMA.split(","))
+    cols = [(F.col(f"`{c}`") if c in runs.columns else F.lit("completed" if c == "status" else None)).cast(t).alias(c)
+            for c, t in kinds.items() if c != "day"]
+    runs.select(*cols).withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def log_run(spark: SparkSession, path: str, dataset_name: str, *, user_id: int | None = None,
             target_column: str | None = None, model_choice: str | None = None, accuracy: float | None = None,
             notes: str | None = None, status: str = "completed", analysis_results: dict | None = None,
@@ -57,6 +84,13 @@ def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("run_id") == run_id)
 
 
+def latest_runs(spark: SparkSession, path: str, k: int = 10) -> DataFrame:
+    """K5 per user: the ``k`` newest runs of every user with their ``rank`` (ties: the
+    smaller run id); a task ships at most ``k`` rows a user."""
+    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("run_id"))
+    return spark.read.parquet(path).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def history(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
     """K5: runs newest first, optionally of one user."""
     runs = spark.read.parquet(path)
