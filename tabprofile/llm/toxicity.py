@@ -13,7 +13,9 @@ classes apart is as likely in either.
 
 The log-likelihood ratio, within ``BOUND`` a word, is normalised by length in every window
 of ``WINDOWS`` words, as a few toxic words would vanish in the mean of a long text; the
-score is the logistic function of the highest windows' and the whole text's mean ratios.  That function is fitted on one
+score is the logistic function of the mean ratios of the highest windows, of the ``HIGHEST``
+highest words wherever they stand (one rare word happens in an ordinary text, several hardly),
+and of the whole text, and of the length's logarithm, as high ratios happen more in long texts.  That function is fitted on one
 half of the sampled documents, scored by models of the other half, and so is D, the one of
 ``DISCOUNTS`` with the least loss; the final models are of both.  The sample has at most ``ROWS`` labelled documents of each class, so the models
 are bounded; they go to all tasks as sorted arrays of word hashes, and scoring is one pass
@@ -38,6 +40,8 @@ ROWS = {0: 2000, 1: 2000}
 DISCOUNTS = (0.75, 1.5, 3.0, 4.0, 6.0)
 PARTS, HELD = 3, 1
 WINDOWS = (1, 3, 6)
+HIGHEST = (4, 8)
+FEATURES = len(WINDOWS) + len(HIGHEST) + 2
 BOUND = 5.0
 START = 1  # hash that stands for the start of a text
 PUNCTUATION = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
@@ -139,10 +143,10 @@ def lookup(keys, values, wanted, other: float):
 
 
 def text_ratios(model: dict, hashes: list):
-    """The highest mean log-likelihood ratio of windows of each size, and the whole mean, of
-    each text."""
+    """Of each text: the highest mean log-likelihood ratio of windows of each size, the mean of
+    its highest words' ratios, the logarithm of its length, and the whole mean."""
     import numpy as np
-    out = np.zeros((len(hashes), len(WINDOWS) + 1))
+    out = np.zeros((len(hashes), FEATURES))
     full = [i for i, h in enumerate(hashes) if len(h)]
     if not full:
         return out
@@ -157,7 +161,10 @@ def text_ratios(model: dict, hashes: list):
         sums = np.concatenate([[0.0], np.cumsum(llr[at:at + n])])
         for j, span in enumerate(WINDOWS):
             out[i, j] = (sums[min(span, n):] - sums[:n + 1 - min(span, n)]).max() / span
-        out[i, -1] = sums[-1] / n
+        own = llr[at:at + n]
+        for j, k in enumerate(HIGHEST, len(WINDOWS)):
+            out[i, j] = (own if n <= k else np.partition(own, n - k)[n - k:]).sum() / k
+        out[i, -2], out[i, -1] = np.log(n), sums[-1] / n
         at += n
     return out
 
@@ -215,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[i
     if len({y for _, y in seen}) < 2:
         return None
     y, found = np.array([y for _, y in seen]), np.array([r for r, _ in seen])
-    fitted, width = [], len(WINDOWS) + 1
+    fitted, width = [], FEATURES
     for i, d in enumerate(DISCOUNTS):
         x = found[:, i * width:(i + 1) * width]
         weights = logistic(x, y)
