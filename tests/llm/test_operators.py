@@ -488,3 +488,22 @@ def test_bad_hosts_reject_their_documents(spark):
     assert rates["bad"] > 0.5 > max(v for k, v in rates.items() if k not in ("bad", "new"))
     assert rates["new"] < 1  # one document says little
     assert host_rules.keep(docs).count() == sum(found.values())
+
+
+def test_toxicity_ratios_by_hand():
+    """Highest windows, highest words anywhere, length and mean, of per-word ratios."""
+    hasher = toxicity.Hasher()
+    words = "bad ok ok bad ok ok ok bad ok ok ok ok"
+    h = hasher(words)
+    keys = np.sort(np.unique(h))
+    value = {int(hasher("bad")[0]): 2.0, int(hasher("ok")[0]): -0.5}
+    none = np.zeros(0, np.uint64)
+    model = {"words": keys, "uni": np.array([value[int(k)] for k in keys], np.float32), "contexts": none, "gamma": np.zeros(0, np.float32),
+             "pairs": none, "bi": np.zeros(0, np.float32), "unknown": 0.0}
+    llr = [2.0 if w == "bad" else -0.5 for w in words.split()]
+    windows = [max(sum(llr[i:i + k]) / k for i in range(len(llr) - k + 1)) for k in toxicity.WINDOWS]
+    highest = [sum(sorted(llr)[-k:]) / k for k in toxicity.HIGHEST]
+    got = toxicity.text_ratios(model, [h, hasher(""), hasher("bad")])
+    assert np.allclose(got[0], [*windows, *highest, np.log(12), sum(llr) / 12])
+    assert not got[1].any()
+    assert np.allclose(got[2], [*[2.0 / k for k in (*toxicity.WINDOWS, *toxicity.HIGHEST)], 0.0, 2.0])
