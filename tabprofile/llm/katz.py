@@ -44,21 +44,45 @@ START, END = b"", b" "  # no word is empty or holds white space
 PARTS, HELD = 7, 2
 
 
+def slope(n: list[int]) -> float | None:
+    """b of the line log Z(r) = a + b log r by least squares, or None with less than two r.
+
+    Z(r) averages n[r] over the r on both sides that don't occur (Gale and Sampson's Simple
+    Good-Turing): 2 n[r] / (next - previous), beyond the last one as far as before it."""
+    import math
+    rs = [r for r in range(1, K + 2) if n[r]]
+    if len(rs) < 2:
+        return None
+    ends = [0, *rs, 2 * rs[-1] - rs[-2]]
+    x, y = [math.log(r) for r in rs], [math.log(2 * n[r] / (ends[i + 2] - ends[i])) for i, r in enumerate(rs)]
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    return sum((p - mx) * (q - my) for p, q in zip(x, y)) / sum((p - mx) ** 2 for p in x)
+
+
 def discounts(n: list[int]) -> list[float]:
     """d(0) to d(K) from n[r], the number of entries that occur r times, r = 0 to K + 1.
 
     d(r) = (r* / r - A) / (1 - A), r* = (r + 1) n[r+1] / n[r], A = (K + 1) n[K+1] / n[1].
-    Where sparse counts make any of them leave (0, 1), absolute discounting by
-    n[1] / (n[1] + 2 n[2]) takes its place for all r."""
-    out = [0.0]
-    if all(n[1:K + 2]):
-        a = (K + 1) * n[K + 1] / n[1]
-        if a < 1:
-            out += [((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) for r in range(1, K + 1)]
-    if len(out) <= K or not all(0 < d < 1 for d in out[1:]):
-        b = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        out = [0.0] + [1 - b / r for r in range(1, K + 1)]
-    return out
+    From the first r on whose d leaves (0, 1), or for all r if A does or an n[r] is 0, r* and
+    A come from smoothed counts of counts, n[r] ~ r^b (:func:`slope`), as Simple Good-Turing
+    changes over once and for all; b < -1 keeps every d in (0, 1).  Only without such a b
+    (fewer than two different r, or counts that don't fall) absolute discounting by
+    n[1] / (n[1] + 2 n[2]) takes the place of the smoothed ones."""
+    b = slope(n)
+    if b is not None and b < -1:
+        a = (K + 1) ** (b + 1)
+        smooth = [((1 + 1 / r) ** (b + 1) - a) / (1 - a) for r in range(1, K + 1)]
+    else:
+        cut = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        smooth = [1 - cut / r for r in range(1, K + 1)]
+    dealt = []
+    if all(n[1:K + 2]) and (a := (K + 1) * n[K + 1] / n[1]) < 1:
+        for r in range(1, K + 1):
+            d = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a)
+            if not 0 < d < 1:
+                break
+            dealt.append(d)
+    return [0.0, *dealt, *smooth[len(dealt):]]
 
 
 @dataclass

@@ -159,6 +159,35 @@ def test_katz_discounts_fall_back():
         assert all(0 < d < 1 for d in katz.discounts(n)[1:])
 
 
+def simple_good_turing(n, k):
+    """Katz's discounts from counts of counts on Gale and Sampson's line."""
+    from statistics import linear_regression
+    there = [r for r in range(1, k + 2) if n[r]]
+    z = []
+    for r in there:
+        before = max([q for q in there if q < r], default=0)
+        after = min([t for t in there if t > r], default=2 * r - before)
+        z.append(n[r] / (0.5 * (after - before)))
+    line = linear_regression([math.log(r) for r in there], [math.log(x) for x in z])
+    s = {r: math.exp(line.intercept + line.slope * math.log(r)) for r in range(1, k + 2)}
+    a = (k + 1) * s[k + 1] / s[1]
+    return [((r + 1) * s[r + 1] / s[r] / r - a) / (1 - a) for r in range(1, k + 1)]
+
+
+def test_katz_discounts_stay_good_turing():
+    # counts of counts of sf0.1: only d(4) by the plain counts leaves (0, 1)
+    for n, plain in (([0, 207344, 59772, 25017, 14274, 13493, 7080], [0.467, 0.532, 0.699]),
+                     ([0, 1579638, 246704, 51653, 21705, 18939, 7580], [0.292, 0.294, 0.547])):
+        d = katz.discounts(n)
+        assert d[1:4] == pytest.approx(plain, abs=6e-4) and d[4:] == pytest.approx(simple_good_turing(n, 5)[3:])
+        assert all(0 < x < 1 for x in d[1:]) and all((r + 1) * d[r + 1] > r * d[r] for r in range(1, 5))
+    gaps = [0, 100, 30, 0, 9, 0, 2]  # r* undefined at once
+    assert katz.discounts(gaps)[1:] == pytest.approx(simple_good_turing(gaps, 5))
+    fine = [0, 1000, 400, 220, 140, 98, 72]
+    a = 6 * fine[6] / fine[1]
+    assert katz.discounts(fine)[1:] == pytest.approx([((r + 1) * fine[r + 1] / fine[r] / r - a) / (1 - a) for r in range(1, 6)])
+
+
 # 3 SimHash
 
 def brute_simhash(text, k=4):
