@@ -56,18 +56,19 @@ def fingerprint(text: str, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and print (the fingerprint as a signed 64-bit number) of whole texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, shingle: int = 4, *more: str) -> DataFrame:
+    """doc_id, print (the fingerprint as a signed 64-bit number) of whole texts, and ``more``."""
+    rows = texts(docs, *more)
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more)]
 
     def task(batches):
         import numpy as np
         import pyarrow as pa
         for batch in batches:
             out = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "print", *more])
 
-    return texts(docs).mapInArrow(task, f"doc_id {kind}, print long")
+    return rows.mapInArrow(task, ", ".join([kinds[0], "print long", *kinds[1:]]))
 
 
 def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -236,24 +237,37 @@ def links(prints: DataFrame, distance: int = 4, block: int = 4096) -> DataFrame:
     return ordered.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def rooted(prints: DataFrame, least, distance: int) -> tuple[DataFrame, DataFrame]:
+    """print and root of each distinct print, and root and least of each component, the
+    smallest value of the column ``least`` among its rows."""
+    distinct = prints.groupBy("print").agg(F.min(least).alias("least"))
+    nodes = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-prints")
+    found = components(links(nodes, distance))  # node, root: of the nodes that have links
+    roots = nodes.join(found, nodes.id == found.node, "left").select(
+        "print", "least", F.coalesce("root", "id").alias("root"))
+    return roots.select("print", "root"), roots.groupBy("root").agg(F.min("least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     prints = stored(fingerprints(docs, shingle), "prints")
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-prints")
-    found = components(links(nodes, distance))  # node, root: of the nodes that have links
-    rooted = nodes.join(found, nodes.id == found.node, "left").select(
-        "print", "doc_id", F.coalesce("root", "id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("print").alias("of"), "component_id")
+    roots, least = rooted(prints, F.col("doc_id"), distance)
+    named = roots.join(least, "root").select(F.col("print").alias("of"), F.col("least").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
     return prints.join(named, prints.print == named.of).select("doc_id", hexed, "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id.
-    Rows that share a doc_id stay or go together; null ids form components of their own
-    only where no other id is in theirs."""
-    found = near_duplicates(docs, shingle, distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """``docs`` with exactly one row of each component, the one with the smallest doc_id
+    (null last), of several such rows any one; all columns as they were.
+
+    Rows are told apart by a number stored with them, as ids can be null or repeated."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = stored(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"), "row")
+    prints = stored(fingerprints(keyed, shingle, "row"), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k"), F.col("row").alias("r"))
+    _, least = rooted(prints, first, distance)
+    kept = least.select(F.col("least.r").alias("kept"))
+    return rows.join(kept, rows.row == kept.kept, "left_semi").drop("row").toDF(*names)

@@ -213,6 +213,19 @@ def brute_components(values, distance):
     return [find(i) for i in range(len(values))]
 
 
+def test_simhash_deduplicate_keeps_one_row_a_component(spark):
+    r = random.Random(12)
+    a, b, c = (words_of(r, 200) for _ in range(3))
+    # nulls alone; nulls beside an id; one id on rows of several components; other columns
+    table = [(None, a, "1"), (None, a, "2"), (None, b, "3"), (7, b, "4"), (7, c, "5"), (7, c, "6"), (7, b, "7"), (9, c, "8"), (None, "", "9")]
+    prints = [brute_simhash(t) for _, t, _ in table]
+    roots = brute_components(prints, 4)
+    got = simhash.deduplicate(spark.createDataFrame(table, "doc_id long, text string, row string").repartition(4))
+    assert got.columns == ["doc_id", "text", "row"]
+    found = {(i, t) for i, t, _ in map(tuple, got.collect())}
+    assert got.count() == len(set(roots)) == 4 and found == {(None, a), (7, b), (7, c), (None, "")}
+
+
 def test_simhash_groups(docs, empty):
     table = rows()
     prints = [brute_simhash(t) for _, t in table]
