@@ -191,10 +191,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """``docs`` without rows that score below ``threshold``, all columns as they were."""
+    """``docs`` without rows that score below ``threshold``, all columns as they were; all rows
+    without labels of both classes, as nothing is known against any."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     narrow = plain.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"),
                           F.struct(*[f"c{i}" for i in range(len(names))]).alias("all"))
-    rows = scored(narrow, train(narrow, labels), F.col("all"))
+    model = train(narrow, labels)
+    if model is None:
+        return docs
+    rows = scored(narrow, model, F.col("all"))
     return rows.where(F.col("score") >= threshold).select("carry.*").toDF(*names)

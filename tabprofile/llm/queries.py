@@ -68,7 +68,7 @@ def op10_byte_bpe(spark, sf_dir):
 # stages of the pipeline: (spark, docs, sf_dir) -> DataFrame
 
 def quality_stage(spark, docs, sf_dir):
-    return passages.keep(docs, _table(spark, sf_dir, "labels"), threshold=0.5)
+    return passages.keep(docs, _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def rules_stage(spark, docs, sf_dir):

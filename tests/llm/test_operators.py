@@ -468,6 +468,17 @@ def test_classifiers_on_held_out_documents(spark):
     assert sum((i in ids) == bool(truth[i].quality) for i in range(600)) > 560
 
 
+def test_quality_stage_drops_what_the_operator_rejects(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"0.{i}") for i in range(10)], "doc_id long, text string")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries.quality_stage(spark, docs, str(tmp_path)).count() == 10  # no model: nothing is rejected
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(passages, "train", lambda *_: {})
+    monkeypatch.setattr(passages, "scored", lambda rows, _, carry: rows.select(carry.alias("carry"), F.col("text").cast("double").alias("score")))
+    verdict = {r.doc_id for r in queries.op7_attention_mil(spark, str(tmp_path)).where("predicted = 1").collect()}
+    assert {r.doc_id for r in queries.quality_stage(spark, docs, str(tmp_path)).collect()} == verdict == {7, 8, 9}
+
+
 def test_classifiers_on_awkward_rows(spark, docs, empty):
     base, labels = labelled(spark)
     for f in (passages.classify, toxicity.score):
