@@ -17,14 +17,17 @@ score is the logistic function of the mean ratios of the highest windows, of the
 highest words wherever they stand (one rare word happens in an ordinary text, several hardly),
 and of the whole text, and of the length's logarithm, as high ratios happen more in long texts.  That function is fitted on one
 half of the sampled documents, scored by models of the other half, and so is D, the one of
-``DISCOUNTS`` with the least loss; the final models are of both.  The sample has at most ``ROWS`` labelled documents of each class, so the models
+``DISCOUNTS`` with the least loss; the final models are of both.  Halves are by a hash of the id,
+and by its order within a class whose documents would all be in one half (:func:`halves`);
+where a half still has no words of a class, as with a single document of it, D is the first of
+``DISCOUNTS`` and the function is fitted on the documents the models are of.  The sample has at most ``ROWS`` labelled documents of each class, so the models
 are bounded; they go to all tasks as sorted arrays of word hashes, and scoring is one pass
 over whole texts without a shuffle.
 
 Words are runs of non-white characters with A-Z lower-cased and ASCII punctuation taken
 as white space.  Defined results: null, empty and word-less texts have ratio zero; a score
 depends on the text alone, so repeated rows get the same score and null ids one each;
-without labels of both classes every score is 0; an empty table gives an empty result;
+without labelled words of both classes every score is 0; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -70,9 +73,20 @@ def pair_key(u, w):
     return u * np.uint64(0x9E3779B97F4A7C15) + w
 
 
+def halves(chosen: DataFrame) -> DataFrame:
+    """``chosen`` with half, 0 or 1; a class of two documents or more is in both."""
+    h = F.xxhash64("doc_id", F.lit("half"))
+    half = F.pmod(h, F.lit(2)).cast("int")
+    for label, found in chosen.groupBy("label").agg(F.collect_list(h)).collect():  # at most ROWS numbers
+        found.sort()
+        if len(found) > 1 and len({x % 2 for x in found}) == 1:
+            half = F.when(F.col("label") == label, (h >= found[len(found) // 2]).cast("int")).otherwise(half)
+    return chosen.withColumn("half", half)
+
+
 def bigram_counts(rows: DataFrame) -> DataFrame:
     """label, u, w (hashes as signed numbers), c (different words before the bigram) and c0
-    (of those, the ones in half 0): from doc_id, text, label."""
+    (of those, the ones in half 0): from text, label, half."""
     def task(batches):
         import numpy as np
         import pyarrow as pa
@@ -87,8 +101,7 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
                         [pa.array([half] * n, pa.int32()), pa.array([label] * n, pa.int32()),
                          *[pa.array(found[:, i]) for i in range(3)]], ["half", "label", "v", "u", "w"])
 
-    halves = rows.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half"))
-    return halves.mapInArrow(task, "half int, label int, v long, u long, w long") \
+    return rows.select("text", "label", "half").mapInArrow(task, "half int, label int, v long, u long, w long") \
         .groupBy("label", "u", "w", "v").agg(F.min("half").alias("half")) \
         .groupBy("label", "u", "w").agg(F.count(F.lit(1)).alias("c"), F.sum(1 - F.col("half")).alias("c0"))
 
@@ -204,26 +217,27 @@ def measured(rows: DataFrame, models: list[dict], *kept: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int, int] = ROWS,
           parts: int = PARTS, held: int = HELD) -> tuple[dict, list[float]] | None:
-    """(models' ratio tables, weights of the logistic function), or None without labels of
-    both classes in both halves."""
+    """(models' ratio tables, weights of the logistic function), or None without
+    words of both classes."""
     import numpy as np
-    chosen = sample(docs, labels, label, rows, parts, held)
+    chosen = halves(sample(docs, labels, label, rows, parts, held))
     counts = bigram_counts(chosen).toArrow()
     k, u, w, c, c0 = (counts[n].to_numpy() for n in ("label", "u", "w", "c", "c0"))
     del counts
     order = np.lexsort((w, u, k))  # no matter in which order tasks end
     k, u, w, c, c0 = (x[order] for x in (k.astype(np.int8), u.view(np.uint64), w.view(np.uint64), c.astype(np.int32), c0.astype(np.int32)))
-    own = c0 > 0
-    if len(set(k[own].tolist())) < 2:
+    if len(set(k.tolist())) < 2:
         return None
-    trials = [ratios(k[own], u[own], w[own], c0[own], d) for d in DISCOUNTS]
-    other = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1)
-    seen = sorted((r["ratios"], r["label"]) for r in measured(other, trials, "label").collect())
+    own, tried, seen = c0 > 0, DISCOUNTS, []
+    if len(set(k[own].tolist())) == 2:
+        trials = [ratios(k[own], u[own], w[own], c0[own], d) for d in tried]
+        seen = sorted((r["ratios"], r["label"]) for r in measured(chosen.where("half = 1"), trials, "label").collect())
     if len({y for _, y in seen}) < 2:
-        return None
+        tried = DISCOUNTS[:1]
+        seen = sorted((r["ratios"], r["label"]) for r in measured(chosen, [ratios(k, u, w, c, tried[0])], "label").collect())
     y, found = np.array([y for _, y in seen]), np.array([r for r, _ in seen])
     fitted, width = [], FEATURES
-    for i, d in enumerate(DISCOUNTS):
+    for i, d in enumerate(tried):
         x = found[:, i * width:(i + 1) * width]
         weights = logistic(x, y)
         z = np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -30, 30)

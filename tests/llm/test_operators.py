@@ -479,6 +479,21 @@ def test_quality_stage_drops_what_the_operator_rejects(spark, tmp_path, monkeypa
     assert {r.doc_id for r in queries.quality_stage(spark, docs, str(tmp_path)).collect()} == verdict == {7, 8, 9}
 
 
+@pytest.mark.parametrize("toxic", [1, 2, 3])
+def test_toxicity_of_few_labels(spark, toxic):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    same = {r.id: r.half for r in spark.range(400).selectExpr("id", "cast(pmod(xxhash64(id, 'half'), 2) as int) as half").collect()}
+    for half in (0, 1):  # all the toxic ones in one half of the hash
+        rude = [i for i in ids if same[i] == half][:toxic]
+        r = random.Random(8)
+        table = [(i, words_of(r, 30) + (" zorg blick krunt zorg blick" if i in rude else "")) for i in ids[:120]]
+        table.append((5000, words_of(r, 30) + " zorg blick krunt zorg blick"))
+        docs = spark.createDataFrame(table, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i in rude)) for i in ids[:120]], "doc_id long, toxic int")
+        score = {x.doc_id: x.score for x in toxicity.score(docs, labels).collect()}
+        assert score[5000] > max(score[i] for i in ids[:120] if i not in rude)
+
+
 def test_classifiers_on_awkward_rows(spark, docs, empty):
     base, labels = labelled(spark)
     for f in (passages.classify, toxicity.score):
