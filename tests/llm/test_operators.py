@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabprofile.llm import byte_bpe, chunked, exact, host_rules, katz, packing, passages, queries, records, simhash, toxicity, warc
+from tabprofile.llm.labelled import sample
 
 WHITE = "[ \t-\r]"
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, score double, row long, run long, key string, "
@@ -479,6 +480,13 @@ def test_quality_stage_drops_what_the_operator_rejects(spark, tmp_path, monkeypa
     assert {r.doc_id for r in queries.quality_stage(spark, docs, str(tmp_path)).collect()} == verdict == {7, 8, 9}
 
 
+def test_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(i, "other") for i in range(2, 6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, toxic int")
+    found = [sorted(map(tuple, sample(d, labels, "toxic", {0: 10, 1: 10}, 1, 5).collect())) for d in (docs, docs.repartition(7))]
+    assert found[0] == found[1] and [(i, k) for i, _, k in found[0]] == [(i, i % 2) for i in range(1, 6)]
+
+
 @pytest.mark.parametrize("toxic", [1, 2, 3])
 def test_toxicity_of_few_labels(spark, toxic):
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
