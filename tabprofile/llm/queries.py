@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprofile.llm import byte_bpe, exact, host_rules, katz, packing, passages, records, simhash, toxicity, warc
+from tabprofile.llm import byte_bpe, exact, host_rules, katz, merkle, packing, passages, periodic, records, simhash, toxicity, warc
+from tabprofile.llm.common import remainder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +68,16 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer, pattern)
 
 
+def op12_merkle_slot_pivot(spark, sf_dir):
+    changed = {"text": F.when(remainder("doc_id", 3) == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))}
+    rows = merkle.leaves(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", changed)
+    return merkle.digests(merkle.proofs(merkle.manifest(rows)))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.digests(periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
 # stages of the pipeline: (spark, docs, sf_dir) -> DataFrame
 
 def quality_stage(spark, docs, sf_dir):
@@ -89,7 +102,8 @@ def packing_stage(spark, docs, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_derivatives, op2_katz_backoff, op3_simhash_anchors, op4_binary_records, op5_content_sort, op6_best_fit_packing,
-    op7_attention_mil, op8_host_rules, op9_kneser_ney_toxicity, op10_byte_bpe)}
+    op7_attention_mil, op8_host_rules, op9_kneser_ney_toxicity, op10_byte_bpe, op12_merkle_slot_pivot,
+    op13_periodic_runs)}
 
 ORACLE = {
     "op1_warc_derivatives": warc.oracle_sql(),
@@ -99,4 +113,5 @@ g as (select *, row_number() over w as r, first_value(doc_id) over w as keep_id,
     window w as (partition by norm order by length(text) desc, doc_id nulls last))
 select doc_id, keep_id, group_size, r = 1 as kept, sha256(norm) as text_sha256 from g""",
     "op8_host_rules": host_rules.oracle_sql(),
+    "op12_merkle_slot_pivot": merkle.oracle_sql(),
 }
