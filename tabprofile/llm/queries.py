@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprofile.llm import byte_bpe, exact, host_rules, katz, merkle, packing, passages, periodic, records, simhash, toxicity, warc
+from tabprofile.llm import byte_bpe, exact, host_rules, katz, kdtree, merkle, packing, passages, periodic, records, simhash, toxicity, warc
 from tabprofile.llm.common import remainder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,11 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer, pattern)
 
 
+def op11_kd_shards(spark, sf_dir):
+    found = kdtree.shards(_table(spark, sf_dir, "documents"), ["source", "lang", "n_chars", "doc_id"], count=8)
+    return kdtree.digests(found)
+
+
 def op12_merkle_slot_pivot(spark, sf_dir):
     changed = {"text": F.when(remainder("doc_id", 3) == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))}
     rows = merkle.leaves(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", changed)
@@ -102,7 +107,7 @@ def packing_stage(spark, docs, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_derivatives, op2_katz_backoff, op3_simhash_anchors, op4_binary_records, op5_content_sort, op6_best_fit_packing,
-    op7_attention_mil, op8_host_rules, op9_kneser_ney_toxicity, op10_byte_bpe, op12_merkle_slot_pivot,
+    op7_attention_mil, op8_host_rules, op9_kneser_ney_toxicity, op10_byte_bpe, op11_kd_shards, op12_merkle_slot_pivot,
     op13_periodic_runs)}
 
 ORACLE = {
