@@ -75,14 +75,24 @@ def _small(rows: DataFrame, table: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(rows.sparkSession.createDataFrame(table, schema))  # at most MOST rows
 
 
+def _beside(rows: DataFrame, table: list[tuple], schema: str, how: str) -> DataFrame:
+    """``rows`` with their node's row of ``table`` (``own`` is the node); one row needs no join."""
+    if len(table) > 1:
+        return rows.join(_small(rows, table, schema), F.col("node") == F.col("own"), how)
+    fields = [f.split() for f in schema.split(", ")]
+    own = F.col("node") == table[0][0]
+    values = [F.when(own, F.lit(v)).cast(kind).alias(name) for v, (name, kind) in zip(table[0], fields)]
+    return (rows.where(own) if how == "inner" else rows).select("*", *values)
+
+
 def _walk(rows: DataFrame, levels: list[list[tuple]]) -> DataFrame:
     """``rows`` with the node each has come to after ``levels`` of cuts."""
     rows = rows.withColumn("node", F.lit(1).cast("long"))
     for cuts in levels:
-        cut = _small(rows, cuts, "own long, dim int, code long, last long")
+        rows = _beside(rows, cuts, "own long, dim int, code long, last long", "left")
         c = F.get("codes", F.col("dim"))
         left = (c < F.col("code")) | ((c == F.col("code")) & (F.col("at") <= F.col("last")))
-        rows = rows.join(cut, F.col("node") == F.col("own"), "left").withColumn(
+        rows = rows.withColumn(
             "node", F.when(F.col("own").isNull(), F.col("node")).when(left, 2 * F.col("node")).otherwise(2 * F.col("node") + 1))
         rows = rows.drop("own", "dim", "code", "last")
     return rows
@@ -105,10 +115,10 @@ def _cuts(rows: DataFrame, nodes: dict[int, int], buckets: int) -> list[tuple]:
         each = max(64, buckets // len(state))
         table = [(node, s["dim"], s["code"], s["low"], s["high"], (s["high"] - s["low"]) // each + 1, s["goal"], s["before"])
                  for node, s in state.items()]
-        todo = _small(rows, table, "own long, dim int, code long, low long, high long, step long, goal double, before long")
+        todo = "own long, dim int, code long, low long, high long, step long, goal double, before long"
         c = F.get("codes", F.col("dim"))
         key = F.when(F.col("code").isNull(), c).otherwise(F.when(c == F.col("code"), F.col("at")))
-        inside = rows.join(todo, F.col("node") == F.col("own")).withColumn("key", key).where("key between low and high")
+        inside = _beside(rows, table, todo, "inner").withColumn("key", key).where("key between low and high")
         sums = inside.groupBy("node", F.floor((F.col("key") - F.col("low")) / F.col("step")).alias("bucket"), "goal", "before").agg(
             F.sum("size").alias("bytes"), F.min("key").alias("least"), F.max("key").alias("most"),
             F.min("at").alias("first"), F.max("at").alias("last"))
