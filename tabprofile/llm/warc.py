@@ -15,7 +15,8 @@ Everything is built-in SQL functions: one scan, no shuffle.
 Defined results: null payload is an empty page, null headers are empty; a null target stays
 null; a repeated response makes repeated records with equal ids; a page without text makes a
 conversion record of length 0; malformed markup (``<`` without ``>``) stays text; entities
-other than lt, gt, quot, apos, nbsp, amp and numbers stay as written; an empty table gives an
+other than lt, gt, quot, apos, nbsp, amp and numbers stay as written, and each reference is
+decoded once; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -31,10 +32,11 @@ WHITE = r"[ \t\n\x0B\f\r]"
 SILENT = ["script", "style", "noscript", "template", "svg", "head", "title"]
 LINES = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|"
          "main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul")
-STEPS = [(r"(?s)<!--.*?-->", " "), *[(rf"(?is)<{e}\b[^>]*>.*?</{e}{WHITE}*>", " ") for e in SILENT],
-         (rf"{WHITE}+", " "), (rf"(?i)</?(?:{LINES})\b[^>]*>", "\n"), (r"</?[a-zA-Z!?][^>]*>", "")]
-TIDY = [(r"[ \t\x0B\f\r]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", "")]
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0")]
+#: comments and silent elements go in one pass, the first to begin wins; single spaces stay untouched
+STEPS = [(rf"(?is)<(?:!--.*?--|({'|'.join(SILENT)})\b[^>]*>.*?</\1{WHITE}*)>", " "), (rf"{WHITE}{{2,}}|[\t\n\x0B\f\r]", " "),
+         (rf"(?i)</?(?:{LINES})\b[^>]*>", "\n"), (r"</?[a-zA-Z!?][^>]*>", "")]
+TIDY = [(r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "), (r"\n[ \n]+", "\n")]
+ENTITIES = [("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("apos;", "'"), ("nbsp;", "\xa0"), ("amp;", "&")]
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LANG = rf"(?i)<html\b[^>]*\blang{WHITE}*={WHITE}*[\"']?([a-zA-Z0-9-]+)"
 LINK = rf"(?i)<a\b[^>]*\bhref{WHITE}*={WHITE}*[\"']([^\"'>]*)[\"']"
@@ -49,7 +51,7 @@ def _replaced(c: Column, steps) -> Column:
 
 
 def _character(piece: Column) -> Column:
-    """The text after ``&#`` with a valid number decoded, else with the mark put back."""
+    """The text after ``#`` of a reference with a valid number decoded, else with the mark put back."""
     decimal, hexed = F.regexp_extract(piece, "^([0-9]{1,7});", 1), F.regexp_extract(piece, "^[xX]([0-9a-fA-F]{1,6});", 1)
     n = F.when(decimal != "", decimal.cast("long")).when(hexed != "", F.conv(hexed, 16, 10).cast("long")).otherwise(0)
     valid = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
@@ -57,16 +59,30 @@ def _character(piece: Column) -> Column:
     return F.when(valid, F.concat(char, F.regexp_replace(piece, "^[0-9a-fA-FxX]+;", ""))).otherwise(F.concat(F.lit("&#"), piece))
 
 
-def unescaped(c: Column) -> Column:
+def _reference(piece: Column) -> Column:
+    """The text after an ``&`` with the reference it begins with decoded, if it is one."""
+    out = F.when(F.startswith(piece, F.lit("#")), _character(F.substring(piece, 2, 2 ** 31 - 1)))
     for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    parts = F.split(c, "&#")
-    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _character), ""))
-    return F.replace(F.when(F.instr(c, "&#") > 0, decoded).otherwise(c), F.lit("&amp;"), F.lit("&"))
+        out = out.when(F.startswith(piece, F.lit(entity)), F.concat(F.lit(char), F.substring(piece, len(entity) + 1, 2 ** 31 - 1)))
+    return out.otherwise(F.concat(F.lit("&"), piece))
+
 
+def _joined(parts: Column) -> Column:
+    """A text split at ``&``, with references decoded once; ``parts`` stands in three places."""
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _reference), ""))
 
-def plain_text(html: Column) -> Column:
-    return _replaced(unescaped(_replaced(html, STEPS)), TIDY)
+
+def unescaped(c: Column) -> Column:
+    """For short texts; ``with_text`` takes one step a column."""
+    return F.when(F.instr(c, "&") > 0, _joined(F.split(c, "&"))).otherwise(c)
+
+
+def with_text(page: DataFrame, html: str, name: str) -> DataFrame:
+    """``page`` with the visible text of its column ``html``.  What the next step names more
+    than once is a column, so the optimiser doesn't write it out again."""
+    page = page.withColumn(name, F.split(_replaced(F.col(html), STEPS), "&"))
+    text = F.replace(_replaced(_joined(F.col(name)), TIDY), F.lit(" \n"), F.lit("\n"))
+    return page.withColumn(name, F.btrim(text, F.lit(" \n")))
 
 
 def one_line(c: Column) -> Column:
@@ -98,8 +114,7 @@ def derivatives(response: DataFrame) -> DataFrame:
     page = response.select("record_id", "target_uri", "warc_date", F.coalesce("http_headers", F.lit("")).alias("headers"),
                            F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("payload"))
     links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), 1), lambda x: F.concat(F.lit("outlink: "), one_line(unescaped(x))))
-    found = page.select("*", digest(F.col("payload")).alias("source_digest"),
-                        plain_text(F.col("payload")).alias("text"), links.alias("links"),
+    found = with_text(page, "payload", "text").select("*", digest(F.col("payload")).alias("source_digest"), links.alias("links"),
                         one_line(unescaped(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), "<[^>]*>", ""))).alias("title"),
                         F.lower(F.regexp_extract("payload", LANG, 1)).alias("language"))
     fields = F.concat(F.concat_ws("\r\n", F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("language: "), F.col("language")),
@@ -173,6 +188,14 @@ def write(records: DataFrame, folder: str | None = None) -> DataFrame:
 
 def oracle_sql() -> str:
     """DuckDB SQL for ``derivatives(responses(pages))`` over the table pages."""
+    w = r"[ \t\n\x0B\f\r]"
+    elements = "script style noscript template svg head title"
+    lines = ("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h[1-6] header hr html li main nav ol "
+             "option p pre section table tbody td tfoot th thead title tr ul")
+    strip = [(r"(?s)<!--.*?-->", " "), *[(rf"(?is)<{e}\b[^>]*>.*?</{e}{w}*>", " ") for e in elements.split()], (rf"{w}+", " "),
+             (rf"(?i)</?(?:{lines.replace(' ', '|')})\b[^>]*>", "\n"), (r"</?[a-zA-Z!?][^>]*>", "")]
+    tidy = [(r"[ \t\x0B\f\r]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"\A[ \n]+", ""), (r"[ \n]+\z", "")]
+
     def q(s):
         return "'" + s.replace("'", "''") + "'"
 
@@ -185,29 +208,28 @@ def oracle_sql() -> str:
         return e
 
     def unesc(e):
-        for entity, char in ENTITIES:
-            e = f"replace({e}, {q(entity)}, {lit(char)})"
-        number = ("case when regexp_matches(x, '^[0-9]{1,7};') then regexp_extract(x, '^([0-9]{1,7});', 1)::bigint "
-                  "when regexp_matches(x, '^[xX][0-9a-fA-F]{1,6};') then ('0x' || regexp_extract(x, '^[xX]([0-9a-fA-F]{1,6});', 1))::bigint else 0 end")
+        number = ("case when regexp_matches(x, '^#[0-9]{1,7};') then regexp_extract(x, '^#([0-9]{1,7});', 1)::bigint "
+                  "when regexp_matches(x, '^#[xX][0-9a-fA-F]{1,6};') then ('0x' || regexp_extract(x, '^#[xX]([0-9a-fA-F]{1,6});', 1))::bigint else 0 end")
+        known = " ".join(f"when x like {q(name + ';%')} then {lit(char)} || substr(x, {len(name) + 2})" for name, char in (
+            ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\xa0"), ("amp", "&")))
         piece = (f"case when (({number}) between 1 and 55295) or (({number}) between 57344 and 1114111) "
-                 f"then chr(({number})::int) || regexp_replace(x, '^[0-9a-fA-FxX]+;', '') else '&#' || x end")
-        parts = f"string_split({e}, '&#')"
-        return f"replace({parts}[1] || array_to_string([{piece} for x in {parts}[2:]], ''), '&amp;', '&')"
+                 f"then chr(({number})::int) || regexp_replace(x, '^#[0-9a-fA-FxX]+;', '') {known} else '&' || x end")
+        parts = f"string_split({e}, '&')"
+        return f"({parts}[1] || array_to_string([{piece} for x in {parts}[2:]], ''))"
 
     def line(e):
-        return f"trim(regexp_replace({e}, {q(WHITE + '+')}, ' ', 'g'))"
+        return f"trim(regexp_replace({e}, {q(w + '+')}, ' ', 'g'))"
 
     def uuid(e):
         return "'urn:uuid:' || " + " || '-' || ".join(f"substr(md5({e}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
 
     crlf, nl = lit("\r\n"), "chr(10)"
-    tidy = [(p.replace("^", r"\A").replace("$", r"\z") if p[0] == "^" or p[-1] == "$" else p, b) for p, b in TIDY]
     return f"""
 with r as (select {uuid(f"'response' || {nl} || coalesce(url, '') || {nl} || coalesce(page_id::varchar, '')")} as id, url as target_uri,
     'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: '
     || strlen(coalesce(html, '')) || {crlf} as source_headers, coalesce(html, '') as payload from pages),
 f as (select *, 'sha256:' || sha256(payload) as source_digest,
-    {replaced(unesc(replaced('payload', STEPS)), tidy)} as text,
+    {replaced(unesc(replaced('payload', strip)), tidy)} as text,
     [{line(unesc('y'))} for y in regexp_extract_all(payload, {q(LINK)}, 1)] as links,
     {line(unesc(f"regexp_replace(regexp_extract(payload, {q(TITLE)}, 1), '<[^>]*>', '', 'g')"))} as title,
     lower(regexp_extract(payload, {q(LANG)}, 1)) as language from r),
