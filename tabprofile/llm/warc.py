@@ -10,11 +10,13 @@ and header lines, CRLF) and payload (the page).  Each gives
 Both name the response in WARC-Refers-To, keep its target, date and source headers, and
 carry a digest of their own block and the digest of the payload they were made from.  Record
 ids are UUIDs of the kind and the response's id, so a repeated run makes the same records.
-Everything is built-in SQL functions: one scan, no shuffle.
+The visible text comes from an Arrow function, the rest from built-in SQL functions: one
+scan, no shuffle.
 
 Defined results: null payload is an empty page, null headers are empty; a null target stays
 null; a repeated response makes repeated records with equal ids; a page without text makes a
-conversion record of length 0; malformed markup (``<`` without ``>``) stays text; entities
+conversion record of length 0; malformed markup (``<`` without ``>``) stays text; white space is collapsed, also
+where references stand for it; entities
 other than lt, gt, quot, apos, nbsp, amp and numbers stay as written, and each reference is
 decoded once; an empty table gives an
 empty result; other columns are ignored.
@@ -22,6 +24,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,9 @@ from tabprofile.llm.common import shared_path, slices, stored
 
 WHITE = r"[ \t\n\x0B\f\r]"
 #: elements whose content isn't text, and elements that end a line
-SILENT = ["script", "style", "noscript", "template", "svg", "head", "title"]
+SILENT = "script|style|noscript|template|svg|head|title"
 LINES = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|"
          "main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul")
-#: comments and silent elements go in one pass, the first to begin wins; single spaces stay untouched
-STEPS = [(rf"(?is)<(?:!--.*?--|({'|'.join(SILENT)})\b[^>]*>.*?</\1{WHITE}*)>", " "), (rf"{WHITE}{{2,}}|[\t\n\x0B\f\r]", " "),
-         (rf"(?i)</?(?:{LINES})\b[^>]*>", "\n"), (r"</?[a-zA-Z!?][^>]*>", "")]
-TIDY = [(r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "), (r"\n[ \n]+", "\n")]
 ENTITIES = [("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("apos;", "'"), ("nbsp;", "\xa0"), ("amp;", "&")]
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LANG = rf"(?i)<html\b[^>]*\blang{WHITE}*={WHITE}*[\"']?([a-zA-Z0-9-]+)"
@@ -44,12 +43,6 @@ STATUS, KIND = r"^HTTP/[0-9.]+ ([0-9]{3})", r"(?i)content-type:[ \t]*([^\r\n]*)"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _replaced(c: Column, steps) -> Column:
-    for pattern, by in steps:
-        c = F.regexp_replace(c, pattern, by)
-    return c
-
-
 def _character(piece: Column) -> Column:
     """The text after ``#`` of a reference with a valid number decoded, else with the mark put back."""
     decimal, hexed = F.regexp_extract(piece, "^([0-9]{1,7});", 1), F.regexp_extract(piece, "^[xX]([0-9a-fA-F]{1,6});", 1)
@@ -73,16 +66,55 @@ def _joined(parts: Column) -> Column:
 
 
 def unescaped(c: Column) -> Column:
-    """For short texts; ``with_text`` takes one step a column."""
+    """For short texts, as ``c`` stands in several places."""
     return F.when(F.instr(c, "&") > 0, _joined(F.split(c, "&"))).otherwise(c)
 
 
-def with_text(page: DataFrame, html: str, name: str) -> DataFrame:
-    """``page`` with the visible text of its column ``html``.  What the next step names more
-    than once is a column, so the optimiser doesn't write it out again."""
-    page = page.withColumn(name, F.split(_replaced(F.col(html), STEPS), "&"))
-    text = F.replace(_replaced(_joined(F.col(name)), TIDY), F.lit(" \n"), F.lit("\n"))
-    return page.withColumn(name, F.btrim(text, F.lit(" \n")))
+class PageText:
+    """The visible text of pages, as UTF-8 bytes: markup in one pass over each page, the first
+    construct to begin wins; then references; then white space."""
+
+    def __init__(self):
+        import re
+        #: 1 silent element or comment, 2 line element, neither: another tag
+        self.markup = re.compile(rf"""(?s)<(?:(!--.*?-->|(?i:(?P<name>{SILENT})\b[^>]*>.*?</(?P=name)[ \t-\r]*>))
+            |(/?(?i:{LINES})\b[^>]*>)|/?[a-zA-Z!?][^>]*>)""".replace("\n            ", "").encode())
+        self.reference = re.compile(b"&(?:(%s)|#([0-9]{1,7});|#[xX]([0-9a-fA-F]{1,6});)" % "|".join(e for e, _ in ENTITIES).encode())
+        self.named = {e.encode(): c.encode() for e, c in ENTITIES}
+
+    @staticmethod
+    def mark(m) -> bytes:
+        if m[1]:
+            return b" "
+        return b"\xff" if m[3] else b""  # no byte of UTF-8 text
+
+    def character(self, m) -> bytes:
+        if m[1]:
+            return self.named[m[1]]
+        n = int(m[2]) if m[2] else int(m[3], 16)
+        return chr(n).encode() if 0 < n < 0xD800 or 0xDFFF < n < 0x110000 else m[0]
+
+    def text(self, page: bytes) -> bytes:
+        out = self.markup.sub(self.mark, page)
+        if b"&" in out:
+            out = self.reference.sub(self.character, out)
+        lines = (b" ".join(line.split()) for line in out.split(b"\xff"))  # bytes.split() knows ASCII white space alone
+        return b"\n".join(line for line in lines if line)
+
+
+def plain_text(html: Column) -> Column:
+    """The visible text of a page, one line a block element; an Arrow function, which reads each
+    page once where SQL functions need a pass over it for each kind of markup."""
+    state = {}
+
+    @F.arrow_udf("string")
+    def text_of(pages: pa.Array) -> pa.Array:
+        if not state:
+            state["of"] = PageText().text
+        of = state["of"]
+        return pa.array([None if p is None else of(p) for p in pages.cast(pa.binary()).to_pylist()], pa.binary()).view(pa.string())
+
+    return text_of(html)
 
 
 def one_line(c: Column) -> Column:
@@ -114,7 +146,7 @@ def derivatives(response: DataFrame) -> DataFrame:
     page = response.select("record_id", "target_uri", "warc_date", F.coalesce("http_headers", F.lit("")).alias("headers"),
                            F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("payload"))
     links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), 1), lambda x: F.concat(F.lit("outlink: "), one_line(unescaped(x))))
-    found = with_text(page, "payload", "text").select("*", digest(F.col("payload")).alias("source_digest"), links.alias("links"),
+    found = page.select("*", digest(F.col("payload")).alias("source_digest"), plain_text(F.col("payload")).alias("text"), links.alias("links"),
                         one_line(unescaped(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), "<[^>]*>", ""))).alias("title"),
                         F.lower(F.regexp_extract("payload", LANG, 1)).alias("language"))
     fields = F.concat(F.concat_ws("\r\n", F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("language: "), F.col("language")),
@@ -193,14 +225,14 @@ def oracle_sql() -> str:
     lines = ("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h[1-6] header hr html li main nav ol "
              "option p pre section table tbody td tfoot th thead title tr ul")
     strip = [(r"(?s)<!--.*?-->", " "), *[(rf"(?is)<{e}\b[^>]*>.*?</{e}{w}*>", " ") for e in elements.split()], (rf"{w}+", " "),
-             (rf"(?i)</?(?:{lines.replace(' ', '|')})\b[^>]*>", "\n"), (r"</?[a-zA-Z!?][^>]*>", "")]
-    tidy = [(r"[ \t\x0B\f\r]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"\A[ \n]+", ""), (r"[ \n]+\z", "")]
+             (rf"(?i)</?(?:{lines.replace(' ', '|')})\b[^>]*>", "\ue000"), (r"</?[a-zA-Z!?][^>]*>", "")]
+    tidy = [(rf"{w}+", " "), ("[ \ue000]*\ue000[ \ue000]*", "\n"), (r"\A[ \n]+", ""), (r"[ \n]+\z", "")]
 
     def q(s):
         return "'" + s.replace("'", "''") + "'"
 
     def lit(s):  # control characters by chr(), which every client passes on
-        return {"\n": "chr(10)", "\r\n": "(chr(13) || chr(10))", "\xa0": "chr(160)"}.get(s, q(s))
+        return {"\n": "chr(10)", "\ue000": "chr(57344)", "\r\n": "(chr(13) || chr(10))", "\xa0": "chr(160)"}.get(s, q(s))
 
     def replaced(e, steps):
         for pattern, by in steps:

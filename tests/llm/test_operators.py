@@ -94,7 +94,7 @@ def test_warc_text_of_odd_markup(spark):
     cases = [("a<!-- <script> -->b<SCRIPT x>if(1)<!-- c</script >c", "a b c"), ("<style>p<script></style>x", "x"), ("a<title>t", "a\nt"),
              ("<svg><title>t</title>u</svg>v", "v"), ("&amp;lt; &#38;amp; &#x41;&#0; &#xD800; &lt &copy;", "&lt; &amp; A&#0; &#xD800; &lt &copy;"),
              (" \t a \r\n b<br> <br>\n c < d <b>e</b> &nbsp;", "a b\nc < d e \xa0"), ("&", "&"), ("<p>", ""), ("&amp;" * 3, "&&&")]
-    found = warc.with_text(spark.createDataFrame(cases, "html string, want string"), "html", "text").collect()
+    found = spark.createDataFrame(cases, "html string, want string").select(warc.plain_text(F.col("html")).alias("text"), "want").collect()
     assert [r.text for r in found] == [r.want for r in found]
 
 
