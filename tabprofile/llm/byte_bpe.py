@@ -22,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from tabprofile.llm.chunked import CHUNK, UNSAFE, byte_characters, worker_encoder
-from tabprofile.llm.common import slices, texts
+from tabprofile.llm.common import portions, slices, text_offsets, texts
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,6 +70,17 @@ def decode_bytes(ids: Iterable[int], table: dict[int, bytes]) -> bytes:
     return b"".join([table[i] for i in ids])
 
 
+def decode_many(encoded: list[bytes], vocabulary) -> list:
+    """The bytes of each row of ids (little-endian unsigned 32-bit); ``vocabulary`` is an Arrow
+    array of the tokens' bytes by id."""
+    import numpy as np
+    import pyarrow as pa
+    found = vocabulary.take(pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+    ends = text_offsets(found)[np.cumsum([0, *[len(e) // 4 for e in encoded]])].tolist()
+    held = memoryview(found.buffers()[2] or b"")
+    return [held[a:z] for a, z in zip(ends, ends[1:])]
+
+
 def decode_stream(ids: Iterable[int], table: dict[int, bytes]):
     """Text piece by piece; bytes of a character not yet whole are held back."""
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
@@ -104,14 +115,13 @@ def encode(docs: DataFrame, json_text: str, pattern: str, with_offsets: bool = F
         import pyarrow as pa
         encoder = worker_encoder(bc.value)
         for batch in batches:
-            for b in slices(batch):
-                rows = b.column(1).to_pylist()
+            for b in portions(batch, 1):
                 if with_offsets:
-                    both = [offsets_of(encoder.tokenizer, t) for t in rows]
+                    both = [offsets_of(encoder.tokenizer, t) for t in b.column(1).to_pylist()]
                     more = [[[o[j] for o in offs] for _, offs in both] for j in (0, 1)]
                     ids = [i for i, _ in both]
                 else:
-                    ids, more = [np.frombuffer(e, "<i4") for e in encoder.encode(rows)], []
+                    ids, more = [np.frombuffer(e, "<i4") for e in encoder.encode(b.column(1))], []
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), *[pa.array(x, pa.list_(pa.int32())) for x in [ids, *more]]],
                     ["doc_id", "ids", "starts", "ends"][:2 + len(more)])
@@ -146,17 +156,16 @@ def round_trip(docs: DataFrame, json_text: str, pattern: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches):
-        import numpy as np
         import pyarrow as pa
         state = bc.value
         encoder = worker_encoder(state)
-        if "table" not in state:
-            state["table"] = token_bytes(state["json"])
-        table = state["table"]
+        if "vocabulary" not in state:
+            table = token_bytes(state["json"])
+            state["vocabulary"] = pa.array([table.get(i) for i in range(max(table) + 1)], pa.binary())
         for batch in batches:
-            for b in slices(batch):
-                ids = encoder.encode(b.column(1).to_pylist())
-                back = [decode_bytes(np.frombuffer(e, "<u4").tolist(), table) for e in ids]
+            for b in portions(batch, 1):
+                ids = encoder.encode(b.column(1))
+                back = decode_many(ids, state["vocabulary"])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([len(e) // 4 for e in ids], pa.int64()),
                      pa.array([hashlib.sha256(e).hexdigest() for e in ids]),

@@ -16,9 +16,11 @@ import json
 import re
 from array import array
 
+from tabprofile.llm.common import text_offsets
+
 CHUNK = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 UNSAFE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
-LATIN = re.compile("[\x00-ɏ]*")
+PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]*")  # Latin without unsafe characters
 
 
 def byte_characters() -> list[str]:
@@ -67,51 +69,89 @@ def latin_pattern(pattern: str):
     return re.compile(out.replace(r"\S", f"[^{classes[chr(92) + 's']}]"))
 
 
+class Recent(dict):
+    """A bounded cache of a function's results in two generations: the older one goes when the
+    newer is full, and what is asked for again moves to the newer."""
+
+    def __init__(self, function, limit: int):
+        self.function, self.half, self.older = function, limit // 2, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+WHOLE = b"?"  # stands for the ids of a chunk whose text must be encoded whole
+
+
 class ChunkEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, tokenizer, rules=None, limit: int = 400_000):
-        self.tokenizer, self.rules, self.limit = tokenizer, rules, limit
-        self.merge = tokenizer.model.tokenize
-        self.cache, self.pieces, self.characters = {}, {}, byte_characters()
-
-    def _whole(self, strings):
-        return [array("I", e.ids).tobytes()
-                for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def _latin(self, chunk: str) -> bytes:
-        lower, pattern = self.rules
-        pieces, out = self.pieces, []
-        for piece in pattern.findall(chunk.lower() if lower else chunk):
-            ids = pieces.get(piece)
-            if ids is None:
-                shown = piece.encode().decode("latin-1").translate(self.characters)
-                ids = pieces[piece] = array("I", [t.id for t in self.merge(shown)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        for held in (cache, self.pieces):
-            if len(held) > self.limit:
-                held.clear()
-        chunks = [CHUNK.findall(t) for t in texts]
-        others = []
-        for c in set().union(*chunks).difference(cache):
-            if UNSAFE.search(c):
-                cache[c] = None
-            elif self.rules and LATIN.fullmatch(c):
-                cache[c] = self._latin(c)
-            else:
-                others.append(c)
-        if others:
-            cache.update(zip(others, self._whole(others)))
-        out = []
-        for text, own in zip(texts, chunks):
-            try:
-                out.append(b"".join([cache[c] for c in own]))
-            except TypeError:  # an unsafe chunk
-                out.append(self._whole([text])[0])
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
+
+    ``limit`` chunks are kept, about 220 bytes each."""
+
+    def __init__(self, tokenizer, rules=None, limit: int = 1_000_000):
+        self.tokenizer, self.rules = tokenizer, rules
+        self.merge, self.characters = tokenizer.model.tokenize, byte_characters()
+        self.chunks, self.pieces = Recent(self._chunk, limit), Recent(self._piece, limit // 4)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalnum() and piece[0] == " ":  # letters and digits stand for themselves
+            shown = self.characters[32] + piece[1:]
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
+
+    def _chunk(self, raw: bytes) -> bytes:
+        chunk = raw.decode()
+        if self.rules and PLAIN.fullmatch(chunk):
+            lower, pattern = self.rules
+            pieces = pattern.findall(chunk.lower() if lower else chunk)
+            # most chunks are one word and its space, which needs no second entry
+            return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+        return WHOLE if UNSAFE.search(chunk) else self._whole(chunk)
+
+    def encode(self, texts) -> list[bytes]:
+        """``texts``: a list, or an Arrow array of at most a few MB (see ``common.portions``).
+
+        Chunks are cut, told apart and put together again as Arrow arrays; only the distinct ones
+        become Python objects."""
+        import numpy as np
+        import pyarrow as pa
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        places = text_offsets(column)
+        first, size = int(places[0]), int(places[-1] - places[0])
+        if not size:
+            return [b""] * len(column)
+        places -= first
+        data = column.buffers()[2].slice(first, size)
+        raw = np.frombuffer(data, np.uint8)
+        white = (raw == 32) | (raw - np.uint8(9) < 5)  # 9 to 13; smaller bytes wrap around
+        begins = np.empty(size, bool)
+        begins[0] = True
+        np.greater(white[1:], white[:-1], out=begins[1:])
+        begins[places[:-1][places[:-1] < places[1:]]] = True
+        cuts = np.append(np.flatnonzero(begins), size).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        known = pa.array(list(map(self.chunks.__getitem__, chunks.dictionary.to_pylist())), pa.binary())
+        ids = known.take(chunks.indices)
+        own = np.searchsorted(cuts, places)
+        ends = text_offsets(ids)[own].tolist()
+        held = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(held[a:z]) for a, z in zip(ends, ends[1:])]
+        odd = np.flatnonzero(np.diff(text_offsets(known)) % 4)
+        if len(odd):
+            at = np.flatnonzero(np.isin(chunks.indices.to_numpy(), odd))
+            for i in set((np.searchsorted(own, at, "right") - 1).tolist()):
+                out[i] = self._whole(column[i].as_py())
         return out
 
 

@@ -45,3 +45,21 @@ def slices(batch, rows: int = 256):
     """An Arrow batch in pieces of few rows, so that few texts are Python objects at once."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+
+
+def text_offsets(column):
+    """Where each text of an Arrow string array begins and the last ends in its data buffer."""
+    import numpy as np
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+
+
+def portions(batch, column: int, size: int = 1 << 23):
+    """An Arrow batch in pieces of about ``size`` bytes of text; a longer text is a piece of its own."""
+    import numpy as np
+    ends, start = text_offsets(batch.column(column)), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + size, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop

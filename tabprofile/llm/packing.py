@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprofile.llm.chunked import worker_encoder
-from tabprofile.llm.common import slices, stored, texts
+from tabprofile.llm.common import portions, stored, texts
 
 BLOCK = 32_768
 GROUPS = 96
@@ -50,9 +50,9 @@ def pieces(docs: DataFrame, json_text: str, pattern: str, end_id: int, capacity:
         end, row = struct.pack("<I", end_id), TaskContext.get().partitionId() << 40
         for batch in batches:
             encoder = worker_encoder(bc.value)
-            for b in slices(batch):
+            for b in portions(batch, 1):
                 out = [[] for _ in range(7)]
-                for i, ids in enumerate(encoder.encode(b.column(1).to_pylist())):
+                for i, ids in enumerate(encoder.encode(b.column(1))):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.llm.chunked import worker_encoder
-from tabprofile.llm.common import shared_path, slices, stored, texts
+from tabprofile.llm.common import portions, shared_path, slices, stored, texts
 
 FRAME, CHECK, HEAD, PAIR = "<QI", "<I", "<qII", "<QQ"  # length and its checksum; checksum; payload head; index entry
 NO_ID = -2**63
@@ -112,16 +112,14 @@ def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: st
         try:
             for batch in batches:
                 encoder = worker_encoder(bc.value)
-                for b in slices(batch):
-                    if not b.num_rows:
-                        continue
+                for b in portions(batch, 1):
                     if data is None:
                         store, base = open_store(folder)
                         store.create_dir(base, recursive=True)
                         name = f"{base}/{uuid.uuid4().hex}"
                         data, index = store.open_output_stream(f"{name}.rec"), store.open_output_stream(f"{name}.idx")
                         first = b.column(0)[0].as_py()
-                    for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
+                    for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1))):
                         out = frame(record_of(doc_id, ids + end, width))
                         data.write(out)
                         index.write(struct.pack(PAIR, at, len(out)))
