@@ -95,7 +95,7 @@ class ChunkEncoder:
 
     ``limit`` chunks are kept, about 220 bytes each."""
 
-    def __init__(self, tokenizer, rules=None, limit: int = 1_000_000):
+    def __init__(self, tokenizer, rules=None, limit: int = 700_000):
         self.tokenizer, self.rules = tokenizer, rules
         self.merge, self.characters = tokenizer.model.tokenize, byte_characters()
         self.chunks, self.pieces = Recent(self._chunk, limit), Recent(self._piece, limit // 4)

@@ -55,7 +55,7 @@ def text_offsets(column):
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
 
 
-def portions(batch, column: int, size: int = 1 << 23):
+def portions(batch, column: int, size: int = 1 << 22):
     """An Arrow batch in pieces of about ``size`` bytes of text; a longer text is a piece of its own."""
     import numpy as np
     ends, start = text_offsets(batch.column(column)), 0
