@@ -95,22 +95,28 @@ class ChunkEncoder:
 
     ``limit`` chunks are kept, about 220 bytes each."""
 
-    def __init__(self, tokenizer, rules=None, limit: int = 700_000):
+    def __init__(self, tokenizer, rules=None, limit: int = 800_000):
         self.tokenizer, self.rules = tokenizer, rules
         self.merge, self.characters = tokenizer.model.tokenize, byte_characters()
+        #: what stands before the letters of a chunk of a space and a word, if the pattern takes it as one piece
+        alone = [rules[1].findall(f" {w}") for w in ("word", "Word")] if rules else []
+        self.word = None
+        if alone and all(len(x) == 1 for x in alone):
+            self.word = self.characters[32] if alone[0][0][0] == " " else ""
         self.chunks, self.pieces = Recent(self._chunk, limit), Recent(self._piece, limit // 4)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece[1:].isalnum() and piece[0] == " ":  # letters and digits stand for themselves
-            shown = self.characters[32] + piece[1:]
-        else:
-            shown = piece.encode().decode("latin-1").translate(self.characters)
+    def _merged(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return self._merged(piece.encode().decode("latin-1").translate(self.characters))
+
     def _chunk(self, raw: bytes) -> bytes:
+        if self.word is not None and raw[:1] == b" " and raw[1:].isalpha():  # ASCII letters stand for themselves
+            return self._merged(self.word + (raw.lower() if self.rules[0] else raw)[1:].decode())
         chunk = raw.decode()
         if self.rules and PLAIN.fullmatch(chunk):
             lower, pattern = self.rules
