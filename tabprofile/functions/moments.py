@@ -56,6 +56,15 @@ def _d(c: str, facts: Facts) -> Column:
     return qcol(c).cast("double") - F.lit(facts.mean[c] if facts.mean[c] is not None else 0.0)
 
 
+def _scale(c: str, facts: Facts) -> float:
+    """What distances from the mean are divided by so that their fourth powers stay in range:
+    1 but for columns whose values lie further than 1e60, or all nearer than 1e-60."""
+    if not facts.count[c] or not all(map(math.isfinite, (facts.min[c], facts.max[c], facts.mean[c]))):
+        return 1.0
+    widest = max(facts.max[c] / 2 - facts.mean[c] / 2, facts.mean[c] / 2 - facts.min[c] / 2)
+    return widest if widest > 1e60 or 0 < widest < 1e-60 else 1.0
+
+
 def _chunked_row(df: DataFrame, named: list[tuple[str, Column]]) -> list[DataFrame]:
     """Evaluate many sum aggregates in passes of ``SUM_CHUNK``; returns one-row frames."""
     return [df.agg(*[e.alias(n) for n, e in named[s:s + SUM_CHUNK]]) for s in range(0, len(named), SUM_CHUNK)]
@@ -71,11 +80,12 @@ def _one_row(parts: list[DataFrame]) -> dict:
 def moment_rows(df: DataFrame, cols: list[str], facts: Facts | None = None) -> list[tuple]:
     """``(column, count, mean, std, min, max, skewness, kurtosis)`` tuples with
     pandas semantics: sample std; adjusted skewness (NULL below 3 values) and
-    excess kurtosis (NULL below 4); 0 for a constant column."""
+    excess kurtosis (NULL below 4); 0 for a constant column.  With infinite values all three
+    are NULL (D1)."""
     facts = facts or column_facts(df, cols)
-    named = []
+    named, scales = [], {c: _scale(c, facts) for c in cols}
     for i, c in enumerate(cols):
-        d = _d(c, facts)
+        d = _d(c, facts) if scales[c] == 1.0 else _d(c, facts) / F.lit(scales[c])
         named += [(f"s1_{i}", F.sum(d)), (f"s2_{i}", F.sum(d * d)), (f"s3_{i}", F.sum(d * d * d)),
                   (f"s4_{i}", F.sum((d * d) * (d * d)))]
     sums = _one_row(_chunked_row(df, named)) if named else {}
@@ -86,13 +96,17 @@ def moment_rows(df: DataFrame, cols: list[str], facts: Facts | None = None) -> l
             rows.append((c, 0, None, None, None, None, None, None))
             continue
         s1, s2, s3, s4 = (sums[f"s{k}_{i}"] for k in (1, 2, 3, 4))
+        if not all(map(math.isfinite, (s1, s2, s3, s4))):  # infinite values have no spread
+            mean = None if math.isnan(facts.mean[c]) else facts.mean[c]
+            rows.append((c, n, mean, None, facts.min[c], facts.max[c], None, None))
+            continue
         mu = s1 / n
         m2 = s2 / n - mu * mu
         m3 = s3 / n - 3 * mu * s2 / n + 2 * mu ** 3
         m4 = s4 / n - 4 * mu * s3 / n + 6 * mu * mu * s2 / n - 3 * mu ** 4
         const = facts.constant(c)
         mean = facts.mean[c]  # the plain average; mu only corrects the central moments
-        std = None if n < 2 else (0.0 if const else max(m2, 0.0) ** 0.5 * (n / (n - 1)) ** 0.5)
+        std = None if n < 2 else (0.0 if const else max(m2, 0.0) ** 0.5 * (n / (n - 1)) ** 0.5 * scales[c])
         if n < 3:
             skew = None
         elif const or m2 <= 0:

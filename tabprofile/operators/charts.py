@@ -80,7 +80,8 @@ def histogram(df: DataFrame, col: str, bins: int = BINS, coerce: bool = False) -
 def kde(df: DataFrame, col: str, points: int = KDE_POINTS, bins: int | None = None) -> DataFrame:
     """Gaussian kernel density on ``points`` evenly spaced points over
     ``[min, max]`` with Scott's bandwidth ``h = std * n^(-1/5)``.
-    ``(point, x, density)``; empty when fewer than two values or no spread.
+    ``(point, x, density)``; empty when fewer than two values or no spread.  Infinite values
+    are left out, as in the histograms.
 
     Exact by default: every value meets every grid point, as 100 sums.  With ``bins``
     the values are first counted into ``bins`` equal-width bins (one grouping)
@@ -90,6 +91,7 @@ def kde(df: DataFrame, col: str, points: int = KDE_POINTS, bins: int | None = No
     kernel's slope."""
     spark = df.sparkSession
     df = normalize(df.select(qcol(col)))
+    df = df.where(F.abs(qcol(col).cast("double")) < float("inf"))
     lo, hi, n, sd, _ = _range(df, col)
     if not n or n < 2 or not sd:
         return spark.createDataFrame([], "point int, x double, density double")

@@ -6,6 +6,7 @@ O(columns) facts (which columns are empty, narrowing plan, fill values).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -230,8 +231,8 @@ def impute(df: DataFrame, cols: list[str] | None = None, fills: DataFrame | None
 
 def standardize(df: DataFrame, cols: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """D-g: ``(x - mean) / std`` (sample std) per numeric column; a constant
-    column becomes NULL.  Means and stds come from one aggregate and enter the
-    projection as literals."""
+    column and one with infinite values become NULL.  Means and stds come from one aggregate
+    and enter the projection as literals."""
     df = normalize(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
     row = df.agg(*[F.avg(qcol(c)).alias(f"m{i}") for i, c in enumerate(cols)]
@@ -239,5 +240,5 @@ def standardize(df: DataFrame, cols: list[str] | None = None, keep: list[str] |
     keep = keep or []
     return df.select(*[qcol(k) for k in keep],
                      *[F.try_divide(qcol(c) - F.lit(row[f"m{i}"]), F.lit(row[f"s{i}"])).alias(c)
-                       if row[f"s{i}"] else F.lit(None).cast("double").alias(c)
+                       if row[f"s{i}"] and math.isfinite(row[f"s{i}"]) else F.lit(None).cast("double").alias(c)
                        for i, c in enumerate(cols)])

@@ -132,3 +132,19 @@ def test_bracketed_quantiles_with_infinities(spark):
         a, b = srt[int(np.floor(h))], srt[int(np.ceil(h))]
         want = a if a == b else a + (h - np.floor(h)) * (b - a)
         assert got[p] == want or _close(got[p], want, 1e-12), (p, got[p], want)
+
+
+def test_infinite_and_huge_values(spark):
+    """Infinities leave the mean alone, spread and shape are NULL; 1e80 is in range."""
+    from tabprofile.operators import charts, clean
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, 1e80), (2.0, 2e80), (3.0, 3e80), (4.0, 9e80), (inf, 4e80)], "x double, y double")
+    r = {x["column_name"]: x for x in stats.numeric_moments(df).collect()}
+    assert r["x"]["mean"] == inf and r["x"]["std"] is None and r["x"]["skewness"] is None and r["x"]["kurtosis"] is None
+    s = pd.Series([1.0, 2.0, 3.0, 9.0, 4.0])
+    assert _close(r["y"]["std"] / 1e80, s.std()) and _close(r["y"]["skewness"], s.skew()) and _close(r["y"]["kurtosis"], s.kurtosis())
+    z = {x["column_name"]: x["outlier_count"] for x in stats.zscore_outliers(df, threshold=1.5).collect()}
+    assert z == {"x": 0, "y": 1}
+    assert {x["x"] for x in clean.standardize(df, ["x"]).collect()} == {None}
+    k = charts.kde(df, "x", points=5).collect()
+    assert len(k) == 5 and all(0 < x["density"] < 1 for x in k)
