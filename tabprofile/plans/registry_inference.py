@@ -5,7 +5,7 @@ and sum series term by term where the operators use continued fractions or polyn
 
 from __future__ import annotations
 
-from tabprofile.operators import inference, quantiles
+from tabprofile.operators import inference, isolation, quantiles, stats
 from tabprofile.plans.registry import LI_NUM, R, _anova_sql, _union_sql, query, read, rounded
 
 FEATURES = [c for c in LI_NUM if c != "l_linenumber"]
@@ -145,3 +145,15 @@ def q_chi_square_test(spark, sf_dir):
     """The twin's tail is the finite sum for an even number of degrees of freedom."""
     found = inference.chi_square_test(read(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
     return rounded(rounded(found, 4, ["chi2"]), 8, ["p_value"])
+
+
+# ---------------------------------------------------------------- D-c: random trees, so no twin (pytest walks them plainly)
+@query("q_isolation_scores")
+def q_isolation_scores(spark, sf_dir):
+    """All rows of lineitem with the score of their numeric columns."""
+    return rounded(isolation.isolation_scores(read(spark, sf_dir, "lineitem")), 9, ["anomaly_score"])
+
+
+@query("q_isolation_outliers")
+def q_isolation_outliers(spark, sf_dir):
+    return rounded(stats.iqr_outliers(read(spark, sf_dir, "lineitem"), method="isolation_forest"), 9, ["threshold"])
