@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprofile.roles import ColumnRoles, normalize, qcol
+from tabprofile.sources.readers import as_number
 
 BINS = 30
 KDE_POINTS = 100
@@ -37,7 +38,8 @@ def _bin(x, lo: float, hi: float, bins: int):
     def edge(i):
         return F.when(i == bins, F.lit(hi)).otherwise(i * F.lit(step) + F.lit(lo))
     i = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)).cast("int"), F.lit(bins - 1))
-    return F.when(x < edge(i), i - 1).when((x >= edge(i + 1)) & (i < bins - 1), i + 1).otherwise(i)
+    # least() skips NULL, so a missing value must not come so far
+    return F.when(x.isNotNull(), F.when(x < edge(i), i - 1).when((x >= edge(i + 1)) & (i < bins - 1), i + 1).otherwise(i))
 
 
 def histograms(df: DataFrame, cols: list[str], bins: int = BINS) -> DataFrame:
@@ -73,7 +75,7 @@ def histogram(df: DataFrame, col: str, bins: int = BINS, coerce: bool = False) -
     """:func:`histograms` of one column, without its name.  With ``coerce``
     non-numeric text becomes missing first."""
     if coerce:
-        df = df.select(F.expr("try_cast(`" + col.replace("`", "``") + "` AS DOUBLE)").alias(col))
+        df = df.select(as_number(df, col).alias(col))
     return histograms(df, [col], bins).drop("column_name")
 
 

@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprofile.operators.quality import _counts
+from tabprofile.operators.quality import _counts, has_map, orderable
 from tabprofile.operators.quantiles import quantiles
 from tabprofile.operators.stats import _chunks
 from tabprofile.roles import ColumnRoles, nan_to_null, normalize, qcol
+from tabprofile.sources.readers import as_number
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Drop rows whose every cell is missing (NaN included)."""
-    return nan_to_null(df).na.drop(how="all")
+    df = nan_to_null(df)
+    return df.where(reduce(lambda a, b: a | b, [qcol(c).isNotNull() for c in df.columns])) if df.columns else df
 
 
 def empty_columns(df: DataFrame) -> list[str]:
@@ -37,8 +39,20 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def dedup(df: DataFrame) -> DataFrame:
-    """Drop duplicate rows (the kept copy is identical, so keep-first is moot)."""
-    return nan_to_null(df).dropDuplicates()
+    """Drop duplicate rows (the kept copy is identical, so keep-first is moot).  Columns that
+    hold maps, which Spark can't group by, are compared by :func:`orderable`."""
+    df = nan_to_null(df)
+    plain, maps = _map_columns(df)
+    if not maps:
+        return df.dropDuplicates()
+    rows = plain.groupBy(*[orderable(f).alias(f"k{i}") for i, f in enumerate(plain.schema.fields)]).agg(
+        F.first(F.struct(*plain.columns)).alias("r"))
+    return rows.select("r.*").toDF(*df.columns)
+
+
+def _map_columns(df: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``df`` with its columns named c0, c1, ..., and the numbers of those that hold maps."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [i for i, f in enumerate(df.schema.fields) if has_map(f.dataType)]
 
 
 COPY_BLOCK = 4096
@@ -54,6 +68,8 @@ def with_copies(df: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
     there is nothing to number."""
     if key_cols:
         return df.withColumn("__copy", F.lit(None).cast("long"))
+    if _map_columns(df)[1]:
+        return _with_map_copies(df)
     same = df.groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     blocks = same.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / COPY_BLOCK).cast("int"))))
     spread = blocks.repartition(*[qcol(c) for c in df.columns], "__b")
@@ -62,13 +78,30 @@ def with_copies(df: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
     return spread.withColumn("__copy", number).withColumn("__copy", F.when(F.col("__copy") > 0, F.col("__copy"))).drop("__n", "__b")
 
 
+def _with_map_copies(df: DataFrame) -> DataFrame:
+    """:func:`with_copies` for tables with map columns: they travel in a struct beside the
+    comparable forms that rows are grouped by."""
+    plain, maps = _map_columns(df)
+    keys = [orderable(f).alias(f"k{i}") for i, f in enumerate(plain.schema.fields)]
+    held = plain.groupBy(*keys).agg(F.first(F.struct(*[f"c{i}" for i in maps])).alias("maps"), F.count(F.lit(1)).alias("n"))
+    names = [f"k{i}" for i in range(len(keys))]
+    numbered = with_copies(plain.select(*keys), None).withColumnRenamed("__copy", "copy")
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = numbered.alias("a").join(held.alias("b"), same)
+    out = [F.col(f"b.maps.c{i}") if i in maps else F.col(f"a.k{i}") for i in range(len(names))]
+    return both.select(*out, F.col("a.copy")).toDF(*df.columns, "__copy")
+
+
 def sample_key(df: DataFrame, seed: int = 42, key_cols: list[str] | None = None):
     """Deterministic per-row sort key: md5 of the ``|``-joined key columns, the seed
     and the copy number (:func:`with_copies`) if any.  Independent of partitioning and
     task order."""
     cols = key_cols or [c for c in df.columns if c != "__copy"]
+    fields = df.schema
     copy = [F.col("__copy").cast("string")] if "__copy" in df.columns else []
-    return F.md5(F.concat_ws("|", *[qcol(c).cast("string") for c in cols], F.lit(str(seed)), *copy))
+    return F.md5(F.concat_ws("|", *[orderable(fields[c]).cast("string") for c in cols], F.lit(str(seed)), *copy))
 
 
 def key_bucket(key: str):
@@ -91,8 +124,9 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: list[str] | Non
     if edge is None:
         return keyed.select(*[qcol(c) for c in df.columns])
     below = keyed.where(F.col("__h") < edge["__h"])
-    rest = keyed.where(F.col("__h") == edge["__h"]).orderBy("__k", *[qcol(c) for c in cols]).limit(n - edge["upto"] + edge["c"])
-    return below.unionByName(rest).orderBy("__k", *[qcol(c) for c in cols]).select(*[qcol(c) for c in df.columns])
+    order = ["__k", *[orderable(df.schema[c]) for c in cols]]
+    rest = keyed.where(F.col("__h") == edge["__h"]).orderBy(*order).limit(n - edge["upto"] + edge["c"])
+    return below.unionByName(rest).orderBy(*order).select(*[qcol(c) for c in df.columns])
 
 
 def cap_columns(df: DataFrame, max_cols: int, target: str | None = None) -> DataFrame:
@@ -161,20 +195,21 @@ def narrow_types(df: DataFrame) -> DataFrame:
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     """Rows with a present target."""
-    return nan_to_null(df).na.drop(subset=[target])
+    return nan_to_null(df).where(qcol(target).isNotNull())
 
 
 def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """P10: rows where every given (default: numeric) column is present."""
     df = nan_to_null(df)
     cols = ColumnRoles.of(df).numeric if cols is None else cols
-    return df.select(*[qcol(c) for c in cols]).na.drop("any")
+    kept = df.select(*[qcol(c) for c in cols])
+    return kept.where(reduce(lambda a, b: a & b, [qcol(c).isNotNull() for c in cols])) if cols else kept
 
 
 def coerce_numeric(df: DataFrame, col: str) -> DataFrame:
-    """``col`` as double, unparseable text -> missing, missing rows dropped."""
-    return (df.withColumn(col, F.expr("try_cast(`" + col.replace("`", "``") + "` AS DOUBLE)"))
-            .where(qcol(col).isNotNull()))
+    """``col`` as double, text that is no decimal number (``1D`` is none) -> missing,
+    missing rows dropped."""
+    return df.withColumn(col, as_number(df, col)).where(qcol(col).isNotNull())
 
 
 def fill_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

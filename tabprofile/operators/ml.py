@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 
 from tabprofile.operators import clean, split
 from tabprofile.operators.categorical import value_counts
+from tabprofile.operators.ranks import running
 from tabprofile.operators.target import infer_task
 from tabprofile.roles import ColumnRoles, normalize, qcol
 from tabprofile.session import ensure_checkpoint_dir
+from tabprofile.sources.readers import as_number
 from tabprofile.sources.sinks import shared_table
 
 # Fixed values that must equal the reference's: forest sizes and guards.
@@ -103,7 +105,10 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
     num, cat = _feature_plan(df, target)
     if not num and not cat:
         return _error(spark, "No feature columns left after removing target.")
-    df = df.select(*[qcol(c) for c in num + cat], qcol(target).alias("__y"))
+    # inside, features are c0, c1, ...: MLlib takes no dots in names, and the user's can't clash
+    original = {f"c{i}": c for i, c in enumerate(num + cat)}
+    df = df.select(*[qcol(c).alias(f"c{i}") for i, c in enumerate(num + cat)], qcol(target).alias("__y"))
+    num, cat = [f"c{i}" for i in range(len(num))], [f"c{i + len(num)}" for i in range(len(cat))]
     if task == "classification":
         df = df.withColumn("__y", F.col("__y").cast("string"))
         n_classes = df.select("__y").distinct().limit(STRATIFY_MAX_CLASSES + 1).count()
@@ -112,17 +117,22 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
         parts = (split.stratified_split(df, "__y", test_fraction, seed) if n_classes < STRATIFY_MAX_CLASSES
                  else split.random_split(df, test_fraction, seed))
     else:
-        df = df.withColumn("__y", F.expr("try_cast(__y AS DOUBLE)")).where(F.col("__y").isNotNull())
+        df = df.withColumn("__y", as_number(df, "__y")).where(F.col("__y").isNotNull())
         if df.count() < min_rows:
             return _error(spark, f"Not enough rows with a numeric target (need at least {min_rows}).")
         parts = split.random_split(df, test_fraction, seed)
     parts = shared_table(parts, "split")
     train = parts.where(F.col("split") == "train").drop("split")
     test = parts.where(F.col("split") == "test").drop("split")
-    # fill values fitted on the training rows only
-    fills = clean.fill_values(train, num + cat)
-    train, test = clean.impute(train, fills=fills), clean.impute(test, fills=fills)
-    train, test = _fold_rare(train, [train, test], cat, max_categories)
+    # fill values fitted on the training rows only; a feature without one has no values there and goes
+    fills = shared_table(clean.fill_values(train, num + cat), "fills")
+    gone = {r["column_name"] for r in fills.where("fill_value is null").select("column_name").collect()}  # O(columns)
+    num, cat = [c for c in num if c not in gone], [c for c in cat if c not in gone]
+    if not num and not cat:
+        return _error(spark, "No feature column has values in the training rows.")
+    fills = fills.where("fill_value is not null")
+    parts, train, test = parts.drop(*gone), train.drop(*gone), test.drop(*gone)
+    train, test = _prepared(train, [train, test], fills, cat, max_categories)
     stages, vec_inputs = [], list(num)
     for c in cat:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
@@ -150,7 +160,7 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
     model = Pipeline(stages=stages).fit(train)
     scored = model.transform(test)
     forest = model.stages[-1]
-    importances = _importances(scored, forest, spark)
+    importances = _importances(scored, forest, spark, original)
     more = ["__y", "probability"] if task == "classification" else []
     pred = shared_table(scored.select("label", "prediction", *more), "predictions")
     n_train, n_test = train.count(), test.count()
@@ -166,9 +176,9 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
             F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1).alias("prediction")), labels)
         rows += [(r["metric"], r["value"]) for r in classification_metrics(conf).collect()]  # four rows
         if len(labels) == 2:
-            auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
-                                                metricName="areaUnderROC").evaluate(pred)
-            rows.append(("roc_auc", float(auc)))
+            from pyspark.ml.functions import vector_to_array
+            auc = roc_auc(pred.select("label", vector_to_array("probability")[1].alias("score"))).first()["roc_auc"]
+            rows.append(("roc_auc", auc))
         rows += [(f"class_count:{r['__y']}", float(r["count"])) for r in df.groupBy("__y").count().orderBy("__y").collect()]
         if cv_folds and cv_folds > 1:
             rows += _cross_validate(parts.drop("split"), stages[:-1], model_stage, cv_folds, seed, num, cat,
@@ -180,13 +190,42 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
     return ModelResult(task, metrics, conf, importances, pred.select("label", "prediction"))
 
 
-def _importances(pred: DataFrame, forest, spark, top: int = 12) -> DataFrame:
-    """Importances over the expanded feature names (vector metadata)."""
+def _prepared(train: DataFrame, tables: list[DataFrame], fills: DataFrame, cat: list[str], max_categories: int | None):
+    """Imputed tables whose levels carry a ``=`` before them, as MLlib takes no empty names."""
+    tables = _fold_rare(clean.impute(train, fills=fills), [clean.impute(d, fills=fills) for d in tables], cat, max_categories)
+    return [d.select(*[F.concat(F.lit("="), qcol(c)).alias(c) if c in cat else qcol(c) for c in d.columns]) for d in tables]
+
+
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """M10, exact: one row ``(positives, negatives, roc_auc)`` for labels 0 and 1: the share of
+    (positive, negative) pairs in which the positive one scores higher, equal scores counting half.
+
+    Rows are counted by score, and running counts over the sorted scores give each the
+    negatives below it (:func:`tabprofile.operators.ranks.running`); no curve is binned.  Rows without
+    label or score are left out; NULL if a label has no rows."""
+    s = F.nanvl(qcol(score).cast("double"), F.lit(None).cast("double"))
+    y = qcol(label).cast("double")
+    counts = scored.select(s.alias("s"), y.alias("y")).where("s is not null and y in (0, 1)").groupBy("s").agg(
+        F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    placed = running(counts, [F.col("s")], {"below": F.col("n")})
+    # in doubles: the number of pairs may pass 2^63
+    pairs = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
+    return placed.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("n"), F.lit(0)).alias("negatives"), pairs.alias("w")).select(
+        "positives", "negatives", F.try_divide(F.col("w"), F.col("positives").cast("double") * F.col("negatives")).alias("roc_auc"))
+
+
+def _importances(pred: DataFrame, forest, spark, original: dict[str, str], top: int = 12) -> DataFrame:
+    """Importances over the expanded feature names (vector metadata), with the columns'
+    original names: ``column`` or ``column__oh_level``."""
+    def named(name):
+        column, mark, level = name.partition("__oh_=")
+        return original.get(column, column) + (f"__oh_{level}" if mark else "")
+
     meta = pred.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {}
     for group in meta.values():
         for a in group:
-            names[a["idx"]] = a.get("name", f"f{a['idx']}")
+            names[a["idx"]] = named(a.get("name", f"f{a['idx']}"))
     imp = forest.featureImportances.toArray()
     rows = sorted(((names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)), key=lambda t: (-t[1], t[0]))
     return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(rows[:top])],
@@ -202,9 +241,11 @@ def _cross_validate(data, prep_stages, model_stage, k, seed, num, cat, max_categ
     for f in range(k):
         tr = folded.where(F.col("fold") != f).drop("fold")
         te = folded.where(F.col("fold") == f).drop("fold")
-        fills = clean.fill_values(tr, num + cat)
-        tr, te = clean.impute(tr, fills=fills), clean.impute(te, fills=fills)
-        tr, te = _fold_rare(tr, [tr, te], cat, max_categories)
+        fills = shared_table(clean.fill_values(tr, num + cat), "fills")
+        # a feature that happens to have no values in this fold's training rows counts as 0 or ""
+        blank = F.when(F.col("strategy") == "median", F.lit("0")).otherwise(F.lit(""))
+        fills = fills.withColumn("fill_value", F.coalesce("fill_value", blank))
+        tr, te = _prepared(tr, [tr, te], fills, cat, max_categories)
         w = split.class_weights(tr, "__y").select(F.col("class").alias("__y"), "weight")
         m = Pipeline(stages=list(prep_stages) + [model_stage.copy()]).fit(tr.join(w, "__y"))
         accs.append(float(ev.evaluate(m.transform(te))))

@@ -17,18 +17,25 @@ from tabprofile.operators.stats import CHUNK, _chunks, _union
 from tabprofile.roles import nan_to_null, normalize, qcol
 
 
-def _orderable(f: T.StructField):
-    """Expression whose min/max decide whether a column is constant."""
-    c = qcol(f.name)
-    def has_map(dt):
-        if isinstance(dt, T.MapType):
-            return True
-        if isinstance(dt, T.ArrayType):
-            return has_map(dt.elementType)
-        if isinstance(dt, T.StructType):
-            return any(has_map(x.dataType) for x in dt.fields)
-        return False
-    return F.to_json(c) if has_map(f.dataType) else c
+def has_map(dt: T.DataType) -> bool:
+    if isinstance(dt, T.MapType):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return has_map(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return any(has_map(x.dataType) for x in dt.fields)
+    return False
+
+
+def orderable(f: T.StructField):
+    """The column in a form that can be compared and grouped by: maps as their sorted entries,
+    anything that holds maps deeper down as JSON."""
+    c, t = qcol(f.name), f.dataType
+    if not has_map(t):
+        return c
+    if isinstance(t, T.MapType) and not has_map(t.keyType) and not has_map(t.valueType):
+        return F.array_sort(F.map_entries(c))
+    return F.to_json(c)
 
 
 def _counts(df: DataFrame) -> DataFrame:
@@ -54,14 +61,14 @@ def column_checks(df: DataFrame) -> DataFrame:
     for chunk in _chunks(fields, CHUNK):
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, f in enumerate(chunk):
-            h = F.when(qcol(f.name).isNotNull(), F.xxhash64(_orderable(f)))
+            h = F.when(qcol(f.name).isNotNull(), F.xxhash64(orderable(f)))
             aggs += [F.count(qcol(f.name)).alias(f"n{i}"), F.min(h).alias(f"a{i}"), F.max(h).alias(f"b{i}")]
         parts.append((chunk, df.agg(*aggs).first()))
     found = {f.name: (r[f"n{i}"], r["rows"], r[f"a{i}"] == r[f"b{i}"]) for chunk, r in parts for i, f in enumerate(chunk)}
     doubtful = [f for f in fields if found[f.name][0] and found[f.name][2]]
     same = {}
     for chunk in _chunks(doubtful, CHUNK) if doubtful else []:
-        r = df.agg(*[(F.min(_orderable(f)) == F.max(_orderable(f))).alias(f"k{i}") for i, f in enumerate(chunk)]).first()
+        r = df.agg(*[(F.min(orderable(f)) == F.max(orderable(f))).alias(f"k{i}") for i, f in enumerate(chunk)]).first()
         same.update({f.name: bool(r[f"k{i}"]) for i, f in enumerate(chunk)})
     for f in fields:
         n, total, _ = found[f.name]
@@ -103,7 +110,7 @@ def duplicates(df: DataFrame) -> DataFrame:
     independent 64-bit hashes of the whole row, map-side combined, so long texts never
     reach the shuffle; two rows of n share both by chance with n^2 / 2^129."""
     df = nan_to_null(df)
-    whole = [_orderable(f) for f in df.schema.fields]
+    whole = [orderable(f) for f in df.schema.fields]
     null = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in whole])
     groups = df.groupBy(F.xxhash64(*whole, null).alias("g0"), F.xxhash64(F.lit("second"), *reversed(whole), null).alias("g1")) \
         .agg(F.count(F.lit(1)).alias("cnt"))

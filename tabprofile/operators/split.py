@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.operators.clean import key_bucket, sample_key, with_copies
+from tabprofile.operators.quality import orderable
 from tabprofile.roles import qcol
 
 TEST_FRACTION = 0.2
@@ -36,40 +37,55 @@ def rank_within(df: DataFrame, group: list[str], key: str, ties: list | None = N
     return (ranked.join(counts, [*group, "__h"]).withColumn("rn", F.col("__off") + F.col("__in")).drop("__h", "__off", "__in"))
 
 
-def _ranked(df: DataFrame, label: str, seed: int, key_cols: list[str] | None) -> DataFrame:
-    d = with_copies(df.where(qcol(label).isNotNull()), key_cols)
-    r = rank_within(d.withColumn("__k", sample_key(d, seed, key_cols)), [label], "__k", [qcol(c) for c in key_cols or df.columns])
-    return r.select(*[qcol(c) for c in df.columns], "rn", "group_size")
+def _renamed(df: DataFrame, key_cols: list[str] | None, name: str) -> tuple[DataFrame, list[str] | None]:
+    """``df`` with its columns named c0, c1, ..., so that no name of the user's clashes with the
+    ones used here, and the key columns' new names."""
+    if name in df.columns:
+        raise ValueError(f"the table already has a column {name}; choose another name for the result")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain, key_cols and [f"c{df.columns.index(c)}" for c in key_cols]
+
+
+def _ranked(df: DataFrame, label: str, seed: int, key_cols: list[str] | None, name: str) -> DataFrame:
+    plain, keys = _renamed(df, key_cols, name)
+    y = f"c{df.columns.index(label)}"
+    d = with_copies(plain.where(qcol(y).isNotNull()), keys)
+    r = rank_within(d.withColumn("__k", sample_key(d, seed, keys)), [y], "__k", [orderable(plain.schema[c]) for c in keys or plain.columns])
+    return r.select(*plain.columns, "rn", "group_size")
+
+
+def _named(r: DataFrame, df: DataFrame, result, name: str) -> DataFrame:
+    return r.select(*[F.col(f"c{i}") for i in range(len(df.columns))], result).toDF(*df.columns, name)
 
 
 def stratified_split(df: DataFrame, label: str, test_fraction: float = TEST_FRACTION, seed: int = SEED,
-                     key_cols: list[str] | None = None) -> DataFrame:
-    """Adds ``split`` = ``test`` for the first ``ceil(test_fraction * n_c)``
+                     key_cols: list[str] | None = None, name: str = "split") -> DataFrame:
+    """Adds ``split`` (or ``name``) = ``test`` for the first ``ceil(test_fraction * n_c)``
     rows of every class ``c`` in seeded-hash order, else ``train`` (D10: exact
-    per-class quotas).  Rows with a missing label are dropped."""
-    r = _ranked(df, label, seed, key_cols)
+    per-class quotas).  Rows with a missing label are dropped; a table that has the column
+    already raises."""
+    r = _ranked(df, label, seed, key_cols, name)
     quota = F.ceil(F.col("group_size") * F.lit(test_fraction))
-    return (r.withColumn("split", F.when(F.col("rn") < quota, "test").otherwise("train"))
-            .drop("rn", "group_size"))
+    return _named(r, df, F.when(F.col("rn") < quota, "test").otherwise("train"), name)
 
 
 def random_split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SEED,
-                 key_cols: list[str] | None = None) -> DataFrame:
-    """M5 (regression): ``split`` by a seeded row hash, ``pmod(xxhash64(row, copy, seed), 10000)``
-    below ``test_fraction * 10000`` -> test.  Copies of a row fall on either side; with
-    ``key_cols`` that identify a row there is no shuffle at all."""
-    cols = key_cols or df.columns
-    d = with_copies(df, key_cols)
-    h = F.pmod(F.xxhash64(*[qcol(c) for c in cols], F.col("__copy"), F.lit(seed)), F.lit(10000))
-    return d.withColumn("split", F.when(h < int(test_fraction * 10000), "test").otherwise("train")).drop("__copy")
+                 key_cols: list[str] | None = None, name: str = "split") -> DataFrame:
+    """M5 (regression): ``split`` (or ``name``) by a seeded row hash, ``pmod(xxhash64(row, copy,
+    seed), 10000)`` below ``test_fraction * 10000`` -> test.  Copies of a row fall on either side;
+    with ``key_cols`` that identify a row there is no shuffle at all."""
+    plain, keys = _renamed(df, key_cols, name)
+    d = with_copies(plain, keys)
+    h = F.pmod(F.xxhash64(*[orderable(plain.schema[c]) for c in keys or plain.columns], F.col("__copy"), F.lit(seed)), F.lit(10000))
+    return _named(d, df, F.when(h < int(test_fraction * 10000), "test").otherwise("train"), name)
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = FOLDS, seed: int = SEED,
-                     key_cols: list[str] | None = None) -> DataFrame:
-    """Adds ``fold`` = rank within class (seeded-hash order) mod ``k``,
+                     key_cols: list[str] | None = None, name: str = "fold") -> DataFrame:
+    """Adds ``fold`` (or ``name``) = rank within class (seeded-hash order) mod ``k``,
     so every fold holds ``floor`` or ``ceil`` of ``n_c / k`` rows of each class."""
-    r = _ranked(df, label, seed, key_cols)
-    return r.withColumn("fold", (F.col("rn") % k).cast("int")).drop("rn", "group_size")
+    r = _ranked(df, label, seed, key_cols, name)
+    return _named(r, df, (F.col("rn") % k).cast("int"), name)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tabprofile.functions.exprs import balance_label
 from tabprofile.operators import stats
 from tabprofile.operators.categorical import bounded_distinct
+from tabprofile.operators.quality import has_map
 from tabprofile.roles import ColumnRoles, normalize, qcol
+from tabprofile.sources.readers import as_number
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -93,9 +95,10 @@ def _by_folded_name(columns: list[str]) -> dict[str, str]:
 
 
 def derive_product(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """``name = coalesce(try_cast(a), 0) * coalesce(try_cast(b), 0)``."""
+    """``name = coalesce(number(a), 0) * coalesce(number(b), 0)``, where text that is no
+    decimal number counts as missing."""
     def num(c):
-        return F.coalesce(F.expr("try_cast(`" + c.replace("`", "``") + "` AS DOUBLE)"), F.lit(0.0))
+        return F.coalesce(as_number(df, c), F.lit(0.0))
     return df.withColumn(name, num(a) * num(b))
 
 
@@ -137,8 +140,10 @@ def choose_target(df: DataFrame, requested: str | None = None, train: bool = Tru
             return names[cand]
     # one approximate pass discards clearly high-cardinality columns, the
     # exact bounded check confirms the survivors in column order
-    approx = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
-    for i, c in enumerate(df.columns):
+    # (columns that hold maps can't be counted and are no target)
+    usable = [f.name for f in df.schema.fields if not has_map(f.dataType)]
+    approx = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(usable)]).first() if usable else {}
+    for i, c in enumerate(usable):
         if approx[f"d{i}"] > 2 * max_classes:
             continue
         n = bounded_distinct(df, c, max_classes)

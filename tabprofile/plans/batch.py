@@ -43,9 +43,12 @@ def clean_table(df: DataFrame, max_rows: int | None = None, max_cols: int | None
 
 def run_batch(spark: SparkSession, input_path: str, out_dir: str, target: str | None = None, *,
               max_rows: int | None = None, max_cols: int | None = None, charts_on: bool = True,
-              train: bool = False, narrow: bool = True, run_log: str | None = None) -> dict:
+              train: bool = False, narrow: bool = True, run_log: str | None = None,
+              reader_options: dict | None = None) -> dict:
+    """``reader_options`` go to :func:`readers.load`, for example ``{"multiline": True}`` for CSV
+    with line breaks in quoted fields."""
     ensure_checkpoint_dir(spark)
-    raw, target = resolve_target(readers.load(spark, input_path), target)
+    raw, target = resolve_target(readers.load(spark, input_path, **(reader_options or {})), target)
     target = choose_target(raw, target, train)
     cleaned, steps = clean_table(raw, max_rows, max_cols, target, narrow=narrow)
     # cut the lineage at the cleaned snapshot: every later table reads it back

@@ -116,7 +116,9 @@ def profile(df: DataFrame, target: str | None = None, *, top_k: int = 10, max_co
     if has_target and roles.roles.get(target) == "numeric":
         mv["feature_importance"] = relate.feature_importance(base, target)
     p.sections["multivariate"] = mv
-    if target:
+    if target and not has_target:  # D11: an error entry in this section alone
+        p.sections["target_analysis"] = {"error": df.sparkSession.createDataFrame([(target, "Target column not found")], "target string, error string")}
+    elif target:
         p.sections["target_analysis"] = {"profile": tgt.target_profile(base, target, moments, quarts)}
         if tgt.is_class_target(base, target):
             p.sections["target_analysis"]["class_counts"] = tgt.class_counts(base, target)

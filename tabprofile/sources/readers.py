@@ -33,6 +33,18 @@ def _try(c, t):
     return F.when(qcol(c).rlike(NUMBER), cast)
 
 
+def as_number(df: DataFrame, col: str):
+    """``col`` as double: text that is no plain decimal number is NULL."""
+    if df.schema[col].dataType.simpleString() == "string":
+        return _try(col, "DOUBLE")
+    return F.expr("try_cast(`" + col.replace("`", "``") + "` AS DOUBLE)")
+
+
+# a date in text starts with year and month, parted by a hyphen; a bare number such as 2020 or
+# 90210 would pass Spark's cast, too
+DATE = r"\A\s*[+-]?[0-9]{4,6}-[0-9]{1,2}(?:\D|\z)"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """D-d / S1: ``(column_name, present, as_long, as_double, as_boolean, inferred)``
     for string columns; ``inferred`` is the narrowest of bigint, double,
@@ -57,7 +69,7 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def infer_kinds(df: DataFrame) -> DataFrame:
     """D-d: ``(column_name, kind)``.  A string column is ``datetime`` if every present value
-    parses as a timestamp, ``category`` if it has fewer distinct values than half its rows,
+    is written as a date and parses as a timestamp, ``category`` if it has fewer distinct values than half its rows,
     else ``object``; other columns keep their type's name.  A column without values is
     ``object``.  Values are counted by two hashes, so no text is shuffled."""
     spark = df.sparkSession
@@ -67,7 +79,7 @@ def infer_kinds(df: DataFrame) -> DataFrame:
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, c in enumerate(cols):
             aggs += [F.count(qcol(c)).alias(f"p{i}"),
-                     F.count(F.expr("try_cast(`" + c.replace("`", "``") + "` AS TIMESTAMP)")).alias(f"t{i}")]
+                     F.count(F.when(qcol(c).rlike(DATE), F.expr("try_cast(`" + c.replace("`", "``") + "` AS TIMESTAMP)"))).alias(f"t{i}")]
         facts = df.agg(*aggs).first()
         cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(qcol(c).isNotNull(), F.xxhash64(qcol(c))).alias("a"),
                                    F.xxhash64(F.lit("second"), qcol(c)).alias("b")) for i, c in enumerate(cols)])
@@ -80,13 +92,25 @@ def infer_kinds(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(list(kinds.items()), "column_name string, kind string")
 
 
+# a line that ends inside a quoted field: its last field opens with a quote that nothing closes
+OPEN_FIELD = r'^(?:(?:[^",][^,]*|"(?:[^"]|"")*"[^,]*|),)*"(?:[^"]|"")*$'
+
+
 def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None, infer: bool = True,
-             multiline: bool = False) -> DataFrame:
+             multiline: bool = False, check_lines: bool = True) -> DataFrame:
     """CSV with a header; NA tokens -> NULL; types from one counting pass.
 
     A quote inside a quoted field is doubled.  Fields with line breaks need ``multiline``;
-    then a file is one split, so write such data as many files."""
+    then a file is one split, so write such data as many files.  Without it a scan of
+    the lines (``check_lines``) raises if one ends inside a quoted field, as its row would
+    be cut in two."""
+    if not multiline and check_lines:
+        lines = spark.read.text(path).where(((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+                                            & F.col("value").rlike(OPEN_FIELD))
+        if not lines.isEmpty():
+            raise ValueError(f"{path} has line breaks inside quoted fields; read it with multiline=True")
     raw = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
         .option("escape", '"').option("multiLine", multiline).option("emptyValue", "").option("mode", "PERMISSIVE").csv(path)
     toks = NA_TOKENS if na_tokens is None else na_tokens
     clean = raw.select(*[F.when(qcol(c).isin(toks), F.lit(None)).otherwise(qcol(c)).alias(c) for c in raw.columns])

@@ -23,10 +23,12 @@ RUN_SCHEMA = ("run_id string, user_id int, dataset_name string, target_column st
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """The cleaned / processed dataset (CSV with header, or Parquet)."""
+    """The cleaned / processed dataset (CSV with header, or Parquet).  CSV texts keep the
+    white space at both ends; those with line breaks are quoted (read with ``multiline``)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         w.format(fmt).save(path)
 
