@@ -37,7 +37,7 @@ from tabprofile.llm.common import portions, shared_path, slices, stored, texts
 
 FRAME, CHECK, HEAD, PAIR = "<QI", "<I", "<qII", "<QQ"  # length and its checksum; checksum; payload head; index entry
 NO_ID = -2**63
-MANIFEST = "path string, first_id long, records long, tokens long, bytes long"
+MANIFEST = "path string, first_id long, last_id long, records long, tokens long, bytes long"
 
 
 class CorruptRecord(ValueError):
@@ -94,7 +94,8 @@ def ids_of(payload: bytes):
 def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Encode every text, append ``end_id`` and write records in ascending doc_id order.
 
-    Ranges of doc_id go to tasks, each of which writes one data file and its index.
+    Ranges of (doc_id, row number) go to tasks, each of which writes one data file and its
+    index; so one id that a third of the rows share, or null, is many files.
     Returns the manifest, one row per data file, itself a table under the shared folder.
     """
     import json
@@ -108,7 +109,7 @@ def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: st
     def task(batches):
         import pyarrow as pa
         end, store, name, data, index = struct.pack("<I", end_id), None, "", None, None
-        first, records, tokens, at = None, 0, 0, 0
+        first, last, records, tokens, at = None, None, 0, 0, 0
         try:
             for batch in batches:
                 encoder = worker_encoder(bc.value)
@@ -119,6 +120,7 @@ def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: st
                         name = f"{base}/{uuid.uuid4().hex}"
                         data, index = store.open_output_stream(f"{name}.rec"), store.open_output_stream(f"{name}.idx")
                         first = b.column(0)[0].as_py()
+                    last = b.column(0)[-1]
                     for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1))):
                         out = frame(record_of(doc_id, ids + end, width))
                         data.write(out)
@@ -129,21 +131,23 @@ def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: st
                 if f is not None:
                     f.close()
         if records:
-            yield pa.RecordBatch.from_pylist([dict(path=f"{folder}/{name.rsplit('/', 1)[1]}", first_id=first, records=records,
+            yield pa.RecordBatch.from_pylist([dict(path=f"{folder}/{name.rsplit('/', 1)[1]}", first_id=first, last_id=last.as_py(), records=records,
                                                    tokens=tokens, bytes=at)],
-                                             pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("records", pa.int64()),
+                                             pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("records", pa.int64()),
                                                         ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(ordered.mapInArrow(task, MANIFEST), "manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
     """Each file with the ids and records before it.  The window has one row per file.
 
-    Files of one repeated doc_id may share their first id; the path breaks the tie."""
-    w = Window.orderBy(F.col("first_id").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
+    Files of one repeated doc_id share their first id: those that hold it alone come before the
+    one that goes on to the next id; the path breaks the tie."""
+    w = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(w), F.lit(0).cast("long")))
 
 

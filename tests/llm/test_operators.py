@@ -406,6 +406,23 @@ def test_chunked_encoding_is_whole_text_encoding():
             assert ids == packed_ids(own.tokenizer.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_records_of_one_hot_id_are_many_files(spark):
+    r = random.Random(1)
+    table = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, words_of(r, r.randint(0, 30))) for i in range(600)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(6)
+    manifest = records.write(docs, queries._file(queries.WORD_BPE), P.PATTERN, end_id=1)
+    files = manifest.collect()
+    assert len(files) > 1 and sum(f.records for f in files) == 600
+    assert any(f.first_id == f.last_id for f in files)  # one id alone
+    found = sorted(records.read(manifest).collect(), key=lambda x: x.start)
+    ids = [x.doc_id for x in found]
+    assert [(i is not None, i or 0) for i in ids] == sorted((i is not None, i or 0) for i, _ in table)
+    at = 0
+    for x in found:
+        assert x.start == at
+        at += len(x.ids) // 4
+
+
 # 5 exact deduplication
 
 def brute_exact(table):
