@@ -1,12 +1,18 @@
-"""Registered queries of the tests of distribution and homogeneity, with their DuckDB twins.
+"""Registered queries of the tests of distribution and homogeneity, of isolation forests and of
+awkward columns, with their DuckDB twins.
 
 The twins rank every row (``row_number``, ``rank``) where the operators count distinct values,
 and sum series term by term where the operators use continued fractions or polynomials."""
 
 from __future__ import annotations
 
-from tabprofile.operators import inference, isolation, quantiles, stats
-from tabprofile.plans.registry import LI_NUM, R, _anova_sql, _union_sql, query, read, rounded
+from pyspark.sql import functions as F
+
+from tabprofile.operators import charts, clean, inference, isolation, ml, quantiles, split, stats
+from tabprofile.plans.profile import profile
+from tabprofile.plans.registry import (DIRTY_LI_SQL, LI_NUM, ORACLE, SPLIT_KEYS, R, _anova_sql, _hist_sql, _scratch, _union_sql, dirty_li,
+                                       query, read, rounded, with_view)
+from tabprofile.sources import readers, sinks
 
 FEATURES = [c for c in LI_NUM if c != "l_linenumber"]
 # the normal distribution function by z + z^3/3 + z^5/(3*5) + ..., nested from the inside
@@ -157,3 +163,86 @@ def q_isolation_scores(spark, sf_dir):
 @query("q_isolation_outliers")
 def q_isolation_outliers(spark, sf_dir):
     return rounded(stats.iqr_outliers(read(spark, sf_dir, "lineitem"), method="isolation_forest"), 9, ["threshold"])
+
+
+# ---------------------------------------------------------------- M10, C9, S4, P3, P12, D-d, M5, E1 on awkward columns
+@query("q_roc_auc", """SELECT p AS positives, n AS negatives, round((s - p * (p + 1) / 2) / (p * n), 9) AS roc_auc FROM (
+  SELECT count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n, sum(r) FILTER (y) AS s FROM (
+    SELECT l_returnflag = 'R' AS y, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS r
+    FROM lineitem WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL) a) b""")
+def q_roc_auc(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").withColumn("is_r", (F.col("l_returnflag") == "R").cast("int"))
+    return rounded(ml.roc_auc(li, "is_r", "l_extendedprice"), 9)
+
+
+@query("q_histogram_gaps", with_view(DIRTY_LI_SQL, f"SELECT * FROM ({_hist_sql('d', 'l_extendedprice')})"))
+def q_histogram_gaps(spark, sf_dir):
+    """A column with missing values, which are in no bin."""
+    h = charts.histogram(dirty_li(spark, sf_dir), "l_extendedprice")
+    return rounded(rounded(h, 6, ["bin_start", "bin_end"]), 9, ["density"])
+
+
+SPACES_SQL = "' ' || chr(9) || text || ' '"
+
+
+@query("q_csv_spaces", f"SELECT doc_id, {SPACES_SQL} AS text FROM documents WHERE text IS NOT NULL")
+def q_csv_spaces(spark, sf_dir):
+    """Whole texts that begin and end in white space and hold line breaks, through CSV."""
+    path = _scratch(spark, "spaces-csv") + ".csv"
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    sinks.write_table(docs.select("doc_id", F.concat(F.lit(" \t"), "text", F.lit(" ")).alias("text")), path, "csv")
+    return readers.load(spark, path, multiline=True)
+
+
+CODE_SQL = "CAST(l_partkey AS VARCHAR) || CASE l_linenumber % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'F' ELSE '' END"
+
+
+@query("q_coerce_codes", "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS DOUBLE) AS code FROM lineitem WHERE l_linenumber % 3 = 2")
+def q_coerce_codes(spark, sf_dir):
+    """Codes such as 17D or 17F are no numbers."""
+    end = F.when(F.col("l_linenumber") % 3 == 0, "D").when(F.col("l_linenumber") % 3 == 1, "F").otherwise("")
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), end).alias("code"))
+    return clean.coerce_numeric(li, "code")
+
+
+@query("q_type_kinds_years", """SELECT 'year' AS column_name, CASE WHEN count(DISTINCT strftime(ts, '%Y')) / count(*) < 0.5 THEN 'category' ELSE 'object' END AS kind FROM events
+UNION ALL SELECT 'month', 'datetime' UNION ALL SELECT 'code', CASE WHEN count(DISTINCT 10000 + user_id % 90000) / count(*) < 0.5 THEN 'category' ELSE 'object' END FROM events""")
+def q_type_kinds_years(spark, sf_dir):
+    """Years and five-digit codes are text, months dates."""
+    e = read(spark, sf_dir, "events")
+    return readers.infer_kinds(e.select(F.date_format("ts", "yyyy").alias("year"), F.date_format("ts", "yyyy-MM").alias("month"),
+                                        (10000 + F.col("user_id") % 90000).cast("string").alias("code")))
+
+
+@query("q_dedup_maps", """SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders""")
+def q_dedup_maps(spark, sf_dir):
+    """Rows with a map column; the order of its entries doesn't tell rows apart."""
+    o = read(spark, sf_dir, "orders")
+    forward = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")
+    backward = F.create_map(F.lit("priority"), "o_orderpriority", F.lit("status"), "o_orderstatus")
+    rows = clean.dedup(o.select(F.when(F.col("o_orderkey") % 2 == 0, forward).otherwise(backward).alias("m")))
+    return rows.select(F.col("m")["status"].alias("status"), F.col("m")["priority"].alias("priority"))
+
+
+@query("q_split_clashes", ORACLE["q_split"].replace("SELECT *,", "SELECT * RENAME (o_orderdate AS rn, o_totalprice AS group_size),", 1))
+def q_split_clashes(spark, sf_dir):
+    """Columns named as the split's own."""
+    o = read(spark, sf_dir, "orders").withColumnsRenamed({"o_orderdate": "rn", "o_totalprice": "group_size"})
+    return split.stratified_split(o, "o_orderstatus", 0.2, 42, key_cols=SPLIT_KEYS)
+
+
+@query("q_profile_unknown_target", """SELECT count(*) AS rows, 'no such column' AS target, 'Target column not found' AS error FROM orders""")
+def q_profile_unknown_target(spark, sf_dir):
+    """An unknown target is an error entry in its own section; the others are there."""
+    p = profile(read(spark, sf_dir, "orders"), "no such column")
+    return p["overview"]["shape"].select("rows").join(p["target_analysis"]["error"], F.lit(True))
+
+
+@query("q_model_awkward")
+def q_model_awkward(spark, sf_dir):
+    """A model on names with dots, an empty level and columns without values: sizes and scores."""
+    o = read(spark, sf_dir, "orders")
+    awkward = o.withColumnsRenamed({"o_totalprice": "total.price", "o_custkey": "split"}).withColumn("none", F.lit(None).cast("string")) \
+        .withColumn("empty.level", F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("odd")).drop("o_clerk", "o_comment")
+    res = ml.train_baseline(awkward, "o_orderstatus", num_trees=8, max_depth=5)
+    return rounded(res.metrics.select("metric", "value"), 6)
