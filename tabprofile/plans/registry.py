@@ -1198,4 +1198,4 @@ def q_importance_share(spark, sf_dir):
     return rounded(fi.where("is_top").select("feature", "rank", "share"), 6)
 
 
-from tabprofile.plans import registry_inference, registry_runs  # noqa: E402,F401  (add their queries)
+from tabprofile.plans import registry_inference, registry_runs, registry_series  # noqa: E402,F401  (add their queries)
