@@ -21,7 +21,8 @@ half of the sampled documents, scored by models of the other half, and so is D,
 and by its order within a class whose documents would all be in one half (:func:`halves`);
 where a half still has no words of a class, as with a single document of it, D is the first of
 ``DISCOUNTS`` and the function is fitted on the documents the models are of.  The sample has at most ``ROWS`` labelled documents of each class, so the models
-are bounded; they go to all tasks as sorted arrays of word hashes, and scoring is one pass
+are bounded; it takes four ordinary documents for a toxic one, as with fewer the words of less
+common languages happen in the toxic sample alone; they go to all tasks as sorted arrays of word hashes, and scoring is one pass
 over whole texts without a shuffle.
 
 Words are runs of non-white characters with A-Z lower-cased and ASCII punctuation taken
@@ -36,11 +37,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprofile.llm.common import remainder, slices, texts
+from tabprofile.llm.common import remainder, slices, stored, texts
 from tabprofile.llm.labelled import sample
 
-ROWS = {0: 2000, 1: 2000}
-DISCOUNTS = (0.75, 1.5, 3.0, 4.0, 6.0)
+ROWS = {0: 8000, 1: 2000}
+DISCOUNTS = (1.0, 1.5, 3.0, 4.0, 6.0)  # none below 1, see ``tables``
 PARTS, HELD = 3, 1
 WINDOWS = (1, 3, 6)
 HIGHEST = (4, 8)
@@ -106,34 +107,60 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
         .groupBy("label", "u", "w").agg(F.count(F.lit(1)).alias("c"), F.sum(1 - F.col("half")).alias("c0"))
 
 
-def ratios(label, u, w, c, d: float) -> dict:
-    """Sorted tables of log-likelihood ratios (toxic over ordinary) from bigram counts, one
-    row for each label and bigram, and the discount."""
+def tables(counts: DataFrame, column: str, discounts=None) -> dict:
+    """What the models of ``counts`` (label, u, w and ``column``, the bigram's count) need, as
+    arrays: ``pairs`` (u, w, and the counts n0, n1 of both classes), ``contexts`` (u, their
+    totals o0, o1, and for each discount the sums t0_i, t1_i of what it takes), ``words`` (w,
+    different words before it in either class, j, and in each, b0 and b1) and ``sums``.
+
+    Sums and totals are added up by Spark over all bigrams.  As no discount is below 1, bigrams
+    that neither class counts twice, and contexts and words of these alone, are
+    backed off alike in both; they stay behind."""
+    def of(label):
+        return F.coalesce(F.sum(F.when(F.col("label") == label, F.col(column))), F.lit(0))
+
+    merged = counts.where(F.col(column) > 0).groupBy("u", "w").agg(of(0).alias("n0"), of(1).alias("n1"))
+    most = F.max(F.greatest("n0", "n1")).alias("most")
+
+    def taken(c, name):
+        return [F.sum(F.least(F.col(c).cast("double"), F.lit(float(d)))).alias(f"{name}_{i}") for i, d in enumerate(discounts or DISCOUNTS)]
+
+    words = merged.groupBy("w").agg(F.count(F.lit(1)).alias("j"), F.count_if(F.col("n0") > 0).alias("b0"), F.count_if(F.col("n1") > 0).alias("b1"), most)
+    contexts = merged.groupBy("u").agg(F.sum("n0").alias("o0"), F.sum("n1").alias("o1"), *taken("n0", "t0"), *taken("n1", "t1"), most)
+    sums = words.agg(F.count(F.lit(1)).alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("j", "b0", "b1")],
+                     *taken("b0", "t0"), *taken("b1", "t1")).first().asDict()
+
+    def arrays(df, *keys):
+        import numpy as np
+        found = df.toArrow()
+        out = {f: found[f].to_numpy() for f in found.column_names}
+        out.update({k: out[k].view(np.uint64) for k in keys})
+        order = np.lexsort([out[k] for k in reversed(keys)])  # no matter in which order tasks end
+        return {f: x[order] for f, x in out.items()}
+
+    return {"sums": sums, "pairs": arrays(merged.where("n0 > 1 or n1 > 1"), "u", "w"), "contexts": arrays(contexts.where("most > 1").drop("most"), "u"),
+            "words": arrays(words.where("b0 > 1 or b1 > 1 or most > 1").drop("most"), "w")}
+
+
+def ratios(found: dict, i: int, d: float) -> dict:
+    """Sorted tables of log-likelihood ratios (toxic over ordinary) from ``tables``, for its
+    i-th discount ``d``."""
     import numpy as np
-    words, w_at = np.unique(w, return_inverse=True)
-    contexts, u_at = np.unique(u, return_inverse=True)
-    pairs, pair_at = np.unique(pair_key(u, w), return_inverse=True)
-    first = np.zeros(len(pairs), np.int64)
-    first[pair_at] = np.arange(len(w))
-    pair_u, pair_w = u_at[first], w_at[first]
-    shared = np.bincount(pair_w, minlength=len(words)) + 1.0
-    total = shared.sum() + 1  # one for words never seen
-    shared /= total
+    sums, words, contexts, pairs = (found[k] for k in ("sums", "words", "contexts", "pairs"))
+    total = sums["j"] + sums["v"] + 1.0  # one for each word, and one for words never seen
+    pair_w, pair_u = np.searchsorted(words["w"], pairs["w"]), np.searchsorted(contexts["u"], pairs["u"])
     uni, gamma, bi, unknown = [], [], [], []
-    for k in (0, 1):
-        own = label == k
-        before = np.bincount(w_at[own], minlength=len(words)).astype(float)
-        back = np.minimum(before, d).sum() / before.sum()
-        p = np.maximum(before - d, 0) / before.sum() + back * shared
+    for k in "01":
+        before = words[f"b{k}"].astype(float)
+        back = sums[f"t{k}_{i}"] / sums[f"b{k}"]
+        p = np.maximum(before - d, 0) / sums[f"b{k}"] + back * (words["j"] + 1.0) / total
+        of_context = contexts[f"o{k}"].astype(float)
+        g = np.where(of_context > 0, contexts[f"t{k}_{i}"] / np.maximum(of_context, 1), 1.0)
         uni.append(p)
         unknown.append(back / total)
-        of_context = np.bincount(u_at[own], c[own], len(contexts))
-        taken = np.bincount(u_at[own], np.minimum(c[own], d), len(contexts))
-        g = np.where(of_context > 0, taken / np.maximum(of_context, 1), 1.0)
         gamma.append(g)
-        count = np.zeros(len(pairs))
-        count[pair_at[own]] = c[own]
-        bi.append(np.maximum(count - d, 0) / np.maximum(of_context, 1)[pair_u] + g[pair_u] * p[pair_w])
+        bi.append(np.maximum(pairs[f"n{k}"] - d, 0) / np.maximum(of_context, 1)[pair_u] + g[pair_u] * p[pair_w])
+
     # what no class counts more than d times is backed off in both: its ratio is the default
     def kept(keys, values, default):
         some = np.abs(values - default) > 1e-9
@@ -141,10 +168,13 @@ def ratios(label, u, w, c, d: float) -> dict:
 
     base = float(np.log(unknown[1] / unknown[0]))
     uni, gamma, bi = (np.log(x[1] / x[0]) for x in (uni, gamma, bi))
-    words, pairs_of = kept(words, uni, base), kept(pairs, bi, uni[pair_w] + gamma[pair_u])
-    contexts = kept(contexts, gamma, 0.0)
-    return {"words": words[0], "uni": words[1], "contexts": contexts[0], "gamma": contexts[1], "pairs": pairs_of[0],
-            "bi": pairs_of[1], "unknown": base}
+    known = pair_key(pairs["u"], pairs["w"])
+    order = np.argsort(known)
+    known, bi, backed = known[order], bi[order], (uni[pair_w] + gamma[pair_u])[order]
+    kept_words, kept_pairs = kept(words["w"], uni, base), kept(known, bi, backed)
+    kept_contexts = kept(contexts["u"], gamma, 0.0)
+    return {"words": kept_words[0], "uni": kept_words[1], "contexts": kept_contexts[0], "gamma": kept_contexts[1], "pairs": kept_pairs[0],
+            "bi": kept_pairs[1], "unknown": base}
 
 
 def lookup(keys, values, wanted, other: float):
@@ -221,20 +251,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[i
     words of both classes."""
     import numpy as np
     chosen = halves(sample(docs, labels, label, rows, parts, held))
-    counts = bigram_counts(chosen).toArrow()
-    k, u, w, c, c0 = (counts[n].to_numpy() for n in ("label", "u", "w", "c", "c0"))
-    del counts
-    order = np.lexsort((w, u, k))  # no matter in which order tasks end
-    k, u, w, c, c0 = (x[order] for x in (k.astype(np.int8), u.view(np.uint64), w.view(np.uint64), c.astype(np.int32), c0.astype(np.int32)))
-    if len(set(k.tolist())) < 2:
+    counts = stored(bigram_counts(chosen), "bigrams")  # several sums are made of them
+    whole = tables(counts, "c")
+    if not (whole["sums"]["b0"] and whole["sums"]["b1"]):
         return None
-    own, tried, seen = c0 > 0, DISCOUNTS, []
-    if len(set(k[own].tolist())) == 2:
-        trials = [ratios(k[own], u[own], w[own], c0[own], d) for d in tried]
+    half, tried, seen = tables(counts, "c0"), DISCOUNTS, []
+    if half["sums"]["b0"] and half["sums"]["b1"]:
+        trials = [ratios(half, i, d) for i, d in enumerate(tried)]
         seen = sorted((r["ratios"], r["label"]) for r in measured(chosen.where("half = 1"), trials, "label").collect())
     if len({y for _, y in seen}) < 2:
         tried = DISCOUNTS[:1]
-        seen = sorted((r["ratios"], r["label"]) for r in measured(chosen, [ratios(k, u, w, c, tried[0])], "label").collect())
+        seen = sorted((r["ratios"], r["label"]) for r in measured(chosen, [ratios(whole, 0, tried[0])], "label").collect())
     y, found = np.array([y for _, y in seen]), np.array([r for r, _ in seen])
     fitted, width = [], FEATURES
     for i, d in enumerate(tried):
@@ -243,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[i
         z = np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -30, 30)
         fitted.append((float((np.log1p(np.exp(z)) - y * z).mean()), d, weights.tolist()))
     _, d, weights = min(fitted)
-    return ratios(k, u, w, c, d), weights
+    return ratios(whole, DISCOUNTS.index(d), d), weights
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

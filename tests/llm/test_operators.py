@@ -613,3 +613,57 @@ def test_toxicity_ratios_by_hand():
     assert np.allclose(got[0], [*windows, *highest, np.log(12), sum(llr) / 12])
     assert not got[1].any()
     assert np.allclose(got[2], [*[2.0 / k for k in (*toxicity.WINDOWS, *toxicity.HIGHEST)], 0.0, 2.0])
+
+
+def test_toxicity_models_by_plain_counting(spark):
+    """The ratio tables against Kneser-Ney by its formulas, from dictionaries of words."""
+    r = random.Random(12)
+    table = [(i, " ".join(r.choice("abcdefghij") for _ in range(r.randint(1, 60))) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0), i % 2) for i in range(40)]
+    counts = toxicity.bigram_counts(spark.createDataFrame(table, "doc_id long, text string, label int, half int"))
+    hashed = lambda w: toxicity.START if w is None else int(toxicity.Hasher()(w)[0])
+    for column in ("c", "c0"):
+        found = toxicity.tables(counts, column)
+        before = [collections.defaultdict(set), collections.defaultdict(set)]  # (u, w) -> different words before
+        for _, text, label, half in table:
+            words = [None, None, *text.split()]
+            for v, u, w in zip(words, words[1:], words[2:]):
+                if column == "c" or half == 0:
+                    before[label][u, w].add(v)
+        count = [{k: len(s) for k, s in b.items()} for b in before]
+        joint = set(count[0]) | set(count[1])
+        total = len(joint) + len({w for _, w in joint}) + 1
+        for i, d in enumerate(toxicity.DISCOUNTS):
+            model = toxicity.ratios(found, i, d)
+
+            def uni(k, w):
+                kinds = collections.Counter(x for _, x in count[k])
+                n = sum(kinds.values())
+                back = sum(min(c, d) for c in kinds.values()) / n
+                shared = (sum(1 for _, x in joint if x == w) + 1) / total
+                return max(kinds[w] - d, 0) / n + back * shared
+
+            def bi(k, u, w):
+                own = [c for (x, _), c in count[k].items() if x == u]
+                gamma = sum(min(c, d) for c in own) / sum(own) if own else 1.0
+                return (max(count[k].get((u, w), 0) - d, 0) / sum(own) if own else 0.0) + gamma * uni(k, w)
+
+            for u, w in [*r.sample(sorted(joint, key=str), 25), (None, "a"), ("a", "vile"), ("never", "a"), ("a", "never")]:
+                ku, kw = (np.array([hashed(x)], np.uint64) for x in (u, w))
+                got, is_seen = toxicity.lookup(model["pairs"], model["bi"], toxicity.pair_key(ku, kw), 0)
+                if not is_seen[0]:
+                    got = toxicity.lookup(model["words"], model["uni"], kw, model["unknown"])[0] + toxicity.lookup(model["contexts"], model["gamma"], ku, 0)[0]
+                assert got[0] == pytest.approx(math.log(bi(1, u, w) / bi(0, u, w)), abs=1e-5), (column, d, u, w)
+
+
+def test_logistic_is_at_the_minimum():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(80, 3))
+    y = (x[:, 0] + r.normal(size=80) > 0).astype(float)
+    b = toxicity.logistic(x, y)
+
+    def loss(b):
+        z = np.column_stack([x, np.ones(80)]) @ b
+        return float((np.log1p(np.exp(z)) - y * z).sum() + 0.025 * b @ b)
+    for i in range(4):
+        for step in (1e-3, -1e-3):
+            assert loss(b) < loss(b + step * np.eye(4)[i])
