@@ -1,11 +1,11 @@
-"""Registered queries of the time-series operators over ``events``, one series an event type, with
+"""Registered queries of the time-series operators over ``events``, one series an event type, of texts and categories, with
 their DuckDB twins (windows over whole series)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabprofile.operators import timeseries
+from tabprofile.operators import encode, terms, timeseries
 from tabprofile.plans.registry import _union_sql, query, read, rounded
 
 SERIES_SQL = """SELECT event_type AS k, epoch_us(ts) / 1e6 AS t, CAST(value AS DOUBLE) AS x FROM events
@@ -70,3 +70,47 @@ def q_series_decompose(spark, sf_dir):
     found = timeseries.decompose(read(spark, sf_dir, "events"), "ts", "value", 86400.0, "event_type")
     return rounded(found.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("trend").alias("trend"), F.sum(F.abs("season")).alias("season"),
                                               F.sum(F.abs("rest")).alias("rest")), 3)
+
+
+# ---------------------------------------------------------------- D-j texts, D-e category types
+WORDS_SQL = r"""SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[ \t\n\x0b\f\r]+'), lambda w: w != '')) AS term FROM documents WHERE text IS NOT NULL"""
+
+
+@query("q_frequent_terms", f"""SELECT CAST(row_number() OVER (ORDER BY count DESC, term) AS INTEGER) AS rank, * FROM (
+  SELECT term, count(*) AS count, count(DISTINCT doc_id) AS documents FROM ({WORDS_SQL}) w GROUP BY term ORDER BY 2 DESC, 1 LIMIT 50) t""")
+def q_frequent_terms(spark, sf_dir):
+    """With summaries of 200 terms, so that they overflow in small tables, too."""
+    return terms.frequent_terms(read(spark, sf_dir, "documents"), "text", 50, capacity=200)
+
+
+@query("q_text_profile", r"""SELECT 'text' AS column_name, count(text) AS texts, count(*) FILTER (text = '') AS empty, CAST(min(length(text)) AS INTEGER) AS shortest,
+  round(avg(length(text)), 4) AS mean_length, CAST(max(length(text)) AS INTEGER) AS longest,
+  round(avg(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: w != ''))), 4) AS words FROM documents
+UNION ALL SELECT 'lang', count(lang), count(*) FILTER (lang = ''), CAST(min(length(lang)) AS INTEGER), round(avg(length(lang)), 4), CAST(max(length(lang)) AS INTEGER),
+  round(avg(len(list_filter(regexp_split_to_array(lang, '[ \t\n\x0b\f\r]+'), lambda w: w != ''))), 4) FROM documents""")
+def q_text_profile(spark, sf_dir):
+    return rounded(terms.text_profile(read(spark, sf_dir, "documents"), ["text", "lang"]), 4)
+
+
+CATEGORY_COLS = {"orders": ["o_orderstatus", "o_orderpriority"], "events": ["event_type", "props"]}
+
+
+@query("q_saved_bytes", _union_sql([f"""SELECT '{c}' AS column_name, count(DISTINCT {c}) AS levels, CAST(sum(strlen({c})) AS BIGINT) AS text_bytes,
+  CAST(4 * count({c}) + (SELECT sum(strlen(v)) FROM (SELECT DISTINCT {c} AS v FROM {t}) d) AS BIGINT) AS encoded_bytes,
+  CAST(sum(strlen({c})) - 4 * count({c}) - (SELECT sum(strlen(v)) FROM (SELECT DISTINCT {c} AS v FROM {t}) d) AS BIGINT) AS saved_bytes FROM {t}"""
+                                    for t, cols in CATEGORY_COLS.items() for c in cols]))
+def q_saved_bytes(spark, sf_dir):
+    parts = [encode.saved_bytes(read(spark, sf_dir, t), cols) for t, cols in CATEGORY_COLS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("q_encode_codes", """SELECT * REPLACE (CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS event_type) FROM events""")
+def q_encode_codes(spark, sf_dir):
+    """All of events with event_type as its place among the sorted types."""
+    return encode.encode_categories(read(spark, sf_dir, "events"), ["event_type"]).table
+
+
+@query("q_encode_round_trip", "SELECT * FROM events")
+def q_encode_round_trip(spark, sf_dir):
+    return encode.encode_categories(read(spark, sf_dir, "events"), ["event_type", "props"]).decode()
