@@ -1,10 +1,12 @@
 """Quality rules with host verdicts (operator 8).
 
 Rules of single documents are counted over whole texts; their failures are aggregated by
-host (``source``).  A host's raw failure rate says little if it has few documents, so rates
-are shrunk with an empirical beta prior: its mean and variance are those of the hosts'
-rates, less the variance that sampling alone would give.  A host whose shrunk rate exceeds
-``limit`` is rejected, and its verdict is joined back to its documents.
+host (``source``), each rule of ``RULES`` for itself: the base rule (few words or repeated
+windows), symbols, duplicate lines and the length of words.  A host's raw failure rate says
+little if it has few documents, so rates are shrunk with an empirical beta prior a rule: its
+mean and variance are those of the hosts' rates, less the variance that sampling alone would
+give.  A host with a shrunk rate above ``limit`` is rejected, and its verdict is joined
+back to its documents.  A single document is rejected by the base rule alone.
 
 Host counts are combined map-side, so a host with a third of all rows sends one row a
 task.  Rejected hosts alone are joined back, and the planner chooses how by their size.
@@ -12,6 +14,7 @@ task.  Rejected hosts alone are joined back, and the planner chooses how by thei
 Defined results: null or word-less text has no words, so it fails; null source is no host:
 its documents get no host verdict; repeated rows count as documents of their own; with no
 spread between hosts the prior is the overall rate with the weight of ``most`` documents;
+a text of any length is counted whole, in memory that grows with it;
 an empty table gives an empty result; other columns are ignored or carried as they are.
 """
 
@@ -26,6 +29,10 @@ SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
+#: what makes a document fail a rule; the base rule also rejects the document itself
+RULES = {"base": "n_words < {least} or 100 * n_repeat_words > {most} * n_words".format(least=LEAST_WORDS, most=MOST_REPEATED),
+         "symbols": "5 * n_symbols > n_words", "lines": "10 * n_dup_lines > n_words",
+         "length": "word_chars < 2 * n_words or word_chars > 15 * n_words"}
 LIMIT = 0.5
 MOST = 1_000.0
 
@@ -68,37 +75,50 @@ def counted(docs: DataFrame, carry) -> DataFrame:
                     ["carry", "host", *COUNTS])
 
     out = rows.mapInArrow(task, f"carry {kind}, host string, {', '.join(f'{c} long' for c in COUNTS)}")
-    return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS)
-                          | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    return out.select("*", *[F.expr(rule).alias(f"{name}_failed") for name, rule in RULES.items()])
 
 
 def host_rates(rows: DataFrame, most: float = MOST) -> DataFrame:
-    """host, documents, failed, rate (shrunk): from rows with host and base_failed.
+    """host, documents, failed and rate (shrunk) of the base rule, and failed_<rule> and rate_<rule>
+    of the others: from rows with host and the rules' flags.
 
     The prior is beta(mean * weight, (1 - mean) * weight).  Its moments are sums over hosts,
     collected as one row."""
     hosts = rows.where("host is not null").groupBy("host").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    s = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("documents").alias("n"), F.sum("failed").alias("f"),
-                  F.sum(F.col("failed") * F.col("failed") / F.col("documents")).alias("ff"),
-                  F.sum(F.col("documents") * F.col("documents")).cast("double").alias("nn")).first()
-    mean = s.f / s.n if s.n else 0.0
+        F.count(F.lit(1)).alias("documents"), *[F.sum(F.col(f"{r}_failed").cast("long")).alias(f"failed_{r}") for r in RULES])
+    n = F.col("documents")
+    s = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(n * n).cast("double").alias("nn"),
+                  *[F.sum(f"failed_{r}").alias(f"f_{r}") for r in RULES],
+                  *[F.sum(F.col(f"failed_{r}") * F.col(f"failed_{r}") / n).alias(f"ff_{r}") for r in RULES]).first()
+    return hosts.select("*", *[_shrunk(F.col(f"failed_{r}"), n, s.k, s.n, s[f"f_{r}"], s[f"ff_{r}"], s.nn, most).alias(f"rate_{r}") for r in RULES]) \
+        .withColumnsRenamed({"failed_base": "failed", "rate_base": "rate"})
+
+
+def _shrunk(failed, documents, k, n, f, ff, nn, most: float):
+    """The rate of a host under the prior that the sums over all hosts give."""
+    mean = f / n if n else 0.0
     weight = most
     between = 0.0
-    if s.n and s.k > 1 and s.n > s.k and 0 < mean < 1:
+    if n and k > 1 and n > k and 0 < mean < 1:
         # analysis of variance of the 0/1 failures: between and within hosts
-        within = (s.f - s.ff) / (s.n - s.k)
-        spread = (s.ff - s.n * mean * mean) / (s.k - 1)
-        between = max(0.0, (spread - within) / ((s.n - s.nn / s.n) / (s.k - 1)))
+        within = (f - ff) / (n - k)
+        spread = (ff - n * mean * mean) / (k - 1)
+        between = max(0.0, (spread - within) / ((n - nn / n) / (k - 1)))
     if between > 0:
         weight = min(most, max(1.0, mean * (1 - mean) / between - 1))
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(mean * weight)) / (F.col("documents") + F.lit(weight)))
+    return (failed + F.lit(mean * weight)) / (documents + F.lit(weight))
+
+
+def bad_hosts(rows: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """bad_host: hosts that fail a rule too often."""
+    rates = host_rates(rows)
+    return rates.where(F.greatest("rate", *[f"rate_{r}" for r in RULES if r != "base"]) > limit).select(F.col("host").alias("bad_host"))
 
 
 def verdicts(rows: DataFrame, limit: float = LIMIT) -> DataFrame:
     """``counted`` rows with kept: neither they nor their host failed.  ``rows`` is read
     twice, so it should be a stored table."""
-    bad = host_rates(rows).where(F.col("rate") > limit).select(F.col("host").alias("bad_host"))
+    bad = bad_hosts(rows, limit)
     return rows.join(bad, rows.host == bad.bad_host, "left").withColumn(
         "kept", ~F.col("base_failed") & F.col("bad_host").isNull()).drop("bad_host")
 
@@ -115,15 +135,17 @@ def keep(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     narrow = plain.select(F.col(f"c{names.index('text')}").alias("text"), F.col(f"c{names.index('source')}").alias("source"),
                           F.struct(*[f"c{i}" for i in range(len(names))]).alias("all"))
-    rows = counted(narrow, F.col("all"))
-    small = stored(rows.select("host", "base_failed"), "rule-counts")
-    bad = host_rates(small).where(F.col("rate") > limit).select(F.col("host").alias("bad_host"))
-    passed = rows.where("not base_failed")
+    # stored with their flags, so that texts are counted once
+    rows = stored(counted(narrow, F.col("all")).select("carry", "host", *[f"{r}_failed" for r in RULES]), "rule-counts")
+    bad, passed = bad_hosts(rows, limit), rows.where("not base_failed")
     return passed.join(bad, passed.host == bad.bad_host, "left_anti").select("carry.*").toDF(*names)
 
 
 def oracle_sql(limit: float = LIMIT, most: float = MOST) -> str:
     """DuckDB SQL for ``judged`` over the table documents."""
+    rules = {"base": f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words", "symbols": "5 * n_symbols > n_words",
+             "lines": "10 * n_dup_lines > n_words", "length": "not word_chars between 2 * n_words and 15 * n_words"}
+    failures = " union all ".join(f"select source, '{r}' as rule, {c} as failed from b where source is not null" for r, c in rules.items())
     return rf"""
 with t as (select doc_id, source, coalesce(text, '') as text,
     [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
@@ -141,12 +163,12 @@ b as (select t.doc_id, source, len(w)::bigint as n_words,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::bigint as n_symbols,
     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
     from t left join rep using (doc_id) left join lines using (doc_id)),
-f as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed from b),
-h as (select source, count(*)::double as n, sum(base_failed::int)::double as f from f where source is not null group by source),
-s as (select count(*)::double as k, sum(n) as n, sum(f) as f, sum(f * f / n) as ff, sum(n * n) as nn from h),
+f as (select *, {rules["base"]} as base_failed from b),
+h as (select source, rule, count(*)::double as n, sum(failed::int)::double as f from ({failures}) group by source, rule),
+s as (select rule, count(*)::double as k, sum(n) as n, sum(f) as f, sum(f * f / n) as ff, sum(n * n) as nn from h group by rule),
 v as (select *, f / n as mean, (f - ff) / (n - k) as within, (ff - f * f / n) / (k - 1) as spread from s),
-p as (select mean, case when k > 1 and n > k and mean > 0 and mean < 1 and spread > within
+p as (select rule, mean, case when k > 1 and n > k and mean > 0 and mean < 1 and spread > within
     then least({most}, greatest(1.0, mean * (1 - mean) / ((spread - within) / ((n - nn / n) / (k - 1))) - 1)) else {most} end as weight from v),
-bad as (select source from h, p where (h.f + mean * weight) / (h.n + weight) > {limit})
+bad as (select distinct source from h join p using (rule) where (h.f + mean * weight) / (h.n + weight) > {limit})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     not base_failed and (source is null or source not in (select source from bad)) as kept from f"""

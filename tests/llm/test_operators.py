@@ -596,6 +596,20 @@ def test_bad_hosts_reject_their_documents(spark):
     assert host_rules.keep(docs).count() == sum(found.values())
 
 
+@pytest.mark.parametrize("junk, rule", [("one two # three $ four five | six % seven eight", "symbols"), ("\n".join(f"again\nu{i} v{i} w{i}" for i in range(10)), "lines"),
+                                        (" ".join(c * 30 for c in "abcdefghijklmnop"), "length")])
+def test_each_rule_has_its_host_rate(spark, junk, rule):
+    good = "one two three four five six seven eight nine ten eleven"
+    table = [(i, "bad" if i < 300 else f"h{i % 8}", junk + " xx yy" if i < 290 else good) for i in range(1000)]
+    docs = spark.createDataFrame(table, "doc_id long, source string, text string")
+    found = host_rules.judged(docs).collect()
+    assert not any(r.base_failed for r in found if r.doc_id >= 300)
+    kept = {r.doc_id: r.kept for r in found}
+    assert not any(kept[i] for i in range(300)) and all(kept[i] for i in range(300, 1000))
+    rates = {r.host: r for r in host_rules.host_rates(host_rules.counted(docs, F.struct("doc_id"))).collect()}
+    assert rates["bad"][f"rate_{rule}"] > 0.5 and all(r[f"rate_{rule}"] < 0.5 for h, r in rates.items() if h != "bad")
+
+
 def test_toxicity_ratios_by_hand():
     """Highest windows, highest words anywhere, length and mean, of per-word ratios."""
     hasher = toxicity.Hasher()
