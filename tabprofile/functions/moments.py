@@ -123,32 +123,47 @@ def moment_rows(df: DataFrame, cols: list[str], facts: Facts | None = None) -> l
     return rows
 
 
-def gram_sums(df: DataFrame, cols: list[str], facts: Facts) -> dict:
-    """Pairwise-complete shifted sums for every pair ``i < j`` of ``cols`` in ONE
+def gram_sums(df: DataFrame, cols: list[str], facts: Facts, against: str | None = None) -> dict:
+    """Pairwise-complete shifted sums for every pair ``i < j`` of ``cols``, or only for the
+    pairs ``(c, against)``, in ONE
     pass: each task turns its Arrow batches into NumPy blocks and accumulates
     the masked Gram products (``M'M`` counts, ``D'M`` / ``(D*D)'M`` one-sided
     sums, ``D'D`` cross products, with ``D`` the shifted values, 0 where
     missing); it emits k(k-1)/2 partial rows, and one ``groupBy(pair).sum``
-    merges them.  Returns ``{(a, b): (n, sa, sb, saa, sbb, sab)}``."""
+    merges them (k - 1 rows and products a task with ``against``).  Returns ``{(a, b): (n, sa, sb, saa, sbb, sab)}``."""
     import numpy as np
     import pandas as pd
 
     k = len(cols)
     iu = np.triu_indices(k, 1)
+    last = None if against is None else cols.index(against)
+    if against is not None:
+        iu = (np.array([i for i in range(k) if i != last]), np.full(k - 1, last))
     shifts = np.array([facts.mean[c] if facts.mean[c] is not None else 0.0 for c in cols])
     names = [f"c{i}" for i in range(k)]
 
     def partials(batches):
         n = np.zeros((k, k)); sx = np.zeros((k, k)); sxx = np.zeros((k, k)); sxy = np.zeros((k, k))
+        tx, txx = np.zeros(k), np.zeros(k)
         for pdf in batches:
             x = pdf[names].to_numpy(dtype="float64", na_value=np.nan)
             m = ~np.isnan(x)
             d = np.where(m, x - shifts, 0.0)
             mf = m.astype("float64")
+            if last is not None:  # one column of each product, and of the one-sided sums one row, too
+                n[:, last] += mf.T @ mf[:, last]
+                sx[:, last] += d.T @ mf[:, last]
+                sxx[:, last] += (d * d).T @ mf[:, last]
+                sxy[:, last] += d.T @ d[:, last]
+                tx += d[:, last] @ mf
+                txx += (d[:, last] ** 2) @ mf
+                continue
             n += mf.T @ mf
             sx += d.T @ mf
             sxx += (d * d).T @ mf
             sxy += d.T @ d
+        if last is not None:
+            sx[last], sxx[last] = tx, txx
         yield pd.DataFrame({"pos": np.arange(len(iu[0]), dtype="int64"), "n": n[iu], "sa": sx[iu], "sb": sx.T[iu],
                             "saa": sxx[iu], "sbb": sxx.T[iu], "sab": sxy[iu]})
 
@@ -177,7 +192,9 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], facts: Facts)
     side is constant over those rows, holds an infinity, or no pair is complete.  One pass
     for any number of pairs (:func:`gram_sums`)."""
     cols = list(dict.fromkeys(c for p in pairs for c in p))
-    g = gram_sums(df, cols, facts) if pairs else {}
+    sides = [set(p) for p in pairs if p[0] != p[1]]
+    shared = set.intersection(*sides) if len(sides) > 1 else set()
+    g = gram_sums(df, cols, facts, shared.pop() if shared else None) if pairs else {}
     out = {}
     for a, b in pairs:
         if a == b:

@@ -9,6 +9,8 @@ no row is copied and every task sends one row.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,37 +146,59 @@ def dtype_shares(df: DataFrame) -> DataFrame:
     return type_counts(df)
 
 
-def chart_data(df: DataFrame, target: str | None = None, shared: dict | None = None) -> dict:
-    """All chart tables in one call, as a dict of lazy DataFrames.
+class ChartTables(Mapping):
+    """Chart tables by name; each is computed when it is first asked for, and kept."""
+
+    def __init__(self, makers: dict):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self):
+        return len(self._makers)
+
+
+def chart_data(df: DataFrame, target: str | None = None, shared: dict | None = None) -> ChartTables:
+    """All chart tables, each computed only when it is asked for (:class:`ChartTables`).
     Sections without data are left out.  ``shared`` takes a profile's pinned results
     (checks, dups, counts, pairs, pca), which then aren't computed again."""
+    from tabprofile.operators import categorical, multivariate, quality, relate, stats
     shared = shared or {}
     checks, dups = shared.get("checks"), shared.get("dups")
-    from tabprofile.operators import categorical, multivariate, quality, relate, stats
     roles = ColumnRoles.of(df)
-    out = {"dtype_shares": stats.type_counts(df), "role_counts": stats.role_counts(df),
-           "missing_pct": quality.missing(df, checks), "quality_share": quality.quality_score(df, checks, dups),
-           "issues": quality.issue_bars(df, checks, dups), "missing_matrix": quality.missing_matrix(df)}
-    out["missing_counts"] = quality.missing_ranked(df, ascending=True, checks=checks)
-    if roles.numeric:
-        out["histograms"] = histograms(df, roles.numeric)  # every numeric column, one pass
-    for c in roles.numeric:
-        out[f"kde:{c}"] = kde(df, c)
+    num = roles.numeric
+
+    @lru_cache
+    def pairs():
+        return shared["pairs"] if shared.get("pairs") is not None else relate.correlation_pairs(df, num)
+
+    out = {"dtype_shares": lambda: stats.type_counts(df), "role_counts": lambda: stats.role_counts(df),
+           "missing_pct": lambda: quality.missing(df, checks), "quality_share": lambda: quality.quality_score(df, checks, dups),
+           "issues": lambda: quality.issue_bars(df, checks, dups), "missing_matrix": lambda: quality.missing_matrix(df),
+           "missing_counts": lambda: quality.missing_ranked(df, ascending=True, checks=checks)}
+    if num:
+        out["histograms"] = lambda: histograms(df, num)  # every numeric column, one pass
+    out |= {f"kde:{c}": lambda c=c: kde(df, c) for c in num}
     if roles.categorical:
-        out["top_values"] = categorical.top_values(df, roles.categorical, counts=shared.get("counts"))
-    if len(roles.numeric) > 1:
-        pairs = shared["pairs"] if shared.get("pairs") is not None else relate.correlation_pairs(df, roles.numeric)
-        out["corr_heatmap"] = pairs.select(F.col("feature2").alias("row_feature"),
-                                           F.col("feature1").alias("col_feature"), "correlation")
-        out["top_correlations"] = relate.top_correlations_chart(pairs)
-    if len(roles.numeric) > 2:
-        out["pca"] = shared["pca"] if shared.get("pca") is not None else multivariate.pca_variance(df, roles.numeric)
+        out["top_values"] = lambda: categorical.top_values(df, roles.categorical, counts=shared.get("counts"))
+    if len(num) > 1:
+        out["corr_heatmap"] = lambda: pairs().select(F.col("feature2").alias("row_feature"), F.col("feature1").alias("col_feature"), "correlation")
+        out["top_correlations"] = lambda: relate.top_correlations_chart(pairs())
+    if len(num) > 2:
+        out["pca"] = lambda: shared["pca"] if shared.get("pca") is not None else multivariate.pca_variance(df, num)
+        out["pca_lines"] = lambda: multivariate.scree_lines(out["pca"]())
     if target and target in df.columns:
         from tabprofile.operators.target import class_counts, is_class_target
         if is_class_target(df, target):
-            out["target_classes"] = class_counts(df, target)
+            out["target_classes"] = lambda: class_counts(df, target)
         else:
-            out["target_histogram"] = histogram(df, target)
+            out["target_histogram"] = lambda: histogram(df, target)
             if roles.roles.get(target) == "numeric":
-                out["importance"] = relate.feature_importance(df, target)
-    return out
+                out["importance"] = lambda: relate.feature_importance(df, target)
+    return ChartTables(out)

@@ -91,6 +91,16 @@ def pca_variance(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return pca(df, cols)[0]
 
 
+def scree_lines(variance: DataFrame, shares=(0.8, 0.95)) -> DataFrame:
+    """The scree chart's lines: ``(share, component, cumulative_variance)`` with the first component
+    at which the cumulative variance reaches each share; no row without components."""
+    lines = variance.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
+    # a share may be met up to rounding by the last component alone
+    reached = lines.join(F.broadcast(variance), F.col("cumulative_variance") >= F.col("share") - 1e-12)  # k rows
+    return reached.groupBy("share").agg(F.min(F.struct("component", "cumulative_variance")).alias("m")).select(
+        "share", "m.component", "m.cumulative_variance")
+
+
 def pca_summary(df: DataFrame, cols: list[str] | None = None, target: float = 0.95) -> DataFrame:
     """X1 summary: ``(n_components, n_components_95_variance, total_explained_variance, complete_rows)``."""
     return pca(df, cols)[1]

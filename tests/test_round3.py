@@ -129,3 +129,32 @@ def test_exact_roc_auc(spark):
     got = ml.roc_auc(spark.createDataFrame(table, "label int, score double").repartition(5)).first()
     assert got["roc_auc"] == pytest.approx(want, rel=1e-12) and (got["positives"], got["negatives"]) == (len(pos), len(neg))
     assert ml.roc_auc(spark.createDataFrame([(1, 0.5)], "label int, score double")).first()["roc_auc"] is None
+
+
+def test_wanted_pairs_alone_give_the_same_sums(spark):
+    from tabprofile.functions.moments import column_facts, gram_sums
+    r = random.Random(3)
+    rows = [tuple(None if r.random() < .2 else r.gauss(i, 2) for i in range(5)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(4)
+    cols, facts = list("abcde"), column_facts(df, list("abcde"))
+    whole, some = gram_sums(df, cols, facts), gram_sums(df, cols, facts, "c")
+    assert set(some) == {(x, "c") for x in "abde"}
+    for (x, _), got in some.items():
+        n, sa, sb, saa, sbb, sab = whole[(x, "c")] if x < "c" else [whole[("c", x)][i] for i in (0, 2, 1, 4, 3, 5)]
+        assert got == pytest.approx((n, sa, sb, saa, sbb, sab), rel=1e-12)
+
+
+def test_charts_are_computed_when_asked_for(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), float(i * i), float(-i), "ab"[i % 2]) for i in range(30)], "x double, y double, z double, k string")
+    asked = []
+    monkeypatch.setattr(charts, "kde", lambda df, c: asked.append(c))
+    tables = charts.chart_data(df, "k")
+    assert {"histograms", "kde:x", "corr_heatmap", "pca", "pca_lines", "target_classes"} <= set(tables) and not asked
+    assert tables["kde:y"] is None and tables["kde:y"] is None and asked == ["y"]  # once
+
+
+def test_scree_lines(spark):
+    from tabprofile.operators.multivariate import scree_lines
+    t = spark.createDataFrame([(1, .7, .7), (2, .15, .85), (3, .1, .95), (4, .05, 1.0)], "component int, explained_variance_ratio double, cumulative_variance double")
+    assert sorted(tuple(r) for r in scree_lines(t).collect()) == [(0.8, 2, 0.85), (0.95, 3, 0.95)]
+    assert scree_lines(t.limit(0)).collect() == []
