@@ -110,9 +110,10 @@ def _shrunk(failed, documents, k, n, f, ff, nn, most: float):
 
 
 def bad_hosts(rows: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """bad_host: hosts that fail a rule too often."""
-    rates = host_rates(rows)
-    return rates.where(F.greatest("rate", *[f"rate_{r}" for r in RULES if r != "base"]) > limit).select(F.col("host").alias("bad_host"))
+    """bad_host: hosts that fail a rule too often, as a stored table, so that the planner knows its
+    size and moves no texts to join a small one."""
+    worst = F.greatest("rate", *[f"rate_{r}" for r in RULES if r != "base"])
+    return stored(host_rates(rows).where(worst > limit).select(F.col("host").alias("bad_host")), "bad-hosts")
 
 
 def verdicts(rows: DataFrame, limit: float = LIMIT) -> DataFrame:
