@@ -115,7 +115,7 @@ def encode(docs: DataFrame, json_text: str, pattern: str, with_offsets: bool = F
         import pyarrow as pa
         encoder = worker_encoder(bc.value)
         for batch in batches:
-            for b in portions(batch, 1):
+            for b in portions(batch, 1, encoder.portion):
                 if with_offsets:
                     both = [offsets_of(encoder.tokenizer, t) for t in b.column(1).to_pylist()]
                     more = [[[o[j] for o in offs] for _, offs in both] for j in (0, 1)]
@@ -163,7 +163,7 @@ def round_trip(docs: DataFrame, json_text: str, pattern: str) -> DataFrame:
             table = token_bytes(state["json"])
             state["vocabulary"] = pa.array([table.get(i) for i in range(max(table) + 1)], pa.binary())
         for batch in batches:
-            for b in portions(batch, 1):
+            for b in portions(batch, 1, encoder.portion):
                 ids = encoder.encode(b.column(1))
                 back = decode_many(ids, state["vocabulary"])
                 yield pa.RecordBatch.from_arrays(

@@ -90,12 +90,17 @@ class Recent(dict):
 WHOLE = b"?"  # stands for the ids of a chunk whose text must be encoded whole
 
 
+CACHED = 400_000  # chunks a worker keeps unless its state has another number under ``cached``
+
+
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    ``limit`` chunks are kept, about 220 bytes each."""
+    ``limit`` chunks are kept, about 220 bytes each; texts are best given in Arrow arrays of
+    ``portion`` bytes."""
 
-    def __init__(self, tokenizer, rules=None, limit: int = 400_000):
+    def __init__(self, tokenizer, rules=None, limit: int = CACHED):
+        self.portion = 8 * limit
         self.tokenizer, self.rules = tokenizer, rules
         self.merge, self.characters = tokenizer.model.tokenize, byte_characters()
         #: what stands before the letters of a chunk of a space and a word, if the pattern takes it as one piece
@@ -172,8 +177,9 @@ def load(json_text: str):
 
 
 def worker_encoder(state: dict) -> ChunkEncoder:
-    """The encoder of this Python worker; ``state`` is a broadcast dict with json and
-    pattern.  It lives as long as the worker does, so later tasks find warm caches."""
+    """The encoder of this Python worker; ``state`` is a broadcast dict with json, pattern
+    and perhaps cached.  It lives as long as the worker does, so later tasks find warm caches."""
     if "encoder" not in state:
-        state["encoder"] = ChunkEncoder(load(state["json"]), byte_level_rules(state["json"], state["pattern"]))
+        state["encoder"] = ChunkEncoder(load(state["json"]), byte_level_rules(state["json"], state["pattern"]),
+                                        state.get("cached", CACHED))
     return state["encoder"]

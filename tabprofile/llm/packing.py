@@ -29,7 +29,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprofile.llm.chunked import worker_encoder
+from tabprofile.llm.chunked import CACHED, worker_encoder
 from tabprofile.llm.common import portions, stored, texts
 
 BLOCK = 32_768
@@ -37,11 +37,11 @@ GROUPS = 96
 
 
 def pieces(docs: DataFrame, json_text: str, pattern: str, end_id: int, capacity: int = 1024,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, cached: int = CACHED) -> DataFrame:
     """Token pieces: row (unique), doc_id, piece, start, length, ids_crc32 and, on request,
     ids (little-endian unsigned 32-bit).  A text longer than ``capacity`` is cut so that
     only its first piece is shorter."""
-    bc = docs.sparkSession.sparkContext.broadcast({"json": json_text, "pattern": pattern})
+    bc = docs.sparkSession.sparkContext.broadcast({"json": json_text, "pattern": pattern, "cached": cached})
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches):
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, json_text: str, pattern: str, end_id: int, capacity:
         end, row = struct.pack("<I", end_id), TaskContext.get().partitionId() << 40
         for batch in batches:
             encoder = worker_encoder(bc.value)
-            for b in portions(batch, 1):
+            for b in portions(batch, 1, encoder.portion):
                 out = [[] for _ in range(7)]
                 for i, ids in enumerate(encoder.encode(b.column(1))):
                     ids += end
@@ -223,9 +223,10 @@ def pack(rows: DataFrame, capacity: int = 1024, block: int = BLOCK, groups: int
     return dealt.groupBy("block").applyInArrow(task, schema)
 
 
-def packed(docs: DataFrame, json_text: str, pattern: str, end_id: int, capacity: int = 1024) -> DataFrame:
-    """Pieces of all documents with their places."""
-    return pack(stored(pieces(docs, json_text, pattern, end_id, capacity), "pieces"), capacity).drop("row")
+def packed(docs: DataFrame, json_text: str, pattern: str, end_id: int, capacity: int = 1024, cached: int = CACHED) -> DataFrame:
+    """Pieces of all documents with their places.  ``cached`` chunks of text are kept in a
+    worker, about 220 bytes each: more of them cost memory and save time."""
+    return pack(stored(pieces(docs, json_text, pattern, end_id, capacity, cached=cached), "pieces"), capacity).drop("row")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def op5_content_sort(spark, sf_dir):
 
 
 def op6_best_fit_packing(spark, sf_dir):
-    return packing.packed(_table(spark, sf_dir, "documents"), _file(BYTE_BPE), public_tokenizers.PATTERN, end_id=2, capacity=1024)
+    return packing.packed(_table(spark, sf_dir, "documents"), _file(BYTE_BPE), public_tokenizers.PATTERN, end_id=2, capacity=1024, cached=1_000_000)
 
 
 def op7_attention_mil(spark, sf_dir):

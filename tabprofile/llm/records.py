@@ -113,7 +113,7 @@ def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: st
         try:
             for batch in batches:
                 encoder = worker_encoder(bc.value)
-                for b in portions(batch, 1):
+                for b in portions(batch, 1, encoder.portion):
                     if data is None:
                         store, base = open_store(folder)
                         store.create_dir(base, recursive=True)
