@@ -114,14 +114,11 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, factor: float = 1
                  method: str = "iqr", quarts: DataFrame | None = None) -> DataFrame:
     """A10: ``(column_name, method, q1, q3, lower_bound, upper_bound,
     outlier_count, outlier_percentage)``.  Strict comparisons; the
-    percentage is over non-missing values.  ``zscore`` gives :func:`zscore_outliers`,
-    ``isolation_forest`` the one row of :func:`tabprofile.operators.isolation.isolation_outliers`;
-    any other method raises."""
+    percentage is over non-missing values.  Only ``iqr`` and ``zscore`` (see
+    :func:`zscore_outliers`) look at one column at a time; any other method raises.  Outliers by
+    whole rows are in :mod:`tabprofile.operators.isolation`."""
     if method == "zscore":
         return zscore_outliers(df, cols)
-    if method == "isolation_forest":
-        from tabprofile.operators.isolation import isolation_outliers
-        return isolation_outliers(df, cols)
     if method != "iqr":
         raise ValueError(f"outlier method not implemented: {method}")
     df = normalize(df)

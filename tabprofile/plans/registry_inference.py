@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabprofile.operators import charts, clean, inference, isolation, ml, quantiles, split, stats
+from tabprofile.operators import charts, clean, inference, isolation, ml, quantiles, split
 from tabprofile.plans.profile import profile
 from tabprofile.plans.registry import (DIRTY_LI_SQL, LI_NUM, ORACLE, SPLIT_KEYS, R, _anova_sql, _hist_sql, _scratch, _union_sql, dirty_li,
                                        query, read, rounded, with_view)
@@ -162,7 +162,7 @@ def q_isolation_scores(spark, sf_dir):
 
 @query("q_isolation_outliers")
 def q_isolation_outliers(spark, sf_dir):
-    return rounded(stats.iqr_outliers(read(spark, sf_dir, "lineitem"), method="isolation_forest"), 9, ["threshold"])
+    return rounded(isolation.isolation_outliers(read(spark, sf_dir, "lineitem")), 9, ["threshold"])
 
 
 # ---------------------------------------------------------------- M10, C9, S4, P3, P12, D-d, M5, E1 on awkward columns
