@@ -18,6 +18,7 @@ from tabprofile.operators.quantiles import quantiles
 from tabprofile.operators.stats import _chunks
 from tabprofile.roles import ColumnRoles, nan_to_null, normalize, qcol
 from tabprofile.sources.readers import as_number
+from tabprofile.sources.sinks import shared_table
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -108,16 +109,31 @@ def key_bucket(key: str):
     return F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
+def _near_keys(keyed: DataFrame, rows: int, n: int) -> DataFrame:
+    """The rows of ``keyed`` whose keys begin low enough that at least ``n`` of ``rows`` should be
+    among them, and hardly more, stored; all of them, should the keys fall otherwise."""
+    first = math.ceil((n + 10 * math.sqrt(n) + 100) / max(rows, 1) * 65536)  # of the 65,536 key buckets
+    if first < 65536:
+        near = shared_table(keyed.where(F.col("__k") < F.lit(f"{first:04x}")), "sample")
+        if near.count() >= n:
+            return near
+    return shared_table(keyed, "sample")
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: list[str] | None = None, stored: bool = False) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, reproducible for a given
     seed: the ``n`` smallest hash keys.  Equal rows have keys of their own, so each is
     as likely as any other row; ``key_cols`` that identify a row save their numbering.
 
     Rows are counted by key bucket (65,536 counts); buckets wholly below the limit are
-    taken as they are, and only the one that crosses it is sorted."""
+    taken as they are, and only the one that crosses it is sorted.  With ``stored`` the rows that
+    come into question are stored first, so that the keys of the table are made once."""
     cols = key_cols or df.columns
     keyed = with_copies(df, key_cols)
-    keyed = keyed.withColumn("__k", sample_key(keyed, seed, key_cols)).withColumn("__h", key_bucket("__k"))
+    keyed = keyed.withColumn("__k", sample_key(keyed, seed, key_cols))
+    if stored:
+        keyed = _near_keys(keyed, df.count(), n)
+    keyed = keyed.withColumn("__h", key_bucket("__k"))
     w = Window.orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)  # over the counts
     upto = keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(w))
     edge = upto.where(F.col("upto") >= n).orderBy("__h").first()

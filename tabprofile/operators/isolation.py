@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tabprofile.operators.clean import sample_rows
 from tabprofile.operators.quantiles import quantiles
 from tabprofile.roles import ColumnRoles, normalize, qcol
+from tabprofile.sources.sinks import shared_table
 
 NODES = "tree int, node int, feature int, split double, left int, right int, missing_left boolean, path double"
 LARGEST = 1.7976931348623157e308
@@ -71,19 +72,34 @@ def grow(x, rng, limit: int) -> list[tuple]:
     return out
 
 
+WALKED = 4096  # rows walked down the trees at a time: their work arrays stay in the processor's cache
+
+
 def path_lengths(x, forest) -> "object":
-    """The mean path of each row of ``x`` over the trees of ``forest`` (lists of node tuples)."""
+    """The mean path of each row of ``x`` over the trees of ``forest`` (:func:`_arrays`).
+
+    Each feature stands twice in a block: missing values as -inf, which goes left at every
+    split, then as inf, which goes right.  A node names the one it wants, so a step down a level
+    is a comparison added to the number of the left child."""
     import numpy as np
     total = np.zeros(len(x))
-    every = np.arange(len(x))
-    for feature, split, left, right, missing_left, path, depth in forest:
-        at = np.zeros(len(x), np.int32)
-        for _ in range(depth):
-            f = feature[at]
-            v = x[every, np.maximum(f, 0)]
-            go = np.where(np.isnan(v), missing_left[at], v < split[at])
-            at = np.where(f < 0, at, np.where(go, left[at], right[at]))
-        total += path[at]
+    width = 2 * x.shape[1]
+    for start in range(0, len(x), WALKED):
+        part = x[start:start + WALKED]
+        gaps = np.isnan(part)
+        flat = np.concatenate([np.where(gaps, -np.inf, part), np.where(gaps, np.inf, part)], 1).ravel()
+        base = np.arange(len(part), dtype=np.intp) * width
+        at, cell, left = (np.empty(len(part), np.intp) for _ in range(3))
+        value, split = np.empty(len(part)), np.empty(len(part))
+        right, sums = np.empty(len(part), bool), total[start:start + WALKED]
+        for columns, splits, lefts, path, depth in forest:
+            at[:] = 0
+            for _ in range(depth):
+                # every number is in bounds; a mode other than raise spares numpy a copy of ``out``
+                np.add(base, columns.take(at, out=cell, mode="clip"), out=cell)
+                np.greater_equal(flat.take(cell, out=value, mode="clip"), splits.take(at, out=split, mode="clip"), out=right)
+                np.add(lefts.take(at, out=left, mode="clip"), right, out=at)
+            sums += path.take(at)
     return total / max(len(forest), 1)
 
 
@@ -97,7 +113,8 @@ def fit(df: DataFrame, cols: list[str], trees: int = 100, sample: int = 256, see
     """The forest's nodes as a table (``NODES``); ``df`` is normalised."""
     import numpy as np
     features = df.select(*[qcol(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    some = sample_rows(features, trees * sample, seed)  # at most trees * sample rows from here on
+    # stored, so that the table is read for it once; at most trees * sample rows from here on
+    some = shared_table(sample_rows(features, trees * sample, seed, stored=True), "isolation-sample")
     order = Window.orderBy(F.md5(F.concat_ws("|", *[F.col(f"c{i}").cast("string") for i in range(len(cols))], F.lit(str(seed)))))
     placed = some.withColumn("place", F.row_number().over(order) - 1)
     n = placed.count()
@@ -119,8 +136,11 @@ def fit(df: DataFrame, cols: list[str], trees: int = 100, sample: int = 256, see
     return dealt.groupBy("tree").applyInPandas(one, NODES)
 
 
-def _arrays(nodes) -> list[tuple]:
-    """Collected nodes as arrays a tree, with the number of levels to walk."""
+def _arrays(nodes, features: int) -> list[tuple]:
+    """Collected nodes as arrays a tree, for :func:`path_lengths`: the place of the value that a
+    node compares, its split, left child (the right one follows it) and path, and the levels to walk.
+
+    A leaf compares the first feature, missing as -inf, with inf, and so leads to itself."""
     import numpy as np
     trees: dict[int, list] = {}
     for r in nodes:
@@ -133,8 +153,11 @@ def _arrays(nodes) -> list[tuple]:
         for r in rows:  # children have larger numbers than their parent
             if r["feature"] >= 0:
                 depth[r["left"]] = depth[r["right"]] = depth[r["node"]] + 1
-        out.append((column("feature", np.int32), column("split", float), column("left", np.int32), column("right", np.int32),
-                    column("missing_left", bool), column("path", float), max(depth)))
+        feature, number = column("feature", np.intp), np.arange(len(rows))
+        leaf = feature < 0
+        out.append((np.where(leaf, 0, feature + np.where(column("missing_left", bool), 0, features)),
+                    np.where(leaf, np.inf, column("split", float)), np.where(leaf, number, column("left", np.intp)),
+                    column("path", float), max(depth)))
     return out
 
 
@@ -150,7 +173,7 @@ def isolation_scores(df: DataFrame, cols: list[str] | None = None, trees: int =
     nodes = fit(base, cols, trees, sample, seed).collect()  # at most trees * 2 * sample rows
     if not nodes:
         return df.withColumn(name, F.lit(None).cast("double"))
-    forest = _arrays(nodes)
+    forest = _arrays(nodes, len(cols))
     grown = sum(r["feature"] < 0 for r in nodes)
     rows = min(sample, base.limit(sample).count()) if grown else 0
     bc = df.sparkSession.sparkContext.broadcast(forest)

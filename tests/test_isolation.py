@@ -99,3 +99,23 @@ def test_few_equal_missing_infinite_and_no_rows(spark):
         isolation.isolation_scores(spark.createDataFrame([("a",)], "x string"))
     with pytest.raises(ValueError):
         isolation.isolation_scores(one.withColumn("anomaly_score", F.lit(1)))
+
+
+def test_paths_of_missing_and_infinite_values_at_every_block():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(isolation.WALKED + 300, 3)).round(1)
+    x[r.random(x.shape) < 0.2] = np.nan
+    x[0], x[1] = np.inf, -np.inf
+    x = np.clip(x, -isolation.LARGEST, isolation.LARGEST)
+    names = [f.split()[0] for f in isolation.NODES.split(", ")]
+    trees = [{n[0]: dict(zip(names, (t, *n))) for n in isolation.grow(x[r.choice(len(x), 64, False)], r, 6)} for t in range(5)]
+    got = isolation.path_lengths(x, isolation._arrays([n for t in trees for n in t.values()], 3))
+    for i in [*range(100), *range(isolation.WALKED - 50, len(x))]:
+        assert got[i] == pytest.approx(sum(plain_path(t, x[i]) for t in trees) / 5, rel=1e-12)
+
+
+def test_stored_sample_is_the_sample(spark):
+    from tabprofile.operators.clean import sample_rows
+    df = spark.range(20000).select((F.col("id") % 9000).alias("a.b"), (F.col("id") % 7).cast("double").alias("c"))
+    for n in (1, 50, 3000, 20000, 30000):
+        assert sorted(map(tuple, sample_rows(df, n, stored=True).collect())) == sorted(map(tuple, sample_rows(df, n).collect()))
