@@ -194,8 +194,11 @@ def isolation_scores(df: DataFrame, cols: list[str] | None = None, trees: int =
 def isolation_outliers(df: DataFrame, cols: list[str] | None = None, threshold: float | None = None, contamination: float = 0.01,
                        trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """``(method, threshold, outlier_count, outlier_percentage)``: rows whose score exceeds
-    ``threshold``; without one the exact quantile that leaves ``contamination`` of the rows above."""
+    ``threshold``; without one the exact quantile that leaves ``contamination`` of the rows above.
+
+    Rows are scored once: quantile and count read the stored scores, a number a row."""
     scores = isolation_scores(df, cols, trees, sample, seed, "__score").select(qcol("__score").alias("score"))
+    scores = shared_table(scores, "scores")
     if threshold is None:
         threshold = quantiles(scores, ["score"], [1 - contamination]).first()["value"]
     return scores.agg(F.coalesce(F.count_if(F.col("score") > F.lit(threshold)), F.lit(0)).alias("outlier_count"), F.count("score").alias("n")).select(

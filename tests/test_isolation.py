@@ -114,6 +114,22 @@ def test_paths_of_missing_and_infinite_values_at_every_block():
         assert got[i] == pytest.approx(sum(plain_path(t, x[i]) for t in trees) / 5, rel=1e-12)
 
 
+def test_rows_are_scored_once(spark):
+    """Rows that pass through the scoring are counted by an accumulator before it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = 3000
+    df = spark.range(n).select(F.col("id").cast("double").alias("x")).mapInArrow(counted, "x double")
+    assert isolation.isolation_outliers(df, ["x"], contamination=0.5, trees=5, sample=64).first()["outlier_count"] > 0
+    # the count of rows, the keys of the sample, the number of rows a tree had, and the scores
+    assert seen.value <= 4 * n
+
+
 def test_stored_sample_is_the_sample(spark):
     from tabprofile.operators.clean import sample_rows
     df = spark.range(20000).select((F.col("id") % 9000).alias("a.b"), (F.col("id") % 7).cast("double").alias("c"))
