@@ -8,15 +8,15 @@
   ``categorical.chi_square`` with their p-values.
 
 Rank statistics are sums over distinct values: equal values are counted first (combined in
-each task), and exact running counts over range-partitioned values
-(``ranks.running``) give each value the rows below it, so no task ranks a whole column.  Class
+each task) and range-partitioned; exact running counts (``ranks.running``, or per range in
+``_rank_sums``) give each value the rows below it, so no task ranks a whole column.  Class
 medians come from ``quantiles.group_quantiles``.  Only a row a column or class
 reaches the driver.  NaN counts as missing; rows without a class are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.functions.special import chi_square_sf, f_sf, log_normal_sf, normal_sf
@@ -99,19 +99,82 @@ def normality(df: DataFrame, cols: list[str] | None = None, alpha: float = 0.05)
     return found.select("*", ((F.col("ks_p") >= alpha) & (F.col("ad_p") >= alpha)).alias("normal"))
 
 
+def _local_ranks(batches):
+    """Rows (f, first, class, n, r, total, ties) of one range of counts (f, value, class, c), sorted by f and value.
+
+    ``first`` is the feature's least value in the range.  Rows with a class hold its rows and the
+    sum of their ranks counted from ``first``; the row without class holds all rows and the sum
+    of t^3 - t.  Each batch gives rows of its own; what travels on is the last value, whose
+    counts may go on in the next batch, and the rows of its feature so far."""
+    import numpy as np
+    import pyarrow as pa
+    kind = pa.schema([("f", pa.int32()), ("first", pa.float64()), ("class", pa.string()), ("n", pa.int64()), ("r", pa.float64()),
+                      ("total", pa.int64()), ("ties", pa.float64())])
+    held, feature, first, before = None, None, None, 0
+
+    def added(table):
+        nonlocal feature, first, before
+        f, v, c = (table.column(x).to_numpy() for x in ("f", "value", "c"))
+        for a, z in zip(*_stretches(f, np)):
+            if f[a] != feature:
+                feature, first, before = f[a], v[a], 0
+            starts, ends = _stretches(v[a:z], np)
+            t = np.add.reduceat(c[a:z], starts)
+            places = before + np.cumsum(t) - t + (t + 1) / 2
+            part = table.slice(a, z - a)
+            ranks = pa.table({"class": part.column("class"), "n": part.column("c"), "r": c[a:z] * np.repeat(places, ends - starts)})
+            by = ranks.group_by("class").aggregate([("n", "sum"), ("r", "sum")])
+            d, size = t.astype(float), int(t.sum())
+            k = by.num_rows
+            yield pa.RecordBatch.from_pydict({
+                "f": [feature] * (k + 1), "first": [first] * (k + 1), "class": [*by.column("class").to_pylist(), None],
+                "n": [*by.column("n_sum").to_pylist(), None], "r": [*by.column("r_sum").to_pylist(), None],
+                "total": [None] * k + [size], "ties": [None] * k + [float((d * d * d - d).sum())]}, kind)
+            before += size
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        f, v = table.column("f").to_numpy(), table.column("value").to_numpy()
+        last = int(((f == f[-1]) & (v == v[-1])).argmax())
+        held = table.slice(last)
+        yield from added(table.slice(0, last))
+    if held is not None:
+        yield from added(held)
+
+
+def _stretches(x, np):
+    """Where the stretches of equal neighbours in ``x`` begin and end."""
+    cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return np.append([0] if len(x) else [], cuts).astype(int), np.append(cuts, [len(x)] if len(x) else []).astype(int)
+
+
 def _rank_sums(df: DataFrame, target: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """(feature, class, n, r): rows and sum of average ranks of each class; and (feature, total, ties):
-    rows and the sum of t^3 - t over groups of t equal values."""
+    rows and the sum of t^3 - t over groups of t equal values.
+
+    Counts of (feature, value, class) are sorted once by range, a value in one range; each range is
+    summed up where it lies (:func:`_local_ranks`), and the rows of the ranges below raise its
+    ranks.  Beside the counts all tables are small: some rows a range, feature and class."""
     cls = qcol(target).cast("string").alias("class")
-    counts = _values(df.where(qcol(target).isNotNull()), cols, cls).groupBy("feature", "value", "class").agg(F.count(F.lit(1)).alias("c"))
-    tied = counts.groupBy("feature", "value").agg(F.sum("c").alias("t"))
-    ranked = running(tied, [F.col("value")], {"before": F.col("t")}, ["feature"])
-    t = F.col("t").cast("double")
-    totals = ranked.groupBy("feature").agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("ties"))
-    place = ranked.select(F.col("feature").alias("f"), F.col("value").alias("v"), (F.col("before") + (t + 1) / 2).alias("rank"))
-    sums = counts.join(place, (F.col("feature") == F.col("f")) & (F.col("value") == F.col("v"))).groupBy("feature", "class").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
-    return sums, totals
+    members = [F.struct(F.lit(i).alias("f"), qcol(c).cast("double").alias("value")) for i, c in enumerate(cols)]
+    values = df.where(qcol(target).isNotNull()).select(cls, F.inline(F.array(*members))).where("value is not null")
+    counts = values.groupBy("f", "value", "class").agg(F.count(F.lit(1)).alias("c"))
+    ordered = counts.repartitionByRange("f", "value").sortWithinPartitions("f", "value")
+    parts = ordered.select("f", "value", "class", "c").mapInArrow(
+        _local_ranks, "f int, first double, class string, n long, r double, total long, ties double")
+    parts = shared_table(parts, "rank-sums")
+    whole = parts.where("class is null")
+    below = Window.partitionBy("own").orderBy("least").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and feature
+    offsets = whole.groupBy(F.col("f").alias("own"), F.col("first").alias("least")).agg(F.sum("total").alias("here")).select(
+        "own", "least", F.coalesce(F.sum("here").over(below), F.lit(0)).alias("offset"))
+    feature = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("f") + 1).alias("feature")
+    raised = parts.where("class is not null").join(offsets, (F.col("f") == F.col("own")) & (F.col("first") == F.col("least")))
+    sums = raised.groupBy(feature, "class").agg(F.sum("n").alias("n"), F.sum(F.col("r") + F.col("n") * F.col("offset").cast("double")).alias("r"))
+    return sums, whole.groupBy(feature).agg(F.sum("total").alias("total"), F.sum("ties").alias("ties"))
 
 
 def kruskal_wallis(df: DataFrame, target: str, cols: list[str] | None = None) -> DataFrame:

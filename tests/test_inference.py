@@ -186,3 +186,42 @@ def test_no_rows_one_class_and_infinities(spark):
     two = one.withColumn("k", one.v.cast("int") % 2)
     assert {r["feature"]: r["w_stat"] is None for r in inference.levene(two, "k").collect()} == {"v": False, "w": True}
     assert inference.normality(spark.createDataFrame([("x",)], "k string")).collect() == []
+
+
+def test_local_ranks_over_batches():
+    """A value whose classes lie in several batches, and a feature that goes on in the next."""
+    import pyarrow as pa
+    rows = [(0, 1.0, "a", 2), (0, 1.0, "b", 1), (0, 2.0, "a", 4), (0, 2.0, "b", 3), (0, 5.0, "b", 1), (1, -1.0, "a", 5), (1, 0.0, "c", 1)]
+    kind = pa.schema([("f", pa.int32()), ("value", pa.float64()), ("class", pa.string()), ("c", pa.int64())])
+
+    def found(size):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, x)) for x in rows[i:i + size]], kind) for i in range(0, len(rows), size)]
+        out = {}
+        for b in inference._local_ranks(iter(batches)):
+            for r in b.to_pylist():
+                key = (r["f"], r["first"], r["class"])
+                add = (r["n"], r["r"]) if r["class"] else (r["total"], r["ties"])
+                out[key] = tuple(x + y for x, y in zip(out.get(key, (0, 0.0)), add))
+        return out
+
+    # places of feature 0: 1.0 has ranks 1-3 (2), 2.0 ranks 4-10 (7), 5.0 rank 11
+    want = {(0, 1.0, "a"): (6, 2 * 2 + 4 * 7.0), (0, 1.0, "b"): (5, 2 + 3 * 7 + 11.0), (0, 1.0, None): (11, 24.0 + 336),
+            (1, -1.0, "a"): (5, 15.0), (1, -1.0, "c"): (1, 6.0), (1, -1.0, None): (6, 120.0)}
+    assert [found(n) for n in (1, 2, 3, 7)] == [want] * 4 and list(inference._local_ranks(iter([]))) == []
+
+
+def test_rank_sums_join_nothing_large(spark):
+    """Ranks of many ranges, and a plan that sorts the counts once: no join on the values."""
+    rows = [(i * 7919 % 1000 / 10.0, "abc"[i % 3], float(i % 4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x double, k string, y double").repartition(6)
+    sums, totals = inference._rank_sums(df, "k", ["x", "y"])
+    got = {(r["feature"], r["class"]): (r["n"], r["r"]) for r in sums.collect()}
+    for j, c in ((0, "x"), (2, "y")):
+        order = sorted(r[j] for r in rows)
+        place = {v: order.index(v) + (order.count(v) + 1) / 2 for v in set(order)}
+        for k in "abc":
+            own = [r[j] for r in rows if r[1] == k]
+            assert got[c, k] == (len(own), pytest.approx(sum(place[v] for v in own)))
+    assert {r["feature"]: (r["total"], r["ties"]) for r in totals.collect()} == {
+        "x": (3000, 1000 * 24.0), "y": (3000, 4 * (750.0 ** 3 - 750))}
+    assert "value" not in sums._jdf.queryExecution().optimizedPlan().toString()
