@@ -32,7 +32,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprofile.llm.chunked import worker_encoder
+from tabprofile.llm.chunked import CACHED, worker_encoder
 from tabprofile.llm.common import portions, shared_path, slices, stored, texts
 
 FRAME, CHECK, HEAD, PAIR = "<QI", "<I", "<qII", "<QQ"  # length and its checksum; checksum; payload head; index entry
@@ -91,11 +91,13 @@ def ids_of(payload: bytes):
     return (None if doc_id == NO_ID else doc_id), np.frombuffer(payload, f"<u{width}", n, struct.calcsize(HEAD)).astype("<u4")
 
 
-def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: str | None = None,
+          cached: int = CACHED) -> DataFrame:
     """Encode every text, append ``end_id`` and write records in ascending doc_id order.
 
     Ranges of (doc_id, row number) go to tasks, each of which writes one data file and its
-    index; so one id that a third of the rows share, or null, is many files.
+    index; so one id that a third of the rows share, or null, is many files.  ``cached`` chunks of
+    text are kept in a worker's memory.
     Returns the manifest, one row per data file, itself a table under the shared folder.
     """
     import json
@@ -104,7 +106,7 @@ def write(docs: DataFrame, json_text: str, pattern: str, end_id: int, folder: st
     vocab = json.loads(json_text)
     largest = max([end_id, *vocab["model"]["vocab"].values(), *(t["id"] for t in vocab.get("added_tokens", []))])
     width = 2 if largest < 2**16 else 4
-    bc = spark.sparkContext.broadcast({"json": json_text, "pattern": pattern})
+    bc = spark.sparkContext.broadcast({"json": json_text, "pattern": pattern, "cached": cached})
 
     def task(batches):
         import pyarrow as pa

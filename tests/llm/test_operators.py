@@ -406,6 +406,14 @@ def test_chunked_encoding_is_whole_text_encoding():
             assert ids == packed_ids(own.tokenizer.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_records_with_few_or_many_cached_chunks(docs):
+    def found(cached):
+        manifest = records.write(docs, queries._file(queries.WORD_BPE), P.PATTERN, 1, cached=cached)
+        return sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in records.digest(records.read(manifest)).collect())
+
+    assert found(8) == found(1_000_000)
+
+
 def test_records_of_one_hot_id_are_many_files(spark):
     r = random.Random(1)
     table = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, words_of(r, r.randint(0, 30))) for i in range(600)]
