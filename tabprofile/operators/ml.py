@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -40,6 +40,9 @@ TREES_OFFLINE = 100
 MIN_ROWS_OFFLINE = 10
 STRATIFY_MAX_CLASSES = 20
 
+TASK_BYTES = 64 << 20  # what MLlib's forest should keep in memory for one task
+FEW_TASKS = 4  # rows for no more tasks than these stay where they lie
+
 
 @dataclass
 class ModelResult:
@@ -157,13 +160,14 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
                                             featureSubsetStrategy="all", labelCol="label",
                                             featuresCol="features", cacheNodeIds=True, checkpointInterval=10)
     stages.append(model_stage)
-    model = Pipeline(stages=stages).fit(train)
+    n_train = train.count()
+    model = _fitted(train, stages[:-1], model_stage, n_train)
     scored = model.transform(test)
     forest = model.stages[-1]
     importances = _importances(scored, forest, spark, original)
     more = ["__y", "probability"] if task == "classification" else []
     pred = shared_table(scored.select("label", "prediction", *more), "predictions")
-    n_train, n_test = train.count(), test.count()
+    n_test = test.count()
     rows = [("train_size", float(n_train)), ("test_size", float(n_test)),
             ("numeric_features", float(len(num))), ("categorical_features", float(len(cat))),
             ("final_feature_count", float(forest.numFeatures)), ("n_estimators", float(num_trees)),
@@ -190,6 +194,27 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
     return ModelResult(task, metrics, conf, importances, pred.select("label", "prediction"))
 
 
+def _forest_parts(rows: int, width: int, trees: int) -> int:
+    """Tasks for ``rows`` rows of ``width`` expanded features, so that each holds about ``TASK_BYTES``:
+    MLlib keeps a number a feature and two a tree for each row, and some objects."""
+    return max(1, math.ceil(rows * (4 * width + 8 * trees + 200) / TASK_BYTES))
+
+
+def _fitted(train: DataFrame, prep_stages: list, forest, rows: int) -> PipelineModel:
+    """The pipeline of ``prep_stages`` and ``forest`` fitted on the ``rows`` rows of ``train``.
+
+    A stored table of few, well compressed columns is read in one or two tasks however many
+    rows it has; the forest keeps far more for a row, so its rows are spread by that size."""
+    prep = Pipeline(stages=list(prep_stages)).fit(train)
+    ready = prep.transform(train)
+    width = ready.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", 0)
+    parts = _forest_parts(rows, width, forest.getNumTrees())
+    if parts > FEW_TASKS:
+        used = [c for c in ("features", "label", "weight") if c in ready.columns]
+        ready = ready.select(*used).repartition(max(parts, train.sparkSession.sparkContext.defaultParallelism))
+    return PipelineModel(stages=[*prep.stages, forest.fit(ready)])
+
+
 def _prepared(train: DataFrame, tables: list[DataFrame], fills: DataFrame, cat: list[str], max_categories: int | None):
     """Imputed tables whose levels carry a ``=`` before them, as MLlib takes no empty names."""
     tables = _fold_rare(clean.impute(train, fills=fills), [clean.impute(d, fills=fills) for d in tables], cat, max_categories)
@@ -247,7 +272,7 @@ def _cross_validate(data, prep_stages, model_stage, k, seed, num, cat, max_categ
         fills = fills.withColumn("fill_value", F.coalesce("fill_value", blank))
         tr, te = _prepared(tr, [tr, te], fills, cat, max_categories)
         w = split.class_weights(tr, "__y").select(F.col("class").alias("__y"), "weight")
-        m = Pipeline(stages=list(prep_stages) + [model_stage.copy()]).fit(tr.join(w, "__y"))
+        m = _fitted(tr.join(w, "__y"), prep_stages, model_stage.copy(), tr.count())
         accs.append(float(ev.evaluate(m.transform(te))))
     mean = sum(accs) / len(accs)
     std = math.sqrt(sum((a - mean) ** 2 for a in accs) / len(accs))

@@ -73,3 +73,21 @@ def test_baseline_guards(spark):
     df = spark.createDataFrame([(1.0, "a")] * 5, "x double, y string")
     res = ml.train_baseline(df, "y")
     assert res.metrics.first()["metric"] == "error"
+
+
+def test_forest_rows_are_spread_by_what_it_keeps(spark, monkeypatch):
+    """Rows that lie in one partition train the forest in many; a small table stays as it is."""
+    from pyspark.ml.classification import RandomForestClassifier
+    seen = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, d: (seen.append((d.rdd.getNumPartitions(), d.count())), fit(self, d))[1])
+    df = spark.range(4000).select((F.col("id") % 50).cast("double").alias("x"), F.concat(F.lit("l"), F.col("id") % 5).alias("k"),
+                                  F.when(F.col("id") % 50 < 25, "a").otherwise("b").alias("y")).coalesce(1)
+    small = ml.train_baseline(df, "y", num_trees=5, max_depth=3)
+    assert ml._forest_parts(4000, 6, 5) == 1 and ml._forest_parts(7_200_000, 6, 100) > 100 and ml._forest_parts(720_000, 2400, 8) > 100
+    monkeypatch.setattr(ml, "TASK_BYTES", 100_000)
+    spread = ml.train_baseline(df, "y", num_trees=5, max_depth=3)
+    assert seen[0][1] == seen[1][1] == 3200 and seen[0][0] < 5 and seen[1][0] == ml._forest_parts(3200, 6, 5) >= 8
+    for r in (small, spread):
+        found = {m["metric"]: m["value"] for m in r.metrics.collect()}
+        assert found["train_size"] == 3200 and found["final_feature_count"] == 6 and found["accuracy"] == 1.0 and found["roc_auc"] == 1.0
