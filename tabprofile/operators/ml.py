@@ -4,7 +4,8 @@ An MLlib pipeline: split (stratified for classes) -> fill values fitted on
 the training rows -> StringIndexer
 (unknown kept) + OneHotEncoder (the unknown slot dropped, so an unseen
 category is the zero vector) -> VectorAssembler -> RandomForest with
-balanced class weights.  Metrics come from MLlib evaluators or plain
+balanced class weights.  Rows that MLlib's fit would expand to more than ``GROWN_BYTES`` grow
+the same kind of trees over bin numbers (:mod:`tabprofile.operators.forest`).  Metrics come from MLlib evaluators or plain
 aggregates over the prediction table; nothing but model parameters and
 metric values reaches the driver.
 
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 
 from tabprofile.operators import clean, split
 from tabprofile.operators.categorical import value_counts
+from tabprofile.operators.forest import grown
 from tabprofile.operators.ranks import running
 from tabprofile.operators.target import infer_task
 from tabprofile.roles import ColumnRoles, normalize, qcol
@@ -42,6 +44,7 @@ STRATIFY_MAX_CLASSES = 20
 
 TASK_BYTES = 64 << 20  # what MLlib's forest should keep in memory for one task
 FEW_TASKS = 4  # rows for no more tasks than these stay where they lie
+GROWN_BYTES = 512 << 20  # rows of which MLlib would keep more are binned once and grow its trees by operators/forest.py
 
 
 @dataclass
@@ -194,20 +197,28 @@ def train_baseline(df: DataFrame, target: str, *, num_trees: int = TREES_OFFLINE
     return ModelResult(task, metrics, conf, importances, pred.select("label", "prediction"))
 
 
+def _forest_bytes(rows: int, width: int, trees: int) -> int:
+    """What MLlib keeps of ``rows`` rows of ``width`` expanded features: a number a feature and two a tree
+    for each row, and some objects."""
+    return rows * (4 * width + 8 * trees + 200)
+
+
 def _forest_parts(rows: int, width: int, trees: int) -> int:
-    """Tasks for ``rows`` rows of ``width`` expanded features, so that each holds about ``TASK_BYTES``:
-    MLlib keeps a number a feature and two a tree for each row, and some objects."""
-    return max(1, math.ceil(rows * (4 * width + 8 * trees + 200) / TASK_BYTES))
+    """Tasks for such rows, so that each holds about ``TASK_BYTES``."""
+    return max(1, math.ceil(_forest_bytes(rows, width, trees) / TASK_BYTES))
 
 
 def _fitted(train: DataFrame, prep_stages: list, forest, rows: int) -> PipelineModel:
     """The pipeline of ``prep_stages`` and ``forest`` fitted on the ``rows`` rows of ``train``.
 
     A stored table of few, well compressed columns is read in one or two tasks however many
-    rows it has; the forest keeps far more for a row, so its rows are spread by that size."""
+    rows it has; the forest keeps far more for a row, so its rows are spread by that size.  Where even
+    that is too much, the same trees are grown over bin numbers (:mod:`tabprofile.operators.forest`)."""
     prep = Pipeline(stages=list(prep_stages)).fit(train)
     ready = prep.transform(train)
     width = ready.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", 0)
+    if _forest_bytes(rows, width, forest.getNumTrees()) > GROWN_BYTES:
+        return PipelineModel(stages=[*prep.stages, grown(ready, prep_stages, forest, rows)])
     parts = _forest_parts(rows, width, forest.getNumTrees())
     if parts > FEW_TASKS:
         used = [c for c in ("features", "label", "weight") if c in ready.columns]
