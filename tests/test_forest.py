@@ -131,6 +131,26 @@ def test_thresholds_of_all_rows(spark):
     assert np.bincount(at[b != 7.0]).max() <= 2000 / 28
 
 
+def test_regression_rows_are_summed_by_cells(spark, monkeypatch):
+    """A hundred trees don't meet each row at every level: a task keeps one row for each combination of bins."""
+    kept = []
+    real = forest.shared_table
+    monkeypatch.setattr(forest, "shared_table", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, d: pytest.fail("MLlib's fit meets each row again"))
+    monkeypatch.setattr(ml, "GROWN_BYTES", 1000)
+    rows = [("ab"[i % 2], "uvw"[i % 3], float(i % 10), float(i % 10 * (1 + i % 2) + i % 7)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "a string, b string, c double, y double")
+    res = ml.train_baseline(df, "y", num_trees=100, max_depth=4, task="regression")
+    m = {r["metric"]: r["value"] for r in res.metrics.collect()}
+    assert m["n_estimators"] == 100 and m["final_feature_count"] == 6 and m["train_size"] + m["test_size"] == 8000
+    stored = kept[0].collect()
+    assert len(stored) <= 60 * spark.sparkContext.defaultParallelism
+    sums = np.array([np.frombuffer(r["drawn"]).reshape(100, 3) for r in stored]).sum(0)
+    assert np.abs(sums[:, 0] - m["train_size"]).max() < 5 * m["train_size"] ** 0.5
+    noise = np.var(np.arange(7)) / np.var([r[3] for r in rows])
+    assert 1 - noise - 0.1 < m["r2"] < 1 - noise + 0.05
+
+
 def test_wide_models_are_grown_over_bin_numbers(spark, monkeypatch):
     """Past ``GROWN_BYTES`` no row is expanded: MLlib's fit isn't called."""
     for kind in (RandomForestClassifier, RandomForestRegressor):
